@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from demandlens.llm import langid, simhash
+from demandlens.llm import langid, packing, simhash, token_bits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +27,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_token_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_bits.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
