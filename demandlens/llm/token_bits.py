@@ -102,7 +102,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             nonlocal held, seq
             name = f"{uuid.uuid4().hex}.tok"
             doc_ids, lengths, ids = [d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(to_bytes(doc_ids, lengths, ids, bits))
             row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": name, "n_docs": len(doc_ids), "n_ids": len(ids)}], FILES)
             held, seq = [], seq + 1
