@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from demandlens.plans import evaluation, graphs, ingestion, matching, metrics, models, normalisation, scoring, slicing, trends
+from demandlens.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "evaluation", "graphs", "ingestion", "matching", "metrics", "models", "normalisation", "scoring", "slicing", "trends"]
