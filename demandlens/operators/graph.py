@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -10,3 +11,124 @@ def co_counts(pairs: DataFrame, entity: str = "entity_id", item: str = "item_id"
     """(item_a, item_b, n): entities with both items, item_a < item_b. pairs are distinct."""
     a, b = pairs.select(entity, F.col(item).alias("item_a")), pairs.select(entity, F.col(item).alias("item_b"))
     return a.join(b, entity).where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
+
+
+def support(pairs: DataFrame) -> DataFrame:
+    """(item_id, support): entities with each item."""
+    return pairs.groupBy("item_id").agg(F.count("*").alias("support"))
+
+
+def jaccard(both: Column, a: Column, b: Column) -> Column:
+    return both.cast("double") / F.nullif((a + b - both).cast("double"), F.lit(0.0))
+
+
+def pmi(both: Column, a: Column, b: Column, n: Column) -> Column:
+    """Pointwise mutual information, natural logarithm."""
+    return F.ln(both.cast("double") * n / (a.cast("double") * b))
+
+
+def edges(pairs: DataFrame, n: int | Column, least_count: int = 3, least_jaccard: float = 0.01) -> DataFrame:
+    """All item pairs with support, Jaccard index, PMI and whether they pass the gates; the weight of an edge is its Jaccard index."""
+    s = support(pairs)
+    size = F.lit(n) if isinstance(n, int) else n
+    joined = co_counts(pairs).join(s.select(F.col("item_id").alias("item_a"), F.col("support").alias("support_a")), "item_a").join(s.select(F.col("item_id").alias("item_b"), F.col("support").alias("support_b")), "item_b")
+    out = joined.withColumn("jaccard", jaccard(F.col("n"), F.col("support_a"), F.col("support_b"))).withColumn("pmi_nat", pmi(F.col("n"), F.col("support_a"), F.col("support_b"), size))
+    return out.withColumn("kept", (F.col("n") >= least_count) & (F.col("jaccard") >= least_jaccard))
+
+
+def _both_ways(e: DataFrame, *values: str) -> DataFrame:
+    return e.select(F.col("item_a").alias("item_id"), F.col("item_b").alias("other"), *values).union(e.select(F.col("item_b").alias("item_id"), F.col("item_a").alias("other"), *values))
+
+
+def nodes(pairs: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+    """(item_id, support, coverage, degree, weighted_degree); items without edges stay with degree 0."""
+    degrees = _both_ways(kept, "jaccard").groupBy("item_id").agg(F.count("*").alias("degree"), F.sum("jaccard").alias("weighted_degree"))
+    return support(pairs).join(degrees, "item_id", "left").fillna({"degree": 0, "weighted_degree": 0.0}).withColumn("coverage", F.col("support") / F.nullif(F.lit(float(n)), F.lit(0.0)))
+
+
+def build_report(all_edges: DataFrame) -> DataFrame:
+    """One row: pairs, kept and filtered edges."""
+    return all_edges.agg(F.count("*").alias("pairs"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"))
+
+
+def neighbours(kept: DataFrame, item: str) -> DataFrame:
+    """The other ends of an item's edges, strongest first."""
+    other = F.when(F.col("item_a") == item, F.col("item_b")).otherwise(F.col("item_a"))
+    return kept.where((F.col("item_a") == item) | (F.col("item_b") == item)).select(other.alias("item_id"), "n", "jaccard", "pmi_nat").orderBy(F.desc("jaccard"), F.desc("n"), "item_id")
+
+
+def relations(pairs: DataFrame, core: str, n: int, least_sample: int = 4, small_sample: int = 10, least_count: int = 3, least_jaccard: float = 0.01) -> DataFrame:
+    """Items that go with one core item in a slice of n entities: co-count, conditional coverage, Jaccard index, PMI (base 2), sample status.
+
+    No rows below least_sample entities. Order: Jaccard, count, id.
+    """
+    s = support(pairs)
+    mine = pairs.where(F.col("item_id") == core).select("entity_id")
+    both = pairs.join(mine, "entity_id", "left_semi").where(F.col("item_id") != core).groupBy("item_id").agg(F.count("*").alias("n"))
+    own = s.where(F.col("item_id") == core).select(F.col("support").alias("core_support"))
+    joined = both.join(s, "item_id").crossJoin(F.broadcast(own))  # one row
+    size = F.lit(float(n))
+    out = joined.select(
+        "item_id", "n", "support", "core_support", (F.col("n") / F.col("core_support").cast("double")).alias("conditional_coverage"), jaccard(F.col("n"), F.col("support"), F.col("core_support")).alias("jaccard"),
+        (F.log2(F.col("n") * size / (F.col("support").cast("double") * F.col("core_support")))).alias("pmi_log2"), F.when(F.lit(n < small_sample), "small_sample").otherwise("ok").alias("status"),
+    )
+    return out.where((F.col("n") >= least_count) & (F.col("jaccard") >= least_jaccard) & F.lit(n >= least_sample)).orderBy(F.desc("jaccard"), F.desc("n"), "item_id")
+
+
+def synergy(node_table: DataFrame, kept: DataFrame, pmi_cap: float = 2.0) -> DataFrame:
+    """(item_id, synergy) of 0 to 1: 0.4 centrality, 0.2 log-support, 0.2 Jaccard and 0.2 positive PMI weighted by the neighbours' support.
+
+    Centrality is the share of other items that an item has an edge with.
+    """
+    sides = _both_ways(kept, "jaccard", "pmi_nat").join(node_table.select(F.col("item_id").alias("other"), F.col("support").alias("w")), "other")
+    strength = sides.groupBy("item_id").agg(F.sum(F.col("jaccard") * F.col("w")).alias("j"), F.sum(F.least(F.lit(pmi_cap), F.greatest(F.lit(0.0), F.col("pmi_nat"))) / pmi_cap * F.col("w")).alias("p"), F.sum("w").cast("double").alias("w"))
+    top = node_table.agg(F.max(F.log1p(F.col("support").cast("double"))).alias("top"), F.count("*").alias("items"))
+    joined = node_table.join(strength, "item_id", "left").crossJoin(F.broadcast(top))  # one row
+    centrality = F.coalesce(F.col("degree") / F.nullif((F.col("items") - 1).cast("double"), F.lit(0.0)), F.lit(0.0))
+    score = 0.4 * centrality + 0.2 * F.coalesce(F.log1p(F.col("support").cast("double")) / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0)) + 0.2 * F.coalesce(F.col("j") / F.col("w"), F.lit(0.0)) + 0.2 * F.coalesce(F.col("p") / F.col("w"), F.lit(0.0))
+    return joined.select("item_id", score.alias("synergy"))
+
+
+def communities(node_table: DataFrame, kept: DataFrame, rounds: int = 12) -> DataFrame:
+    """(item_id, community, size): communities of an undirected weighted graph by moving items to the neighbour community of the largest modularity gain.
+
+    Every item starts alone. In each round every item sees the gain of each neighbouring community; items whose hash has the round's
+    parity move if they gain, ties to the lesser community, so that two neighbours seldom swap. Rounds are checkpointed. Communities
+    are numbered by falling size, then by their least item. Items without edges stay alone.
+    """
+    links = _both_ways(kept, F.col("jaccard").alias("w")).checkpoint()
+    degree = links.groupBy("item_id").agg(F.sum("w").alias("k"))
+    total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m2"))
+    now = node_table.select("item_id").join(degree, "item_id", "left").select("item_id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("item_id").alias("community")).checkpoint()
+    still = 0
+    for r in range(rounds):
+        mass = now.groupBy("community").agg(F.sum("k").alias("mass"))
+        toward = links.join(now.select(F.col("item_id").alias("other"), "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
+        own = now.select("item_id", "k", F.col("community").alias("at"))
+        every = toward.join(own, "item_id").unionByName(own.select("item_id", F.col("at").alias("community"), F.lit(0.0).alias("into"), "k", "at"))
+        every = every.groupBy("item_id", "community", "k", "at").agg(F.sum("into").alias("into")).join(mass, "community").crossJoin(F.broadcast(total))  # one row
+        others = F.col("mass") - F.when(F.col("community") == F.col("at"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("into") - F.col("k") * others / F.nullif(F.col("m2"), F.lit(0.0)), 12)
+        best = every.withColumn("gain", F.coalesce(gain, F.lit(0.0))).withColumn("stay", (F.col("community") == F.col("at")).cast("int"))
+        best = best.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("gain"), F.desc("stay"), "community"))).where("place = 1")
+        turn = F.pmod(F.xxhash64("item_id"), F.lit(2)) == r % 2
+        moved = best.select("item_id", "k", "at", F.when(turn, F.col("community")).otherwise(F.col("at")).alias("community")).checkpoint()
+        changes = moved.where("at <> community").limit(1).count()
+        now = moved.drop("at")
+        still = 0 if changes else still + 1
+        if still == 2:
+            break
+    sizes = now.groupBy("community").agg(F.count("*").alias("size"), F.min("item_id").alias("first"))
+    numbered = sizes.withColumn("number", F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1)  # one row per community
+    return now.join(numbered, "community").select("item_id", F.col("number").alias("community"), "size")
+
+
+def modularity(member: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: the modularity of a division (item_id, community) of the graph; null without edges."""
+    links = _both_ways(kept, F.col("jaccard").alias("w"))
+    at = member.select("item_id", "community")
+    inside = links.join(at, "item_id").join(at.select(F.col("item_id").alias("other"), F.col("community").alias("there")), "other")
+    by = inside.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("there"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("mass"))
+    m2 = F.sum("mass").over(W.partitionBy())
+    each = by.select((F.col("inner") / m2 - F.pow(F.col("mass") / m2, 2)).alias("q"))
+    return each.agg(F.sum("q").alias("modularity"))
