@@ -209,7 +209,6 @@ def x5(t: Star) -> DataFrame:
     return found.join(expected, "entity_id", "left_anti").select(F.lit("false_positive").alias("kind"), "entity_id").union(expected.join(found, "entity_id", "left_anti").select(F.lit("false_negative").alias("kind"), "entity_id"))
 
 
-@query("x6_missing_members", "SELECT e.c AS column_name FROM (SELECT unnest(['o_orderkey', 'o_clerk', 'o_comment']) AS c) e WHERE e.c NOT IN ('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority')")
+@query("x6_missing_members", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
 def x6(t: Star) -> DataFrame:
-    have = t.spark.createDataFrame([(c,) for c in t.table("orders").columns], "column_name string")
-    return t.spark.createDataFrame([("o_orderkey",), ("o_clerk",), ("o_comment",)], "column_name string").join(have, "column_name", "left_anti")
+    return t.table("nation").select("n_nationkey").join(t.table("customer").where("c_acctbal > 9500"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti")
