@@ -209,6 +209,6 @@ def x5(t: Star) -> DataFrame:
     return found.join(expected, "entity_id", "left_anti").select(F.lit("false_positive").alias("kind"), "entity_id").union(expected.join(found, "entity_id", "left_anti").select(F.lit("false_negative").alias("kind"), "entity_id"))
 
 
-@query("x6_missing_members", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
+@query("x6_missing_members", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
 def x6(t: Star) -> DataFrame:
-    return t.table("nation").select("n_nationkey").join(t.table("customer").where("c_acctbal > 9500"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti")
+    return t.table("nation").select("n_nationkey").join(t.table("customer").where("c_acctbal > 9900"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti")
