@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -118,23 +118,27 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     return written(ordered.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long"), "files")
 
 
-def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+def read(folder: str, files: DataFrame) -> DataFrame:
     """Documents of the listed files: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = per_part.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row for each partition
     placed = files.join(before, "part").select("file", (F.col("before") + F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("first"))
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    found = raw.join(placed, "file").select("first", "content")
 
     def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for first, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                f = TokenFile(data.as_py())
+            for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{root}/{name}", compression=None) as data:
+                    f = TokenFile(data.read())
                 ids = f.ids(0, f.n_ids).astype("<u4")
                 values = pa.BinaryArray.from_buffers(pa.binary(), len(f.doc_ids), [None, pa.py_buffer((f.starts * 4).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(f.starts[:-1] + first), pa.array(np.diff(f.starts)), values], ["doc_id", "start", "n_tokens", "ids"])
 
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    # only names are dealt out; each task opens its files itself
+    dealt = placed.repartition(min(20_000, max(1, files.count())), "file")
+    return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -148,4 +152,4 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     files = write(docs, folder, id_col, text_col, path, end_id=end_id)
     if files.limit(1).count() == 0:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    return read(spark, folder, files)
+    return read(folder, files)
