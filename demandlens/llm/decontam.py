@@ -79,14 +79,14 @@ def covered(hits: Column) -> Column:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Benchmark windows in whole documents: doc_id, mark, n_words, n_hit, n_items, items, contaminated; one row per row of docs.
 
     Null and blank texts have no words, items without words no window; an empty benchmark leaves every document clean and an empty
     table of documents gives no rows. Repeated rows stay; rows with a null id are kept; items with a null id hit but are not listed;
     other columns are ignored.
     """
-    found = occurrences(docs, benchmark, id_col, text_col, item_col, item_text, size)
+    found = occurrences(docs, benchmark, id_col, text_col, item_col, item_text, size, pass_windows)
     hit = covered(F.col("hits"))
     return found.select("doc_id", "mark", F.col("n_words").cast("long"), hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("hits") > 0).alias("contaminated"))
 
