@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import BLANKS, words, written
@@ -16,6 +17,9 @@ CUTOFF = 18.47
 #: Standard deviations added to those of each transformed statistic, so that one that hardly varies does not reject on its own.
 FLOORS = (0.08, 0.5, 0.5, 0.5)
 STATS = ("x0", "x1", "x2", "x3")
+ESTIMATE = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
+#: Width of the bins in which medians are counted, and of those of the logarithm of a distance.
+BIN, LOG_BIN = 0.02, 0.05
 #: Bits of a sort key that hold a word's place; the rest hold its window's hash.
 PLACE_BITS = 24
 
@@ -79,12 +83,10 @@ def _distance(means: list[str], root: list[list[str]]) -> Column:
     return total
 
 
-def _estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _estimates(rows: DataFrame, key: str) -> DataFrame:
     """Mean and Cholesky root of the floored covariance of each group's rows with inside = true."""
     p = len(STATS)
-    sums = rows.where("inside").groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)]
-    )
+    sums = rows.where("inside").groupBy(key).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
     for i in range(p):
         for j in range(i + 1):
             c = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
@@ -95,45 +97,46 @@ def _estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
-    return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return sums.select(key, *ESTIMATE)
 
 
-def _with_distance(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
-    p = len(STATS)
-    root = [[f"l{i}{j}" for j in range(i + 1)] for i in range(p)]
-    return rows.join(estimates, keys).withColumn("d2", _distance([f"m{i}" for i in range(p)], root)).select(*rows.columns, "d2")
+def _quantile_bin(df: DataFrame, by: list[str], bin: Column, q: float) -> DataFrame:
+    """(by, bin): the first bin at which a group's counts reach the share q. Counts of bins merge from partial ones and stay small."""
+    counts = df.groupBy(*by, bin.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    upto, total = F.sum("n").over(W.partitionBy(*by).orderBy("bin")), F.sum("n").over(W.partitionBy(*by))
+    return counts.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") >= q * F.col("total")).groupBy(*by).agg(F.min("bin").alias("bin"), F.max("total").alias("rows"))
 
 
-def _core(rows: DataFrame, keys: list[str], core: float) -> DataFrame:
-    """rows with inside: whether the distance d2 is among the nearest share of its group."""
-    limits = rows.groupBy(*keys).agg(F.percentile_approx("d2", core, 1000).alias("limit"))
-    return rows.join(limits, keys).withColumn("inside", F.col("d2") <= F.col("limit")).drop("limit", "d2")
+def _distance_of() -> Column:
+    """The distance by the columns of ESTIMATE."""
+    p = len(STATS)
+    return _distance([f"m{i}" for i in range(p)], [[f"l{i}{j}" for j in range(i + 1)] for i in range(p)])
 
 
-def _centres(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with d2: the sum of squared distances to the group's medians in units of its absolute deviations and the floors."""
-    med = rows.groupBy(*keys).agg(*[F.percentile_approx(x, 0.5, 1000).alias(f"med{i}") for i, x in enumerate(STATS)])
-    near = rows.join(med, keys)
-    mad = near.groupBy(*keys).agg(*[F.percentile_approx(F.abs(F.col(x) - F.col(f"med{i}")), 0.5, 1000).alias(f"mad{i}") for i, x in enumerate(STATS)])
-    d2 = F.lit(0.0)
-    for i, x in enumerate(STATS):
-        unit = 1.4826 * F.col(f"mad{i}") + FLOORS[i]
-        d2 = d2 + F.pow((F.col(x) - F.col(f"med{i}")) / unit, 2)
-    return near.join(mad, keys).withColumn("d2", d2).select(*rows.columns, "d2")
+def _log_bin(d2: Column) -> Column:
+    return F.floor(F.ln(d2 + 1e-6) / LOG_BIN)
 
 
-def robust_estimates(rows: DataFrame, keys: list[str], core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant mean and Cholesky root of each group, by concentration steps from a median start.
+def robust_estimates(rows: DataFrame, key: str, core: float = CORE, steps: int = STEPS) -> DataFrame:
+    """(key, rows, mean, Cholesky root): minimum-covariance-determinant estimates of groups, by concentration steps from their medians.
 
-    Each step estimates from the nearest share of the rows and takes the nearest again. All sums are merged from partial ones, so a
-    large group is shared by all tasks; the last step scales nothing, as the floors dominate where statistics hardly vary.
+    Each step estimates from the nearest share of a group's rows and takes the nearest again; the share is met up to one bin of the
+    distances' logarithm. A step shuffles sums and bin counts of groups only, never the rows, so a large group is shared by all tasks.
     """
-    now = _core(_centres(rows, keys), keys, core)
+    stats = rows.select(key, F.posexplode(F.array(*STATS)).alias("i", "x"))
+    medians = _quantile_bin(stats, [key, "i"], F.floor(F.col("x") / BIN), 0.5)
+    start = medians.groupBy(key).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("i") == i, (F.col("bin") + 0.5) * BIN)).alias(f"med{i}") for i in range(len(STATS))])
+    d2 = F.lit(0.0)
+    for i, x in enumerate(STATS):
+        d2 = d2 + F.pow((F.col(x) - F.col(f"med{i}")) / (2 * FLOORS[i]), 2)
+    state = written(start, "medians")
+    sizes = state.select(key, "rows")
     for k in range(steps):
-        found = written(_estimates(now, keys), f"mcd{k}")
-        if k + 1 < steps:
-            now = _core(_with_distance(rows, found, keys), keys, core)
-    return found
+        near = rows.join(state, key).select(*rows.columns, _log_bin(d2).alias("bin"))
+        limits = _quantile_bin(near, [key], F.col("bin"), core).select(key, F.col("bin").alias("limit"))
+        inside = near.join(written(limits, "limits"), key).withColumn("inside", F.col("bin") <= F.col("limit"))
+        state, d2 = written(_estimates(inside, key), "estimates"), _distance_of()
+    return state.join(sizes, key)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = CORE, steps: int = STEPS, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -144,27 +147,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     kept: not base_failed and a squared distance of at most cutoff. Null and empty texts fail the base limits; null languages and
     sources are groups like any other; repeated rows stay; if no row passes, none is kept; other columns are ignored.
     """
-    frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\x00")).alias("g0"), F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")).alias("g1"), F.col(text_col).cast("string").alias("text"))
+    group = F.to_json(F.array(F.col("lang"), F.col("source")))
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     stats = base_statistics(frame).drop("text")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    stats = written(stats.select("*", failed.alias("base_failed"), *transformed()), "statistics")
-    passing = stats.where("not base_failed").select("g0", "g1", *STATS)
-    keys = ["g0", "g1"]
-    own = robust_estimates(passing, keys, core, steps)
-    sizes = passing.groupBy(*keys).agg(F.count("*").alias("rows"))
-    own = own.join(sizes, keys).where(F.col("rows") >= least_rows).drop("rows", "n")
-    # over all rows: groups are split at random so that the estimate of the whole is merged from parts
-    every = robust_estimates(passing.withColumn("g", F.lit(0)).drop("g0", "g1"), ["g"], core, steps).drop("n", "g")
-    p = len(STATS)
-    cols = [f"m{i}" for i in range(p)] + [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
-    joined = stats.join(own, keys, "left").crossJoin(F.broadcast(_one_row(every, cols)))
-    joined = joined.select(*stats.columns, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in cols])
-    d2 = _distance([f"m{i}" for i in range(p)], [[f"l{i}{j}" for j in range(i + 1)] for i in range(p)])
+    stats = written(stats.select("*", failed.alias("base_failed"), group.alias("g"), *transformed()), "statistics")
+    # every row counts for its group and for the whole
+    passing = stats.where("not base_failed").select(F.explode(F.array(F.col("g"), F.lit("all"))).alias("g"), *STATS)
+    found = written(robust_estimates(passing, "g", core, steps), "robust")
+    own = found.where((F.col("rows") >= least_rows) & (F.col("g") != "all")).drop("rows")
+    every = found.where("g = 'all'").agg(*[F.max(c).alias(f"all_{c}") for c in ESTIMATE])
+    joined = stats.join(own, "g", "left").crossJoin(F.broadcast(every))  # one row
+    joined = joined.select(*stats.columns, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in ESTIMATE])
+    d2 = _distance_of()
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(False))
-    plain = [F.nullif(F.col(c), F.lit("\x00")).alias(name) for c, name in (("g0", "lang"), ("g1", "source"))]
-    return joined.select("doc_id", *plain, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("d2"), kept.alias("kept"))
-
-
-def _one_row(estimate: DataFrame, cols: list[str]) -> DataFrame:
-    """estimate as exactly one row, of nulls if it has none."""
-    return estimate.agg(*[F.max(c).alias(f"all_{c}") for c in cols])
+    return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("d2"), kept.alias("kept"))
