@@ -9,7 +9,7 @@ import uuid
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import fresh_path, written
@@ -143,24 +143,29 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return written(marked.mapInArrow(run, INDEX), "index")
 
 
-def read(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+def read(folder: str, index: DataFrame) -> DataFrame:
     """All indexed records, read frame by frame: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    listed = index.select("bundle").distinct()
     types = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
     def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for b in batches:
-            for data in b.column(0):
-                bundle = Bundle(data.as_py())
+            for name in b.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    bundle = Bundle(f.read())
                 for k in range(0, len(bundle), 500):
                     rows = [bundle.record(i) for i in range(k, min(k + 500, len(bundle)))]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in types.items()], list(types))
 
-    return raw.join(listed, "bundle", "left_semi").select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    # only names are dealt out; each task opens its bundles itself
+    names = index.select("bundle").distinct()
+    dealt = names.repartition(min(20_000, max(1, names.count())), "bundle")
+    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
-def lookup(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
+def lookup(folder: str, index: DataFrame) -> DataFrame:
     """The records of an index, or of a few of its rows, each by its own frame alone: page_id, record_type, payload."""
 
     def run(batches):
@@ -191,4 +196,4 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     index = write(pages, folder, id_col, url_col, html_col, least_bytes)
     if index.limit(1).count() == 0:
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
-    return read(spark, folder, index)
+    return read(folder, index)
