@@ -154,7 +154,7 @@ def d19(t: Star) -> DataFrame:
     return survivorship.assemble(parts, "o_custkey")
 
 
-@query("d20_pair_labels")
+@query("d20_pair_labels", f"WITH {RECORDS_SQL} SELECT a.record_id AS left_id, b.record_id AS right_id, CASE WHEN a.title = b.title THEN 'easy' WHEN a.source_id <> b.source_id THEN 'cross_source_negative' ELSE 'hard' END AS kind FROM r a JOIN r b ON a.company = b.company AND a.city = b.city AND a.record_id < b.record_id")
 def d20(t: Star) -> DataFrame:
     k = dedup.keyed(records(t))
     a, b = k.alias("a"), k.alias("b")

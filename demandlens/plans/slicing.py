@@ -35,10 +35,10 @@ def f4(t: Star) -> DataFrame:
     return slices.present_sources(t.source_map, ["ASIA", "EUROPE", "ATLANTIS"])
 
 
-@query("f5_optional_scope")
+@query("f5_optional_scope", with_tables("entities") + "SELECT count(*) AS n, 'present' AS \"column\" FROM entities WHERE education_band = 'BUILDING' UNION ALL SELECT count(*), 'absent' FROM entities")
 def f5(t: Star) -> DataFrame:
-    scoped = slices.Slice(scope="target", scope_col="education_band")
-    absent = slices.Slice(scope="target", scope_col="no_such_column")
+    scoped = slices.Slice(scope="BUILDING", scope_col="education_band")
+    absent = slices.Slice(scope="BUILDING", scope_col="no_such_column")
     return slices.select(t.entities, t.source_map, scoped).agg(F.count("*").alias("n")).withColumn("column", F.lit("present")).union(slices.select(t.entities, t.source_map, absent).agg(F.count("*").alias("n")).withColumn("column", F.lit("absent")))
 
 
