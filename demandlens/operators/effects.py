@@ -6,10 +6,12 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "__missing__"
+STATISTICS = ["coefficient", "error", "low", "high", "p_value", "r2", "adjusted_r2", "aic", "bic", "residual_error", "condition"]
 
 
 @dataclass(frozen=True)
@@ -69,38 +71,31 @@ def associations(entities: DataFrame, pairs: DataFrame, items: DataFrame, contro
     """Per item: coefficient of having it in ln(measure) ~ 1 + item + controls, HC3 error, interval, p-value and fit statistics.
 
     Rows with equal controls and item have equal design rows and leverages, so the fit needs only counts and sums of y and y squared of
-    these cells. Spark makes them, per item, in one grouping; a cell table is as large as the combinations of control values, whatever
-    the number of entities. The small linear systems are solved on the driver. Normal quantiles are used for intervals.
+    these cells. The cell table is as large as the combinations of control values that occur, whatever the number of entities; it alone
+    reaches the driver. Each item's small linear system is solved in a task of its own. Normal quantiles are used for intervals.
     status: unavailable, insufficient_sample, rank_deficient, estimated, estimated_with_warning (condition number too large).
     """
     r = r or EffectRules()
-    spark = entities.sparkSession
     rows = model_rows(entities, controls, r, measure).persist()
     judged = gates(rows, pairs, items, r)
     sums = [F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")]
     every = [x.asDict() for x in rows.groupBy(*controls).agg(*sums).collect()]
-    candidates = judged.where("status = 'candidate'").select("item_id")
-    having = pairs.join(F.broadcast(candidates), "item_id").join(rows, "entity_id").groupBy("item_id", *controls).agg(*sums).collect()
-    states = [x.asDict() for x in judged.collect()]
-    rows.unpersist()
-    by: dict[str, dict[tuple, dict]] = {}
-    for x in having:
-        by.setdefault(x["item_id"], {})[tuple(x[c] for c in controls)] = x.asDict()
     levels = {c: sorted({cell[c] for cell in every}) for c in controls}
-    base, _ = _design(levels, every) if every else (np.zeros((0, 0)), [])
+    base = _design(levels, every)[0] if every else np.zeros((0, 1))
     n0, s0, q0 = (np.array([float(c[k]) for c in every]) for k in ("n", "sy", "syy"))
     z = NormalDist().inv_cdf(0.5 + r.level / 2)
-    out = []
-    for state in states:
-        line = {"item_id": state["item_id"], "status": state["status"], "n": state["n"], "with_item": state["with_item"], "without_item": state["without_item"]}
-        if state["status"] == "candidate":
-            mine = by.get(state["item_id"], {})
-            one = [mine.get(tuple(c[k] for k in controls), {"n": 0, "sy": 0.0, "syy": 0.0}) for c in every]
-            n1, s1, q1 = (np.array([float(c[k]) for c in one]) for k in ("n", "sy", "syy"))
-            line |= _solve(base, np.concatenate((n1, n0 - n1)), np.concatenate((s1, s0 - s1)), np.concatenate((q1, q0 - q1)), z, r)
-        out.append({k: float(v) if isinstance(v, np.floating) else v for k, v in line.items()})
-    names = ["item_id", "status", "n", "with_item", "without_item", "coefficient", "error", "low", "high", "p_value", "r2", "adjusted_r2", "aic", "bic", "residual_error", "condition"]
-    return spark.createDataFrame([tuple(x.get(k) for k in names) for x in out], "item_id string, status string, n long, with_item long, without_item long, " + ", ".join(f"{k} double" for k in names[5:]))
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = {tuple(x[c] for c in controls): x for x in pdf.to_dict("records")}
+        one = [mine.get(tuple(c[k] for k in controls), {"n": 0, "sy": 0.0, "syy": 0.0}) for c in every]
+        n1, s1, q1 = (np.array([float(c[k]) for c in one]) for k in ("n", "sy", "syy"))
+        found = _solve(base, np.concatenate((n1, n0 - n1)), np.concatenate((s1, s0 - s1)), np.concatenate((q1, q0 - q1)), z, r)
+        return pd.DataFrame([{"item_id": pdf["item_id"].iloc[0], "fit": found["status"], **{k: found.get(k) for k in STATISTICS}}]).astype(dict.fromkeys(STATISTICS, float))
+
+    candidates = judged.where("status = 'candidate'").select("item_id")
+    cells = pairs.join(candidates, "item_id").join(rows, "entity_id").groupBy("item_id", *controls).agg(*sums)
+    fits = cells.groupBy("item_id").applyInPandas(fitted, "item_id string, fit string, " + ", ".join(f"{k} double" for k in STATISTICS))
+    return judged.join(fits, "item_id", "left").select("item_id", F.coalesce("fit", "status").alias("status"), "n", "with_item", "without_item", *STATISTICS)
 
 
 def _solve(base: np.ndarray, n: np.ndarray, sy: np.ndarray, syy: np.ndarray, z: float, r: EffectRules) -> dict:
