@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +44,19 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.starts, self.ids, self.used = [0], np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32), 0
 
     def _add(self, words: list[str], ids: list[list[int]]) -> None:
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
+        flat, first = np.fromiter(chain.from_iterable(ids), np.uint32), len(self.at)
+        ends = self.used + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while first + len(words) >= len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
         self.ids[self.used : self.used + len(flat)] = flat
-        for w, x in zip(words, ids, strict=True):
-            self.at[w] = len(self.starts) - 1
-            self.used += len(x)
-            self.starts.append(self.used)
+        self.starts[first + 1 : first + 1 + len(words)] = ends
+        self.used += len(flat)
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
 
     def _piece(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
@@ -85,7 +90,7 @@ class WordTokenizer:
         if len(self.at) > self.memory:
             self.clear()
         self._learn([w for w in words if w not in self.at])
-        starts = np.array(self.starts, np.int64)
+        starts = self.starts
         known = np.fromiter((self.at[w] for w in words), np.int64, len(words))
         index = known[flat.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         first, sizes = starts[index], starts[index + 1] - starts[index]
@@ -95,12 +100,21 @@ class WordTokenizer:
         return ids, np.concatenate(([0], ends))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
 
 
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this Python process, with the words that its earlier tasks met."""
+    kept = sys.modules.setdefault("_demandlens_kept", ModuleType("_demandlens_kept")).__dict__.setdefault("tokenizers", {})
+    if path not in kept:
+        kept.clear()  # one tokenizer at a time bounds the memory
+        kept[path] = WordTokenizer(path)
+    return kept[path]
+
+
 def encoded_batches(batches, text_at: int, path: str, end_id: int, most_chars: int = 4_000_000):
     """For each batch, cut so that its texts have about most_chars, the slice, all ids with end_id after each text, and the places where texts start."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = WordTokenizer(path)
+    tokenizer = shared_tokenizer(path)
     for whole in batches:
         sizes = np.cumsum(pc.fill_null(pc.utf8_length(whole.column(text_at)), 0).to_numpy(zero_copy_only=False))
         at = 0
