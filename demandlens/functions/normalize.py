@@ -127,35 +127,35 @@ def salary(c: Column, compatible: bool = False) -> Column:
     A range that falls, starts at zero or is not finite, and months outside 12 to 24, are invalid_range; nothing else is guessed.
     """
     t = F.regexp_replace(F.regexp_replace(F.lower(F.trim(nfkc(c) if compatible else c)), "\\s+", ""), "[￥¥]", "")
-    monthly, daily, annual = f"^{NUMBER}-{NUMBER}k(?:[·x*]?([0-9]{{1,2}})薪)?$", f"^{NUMBER}-{NUMBER}元/[天日]$", f"^{NUMBER}-{NUMBER}万/年$"
-
-    def number(pattern: str, k: int) -> Column:
-        return F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("double")
-
-    def made(low: Column, high: Column, mid: Column, annual: Column, months: Column, status: Column) -> Column:
-        return F.struct(low.alias("low"), high.alias("high"), mid.alias("mid"), annual.alias("annual"), months.cast("int").alias("months"), status.alias("status"))
-
-    none = F.lit(None).cast("double")
-
-    def empty(status: str) -> Column:
-        return made(none, none, none, none, none, F.lit(status))
-
-    def good(low: Column, high: Column) -> Column:
-        return (low > 0) & (high > 0) & (low <= high) & (low < float("inf")) & (high < float("inf"))
-
-    lo, hi, months = number(monthly, 1) * 1000, number(monthly, 2) * 1000, number(monthly, 3)
-    lod, hid = number(daily, 1) * DAYS_PER_MONTH, number(daily, 2) * DAYS_PER_MONTH
-    loa, hia = number(annual, 1) * 10000, number(annual, 2) * 10000
-    start = f"^{NUMBER}-{NUMBER}"
-    return (
-        F.when(F.coalesce(F.trim(c), F.lit("")) == "", empty("missing_at_source"))
-        .when(t.isin("面议", "薪资面议"), empty("negotiable"))
-        .when(t.rlike(monthly), F.when(good(lo, hi) & F.coalesce(months.between(12, 24), F.lit(True)), made(lo, hi, (lo + hi) / 2, (lo + hi) / 2 * F.coalesce(months, F.lit(12.0)), months, F.when(months.isNull(), "parsed_monthly").otherwise("parsed_monthly_with_months"))).otherwise(empty("invalid_range")))
-        .when(t.rlike(daily), F.when(good(lod, hid), made(lod, hid, (lod + hid) / 2, (lod + hid) / 2 * 12, F.lit(12), F.lit("parsed_daily"))).otherwise(empty("invalid_range")))
-        .when(t.rlike(annual), F.when(good(loa, hia), made(loa / 12, hia / 12, (loa + hia) / 2 / 12, (loa + hia) / 2, F.lit(12), F.lit("parsed_annual"))).otherwise(empty("invalid_range")))
-        .when(F.coalesce(number(start, 1) > number(start, 2), F.lit(False)), empty("invalid_range"))
-        .otherwise(empty("unparseable"))
-    )
+    known, start = f"^{NUMBER}-{NUMBER}(?:(k)(?:[·x*]?([0-9]{{1,2}})薪)?|(元)/[天日]|(万)/年)$", f"^{NUMBER}-{NUMBER}"
+
+    def group(pattern: str, k: int) -> Column:
+        return F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
+
+    parts = F.struct(
+        F.coalesce(F.trim(c), F.lit("")).alias("raw"), t.alias("t"), group(known, 1).cast("double").alias("lo"), group(known, 2).cast("double").alias("hi"), group(known, 4).cast("int").alias("months"),
+        F.coalesce(group(known, 3), group(known, 5), group(known, 6)).alias("unit"), group(start, 1).cast("double").alias("a"), group(start, 2).cast("double").alias("b"),
+    )
+
+    def read(p: Column) -> Column:
+        lo, hi, months, month, day = p["lo"], p["hi"], p["months"], p["unit"] == "k", p["unit"] == "元"
+        fine = (lo > 0) & (hi > 0) & (lo <= hi) & (hi < float("inf")) & F.coalesce(months.between(12, 24), F.lit(True))
+
+        def scaled(x: Column) -> Column:
+            return F.when(month, x * 1000).when(day, x * DAYS_PER_MONTH).otherwise(x * 10000 / 12)
+
+        mid = scaled((lo + hi) / 2)
+        annual = F.when(month, mid * F.coalesce(months, F.lit(12))).when(day, mid * 12).otherwise((lo + hi) / 2 * 10000)
+        status = (
+            F.when(p["raw"] == "", "missing_at_source").when(p["t"].isin("面议", "薪资面议"), "negotiable")
+            .when(p["unit"].isNull(), F.when(p["a"] > p["b"], "invalid_range").otherwise("unparseable")).when(~fine, "invalid_range")
+            .when(month, F.when(months.isNull(), "parsed_monthly").otherwise("parsed_monthly_with_months")).when(day, "parsed_daily").otherwise("parsed_annual")
+        )
+        good = status.startswith("parsed")
+        return F.struct(F.when(good, scaled(lo)).alias("low"), F.when(good, scaled(hi)).alias("high"), F.when(good, mid).alias("mid"), F.when(good, annual).alias("annual"), F.when(good, F.when(month, months).otherwise(12)).alias("months"), status.alias("status"))
+
+    # through an array of one, so that the parts are read once and the generated code stays small
+    return F.element_at(F.transform(F.array(parts), read), 1)
 
 
 def monthly(low: Column, high: Column, unit: Column) -> Column:
