@@ -20,6 +20,8 @@ STATS = ("x0", "x1", "x2", "x3")
 ESTIMATE = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
 #: Width of the bins in which medians are counted, and of those of the logarithm of a distance.
 BIN, LOG_BIN = 0.02, 0.05
+#: Groups whose estimates (about 150 bytes each) are broadcast.
+MOST_GROUPS = 100_000
 #: Bits of a sort key that hold a word's place; the rest hold its window's hash.
 PLACE_BITS = 24
 
@@ -131,10 +133,12 @@ def robust_estimates(rows: DataFrame, key: str, core: float = CORE, steps: int =
         d2 = d2 + F.pow((F.col(x) - F.col(f"med{i}")) / (2 * FLOORS[i]), 2)
     state = written(start, "medians")
     sizes = state.select(key, "rows")
-    for k in range(steps):
-        near = rows.join(state, key).select(*rows.columns, _log_bin(d2).alias("bin"))
+    # with a bounded number of groups their tables are broadcast, so that rows stay where they are; with more they are joined
+    small = F.broadcast if state.count() <= MOST_GROUPS else lambda df: df
+    for _ in range(steps):
+        near = rows.join(small(state), key).select(*rows.columns, _log_bin(d2).alias("bin"))
         limits = _quantile_bin(near, [key], F.col("bin"), core).select(key, F.col("bin").alias("limit"))
-        inside = near.join(written(limits, "limits"), key).withColumn("inside", F.col("bin") <= F.col("limit"))
+        inside = near.join(small(written(limits, "limits")), key).withColumn("inside", F.col("bin") <= F.col("limit"))
         state, d2 = written(_estimates(inside, key), "estimates"), _distance_of()
     return state.join(sizes, key)
 
@@ -157,7 +161,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = written(robust_estimates(passing, "g", core, steps), "robust")
     own = found.where((F.col("rows") >= least_rows) & (F.col("g") != "all")).drop("rows")
     every = found.where("g = 'all'").agg(*[F.max(c).alias(f"all_{c}") for c in ESTIMATE])
-    joined = stats.join(own, "g", "left").crossJoin(F.broadcast(every))  # one row
+    small = F.broadcast if found.count() <= MOST_GROUPS else lambda df: df
+    joined = stats.join(small(own), "g", "left").crossJoin(F.broadcast(every))  # one row
     joined = joined.select(*stats.columns, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in ESTIMATE])
     d2 = _distance_of()
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(False))
