@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import written
@@ -34,16 +34,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp) for each row of docs, fp as a signed long; a null text counts as empty and has fingerprint 0."""
-    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, also: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp) for each row of docs and the text columns also, fp as a signed long; a null text counts as empty and has fingerprint 0."""
+    also = also or {}
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for n, c in also.items()])
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["id", "fp", *b.schema.names[2:]])
 
-    return frame.mapInArrow(run, "id long, fp long")
+    return frame.mapInArrow(run, ", ".join(["id long", "fp long", *[f"{n} string" for n in also]]))
 
 
 def block_masks(near: int = NEAR, blocks: int = BLOCKS) -> list[int]:
@@ -106,6 +107,17 @@ def links(prints: DataFrame, near: int = NEAR, blocks: int = BLOCKS, chunk: int
     return pairs.union(units.mapInArrow(run, "u long, v long"))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, near: int, also: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp, root, component_id) for each row of docs and the columns also; root is the least fingerprint of the group."""
+    marked = written(fingerprints(docs, id_col, text_col, also=also), "prints")
+    prints = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(links(prints.select("fp"), near))
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
     """Groups of documents whose fingerprints are linked, directly or through others, by at most near differing bits.
 
@@ -113,20 +125,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and blank texts have fingerprint 0 and are linked like any other; repeated rows stay; rows with a null id are kept and
     never name a group unless all of its ids are null. An empty table gives no rows; other columns are ignored.
     """
-    marked = written(fingerprints(docs, id_col, text_col), "prints")
-    prints = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(prints.select("fp"), near))
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, id_col, text_col, near)
+    return found.select(F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
-    """docs without near duplicates: of each group the row with the least id stays, with all its columns."""
-    groups = written(near_duplicates(docs, id_col, text_col, near), "groups")
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
-    firsts = firsts.select(F.col("doc_id").alias("_first"), "copies")
-    kept = docs.join(firsts.select("_first"), docs[id_col].cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    repeated = firsts.where("copies > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    """docs without near duplicates: of each group one row stays, with all its columns.
+
+    It is a row with the least id, or any row where all ids of the group are null; of several texts under that id the one with the least
+    digest. Rows are told apart by id and digest, so groups without an id, or with an id that others have too, each keep their row.
+    """
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    rows = _grouped(docs, id_col, text_col, near, {"digest": digest}).where(F.col("id").eqNullSafe(F.col("component_id")))
+    equals = rows.groupBy("root", "id", "digest").agg(F.count("*").alias("copies"))
+    firsts = equals.groupBy("root").agg(F.min(F.struct("digest", "id", "copies")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.digest").alias("_digest"), "f.copies")
+    firsts = written(firsts, "firsts")
+    same = docs[id_col].cast("long").eqNullSafe(firsts["_id"]) & (F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256) == firsts["_digest"])
+    kept = docs.join(firsts, same, "left_semi")
+    if not firsts.where("copies > 1").limit(1).count():
+        return kept
+    # equal digests are one group, so that one row per id and digest is one per group
+    return kept.withColumns({"_id": F.col(id_col).cast("long"), "_digest": digest}).dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")

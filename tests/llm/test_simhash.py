@@ -89,3 +89,16 @@ def test_odd_rows(odd_documents, no_documents):
     assert kept.columns == odd_documents.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9] and ids.count(None) == 1
+
+
+def test_groups_without_an_id_or_with_one_id_keep_a_row_each(spark):
+    random.seed(3)
+    texts = [" ".join(random.choice("abcdefgh") * random.randint(1, 9) for _ in range(60)) for _ in range(6)]
+    prints = dict(enumerate(map(slow_print, texts)))
+    assert len(set(slow_groups(prints).values())) == 6
+    # three texts without an id, one of them twice and one also under an id; two texts under one id; one text under two ids
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[2].upper()), (5, texts[3]), (5, texts[4]), (5, texts[4]), (6, texts[5]), (7, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert len(got) == 6
+    assert set(got) == {(None, texts[0]), (None, texts[1]), (8, texts[2].upper()), (5, texts[3]), (5, texts[4]), (6, texts[5])}
