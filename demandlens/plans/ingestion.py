@@ -161,7 +161,7 @@ EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 def _inbox(t: Star) -> str:
     """Events as a landing folder of several files, written in order of time."""
     path = fresh_path(t.spark, "landing")
-    t.table("events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value", "props").write.parquet(path)
+    t.table("events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type", "value", "props").repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
     return path
 
 

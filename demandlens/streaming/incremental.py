@@ -19,16 +19,25 @@ def ingest(spark: SparkSession, inbox: str, table: str, checkpoint: str, schema:
 
 
 def daily_counts(spark: SparkSession, inbox: str, table: str, checkpoint: str, schema: str, keys: list[str], item: str, time: str, lateness: str = "2 days") -> DataFrame:
-    """(day, item, n) of distinct keys by day, counted as rows come in; a day is written once no more of it can come.
+    """(day, item, n, late) of distinct keys by day, of all rows that have landed.
 
-    Rows later than lateness are dropped. A last day that is still open is not in the table yet.
+    The stream counts rows as they come in and writes a day to table once no more of it can come. What it has not written is added from
+    the landed rows: days that are still open, and rows that came after their day was written; late is how many of n these are.
+    A day whose files have left the inbox keeps the stream's count. Rows without a time belong to no day.
     """
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(inbox)
     counted = rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys).groupBy(F.window(time, "1 day").alias("w"), item).agg(F.count("*").alias("n"))
     flat = counted.select(F.col("w.start").alias("day"), item, "n")
     query = flat.writeStream.format("parquet").outputMode("append").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(f"day timestamp, {item} string, n long").parquet(table)
+    closed = spark.read.schema(f"day timestamp, {item} string, n long").parquet(table).select(F.col("day").alias("_day"), F.col(item).alias("_item"), F.col("n").alias("_n"))
+    landed = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(inbox).where(F.col(time).isNotNull())
+    every = landed.select(F.window(time, "1 day")["start"].alias("day"), *dict.fromkeys([item, *keys])).distinct().groupBy("day", item).agg(F.count("*").alias("n"))
+    edge = landed.agg((F.max(time) - F.expr(f"interval {lateness}")).alias("_edge"))
+    both = every.join(closed, (every["day"] == F.col("_day")) & every[item].eqNullSafe(F.col("_item")), "full")
+    n = F.greatest("n", "_n")
+    late = F.when(F.col("day") + F.expr("interval 1 day") <= F.col("_edge"), n - F.coalesce("_n", F.lit(0))).otherwise(0).cast("long")
+    return both.crossJoin(F.broadcast(edge)).select(F.coalesce("day", "_day").alias("day"), F.coalesce(every[item], F.col("_item")).alias(item), n.alias("n"), late.alias("late"))  # one row
 
 
 def monthly_from_days(days: DataFrame, item: str) -> DataFrame:

@@ -78,3 +78,33 @@ def test_stream_equals_batch_and_resumes(spark):
     want = {(r.day, r.item): r.n for r in df.groupBy(F.date_trunc("day", "ts").alias("day"), "item").agg(F.count("*").alias("n")).collect()}
     got = {(r.day, r.item): r.n for r in days.collect()}
     assert got and all(want[k] == n for k, n in got.items())
+
+
+def test_daily_counts_have_open_days_and_late_rows(spark):
+    schema, start = "k long, item string, ts timestamp", datetime(2026, 1, 1)
+    inbox, table, progress = (fresh_path(spark, n) for n in ("in", "days", "p"))
+    df = spark.createDataFrame([(i % 40, f"i{i % 3}", start + timedelta(hours=i)) for i in range(200)], schema)
+    tardy = spark.createDataFrame([(99, "i0", start), (98, "i9", start + timedelta(hours=30)), (0, "i0", start)], schema)  # the last one is a copy
+
+    def counts():
+        return {(r.day, r.item): (r.n, r.late) for r in incremental.daily_counts(spark, inbox, table, progress, schema, ["k", "item", "ts"], "item", "ts", "1 hour").collect()}
+
+    def batch(rows):
+        return {(r.day, r.item): r.n for r in rows.distinct().groupBy(F.date_trunc("day", "ts").alias("day"), "item").agg(F.count("*").alias("n")).collect()}
+
+    df.write.parquet(inbox)
+    first = counts()
+    assert {k: n for k, (n, _) in first.items()} == batch(df) and not any(late for _, late in first.values())
+    tardy.write.mode("append").parquet(inbox)
+    again = counts()
+    assert {k: n for k, (n, _) in again.items()} == batch(df.union(tardy))
+    assert {k: late for k, (_, late) in again.items() if late} == {(start, "i0"): 1, (start + timedelta(days=1), "i9"): 1}
+
+
+def test_all_events_are_counted_by_day(spark, data):
+    from demandlens.plans import registry
+
+    rows = registry.QUERIES["r2_daily_counts"](spark, data).collect()
+    events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).distinct()
+    want = {(r.day, r.event_type): r.n for r in events.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()}
+    assert {(r.day, r.event_type): r.n for r in rows} == want and not any(r.late for r in rows)
