@@ -296,7 +296,7 @@ def aligned(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
 def templates(found: DataFrame, constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, template): slots of the host's reference page that have its text in most of the pages aligned there, copies of one page counted once."""
     pages = found.select("host", F.xxhash64(F.col("leaves.text")).alias("mark"), F.explode(F.filter("leaves", lambda x: x["slot"] >= 0)).alias("x"))
-    slots = pages.groupBy("host", F.col("x.slot").alias("slot"), F.col("x.same").alias("same")).agg(F.approx_count_distinct("mark", 0.02).alias("n"))
+    slots = pages.groupBy("host", F.col("x.slot").alias("slot"), F.col("x.same").alias("same")).agg(F.count_distinct("mark").alias("n"))
     each = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
     constant_slots = each.where((F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n")))
     return constant_slots.groupBy("host").agg(F.collect_list("slot").alias("template"))

@@ -58,3 +58,12 @@ def test_long_lists_and_deep_trees():
 def test_marks():
     assert html_text.is_marked("post-comments") and html_text.is_marked("box ad") and html_text.is_marked("sidebar_left")
     assert not html_text.is_marked("has-sidebar content") and not html_text.is_marked("header-image address download")
+
+
+def test_pages_of_a_slot_are_counted_exactly(spark):
+    # slot k has its text in exactly nine tenths of the pages, slot 10 + k in one page less
+    leaf = "struct<text:string,path:string,kind:int,prose:boolean,slot:int,same:boolean>"
+    rows = [("h", [(f"{i} {k}", "", 0, False, k, (i + k) % 10 > 0 and (k < 10 or i != k + 1)) for k in range(20)]) for i in range(4000)]
+    found = spark.createDataFrame(rows, f"host string, leaves array<{leaf}>")
+    got = html_text.templates(found).collect()
+    assert [sorted(r.template) for r in got] == [list(range(10))]
