@@ -31,7 +31,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import fresh_path, written
-from demandlens.llm.tokens import default_path, encoded_batches
+from demandlens.llm.tokens import default_path, encoded_batches, vocabulary_size
 
-MAGIC, BLOCK, VOCABULARY, END_ID, FILE_IDS = b"TBP1", 4096, 49408, 2, 2_000_000
+MAGIC, BLOCK, END_ID, FILE_IDS = b"TBP1", 4096, 2, 2_000_000
 FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 HEAD, HEAD_SIZE = "<4sBIQI", struct.calcsize("<4sBIQI")  # magic, bits, ids of a block, ids, documents
 
@@ -26,7 +26,13 @@ def width(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """ids one after the other, lowest bit first; eight ids take bits bytes."""
+    """ids one after the other, lowest bit first; eight ids take bits bytes. Raises if an id needs more bits."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit into {bits} bits")
+    if bits in (8, 16, 32):  # whole machine words
+        out = np.zeros(-(-len(ids) // 8) * 8, f"<u{bits // 8}")
+        out[: len(ids)] = ids
+        return out.tobytes()
     lanes = np.zeros((-(-len(ids) // 8), 8), np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(lanes), bits), np.uint8)
@@ -41,6 +47,8 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack_bits(data: bytes, bits: int, count: int) -> np.ndarray:
     """The first count ids of what pack_bits made, as unsigned 32-bit integers."""
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", count).astype(np.uint32)
     raw = np.frombuffer(data, np.uint8).reshape(-1, bits).astype(np.uint64)
     out = np.zeros((len(raw), 8), np.uint64)
     for j in range(8):
@@ -52,11 +60,13 @@ def unpack_bits(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 def to_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
-    """One file: header, documents (has an id, id, ids), block offsets, blocks."""
-    blocks = [pack_bits(ids[k : k + block], bits) for k in range(0, len(ids), block)]
+    """One file: header, documents (has an id, id, ids), block offsets, blocks. A block has a multiple of eight ids, so it ends on a whole byte."""
+    if block % 8:
+        raise ValueError("a block must hold a multiple of eight ids")
+    data, blocks = pack_bits(ids, bits), -(-len(ids) // block)
     table = b"".join(struct.pack("<?qQ", d is not None, d or 0, n) for d, n in zip(doc_ids, lengths.tolist(), strict=True))
-    offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype("<u8") + HEAD_SIZE + len(table) + 8 * (len(blocks) + 1)
-    return b"".join((struct.pack(HEAD, MAGIC, bits, block, len(ids), len(doc_ids)), table, offsets.astype("<u8").tobytes(), *blocks))
+    offsets = np.minimum(np.arange(blocks + 1) * (block // 8 * bits), len(data)).astype("<u8") + HEAD_SIZE + len(table) + 8 * (blocks + 1)
+    return b"".join((struct.pack(HEAD, MAGIC, bits, block, len(ids), len(doc_ids)), table, offsets.astype("<u8").tobytes(), data))
 
 
 class TokenFile:
@@ -77,19 +87,23 @@ class TokenFile:
         if stop <= start:
             return np.zeros(0, np.uint32)
         a, b = start // self.block, (stop - 1) // self.block
-        parts = [unpack_bits(self.data[int(self.offsets[k]) : int(self.offsets[k + 1])], self.bits, min(self.block, self.n_ids - k * self.block)) for k in range(a, b + 1)]
-        return np.concatenate(parts)[start - a * self.block : stop - a * self.block]
+        first, last = a * self.block, min(self.n_ids, (b + 1) * self.block)
+        # full blocks end on whole bytes, so that blocks in a row unpack as one
+        return unpack_bits(self.data[int(self.offsets[a]) : int(self.offsets[b + 1])], self.bits, last - first)[start - first : stop - first]
 
 
-def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, vocabulary: int = VOCABULARY, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
-    """Writes docs in ascending id order (nulls first) to files of about file_ids ids under folder, which all executors share.
+def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, vocabulary: int | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes docs in ascending order of id (nulls first) and text to files of about file_ids ids under folder, which all executors share.
 
+    Ids take the least bits that hold every id of the tokenizer's vocabulary, or of the given one; a larger id raises.
     Returns the list of files in order: part, seq, file, n_docs, n_ids. A task that runs twice writes files with other names; only those in
     the list count.
     """
-    bits, tokenizer = width(vocabulary), path or default_path()
+    tokenizer = path or default_path()
+    bits = width(max(vocabulary or vocabulary_size(tokenizer), end_id + 1))
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = frame.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    frame = frame.withColumn("mark", F.xxhash64("text"))  # parts rows with one id and gives them an order
+    ordered = frame.repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
 
     def run(batches):
         from pyarrow import fs
@@ -144,8 +158,8 @@ def read(folder: str, files: DataFrame) -> DataFrame:
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Writes docs as token files in the shared folder and reads them back: doc_id, start, n_tokens, ids.
 
-    Null and empty texts have the end id alone. Rows with a null id come first; repeated ids follow one another in any order, each with
-    its own place. An empty table gives no rows; other columns are ignored.
+    Null and empty texts have the end id alone. Rows with a null id come first; repeated ids follow one another in the order of a hash of
+    their texts, each with its own place. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")

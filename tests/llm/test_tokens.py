@@ -98,6 +98,33 @@ def test_plan_uses_every_length():
     room = 4096 * sum(times for _, times in found)
     assert sum(s * n for s, n in histogram.items()) / room > 0.99
     assert packing.plan({}) == []
+    solved = sum(sum(s * n for s, n in pattern.items()) * times for pattern, times in packing.solved(histogram))
+    assert solved / sum(s * n for s, n in histogram.items()) > 0.8  # most of the room is placed by least squares
+
+
+def test_repeats_are_the_exact_least_squares():
+    rng = np.random.default_rng(6)
+    for size in (1, 5, 12, 40):
+        sizes = sorted({int(s) for s in rng.integers(1, 40, size)} | {20, 40})
+        histogram = {s: int(n) for s, n in zip(sizes, rng.integers(1, 200, len(sizes)), strict=True)}
+        combos = packing.combinations(sizes, 40)
+        assert all(sum(s * n for s, n in c.items()) == 40 for c in combos) and {40: 1} in combos and {20: 2} in combos
+        x = packing.repeats(histogram, combos)
+        a = np.array([[c.get(s, 0) for c in combos] for s in sizes], float)
+        slope = a.T @ (np.array([histogram[s] for s in sizes]) - a @ x)
+        assert (x >= 0).all() and (slope < 1e-3).all() and np.abs(slope * x).max() < 1e-2  # what makes a solution the least one
+
+
+def test_ids_beyond_the_width_are_refused():
+    with pytest.raises(ValueError, match="70000"):
+        token_bits.pack_bits(np.array([1, 70000]), 16)
+    assert tokens.vocabulary_size(tokens.default_path()) == 49408
+
+
+def test_repeated_ids_have_one_order(spark, reference):
+    docs = [(7, "one text"), (7, "another longer text"), (7, None), (None, "b b b"), (None, "a")]
+    found = [sorted((r.start, r.n_tokens, r.doc_id) for r in token_bits.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()) for rows, n in ((docs, 1), (docs[::-1], 4))]
+    assert found[0] == found[1] and len(found[0]) == 5
 
 
 def test_odd_rows(odd_documents, no_documents):
