@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandlens.llm.common import written
 
-#: Share of a host's aligned pages in which a slot has the reference page's text for it to be template, and least pages to tell by.
-CONSTANT, LEAST_PAGES = 0.9, 5
-#: Cells of one alignment table; longer child lists are aligned in order instead. Bytes of reference trees that are broadcast.
-CELLS, BROADCAST_BYTES = 250_000, 64_000_000
+#: Share of a host's aligned pages in which a slot has the reference page's text for it to be template, least pages to tell by, pages of a host that others are aligned with.
+CONSTANT, LEAST_PAGES, REFERENCES = 0.9, 5, 3
+#: Share of a main element's varying text that its articles must hold to stand for it, and of a page's that both must hold to stand for the page.
+ARTICLE_SHARE, MAIN_SHARE = 0.5, 0.25
+#: Bytes of reference pages and of templates that are broadcast; larger ones are joined.
+BROADCAST_BYTES = 64_000_000
 
+DIGITS = re.compile(r"\d+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
 LABEL = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,41 +35,59 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption
 CLOSES_P = BLOCKS - {"html", "body", "head", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"})}
 #: Words of class names, ids and roles that mark what is not the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter\w*|subscri\w*|signup|popup\w*|modal\w*|overlay|comments?|commentlist|respond|replies|disqus|discussion|sidebar\w*|widgets?|related|recommend\w*|shar(?:e|ing)|social\w*|breadcrumbs?|menus?|nav|navbar\w*|navigation|footer|masthead|copyright|login|toolbar|pagination|pager|skip\w*|contentinfo|complementary|dialog|hidden|sr-only|visually-hidden)(?=$|[\s_-])",
+MARK = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|newsletter\w*|subscri\w*|signup|popup\w*|modal\w*|overlay|comments?|commentlist|respond|replies|disqus|discussion|sidebar\w*|widgets?|related|recommend\w*|shar(?:e|ing)|social\w*|breadcrumbs?|menus?|nav|navbar\w*|navigation|footer|masthead|copyright|login|toolbar|pagination|pager|skip\w*|contentinfo|complementary|dialog|hidden|sr|visually",
     re.I,
 )
-
-
+#: Words that say where or what shape a box is, so that a name of these and a mark is still a mark.
+BOXES = frozenset(
+    "a all also and area article articles bar block body bottom box boxes btn button buttons card cards center col column container content entry feed form global group header heading holder icons image info inline inner item items left links list main message middle module more news only outer page pages panel post posts primary read reading region right row secondary section site slot small sticky stories story strip tab text the title to top topics unit up view wrap wrapper you".split()
+)
 #: Names that tell of the page's layout, such as has-sidebar, and mark nothing themselves.
 LAYOUT = re.compile(r"(?:no|has|have|with|without)[_-]", re.I)
+PARTS = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])")
 
 
-def is_marked(names: str) -> bool:
-    """Whether a class, id or role has a name of what is not the article."""
-    return any(MARKED.search(n) and not LAYOUT.match(n) for n in names.split())
+def mark_of(names: str, article: bool = False) -> str:
+    """How a class, id or role marks its element: "!" surely, a name that may, or "" not at all.
+
+    A name marks surely if it has a mark and otherwise only words for boxes; beside other words, as in share-price-report, it may. An
+    article is marked only by a name that is a mark alone.
+    """
+    found = ""
+    for name in names.split():
+        if LAYOUT.match(name):
+            continue
+        parts = [x for x in PARTS.split(name) if x]
+        marks = [x for x in parts if MARK.fullmatch(x)]
+        if not marks or article and len(parts) > 1:
+            continue
+        if len(marks) + sum(x.lower() in BOXES or x[0].isdigit() for x in parts if x not in marks) == len(parts):
+            return "!"
+        found = found or name.lower()
+    return found
 
 
 class Node:
     """A block element, or a run of text in one that has other blocks too (label #text)."""
 
-    __slots__ = ("label", "tag", "off", "main", "children", "text")
+    __slots__ = ("label", "tag", "off", "mark", "main", "children", "text", "shape")
 
-    def __init__(self, tag: str, label: str, off: bool, main: int):
-        self.tag, self.label, self.off, self.main = tag, label, off, main
+    def __init__(self, tag: str, label: str, off: bool, mark: str, main: int):
+        self.tag, self.label, self.off, self.mark, self.main = tag, label, off, mark, main
         self.children: list[Node] = []
-        self.text = ""
+        self.text, self.shape = "", -1
 
 
 def parse(page: str | None) -> Node:
     """The tree of block elements of a page. Inline elements belong to the text around them; white space is one space.
 
-    off: inside something that is never content. main: 2 inside an article, 1 inside a main element, else 0.
+    off: inside something that is never content. mark: "!" inside something surely marked, else the name that may mark what it is in.
+    main: 2 inside an article, 1 inside a main element, else 0. Digits in labels count alike, so that numbered ids do not part pages.
     """
-    root = Node("root", "root", False, 0)
+    root = Node("root", "root", False, "", 0)
     stack, texts = [root], []
     page = page or ""
-    dropped_inline = 0
 
     def flush():
         if texts:
@@ -72,7 +95,7 @@ def parse(page: str | None) -> Node:
             texts.clear()
             if text:
                 top = stack[-1]
-                leaf = Node("#text", "#text", top.off, top.main)
+                leaf = Node("#text", "#text", top.off, top.mark, top.main)
                 leaf.text = text
                 top.children.append(leaf)
 
@@ -131,20 +154,21 @@ def parse(page: str | None) -> Node:
                 close(lowest)
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
-        top, label, marked, role = stack[-1], tag, False, ""
+        top, label, mark, hidden, role = stack[-1], tag, "", False, ""
         if m.group(3):
             for name, a, b, c in LABEL.findall(m.group(3)):
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id", "role"):
-                    label += f".{value.strip().lower()}"
-                    marked = marked or (tag not in ("html", "body", "main") and is_marked(value))
+                    label += f".{DIGITS.sub('0', value.strip().lower())}"
+                    if mark != "!" and tag not in ("html", "body", "main"):
+                        mark = mark_of(value, tag == "article") or mark
                     role = value.strip().lower() if name == "role" else role
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    marked = True
+                    hidden = True
         main = 2 if tag == "article" else max(top.main, 1 if tag == "main" or role == "main" else 0)
         # a header counts as the site's unless it stands inside the article
-        off = top.off or marked or tag in DROPPED or tag == "header" and not top.main or role in ("navigation", "banner", "search", "form", "alert")
-        node = Node(tag, label, off, main)
+        off = top.off or hidden or tag in DROPPED or tag == "header" and not top.main or role in ("navigation", "banner", "search", "form", "alert")
+        node = Node(tag, label, off, "!" if "!" in (top.mark, mark) else top.mark or mark, main)
         top.children.append(node)
         if not m.group(3).endswith("/") or tag not in ("svg", "math", "object"):
             stack.append(node)
@@ -167,72 +191,174 @@ def _simple(node: Node) -> Node:
     return node
 
 
-def leaves(tree: Node) -> list[tuple[Node, str]]:
-    """Nodes with text in page order, each with the labels on the way to it."""
-    out, stack = [], [(tree, "")]
+def leaves(tree: Node) -> list[Node]:
+    """Nodes with text in page order."""
+    out, stack = [], [tree]
     while stack:
-        n, path = stack.pop()
-        path = f"{path}/{n.label}"
+        n = stack.pop()
         if n.text:
-            out.append((n, path))
-        stack.extend((c, path) for c in reversed(n.children))
+            out.append(n)
+        stack.extend(reversed(n.children))
     return out
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of nodes with text of a largest match of two trees, by simple tree matching: roots match if their labels do, children in order."""
-    memo: dict[tuple[int, int], int] = {}
+class Shapes:
+    """Numbers for trees of labels, so that equal trees are met once. below: a table whose numbers go on to hold."""
+
+    def __init__(self, below: Shapes | None = None):
+        self.below, self.at = below, {}
+        self.label: list[str] = below.label.copy() if below else []
+        self.kids: list[tuple[int, ...]] = below.kids.copy() if below else []
+        self.size: list[int] = below.size.copy() if below else []
+
+    def name(self, tree: Node) -> None:
+        """Sets the shape of every node of a tree."""
+        stack = [(tree, False)]
+        while stack:
+            n, done = stack.pop()
+            if not done:
+                stack.append((n, True))
+                stack.extend((c, False) for c in n.children)
+                continue
+            key = (n.label, tuple(c.shape for c in n.children))
+            shape = self.below.at.get(key) if self.below else None
+            if shape is None:
+                shape = self.at.get(key)
+            if shape is None:
+                shape = self.at[key] = len(self.label)
+                self.label.append(key[0])
+                self.kids.append(key[1])
+                self.size.append(1 + sum(self.size[k] for k in key[1]))
+            n.shape = shape
+
+
+class Matcher:
+    """Simple tree matching: roots match if their labels do, and children match in order so that most nodes do.
+
+    What two trees can match depends on their shapes alone, so each pair of shapes is weighed once. Equal children at either end of two
+    lists are matched with each other, which loses nothing, since no child can match more than all of its own nodes. What is left takes
+    a table of one row per child; only every so many rows are kept, and the rows between are made again on the way back.
+    """
 
-    def weight(x: Node, y: Node) -> int:
-        if x.label != y.label:
+    def __init__(self, shapes: Shapes):
+        self.shapes, self.known = shapes, {}
+
+    @staticmethod
+    def ends(xs: list[int] | tuple[int, ...], ys: list[int] | tuple[int, ...]) -> tuple[int, int]:
+        """How many equal shapes two lists start and end with."""
+        most, head, tail = min(len(xs), len(ys)), 0, 0
+        while head < most and xs[head] == ys[head]:
+            head += 1
+        while tail < most - head and xs[-1 - tail] == ys[-1 - tail]:
+            tail += 1
+        return head, tail
+
+    def _open(self, xs, ys) -> list[tuple[int, int]]:
+        """Pairs of shapes in two lists that have to be weighed first."""
+        label, kids, by = self.shapes.label, self.shapes.kids, {}
+        for y in set(ys):
+            if kids[y]:
+                by.setdefault(label[y], []).append(y)
+        return [(x, y) for x in set(xs) if kids[x] for y in by.get(label[x], ()) if x != y and (x, y) not in self.known]
+
+    def weight(self, x: int, y: int) -> int:
+        """Nodes that two shapes can match; all pairs of their children's shapes are known."""
+        if self.shapes.label[x] != self.shapes.label[y]:
             return 0
-        if not x.children or not y.children:
-            return 1
-        key = (id(x), id(y))
-        if key not in memo:
-            memo[key] = 1 + (table(x.children, y.children)[-1][-1] if len(x.children) * len(y.children) <= CELLS else 1)
-        return memo[key]
-
-    def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
+        if x == y:
+            return self.shapes.size[x]
+        return self.known[x, y] if self.shapes.kids[x] and self.shapes.kids[y] else 1
+
+    def weigh(self, pairs: list[tuple[int, int]]) -> None:
+        """Weighs pairs of shapes, those below them first."""
+        kids, size, todo = self.shapes.kids, self.shapes.size, list(pairs)
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.known:
+                todo.pop()
+                continue
+            xs, ys = kids[x], kids[y]
+            head, tail = self.ends(xs, ys)
+            inner, other = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+            if more := self._open(inner, other):
+                todo.extend(more)
+                continue
+            self.known[x, y] = 1 + sum(size[k] for k in xs[:head]) + sum(size[k] for k in xs[len(xs) - tail :]) + (int(self._last(inner, other)[-1]) if inner and other else 0)
+            todo.pop()
+
+    def _steps(self, xs, ys):
+        """For a child shape the places in ys that it can match and what each would add."""
+        label, by, made = self.shapes.label, {}, {}
+        for j, y in enumerate(ys):
+            by.setdefault(label[y], []).append(j)
+
+        def step(x: int) -> tuple[np.ndarray, np.ndarray]:
+            if x not in made:
+                places = by.get(label[x], [])
+                made[x] = np.array(places, np.int64), np.array([self.weight(x, ys[j]) for j in places], np.int64)
+            return made[x]
+
+        return step
+
+    @staticmethod
+    def _next(row: np.ndarray, places: np.ndarray, adds: np.ndarray) -> np.ndarray:
+        out = row.copy()
+        out[places + 1] = np.maximum(out[places + 1], row[places] + adds)
+        return np.maximum.accumulate(out, out=out)
+
+    def _last(self, xs, ys) -> np.ndarray:
+        step, row = self._steps(xs, ys), np.zeros(len(ys) + 1, np.int64)
         for x in xs:
-            above, now, left = rows[-1], [0], 0
-            for j, y in enumerate(ys):
-                w = above[j]
-                if x.label == y.label:
-                    w += 1 if not (x.children and y.children) else weight(x, y)
-                left = max(left, above[j + 1], w)
-                now.append(left)
-            rows.append(now)
-        return rows
-
-    pairs, todo = [], [(a, b)]
+            row = self._next(row, *step(x))
+        return row
+
+    def pairs(self, xs, ys) -> list[tuple[int, int]]:
+        """Places in two lists of shapes that match."""
+        head, tail = self.ends(xs, ys)
+        out = [(k, k) for k in range(head)] + [(len(xs) - 1 - k, len(ys) - 1 - k) for k in range(tail)]
+        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+        if not xs or not ys:
+            return out
+        self.weigh(self._open(xs, ys))
+        step, every = self._steps(xs, ys), int(len(xs) ** 0.5) + 1
+        row, kept = np.zeros(len(ys) + 1, np.int64), []
+        for i, x in enumerate(xs):
+            if i % every == 0:
+                kept.append(row)
+            row = self._next(row, *step(x))
+        j = len(ys)
+        for start in range(len(kept) - 1, -1, -1):
+            rows = [kept[start]]
+            for x in xs[start * every : (start + 1) * every]:
+                rows.append(self._next(rows[-1], *step(x)))
+            i = len(rows) - 1
+            while i and j:
+                if rows[i][j] == rows[i - 1][j]:
+                    i -= 1
+                elif rows[i][j] == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((head + start * every + i, head + j))
+        return out
+
+
+def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of nodes with text of a largest match of two trees. shapes: the table of b's shapes, if it was named before."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.name(b)
+    own = Shapes(shapes)
+    own.name(a)
+    matcher, pairs, todo = Matcher(own), [], [(a, b)]
     while todo:
         x, y = todo.pop()
         if x.label != y.label:
             continue
         if x.text and y.text:
             pairs.append((x, y))
-        xs, ys = x.children, y.children
-        if not xs or not ys:
-            continue
-        if len(xs) * len(ys) > CELLS:  # in order: each child with the next one of its label
-            j = 0
-            for c in xs:
-                k = next((k for k in range(j, min(len(ys), j + 50)) if ys[k].label == c.label), None)
-                if k is not None:
-                    todo.append((c, ys[k]))
-                    j = k + 1
-            continue
-        rows, i, j = table(xs, ys), len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((xs[i], ys[j]))
+        if x.children and y.children:
+            todo.extend((x.children[i], y.children[j]) for i, j in matcher.pairs([c.shape for c in x.children], [c.shape for c in y.children]))
     return pairs
 
 
@@ -241,83 +367,124 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-LEAVES = "array<struct<text:string,path:string,kind:int,prose:boolean,slot:int,same:boolean>>"
+LEAVES = "array<struct<text:string,kind:int,prose:boolean,mark:string,slots:array<struct<slot:bigint,same:boolean>>>>"
+#: A slot's number is the place of its text in the reference page, with the number of that page above these bits.
+SLOT_BITS = 40
 
 
-def described(page: str | None, reference: tuple[Node, dict[int, int]] | None) -> list[dict]:
-    """A page's texts in order: text, path, kind (-1 never content, else 2, 1 or 0 as in parse), prose, slot of the reference page or -1, whether it has the same text.
+class Reference:
+    """Pages of a host that others are aligned with, and the numbers of their texts."""
 
-    reference: the tree of the host's reference page and the number of each of its nodes with text.
-    """
-    tree = parse(page)
-    found = leaves(tree)
-    slots: dict[int, tuple[int, bool]] = {}
-    if reference:
-        other, numbers = reference
-        slots = {id(x): (numbers[id(y)], x.text == y.text) for x, y in align(tree, other)}
-    return [{"text": n.text, "path": path, "kind": -1 if n.off else n.main, "prose": n.tag in PROSE, "slot": slots.get(id(n), (-1, False))[0], "same": slots.get(id(n), (-1, False))[1]} for n, path in found]
+    def __init__(self, pages: list[str]):
+        self.shapes, self.trees = Shapes(), [parse(p) for p in pages]
+        for t in self.trees:
+            self.shapes.name(t)
+        self.slots = [{id(n): (r << SLOT_BITS) + k for k, n in enumerate(leaves(t))} for r, t in enumerate(self.trees)]
 
 
-def aligned(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(page_id, url, host, leaves): the texts of each page, aligned with those of the host's reference page.
-
-    The reference is the page of the host with the least hash of its content, so it does not depend on the order of rows.
+def described(page: str | None, reference: Reference | None) -> tuple[list[Node], dict[int, list[tuple[int, bool]]]]:
+    """A page's nodes with text in order, and for each (by id) its slots in the host's reference pages and whether it has their text."""
+    tree = parse(page)
+    slots: dict[int, list[tuple[int, bool]]] = {}
+    for other, numbers in zip(reference.trees, reference.slots, strict=True) if reference else ():
+        for x, y in align(tree, other, reference.shapes):
+            slots.setdefault(id(x), []).append((numbers[id(y)], x.text == y.text))
+    return leaves(tree), slots
+
+
+def _leaf_array(found: list[tuple[list[Node], dict[int, list[tuple[int, bool]]]]]) -> pa.Array:
+    nodes = [n for ns, _ in found for n in ns]
+    slots = [s for ns, at in found for n in ns for s in (at.get(id(n), ()),)]
+    flat = [x for s in slots for x in s]
+    inner = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum([len(s) for s in slots]))), pa.int32()), pa.StructArray.from_arrays([pa.array([x for x, _ in flat], pa.int64()), pa.array([y for _, y in flat], pa.bool_())], ["slot", "same"])
+    )
+    columns = [
+        pa.array([n.text for n in nodes], pa.string()), pa.array([-1 if n.off else n.main for n in nodes], pa.int32()), pa.array([n.tag in PROSE for n in nodes], pa.bool_()), pa.array([n.mark for n in nodes], pa.string()), inner,
+    ]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(ns) for ns, _ in found]))), pa.int32()), pa.StructArray.from_arrays(columns, ["text", "kind", "prose", "mark", "slots"]))
+
+
+def aligned(pages: DataFrame, id_col: str, url_col: str, html_col: str, references: int = REFERENCES) -> DataFrame:
+    """(page_id, url, host, leaves): the texts of each page, aligned with those of the host's reference pages.
+
+    Pages fall into as many classes by a hash of their content as there are references; the least hash of each class is one, so the
+    choice does not depend on the order of rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host(F.col("url")))
-    marks = rows.where("html is not null").groupBy("host").agg(F.min(F.xxhash64("html")).alias("mark"))
-    marks = written(marks, "marks")
-    references = written(rows.join(marks, "host").where(F.xxhash64("html") == F.col("mark")).groupBy("host").agg(F.max("html").alias("reference")), "references")
-    size = references.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0)).alias("n")).first()["n"]
-    joined = rows.join(F.broadcast(references) if size <= BROADCAST_BYTES else references, "host", "left").select("page_id", "url", "host", "html", "reference")
-    kinds = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string()), ("kind", pa.int32()), ("prose", pa.bool_()), ("slot", pa.int32()), ("same", pa.bool_())]))
+    marked = rows.where("html is not null").withColumn("mark", F.xxhash64("html")).withColumn("class", F.pmod("mark", F.lit(references)))
+    marks = written(marked.groupBy("host", "class").agg(F.min("mark").alias("least")), "marks")
+    each = marked.join(marks, ["host", "class"]).where("mark = least").groupBy("host", "class").agg(F.max("html").alias("html"))
+    chosen = written(each.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "html"))), lambda x: x["html"]).alias("references")), "references")
+    size = chosen.agg(F.coalesce(F.sum(F.octet_length(F.array_join("references", ""))), F.lit(0)).alias("n")).first()["n"]
+    joined = rows.join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, "host", "left").select("page_id", "url", "host", "html", "references")
 
     def run(batches):
-        trees: dict[str, tuple[Node, dict[int, int]]] = {}  # of the hosts met last
+        held: dict[str, Reference] = {}  # of the hosts met last
 
-        def tree(host: str, reference: str | None):
-            if reference is None:
+        def reference(host: str, pages: list[str] | None) -> Reference | None:
+            if pages is None:
                 return None
-            if host not in trees:
-                if len(trees) >= 64:
-                    trees.pop(next(iter(trees)))
-                root = parse(reference)
-                trees[host] = root, {id(n): k for k, (n, _) in enumerate(leaves(root))}
-            return trees[host]
+            if host not in held:
+                if len(held) >= 64:
+                    held.pop(next(iter(held)))
+                held[host] = Reference(pages)
+            return held[host]
 
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                found = [described(page.as_py(), tree(at.as_py(), ref.as_py())) for at, page, ref in zip(part.column(2), part.column(3), part.column(4), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(found, kinds)], ["page_id", "url", "host", "leaves"])
+                found = [described(page.as_py(), held.get(at) or reference(at, ref.as_py())) for at, page, ref in zip(part.column(2).to_pylist(), part.column(3), part.column(4), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _leaf_array(found)], ["page_id", "url", "host", "leaves"])
 
     return written(joined.mapInArrow(run, f"page_id long, url string, host string, leaves {LEAVES}"), "leaves")
 
 
 def templates(found: DataFrame, constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, template): slots of the host's reference page that have its text in most of the pages aligned there, copies of one page counted once."""
-    pages = found.select("host", F.xxhash64(F.col("leaves.text")).alias("mark"), F.explode(F.filter("leaves", lambda x: x["slot"] >= 0)).alias("x"))
-    slots = pages.groupBy("host", F.col("x.slot").alias("slot"), F.col("x.same").alias("same")).agg(F.count_distinct("mark").alias("n"))
+    """(host, template, furniture): slots that have the reference page's text in most pages aligned there, and names that may mark and
+    stand on at least least_pages pages. Copies of one page count once."""
+    pages = found.select("host", F.xxhash64(F.col("leaves.text")).alias("page"), "leaves")
+    slots = pages.select("host", "page", F.explode(F.flatten(F.col("leaves.slots"))).alias("x")).groupBy("host", F.col("x.slot").alias("slot"), F.col("x.same").alias("same")).agg(F.count_distinct("page").alias("n"))
     each = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
-    constant_slots = each.where((F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n")))
-    return constant_slots.groupBy("host").agg(F.collect_list("slot").alias("template"))
+    constant_slots = each.where((F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
+    names = pages.select("host", "page", F.explode(F.array_distinct(F.transform(F.filter("leaves", lambda x: ~x["mark"].isin("", "!")), lambda x: x["mark"]))).alias("name"))
+    furniture = names.groupBy("host", "name").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least_pages).groupBy("host").agg(F.collect_list("name").alias("furniture"))
+    return constant_slots.join(furniture, "host", "full")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Main text of every row of pages: page_id, url, text, n_chars.
 
-    Blocks marked as navigation, footers, forms, comments and the like never count. Of the rest, slots that are constant over the host
-    are template and dropped, except for prose inside an article or main element; if the page has such an element, only what is inside
-    it counts, an article before a main element. A page whose remaining slots are all template keeps them. Null and empty pages have an
-    empty text. Rows with null ids or urls and repeated rows stay; an empty table gives no rows; other columns are ignored.
+    Navigation, footers, forms, scripts and hidden elements never count. Of the rest, texts that are constant in their slot of the host
+    are template and dropped; what varies is content. Prose inside an article or main element is kept though constant where most of it
+    is, as the page is then a near copy of the reference and not an article in its template. Among varying texts the elements' marks
+    decide: what is surely marked as comments, adverts and the like goes, and outside of articles also what a name may mark if the name
+    recurs on the host; articles stand for the main element, and both for the page, if they hold enough of its varying text. A page whose
+    texts are all template or all marked keeps them. Null and empty pages have an empty text. Rows with null ids or urls and repeated
+    rows stay; an empty table gives no rows; other columns are ignored.
     """
     found = aligned(pages, id_col, url_col, html_col)
     listed = written(templates(found, constant, least_pages), "templates")
-    size = listed.agg(F.coalesce(F.sum(F.octet_length("host") + 4 * F.size("template") + 32), F.lit(0)).alias("n")).first()["n"]
-    joined = found.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<int>")))
-    able = joined.withColumn("able", F.filter("leaves", lambda x: x["kind"] >= 0))
-    region = F.coalesce(F.array_max(F.transform("able", lambda x: x["kind"])), F.lit(0))
-    inside = able.withColumn("inside", F.filter("able", lambda x: x["kind"] == region))
-    content = F.filter("inside", lambda x: ((x["kind"] > 0) & x["prose"]) | ~F.array_contains("template", x["slot"]))
-    kept = inside.withColumn("content", content).withColumn("content", F.when(F.size("content") > 0, F.col("content")).otherwise(F.col("inside")))
-    text = F.array_join(F.transform("content", lambda x: x["text"]), "\n")
-    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    sizes = F.octet_length("host") + 8 * F.size(F.coalesce("template", F.array())) + F.octet_length(F.array_join(F.coalesce("furniture", F.array().cast("array<string>")), ",")) + 32
+    size = listed.agg(F.coalesce(F.sum(sizes), F.lit(0)).alias("n")).first()["n"]
+    none = F.array().cast("array<string>")
+    joined = found.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "host", "left").withColumns({"template": F.coalesce("template", F.array().cast("array<bigint>")), "furniture": F.coalesce("furniture", none)})
+
+    def chars(leaves: str, which: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.filter(leaves, which), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+
+    def or_else(a: str, b: str) -> Column:
+        return F.when(F.size(a) > 0, F.col(a)).otherwise(F.col(b))
+
+    df = joined.withColumn("able", F.filter("leaves", lambda x: x["kind"] >= 0))
+    df = df.withColumn("plain", F.filter("able", lambda x: (x["mark"] == "") | ((x["mark"] != "!") & ((x["kind"] > 0) | ~F.array_contains("furniture", x["mark"])))))
+    df = df.withColumn("plain", or_else("plain", "able"))
+    constant_leaf = F.transform("plain", lambda x: F.struct(x["text"].alias("text"), x["kind"].alias("kind"), ((x["kind"] > 0) & x["prose"]).alias("told"), F.exists(x["slots"], lambda s: s["same"] & F.array_contains("template", s["slot"])).alias("fixed")))
+    df = df.withColumn("plain", constant_leaf)
+    df = df.withColumn("copy", 2 * chars("plain", lambda x: x["told"] & x["fixed"]) > chars("plain", lambda x: x["told"]))
+    df = df.withColumn("varying", F.filter("plain", lambda x: ~x["fixed"] | (x["told"] & F.col("copy")))).withColumn("varying", or_else("varying", "plain"))
+    whole, inside, article = chars("varying", lambda x: F.lit(True)), chars("varying", lambda x: x["kind"] > 0), chars("varying", lambda x: x["kind"] == 2)
+    least = F.when((inside == 0) | (inside < MAIN_SHARE * whole), 0).when((article == 0) | (article < ARTICLE_SHARE * inside), 1).otherwise(2)
+    df = df.withColumn("least", least)
+    text = F.array_join(F.transform(F.filter("varying", lambda x: x["kind"] >= F.col("least")), lambda x: x["text"]), "\n")
+    return df.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
