@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,26 +13,54 @@ from demandlens.llm.common import BLANKS, words, written
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Share of each group that the estimate rests on, concentration steps, least rows of a group of its own.
-CORE, STEPS, LEAST_ROWS = 0.75, 4, 60
+#: Share of each group that the raw estimate rests on, share that a normal group keeps in the reweighted one.
+CORE, REWEIGHT = 0.75, 0.975
+#: Starts of a group, steps after which the best of them go on, how many go on.
+STARTS, FIRST_STEPS, FINALISTS = 8, 2, 2
+#: Rows that the whole weighs against a group's own: a group of as many rows is half its own estimate, half that of all rows.
+PRIOR_ROWS = 60
 #: Squared distance beyond which a row is rejected: the 0.999 point of chi squared with four degrees of freedom.
 CUTOFF = 18.47
-#: Standard deviations added to those of each transformed statistic, so that one that hardly varies does not reject on its own.
-FLOORS = (0.08, 0.5, 0.5, 0.5)
+#: Standard deviations added to those of each transformed statistic, as most texts have none at all of three of them and their core would be
+#: flat. Each alone can reach the cutoff within what the base limits allow.
+FLOORS = (0.08, 0.5, 0.5, 0.8)
 STATS = ("x0", "x1", "x2", "x3")
-ESTIMATE = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
-#: Width of the bins in which medians are counted, and of those of the logarithm of a distance.
-BIN, LOG_BIN = 0.02, 0.05
-#: Groups whose estimates (about 150 bytes each) are broadcast.
-MOST_GROUPS = 100_000
-#: Bits of a sort key that hold a word's place; the rest hold its window's hash.
-PLACE_BITS = 24
+ROOT = [(i, j) for i in range(4) for j in range(i + 1)]
+MEANS, COVARIANCE, CHOLESKY = [f"m{i}" for i in range(4)], [f"c{i}{j}" for i, j in ROOT], [f"l{i}{j}" for i, j in ROOT]
+#: Width of the bins of the logarithm of a distance in which a group's nearest share is counted.
+LOG_BIN = 0.01
+#: Estimates (about 300 bytes each) that are broadcast; more are joined.
+MOST_ESTIMATES = 100_000
+#: Bits of a sort key that hold a word's place, enough for every array; the rest hold its window's hash.
+PLACE_BITS = 31
+
+
+def chi_squared(x: float, degrees: int) -> float:
+    """The distribution function of chi squared for an even number of degrees of freedom."""
+    term = total = 1.0
+    for k in range(1, degrees // 2):
+        term *= x / 2 / k
+        total += term
+    return 1 - math.exp(-x / 2) * total
+
+
+def chi_squared_point(q: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared(middle, degrees) < q else (low, middle)
+    return high
+
+
+def consistency(q: float, degrees: int = len(STATS)) -> float:
+    """What the covariance of the nearest share q of a normal group is multiplied by to be that of the whole."""
+    return q / chi_squared(chi_squared_point(q, degrees), degrees + 2)
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, all long and about whole texts; null has no words.
 
-    Three-word windows are compared by 64-bit hashes: sorting keys of 40 bits of hash and the place finds all windows that may repeat,
+    Three-word windows are compared by 64-bit hashes: sorting keys of 33 bits of hash and the place finds all windows that may repeat,
     and sorting those by their full hash leaves the ones that do, so the work grows with n log n.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -67,89 +98,115 @@ def transformed() -> list[Column]:
         F.log1p(F.col("word_chars") / n).alias("x0"),
         F.log1p(100 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("x1"),
         F.log1p(100 * F.col("n_dup_lines") / n).alias("x2"),
-        F.log1p(10 * F.col("n_repeat_words") / n).alias("x3"),
+        F.log1p(100 * F.col("n_repeat_words") / n).alias("x3"),
     ]
 
 
-def _distance(means: list[str], root: list[list[str]]) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky root."""
+def _distance() -> Column:
+    """Squared Mahalanobis distance of STATS by the columns MEANS and CHOLESKY, by forward substitution."""
     z: list[Column] = []
     for i, x in enumerate(STATS):
-        rest = F.col(x) - F.col(means[i])
+        rest = F.col(x) - F.col(f"m{i}")
         for j in range(i):
-            rest = rest - F.col(root[i][j]) * z[j]
-        z.append(rest / F.col(root[i][i]))
+            rest = rest - F.col(f"l{i}{j}") * z[j]
+        z.append(rest / F.col(f"l{i}{i}"))
     total = F.lit(0.0)
     for v in z:
         total = total + v * v
     return total
 
 
-def _estimates(rows: DataFrame, key: str) -> DataFrame:
-    """Mean and Cholesky root of the floored covariance of each group's rows with inside = true."""
-    p = len(STATS)
-    sums = rows.where("inside").groupBy(key).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i + 1)])
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-            sums = sums.withColumn(f"c{i}{j}", F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else c)
-    for i in range(p):
-        for j in range(i + 1):
-            c = F.col(f"c{i}{j}")
-            for k in range(j):
-                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            sums = sums.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
-    return sums.select(key, *ESTIMATE)
-
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows, mean and covariance of the statistics of each group: n, MEANS, COVARIANCE."""
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(STATS)], *[F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i, j in ROOT])
+    covariance = []
+    for i, j in ROOT:
+        c = F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
+        covariance.append((F.greatest(c, F.lit(0.0)) if i == j else c).alias(f"c{i}{j}"))
+    return sums.select(*keys, "n", *MEANS, *covariance)
 
-def _quantile_bin(df: DataFrame, by: list[str], bin: Column, q: float) -> DataFrame:
-    """(by, bin): the first bin at which a group's counts reach the share q. Counts of bins merge from partial ones and stay small."""
-    counts = df.groupBy(*by, bin.cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    upto, total = F.sum("n").over(W.partitionBy(*by).orderBy("bin")), F.sum("n").over(W.partitionBy(*by))
-    return counts.withColumn("upto", upto).withColumn("total", total).where(F.col("upto") >= q * F.col("total")).groupBy(*by).agg(F.min("bin").alias("bin"), F.max("total").alias("rows"))
 
+def _rooted(estimates: DataFrame, factor: float = 1.0) -> DataFrame:
+    """estimates with CHOLESKY and the logarithm of the determinant (depth) of the covariance times factor, floors added."""
+    wide = estimates.withColumns({f"k{i}{j}": F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in ROOT})
+    for i, j in ROOT:
+        c = F.col(f"k{i}{j}")
+        for k in range(j):
+            c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        wide = wide.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
+    depth = F.lit(0.0)
+    for i in range(len(STATS)):
+        depth = depth + 2 * F.ln(f"l{i}{i}")
+    return wide.withColumn("depth", depth).drop(*[f"k{i}{j}" for i, j in ROOT])
 
-def _distance_of() -> Column:
-    """The distance by the columns of ESTIMATE."""
-    p = len(STATS)
-    return _distance([f"m{i}" for i in range(p)], [[f"l{i}{j}" for j in range(i + 1)] for i in range(p)])
 
+def _starts(rows: DataFrame, key: str, starts: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(key, start) and the moments of five rows each: of every class of a hash of the row and the start, the row with the least hash.
 
-def _log_bin(d2: Column) -> Column:
-    return F.floor(F.ln(d2 + 1e-6) / LOG_BIN)
+    Only least hashes and the rows that have them are shuffled. The second value broadcasts tables of the groups' estimates if these are
+    few, so that rows stay where they are; with more groups it leaves the choice of the join to Spark.
+    """
+    classes = len(STATS) + 1
+    mark = F.xxhash64(*STATS, "start")
+    spread = rows.select(key, *STATS, F.explode(F.sequence(F.lit(1), F.lit(starts))).alias("start")).withColumn("mark", mark).withColumn("class", F.pmod("mark", F.lit(classes)))
+    least = written(spread.groupBy(key, "start", "class").agg(F.min("mark").alias("mark")), "starts")
+    small = F.broadcast if least.count() <= MOST_ESTIMATES else lambda table: table
+    return _moments(spread.join(small(least), [key, "start", "class", "mark"]).groupBy(key, "start", "class").agg(*[F.min(x).alias(x) for x in STATS]), key, "start"), small
 
 
-def robust_estimates(rows: DataFrame, key: str, core: float = CORE, steps: int = STEPS) -> DataFrame:
-    """(key, rows, mean, Cholesky root): minimum-covariance-determinant estimates of groups, by concentration steps from their medians.
+def _step(rows: DataFrame, state: DataFrame, key: str, core: float, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """state after a concentration step: moments of the nearest share of each group's rows, where they have a smaller determinant.
 
-    Each step estimates from the nearest share of a group's rows and takes the nearest again; the share is met up to one bin of the
-    distances' logarithm. A step shuffles sums and bin counts of groups only, never the rows, so a large group is shared by all tasks.
+    The share is met up to one bin. Rows stay where they are; sums and counts of bins are what is shuffled. moved tells what changed.
     """
-    stats = rows.select(key, F.posexplode(F.array(*STATS)).alias("i", "x"))
-    medians = _quantile_bin(stats, [key, "i"], F.floor(F.col("x") / BIN), 0.5)
-    start = medians.groupBy(key).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("i") == i, (F.col("bin") + 0.5) * BIN)).alias(f"med{i}") for i in range(len(STATS))])
-    d2 = F.lit(0.0)
-    for i, x in enumerate(STATS):
-        d2 = d2 + F.pow((F.col(x) - F.col(f"med{i}")) / (2 * FLOORS[i]), 2)
-    state = written(start, "medians")
-    sizes = state.select(key, "rows")
-    # with a bounded number of groups their tables are broadcast, so that rows stay where they are; with more they are joined
-    small = F.broadcast if state.count() <= MOST_GROUPS else lambda df: df
-    for _ in range(steps):
-        near = rows.join(small(state), key).select(*rows.columns, _log_bin(d2).alias("bin"))
-        limits = _quantile_bin(near, [key], F.col("bin"), core).select(key, F.col("bin").alias("limit"))
-        inside = near.join(small(written(limits, "limits")), key).withColumn("inside", F.col("bin") <= F.col("limit"))
-        state, d2 = written(_estimates(inside, key), "estimates"), _distance_of()
-    return state.join(sizes, key)
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = CORE, steps: int = STEPS, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+    bin = F.floor(F.ln(_distance() + 1e-9) / LOG_BIN).cast("long").alias("bin")
+    near = rows.join(small(state.select(key, "start", *MEANS, *CHOLESKY)), key).select(key, "start", *STATS, bin)
+    counts = near.groupBy(key, "start", "bin").agg(F.count("*").alias("n"))
+    each = W.partitionBy(key, "start")
+    upto = counts.select(key, "start", "bin", F.sum("n").over(each.orderBy("bin")).alias("upto"), F.sum("n").over(each).alias("total"))
+    limits = written(upto.where(F.col("upto") >= F.lit(core) * F.col("total")).groupBy(key, "start").agg(F.min("bin").alias("limit")), "limits")
+    found = _rooted(_moments(near.join(small(limits), [key, "start"]).where("bin <= limit"), key, "start"))
+    old = state.select(key, "start", *[F.col(c).alias(f"_{c}") for c in ("n", *MEANS, *COVARIANCE, *CHOLESKY, "depth")])
+    better = F.col("depth") < F.col("_depth") - 1e-9
+    columns = [F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("n", *MEANS, *COVARIANCE, *CHOLESKY, "depth")]
+    return written(old.join(found, [key, "start"]).select(key, "start", *columns, better.alias("moved")), "estimates")
+
+
+def _best(state: DataFrame, key: str, n: int) -> DataFrame:
+    return state.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy("depth", "start"))).where(F.col("_rank") <= n).drop("_rank")
+
+
+def robust_estimates(rows: DataFrame, key: str, core: float = CORE, starts: int = STARTS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(key, n, MEANS, COVARIANCE), and what broadcasts a table of the groups if they are few: reweighted minimum-covariance-determinant estimates of groups.
+
+    From each of several starts of five rows, concentration steps take the nearest share of the rows, estimate from them and take the
+    nearest again; after two steps the two starts with the least determinants go on until no step makes one smaller, and the least wins.
+    Determinants are those of the covariance with the floors added, which is never flat. A factor makes the covariance of the nearest
+    share that of a normal whole; the rows within the 0.975 point of that estimate then give the final one, with its own factor.
+    A group is shared by all tasks: only sums, counts and the few rows of a start are shuffled.
+    """
+    first, small = _starts(rows, key, starts)
+    state = written(_rooted(first).withColumn("moved", F.lit(True)), "estimates")
+    for _ in range(FIRST_STEPS):
+        state = _step(rows, state, key, core, small)
+    state = written(_best(state, key, FINALISTS), "estimates")
+    while state.where("moved").limit(1).count():  # ends, as determinants of finitely many subsets only become smaller
+        state = _step(rows, state, key, core, small)
+    raw = written(_rooted(_best(state, key, 1).select(key, "n", *MEANS, *COVARIANCE), consistency(core)), "estimates")
+    near = rows.join(small(raw.select(key, *MEANS, *CHOLESKY)), key).where(_distance() <= chi_squared_point(REWEIGHT, len(STATS)))
+    factor = consistency(REWEIGHT)
+    final = _moments(near, key).select(key, *MEANS, *[(F.col(c) * factor).alias(c) for c in COVARIANCE])
+    return final.join(rows.groupBy(key).agg(F.count("*").alias("n")), key), small
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", core: float = CORE, starts: int = STARTS, cutoff: float = CUTOFF, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Verdict on every row of docs: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept.
 
     base_failed: fewer than 50 words, or more than half of the words inside repeated three-word windows. The robust estimate of a
-    language and source rests on its rows that pass; a group with fewer than least_rows of them uses the estimate over all rows.
-    kept: not base_failed and a squared distance of at most cutoff. Null and empty texts fail the base limits; null languages and
-    sources are groups like any other; repeated rows stay; if no row passes, none is kept; other columns are ignored.
+    language and source rests on its rows that pass, drawn towards that of all rows as if by prior_rows rows of those, so that a small
+    group is judged much like the whole and a large one by itself. kept: not base_failed and a squared distance of at most cutoff. Null
+    and empty texts fail the base limits; null languages and sources are groups like any other; repeated rows stay; if no row passes,
+    none is kept; other columns are ignored.
     """
     group = F.to_json(F.array(F.col("lang"), F.col("source")))
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
@@ -158,12 +215,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     stats = written(stats.select("*", failed.alias("base_failed"), group.alias("g"), *transformed()), "statistics")
     # every row counts for its group and for the whole
     passing = stats.where("not base_failed").select(F.explode(F.array(F.col("g"), F.lit("all"))).alias("g"), *STATS)
-    found = written(robust_estimates(passing, "g", core, steps), "robust")
-    own = found.where((F.col("rows") >= least_rows) & (F.col("g") != "all")).drop("rows")
-    every = found.where("g = 'all'").agg(*[F.max(c).alias(f"all_{c}") for c in ESTIMATE])
-    small = F.broadcast if found.count() <= MOST_GROUPS else lambda df: df
-    joined = stats.join(small(own), "g", "left").crossJoin(F.broadcast(every))  # one row
-    joined = joined.select(*stats.columns, *[F.coalesce(F.col(c), F.col(f"all_{c}")).alias(c) for c in ESTIMATE])
-    d2 = _distance_of()
+    estimates, small = robust_estimates(passing, "g", core, starts)
+    found = written(estimates, "robust")
+    every = found.where("g = 'all'").select(*[F.col(c).alias(f"all_{c}") for c in (*MEANS, *COVARIANCE)])
+    own = F.col("n") / (F.col("n") + F.lit(prior_rows))
+    drawn = found.where("g <> 'all'").crossJoin(F.broadcast(every)).select("g", *[(own * F.col(c) + (1 - own) * F.col(f"all_{c}")).alias(c) for c in (*MEANS, *COVARIANCE)])  # every has one row
+    final = written(_rooted(drawn).select("g", *MEANS, *CHOLESKY), "drawn")
+    d2 = _distance()
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(False))
+    joined = stats.join(small(final), "g", "left")
     return joined.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("d2"), kept.alias("kept"))
