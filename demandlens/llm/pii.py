@@ -40,12 +40,13 @@ def mod97(m: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """What to look for. sign: a text without it has no match. base: kept whatever the score."""
+    """What to look for. sign: a text without it has no match. shortest: code points of the shortest match. base: kept whatever the score."""
 
     name: str
     pattern: str
     sign: Callable[[Column], Column]
     valid: Callable[[Column], Column]
+    shortest: int
     checked: bool = False
     context: str = "^\\b$"
     prior: float = 0.6
@@ -54,74 +55,86 @@ class Kind:
 
 #: The patterns match what plain greedy ones do from left to right; possessive steps and look-behind keep them linear on long runs.
 KINDS = (
-    Kind("email", "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), context="(?i)mail|contact|kontakt|correo|courriel"),
-    Kind("ip", "(?<![0-9])[0-9]++(?:\\.[0-9]++){3}", lambda t: t.rlike("[0-9]\\.[0-9]"), lambda m: m.rlike(f"^{BYTE}(?:\\.{BYTE}){{3}}$"), context="(?i)\\bip\\b|host|server|address"),
-    Kind("card", "[0-9](?:[ -]?[0-9])++", lambda t: t.rlike("[0-9][0-9 -]{12}"), lambda m: F.length(digits(m)).between(14, 19) & luhn(m), True, "(?i)card|visa|karte|carte|tarjeta"),
-    Kind("phone", "\\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(digits(m)).between(10, 15), context="(?i)phone|tel|call|mobil"),
-    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z][A-Z][0-9][0-9] ?[A-Z0-9]{4}"), mod97, True, "(?i)iban|account|konto|compte|cuenta", 0.4, False),
-    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]-[0-9][0-9]-[0-9]"), lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), context="(?i)ssn|social security", prior=0.2, base=False),
+    Kind("email", "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++", lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True), 5, context="(?i)mail|contact|kontakt|correo|courriel"),
+    Kind("ip", "(?<![0-9])[0-9]++(?:\\.[0-9]++){3}", lambda t: t.rlike("[0-9]\\.[0-9]"), lambda m: m.rlike(f"^{BYTE}(?:\\.{BYTE}){{3}}$"), 7, context="(?i)\\bip\\b|host|server|address"),
+    Kind("card", "[0-9](?:[ -]?[0-9])++", lambda t: t.rlike("[0-9][0-9 -]{12}"), lambda m: F.length(digits(m)).between(14, 19) & luhn(m), 14, True, "(?i)card|visa|karte|carte|tarjeta"),
+    Kind("phone", "\\+[0-9][ ().0-9-]+[0-9]", lambda t: F.contains(t, F.lit("+")), lambda m: F.length(digits(m)).between(10, 15), 11, context="(?i)phone|tel|call|mobil"),
+    Kind("iban", "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike("[A-Z][A-Z][0-9][0-9] ?[A-Z0-9]{4}"), mod97, 12, True, "(?i)iban|account|konto|compte|cuenta", 0.4, False),
+    Kind("ssn", "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike("[0-9]-[0-9][0-9]-[0-9]"), lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 11, context="(?i)ssn|social security", prior=0.2, base=False),
 )
-#: Least score of a span that is not of a base kind; what a confirmed checksum and a context word before the match add; how far back to look.
-THRESHOLD, CHECKED, CONTEXT, BACK = 0.5, 0.35, 0.35, 40
+#: Words near a match that speak against its being personal data.
+AGAINST = "(?i)\\b(?:order|invoice|part|serial|isbn|sku|version|example|sample|test|tracking|checksum)\\b"
+#: Least score of a span that is not of a base kind; what a confirmed checksum and a context word add; what a word against it takes; code
+#: points of context on either side.
+THRESHOLD, CHECKED, CONTEXT, DOUBT, NEAR = 0.5, 0.35, 0.35, 0.35, 40
 
 
-def running(sizes: Column, block: int = 64) -> Column:
-    """Running totals of a non-empty array of longs, in blocks so that the work stays near the length of the array."""
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b, block: int = 64) -> Column:
+    """Running totals (or what join makes) of a non-empty array of longs of at least zero, in blocks so that the work stays near its length."""
     zero = F.array(F.lit(0).cast("long"))
 
     def scan(a: Column) -> Column:
-        return F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return F.aggregate(a, zero, lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
 
-    count = F.ceil(F.size(sizes) / block).cast("int")
-    local = F.transform(F.sequence(F.lit(1), count), lambda b: scan(F.slice(sizes, (b - 1) * block + 1, F.lit(block))))
+    count = F.ceil(F.size(values) / block).cast("int")
+    local = F.transform(F.sequence(F.lit(1), count), lambda b: scan(F.slice(values, (b - 1) * block + 1, F.lit(block))))
     sums = scan(F.transform(local, lambda part: F.element_at(part, -1)))
-    lifted = F.transform(F.arrays_zip(local.alias("part"), sums.alias("sum")), lambda z: F.transform(F.coalesce(F.slice(z["part"], 2, block), F.array().cast("array<bigint>")), lambda v: v + z["sum"]))
+    lifted = F.transform(F.arrays_zip(local.alias("part"), sums.alias("sum")), lambda z: F.transform(F.coalesce(F.slice(z["part"], 2, block), F.array().cast("array<bigint>")), lambda v: join(v, z["sum"])))
     return F.flatten(lifted)
 
 
 def _matches(df: DataFrame, kind: Kind) -> DataFrame:
-    """df with an array column of the kind's name: its spans (start, end, kind, rank, score, text) in order."""
-    pattern, found, gaps, ends = F.lit(kind.pattern), f"_{kind.name}_found", f"_{kind.name}_gaps", f"_{kind.name}_ends"
-    df = df.withColumn(found, F.when(kind.sign(F.col("_text")), F.regexp_extract_all("_text", pattern, 0)).otherwise(F.array().cast("array<string>")))
+    """df with an array column of the kind's name: its spans (start, end, kind, rank, score, text) in order.
+
+    The context of a match is what stands within NEAR code points of it on either side. It is put together from the gaps between the
+    kind's matches and as many of these as can stand that near, so that no text is cut once for each match.
+    """
+    pattern, found, gaps, ends, back, ahead = F.lit(kind.pattern), *(f"_{kind.name}_{n}" for n in ("found", "gaps", "ends", "back", "ahead"))
+    none = F.array().cast("array<string>")
+    df = df.withColumn(found, F.when(kind.sign(F.col("_text")), F.regexp_extract_all("_text", pattern, 0)).otherwise(none))
     some = F.size(found) > 0
-    df = df.withColumn(gaps, F.when(some, F.split("_text", kind.pattern, -1)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(gaps, F.when(some, F.split("_text", kind.pattern, -1)).otherwise(none))
     steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.col(found), lambda g, m: (F.length(g) + F.length(m)).cast("long"))
     df = df.withColumn(ends, F.when(some, running(steps)).otherwise(F.array().cast("array<bigint>")))
-    zipped = F.arrays_zip(F.col(found).alias("m"), F.col(ends).alias("e"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-
-    def span(z: Column) -> Column:
-        score = F.lit(kind.prior + CHECKED * kind.checked) + F.when(F.substring(z["g"], -BACK, BACK).rlike(kind.context), CONTEXT).otherwise(0.0)
+    before = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.col(found), lambda g, m: F.concat(F.right(g, F.lit(NEAR)), m))
+    after = F.zip_with(F.col(found), F.slice(gaps, F.lit(2), F.size(found)), lambda m, g: F.concat(m, F.left(g, F.lit(NEAR))))
+    df = df.withColumn(back, F.when(some, before).otherwise(none)).withColumn(ahead, F.when(some, after).otherwise(none))
+    zipped = F.arrays_zip(F.col(found).alias("m"), F.col(ends).alias("e"), F.col(back).alias("b"), F.col(ahead).alias("a"))
+    most = -(-NEAR // kind.shortest)
+
+    def span(z: Column, i: Column) -> Column:
+        # i counts from zero, places in arrays from one
+        own_gap = F.left(z["b"], F.length(z["b"]) - F.length(z["m"]))
+        earlier = F.right(F.concat(F.array_join(F.slice(F.col(back), F.greatest(i - most + 1, F.lit(1)), F.least(i, F.lit(most))), ""), own_gap), F.lit(NEAR))
+        next_gap = F.right(z["a"], F.length(z["a"]) - F.length(z["m"]))
+        later = F.left(F.concat(next_gap, F.array_join(F.slice(F.col(ahead), i + 2, F.lit(most)), "")), F.lit(NEAR))
+        score = F.lit(kind.prior + CHECKED * kind.checked) + F.when(earlier.rlike(kind.context) | later.rlike(kind.context), CONTEXT).otherwise(0.0) - F.when(earlier.rlike(AGAINST) | later.rlike(AGAINST), DOUBT).otherwise(0.0)
         return F.struct(
             (z["e"] - F.length(z["m"])).alias("start"), z["e"].alias("end"), F.lit(kind.name).alias("kind"), F.lit([k.name for k in KINDS].index(kind.name)).alias("rank"),
-            F.least(F.lit(1.0), score).alias("score"), z["m"].alias("text"),
+            F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 2).alias("score"), z["m"].alias("text"),
         )
 
-    kept = F.transform(F.filter(zipped, lambda z: kind.valid(z["m"])), span)
+    kept = F.filter(F.transform(zipped, lambda z, i: F.when(kind.valid(z["m"]), span(z, i))), lambda s: s.isNotNull())
     if not kind.base:
         kept = F.filter(kept, lambda s: s["score"] >= THRESHOLD)
-    return df.withColumn(kind.name, F.when(some, kept).otherwise(kept_none(kept))).drop(found, gaps, ends)
-
-
-def kept_none(like: Column) -> Column:
-    """An empty array of the type of like."""
-    return F.slice(F.filter(like, lambda s: F.lit(False)), 1, 1)
+    return df.withColumn(kind.name, F.when(some, kept).otherwise(F.filter(kept, lambda s: F.lit(False)))).drop(found, gaps, ends, back, ahead)
 
 
-def spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """docs with one more column, spans: array of (start, end, kind, rank, score, text) by start, then kind.
+def spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, out: str = "spans") -> DataFrame:
+    """docs with one more column, out: array of (start, end, kind, rank, score, text) by start, then kind.
 
-    Places count code points, the end is exclusive. Matches of one kind never overlap; matches of two kinds may. Null and empty texts
-    have no spans. Every row stays as it was, repeated ones too; an empty table gives no rows.
+    Places count code points, the end is exclusive. Matches of one kind never overlap; matches of two kinds may. A score is what the kind
+    starts with, more by a confirmed checksum and by a word of its context near the match, less by a word against it; a span that is not
+    of a base kind needs a score of THRESHOLD. Null and empty texts have no spans. Every row stays as it was, repeated ones too, whatever
+    its columns are called; a column named out is replaced. An empty table gives no rows.
     """
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    renamed = {k.name: f"_pii_{k.name}" for k in kinds}
-    clash = {c: f"_own_{c}" for c in docs.columns if c in renamed}
-    df = df.withColumnsRenamed(clash)
+    own = [c for c in docs.columns if c != out]
+    df = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in own]).alias("_row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     for kind in kinds:
         df = _matches(df, kind)
-    every = F.array_sort(F.concat(*[F.col(k.name) for k in kinds]), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["rank"] - b["rank"]))
-    df = df.withColumn("spans", F.when(F.size(F.concat(*[F.col(k.name) for k in kinds])) > 1, every).otherwise(F.concat(*[F.col(k.name) for k in kinds])))
-    return df.drop("_text", *renamed).withColumnsRenamed({v: k for k, v in clash.items()})
+    joined = F.concat(*[F.col(k.name) for k in kinds])
+    every = F.array_sort(joined, lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["rank"] - b["rank"]))
+    return df.select(*[F.col(f"_row.`{c}`").alias(c) for c in own], F.when(F.size(joined) > 1, every).otherwise(joined).alias(out))
 
 
 def written_spans(spans: Column) -> Column:
@@ -130,40 +143,36 @@ def written_spans(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, the counts of base kinds, base_sha256 and spans as text."""
+    """Per row of docs: doc_id, the counts of base kinds, base_sha256, spans as text, and the scores of these in their order."""
     base = [k.name for k in KINDS if k.base]
     found = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, base), F.sha2(written_spans(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *map(count, base), F.sha2(written_spans(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
 
 
 def mask(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """docs with every span of text_col replaced by its kind in brackets; overlapping spans become one, named by the first.
 
-    chars_col, if given, gets the new text's code points. Texts without spans, null ones too, and other columns stay as they were.
+    chars_col, if given, gets the new text's code points. Texts without spans, null ones too, and other columns stay as they were,
+    whatever they are called; repeated rows stay; an empty table gives no rows.
     """
-    found = spans(docs.withColumn("_masked", F.col(text_col).cast("string")), "_masked")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), wider).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-
-    merged = found.withColumn("_merged", F.when(F.size("spans") > 0, F.aggregate("spans", none, lambda acc, s: join_first(acc, s, join))).otherwise(none))
-    piece = F.transform("_merged", lambda s, i: F.concat(F.substring("_masked", F.when(i > 0, F.get("_merged", i - 1)["end"]).otherwise(F.lit(0)).cast("int") + 1, (s["start"] - F.when(i > 0, F.get("_merged", i - 1)["end"]).otherwise(F.lit(0))).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring("_masked", F.element_at("_merged", -1)["end"].cast("int") + 1, F.length("_masked"))
-    text = F.when(F.size("_merged") > 0, F.concat(F.array_join(piece, ""), tail)).otherwise(F.col("_masked"))
-    done = merged.withColumn(text_col, text)
-    if chars_col:
-        done = done.withColumn(chars_col, F.length(F.col(text_col)).cast(dict(docs.dtypes)[chars_col]))
-    return done.select(*docs.columns)
-
-
-def join_first(acc: Column, s: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """join for all but the first span, which has nothing before it."""
-    one = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.when(F.size(acc) == 0, one).otherwise(join(acc, s))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = spans(row, "text")
+    # a span begins a replaced stretch if it starts where all earlier ones have ended
+    found = found.withColumn("ends", F.when(F.size("spans") > 0, running(F.transform("spans", lambda s: s["end"]), F.greatest)).otherwise(F.array().cast("array<bigint>")))
+
+    def piece(s: Column, i: Column) -> Column:
+        done = F.when(i > 0, F.get("ends", i - 1)).otherwise(F.lit(0)).cast("int")
+        return F.when(s["start"] >= done, F.concat(F.substring("text", done + 1, (s["start"] - done).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+    tail = F.substring("text", F.element_at("ends", -1).cast("int") + 1, F.length("text"))
+    masked = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", piece), ""), tail)).otherwise(F.col("text"))
+    found = found.withColumn("masked", masked)
+    new = {text_col: F.col("masked")} | ({chars_col: F.length("masked").cast(dict(docs.dtypes)[chars_col])} if chars_col else {})
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
