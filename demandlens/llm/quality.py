@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import id_remainder
+from demandlens.llm.common import id_remainder, written
 
-#: Hash bits of an n-gram; labelled rows that the linear model is fitted on (a bound on the sample); regularisation; share of the mean weight.
-BITS, SAMPLE, COST, BLEND, EPOCHS, ACCEPT = 18, 8000, 0.3, 0.25, 12, 0.7
+#: Hash bits of an n-gram; labelled rows and n-grams of theirs that the linear model is fitted on at most (the bounds of the sample);
+#: regularisation; passes; score from which a text is accepted.
+BITS, SAMPLE, SAMPLE_GRAMS, COST, EPOCHS, ACCEPT = 18, 8000, 24_000_000, 0.3, 12, 0.7
 CHARS, SHAPES = (2, 3, 4), (1, 2, 3, 4)
 ODD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
@@ -101,24 +103,34 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held: tuple[int, int] = (4, 2), sample: int = SAMPLE, bits: int = BITS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held: tuple[int, int] = (4, 2), sample: int = SAMPLE, bits: int = BITS, sample_grams: int = SAMPLE_GRAMS) -> dict | None:
     """Model from labelled rows whose crc32(id) modulo held[0] is not held[1]; None if they do not have both labels.
 
-    The model is fitted on at most sample labelled rows, chosen by a hash of the id, whole texts of each.
+    The model is fitted on whole texts of at most sample labelled rows that have at most sample_grams n-grams by their lengths, those with
+    the least hash of id and text, each of several equal rows once. So what the driver gets is bounded in rows and in bytes.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (id_remainder(F.col(id_col), held[0]) != held[1])).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    n = known.count()
-    share = min(1.0, sample / max(1, n))
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
-    # bounded: about sample rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    share = min(1.0, 2 * sample / max(1, known.count()))
+    likely = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
+    text = F.col(text_col).cast("string")
+    # about twice the sample's rows of two numbers
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).join(F.broadcast(likely), "id").withColumn("mark", F.xxhash64("id", "text"))
+    grams_most = F.least(F.lit(1 << bits), (len(CHARS) + len(SHAPES)) * F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long")
+    least = rows.select("mark", "y", grams_most.alias("grams")).distinct().orderBy(F.pmod("mark", F.lit(1 << 40)), "mark").limit(sample).withColumn("order", F.pmod("mark", F.lit(1 << 40)))
+    chosen = least.withColumn("upto", F.sum("grams").over(W.orderBy("order", "mark"))).where(F.col("upto") <= sample_grams)  # a window over at most sample rows
+    chosen = written(chosen.select("mark"), "chosen")
 
     def run(batches):
+        seen = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([grams(t, bits) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["id", "y", "grams"])
-
-    found = rows.select("id", "text", "y").mapInArrow(run, "id long, y int, grams array<int>").toArrow()
-    order = np.argsort(found.column("id").to_numpy(), kind="stable")[: 2 * sample]
+            new = [i for i, m in enumerate(b.column(0).to_pylist()) if m not in seen and not seen.add(m)]
+            b = b.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([grams(t.as_py(), bits) for t in b.column(2)], pa.list_(pa.int32()))], ["mark", "y", "grams"])
+
+    # bounded: at most sample rows of one number
+    texts = rows.join(F.broadcast(chosen), "mark").select("mark", "y", "text")
+    found = texts.mapInArrow(run, "mark long, y int, grams array<int>").groupBy("mark").agg(F.first("y").alias("y"), F.first("grams").alias("grams")).toArrow()
+    order = np.argsort(found.column("mark").to_numpy(), kind="stable")
     y = np.where(found.column("y").to_numpy()[order] > 0, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
         return None
