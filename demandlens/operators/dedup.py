@@ -57,106 +57,219 @@ def keyed(records: DataFrame) -> DataFrame:
 
 
 def protected(a: str, b: str) -> Column:
-    """Whether two records (column prefixes a. and b.) differ in what must not be merged."""
+    """Whether two records (column prefixes a and b) differ in what must not be merged."""
 
     def both(c: str) -> tuple[Column, Column]:
-        return F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        return F.col(f"{a}_{c}"), F.col(f"{b}_{c}")
 
     (ra, rb), (sa, sb), (ia, ib), (fa, fb), (ua, ub) = both("role"), both("seniority"), both("intern"), both("full_time"), both("unit")
     roles = ~ra.isin("", "other") & ~rb.isin("", "other") & (ra != rb)
     return roles | F.coalesce(sa != sb, F.lit(False)) | (ia != ib) | (ia & fb) | (ib & fa) | ~ua.eqNullSafe(ub)
 
 
-#: What makes two records alike in every comparison; such records are compared once.
+#: What two records compare. Records that also share a source and, where that matters, a native id are alike: one unit.
 SIGNATURE = ("company_key", "city_key", "title_key", "role", "seniority", "intern", "full_time", "unit", "body")
+#: Links of a component that one task groups by itself; larger components are grouped by all tasks in rounds, with the same result.
+TASK_LINKS = 100_000
+
+
+def units(keyed_records: DataFrame) -> DataFrame:
+    """keyed_records with unit: records of one unit compare alike with all others and match each other, so that they are taken as one.
+
+    Different native ids of one source need like texts to match. That asks nothing of records with the same text, so the native id
+    parts them only where the text is empty or where the id stands with several texts under one title. native is "*" where any other id
+    is another posting, "" where there is none.
+    """
+    place = ("company_key", "city_key", "title_key", "source_id", "_native")
+    df = keyed_records.withColumn("_native", F.coalesce(F.trim(F.col("source_record").cast("string")), F.lit("")))
+    changed = df.where("_native <> ''").groupBy(*place).agg(F.min("body").alias("_low"), F.max("body").alias("_high")).where("_low <> _high").select(*place, F.lit(True).alias("_changed"))
+    df = df.join(changed, list(place), "left")
+    native = F.when(F.col("_native") == "", "").when((F.col("body") != "") & F.col("_changed").isNull(), "*").otherwise(F.col("_native"))
+    whole = (F.col("company_key") != "") & (F.col("city_key") != "") & (F.col("title_key") != "")
+    df = df.withColumn("native", native)
+    mark = F.sha2(F.to_json(F.struct(*SIGNATURE, "source_id", "native"), {"ignoreNullFields": "false"}), 256)
+    return df.withColumn("unit_mark", F.when(whole, mark).otherwise(F.sha2(F.concat(F.lit("alone "), "record_id"), 256))).drop("_native", "_changed")
+
+
+def near_titles(titles: DataFrame, by: list[str], title: str, least: float) -> DataFrame:
+    """(by, left_title, right_title, ratio) of different titles of one by with a ratio of at least least, left before right.
+
+    Two titles that alike share most of their pairs of neighbouring characters: each character of a title that is left out breaks two of
+    its pairs at most, each put in breaks one. So titles meet only if the first few of their pairs, in an order of all pairs, have one in
+    common, and no pair of titles that reaches least is missed.
+    """
+    t = least / 200
+    broken = (2 - 3 * t) + max(0.0, 1 - 3 * t) * (1 - t) / t + min(0.0, 1 - 3 * t) * t / (1 - t)  # of each character, at most
+    some = titles.select(*by, title).distinct()
+    n = F.length(title)
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(title), i, F.lit(2))))
+    order = F.array_sort(F.transform(pairs, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    first = F.slice(order, F.lit(1), (F.floor(n * broken + 1e-9) + 1).cast("int"))
+    keyed = some.where(n >= 2).select(*by, title, F.explode(first).alias("x")).select(*by, title, F.col("x.g").alias("g"))
+    a, b = keyed.withColumnRenamed(title, "left_title"), keyed.withColumnRenamed(title, "right_title")
+    met = a.join(b, [*by, "g"]).where((F.col("left_title") < F.col("right_title")) & may_reach(F.col("left_title"), F.col("right_title"), least)).select(*by, "left_title", "right_title").distinct()
+    return met.withColumn("ratio", F.round(ratio_udf()("left_title", "right_title"), 6)).where(F.col("ratio") >= least)
 
 
 def matched_pairs(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
-    """(left_id, right_id, level, score) of signatures (id, columns of SIGNATURE, print, sources) that match, left_id < right_id.
+    """(left_id, right_id, level, score) of units (id, columns of SIGNATURE, print, source_id, native) that match, left_id < right_id.
 
-    Pairs come from an equality join on company and city. Level 1: same title, and similar bodies where both have a source in common.
-    Level 2: titles of at least r.title with one known role. Level 3: titles of at least r.simhash_title and close SimHash prints.
+    Level 1: same company, city and title; if they are different native ids of one source, also similar texts. Levels 2 and 3: one known
+    role, and titles that near_titles finds: of at least r.title, or of at least r.simhash_title with close SimHash prints.
     """
     r = r or DedupRules()
+    block = ["company_key", "city_key"]
     some = records.where((F.col("company_key") != "") & (F.col("city_key") != "") & (F.col("title_key") != ""))
-    a, b = some.alias("a"), some.alias("b")
-    on = (F.col("a.company_key") == F.col("b.company_key")) & (F.col("a.city_key") == F.col("b.city_key")) & (F.col("a.id") < F.col("b.id"))
-    same = F.col("a.title_key") == F.col("b.title_key")
-    near = may_reach(F.col("a.title_key"), F.col("b.title_key"), r.simhash_title)
-    pairs = a.join(b, on & ~protected("a", "b") & (same | near))
-    pairs = pairs.select(
-        F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), same.alias("same_title"), F.arrays_overlap("a.sources", "b.sources").alias("one_source"), F.col("a.title_key").alias("lt"), F.col("b.title_key").alias("rt"),
-        F.col("a.body").alias("lb"), F.col("b.body").alias("rb"), ((F.col("a.role") == F.col("b.role")) & ~F.col("a.role").isin("", "other")).alias("one_role"), F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))).alias("distance"),
-    )
+
+    def side(name: str) -> DataFrame:
+        return some.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", *SIGNATURE, "print", "source_id", "native")])
+
+    def equal(*columns: str) -> Column:
+        on = F.lit(True)
+        for c in columns:
+            on = on & (F.col(f"a_{c}") == F.col(f"b_{c}"))
+        return on
+
+    ids = [F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id")]
     ratio = ratio_udf()
-    plain = pairs.where("same_title and not one_source").select("left_id", "right_id", F.lit(1).alias("level"), F.lit(100.0).alias("score"))
-    bodies = pairs.where(F.col("same_title") & F.col("one_source") & may_reach(F.col("lb"), F.col("rb"), r.same_source_text)).withColumn("score", ratio("lb", "rb")).where(F.col("score") >= r.same_source_text).select("left_id", "right_id", F.lit(1).alias("level"), "score")
-    titles = pairs.where("not same_title").withColumn("title_ratio", ratio("lt", "rt"))
-    fuzzy = (F.col("title_ratio") >= r.title) & F.col("one_role")
-    close = (F.col("title_ratio") >= r.simhash_title) & F.coalesce(F.col("distance") <= r.distance, F.lit(False))
-    rest = titles.where(fuzzy | close).select("left_id", "right_id", F.when(fuzzy, 2).otherwise(3).alias("level"), F.when(fuzzy, F.col("title_ratio")).otherwise((1 - F.col("distance") / 64.0) * 100).alias("score"))
-    return plain.unionByName(bodies).unionByName(rest)
-
-
-def _complete_links(members: pd.DataFrame, links: list[tuple[str, str, int, float]]) -> dict[str, str]:
-    """Group of each member, in their order: a member joins a group only if it matches all of it, at the best level, score and founder."""
-    match = {}
+    titled = side("a").join(side("b"), equal(*block, "title_key") & (F.col("a_id") < F.col("b_id")) & ~protected("a", "b"))
+    others = (F.col("a_source_id") == F.col("b_source_id")) & (F.col("a_native") != "") & (F.col("b_native") != "") & ((F.col("a_native") != F.col("b_native")) | (F.col("a_native") == "*"))
+    free = titled.where(~others).select(*ids, F.lit(1).alias("level"), F.lit(100.0).alias("score"))
+    texts = titled.where(others & (F.col("a_body") != "") & (F.col("b_body") != "") & may_reach(F.col("a_body"), F.col("b_body"), r.same_source_text))
+    alike = texts.where(ratio("a_body", "b_body") >= r.same_source_text).select(*ids, F.lit(1).alias("level"), F.lit(100.0).alias("score"))
+
+    known = some.where(~F.col("role").isin("", "other"))
+    near = near_titles(known, [*block, "role"], "title_key", min(r.title, r.simhash_title))
+    met = near.join(side("a"), (F.col("left_title") == F.col("a_title_key")) & (F.col("role") == F.col("a_role")) & (F.col("company_key") == F.col("a_company_key")) & (F.col("city_key") == F.col("a_city_key")))
+    met = met.join(side("b"), (F.col("right_title") == F.col("b_title_key")) & equal(*block, "role")).where(~protected("a", "b"))
+    distance = F.bit_count(F.col("a_print").bitwiseXOR(F.col("b_print")))
+    fuzzy = F.col("ratio") >= r.title
+    close = (F.col("ratio") >= r.simhash_title) & F.coalesce(distance <= r.distance, F.lit(False))
+    rest = met.where(fuzzy | close).select(*ids, F.when(fuzzy, 2).otherwise(3).alias("level"), F.when(fuzzy, F.col("ratio")).otherwise(F.round((1 - distance / 64.0) * 100, 6)).alias("score"))
+    return free.unionByName(alike).unionByName(rest)
+
+
+def complete_links(members: list[str], links: list[tuple[str, str, int, float]]) -> dict[str, tuple[str, int, float]]:
+    """Founder, level and score of each member, in their order: a member joins a group only if it matches all of it.
+
+    Of several groups it joins the one whose weakest match is of the best level, then score, then with the least founder. A founder has
+    level 0 and score 100.
+    """
+    match: dict[str, dict[str, tuple[int, float]]] = {m: {} for m in members}
     for x, y, level, score in links:
-        match[x, y] = match[y, x] = (level, score)
-    groups: list[list[str]] = []
-    at: dict[str, str] = {}
-    for m in members["id"]:
-        best = None
-        for g in groups:
-            found = [match.get((m, o)) for o in g]
-            if all(found):
-                weakest = max(found, key=lambda f: (f[0], -f[1]))
-                key = (weakest[0], -weakest[1], g[0])
-                if best is None or key < best[0]:
-                    best = (key, g)
-        if best:
-            best[1].append(m)
-            at[m] = best[1][0]
+        match[x][y] = match[y][x] = (level, -score)
+    at: dict[str, tuple[str, int, float]] = {}
+    sizes: dict[str, int] = {}
+    for m in members:
+        found: dict[str, tuple[int, tuple[int, float]]] = {}
+        for o, weight in match[m].items():
+            if o in at:
+                n, worst = found.get(at[o][0], (0, weight))
+                found[at[o][0]] = (n + 1, max(worst, weight))
+        whole = [(worst, g) for g, (n, worst) in found.items() if n == sizes[g]]
+        if whole:
+            (level, minus), g = min(whole)
+            at[m] = (g, level, -minus)
+            sizes[g] += 1
         else:
-            groups.append([m])
-            at[m] = m
+            at[m] = (m, 0, 100.0)
+            sizes[m] = 1
     return at
 
 
-def deduplicate(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
+def _in_tasks(links: DataFrame) -> DataFrame:
+    """(id, founder, level, score) of linked units; links has root, and one task groups each component."""
+
+    def run(links: pd.DataFrame) -> pd.DataFrame:
+        order = pd.concat([links[["left_order", "left_id"]].set_axis(["o", "id"], axis=1), links[["right_order", "right_id"]].set_axis(["o", "id"], axis=1)]).drop_duplicates().sort_values("o")
+        at = complete_links(order["id"].tolist(), list(zip(links["left_id"], links["right_id"], links["level"], links["score"], strict=True)))
+        return pd.DataFrame([(k, *v) for k, v in at.items()], columns=["id", "founder", "level", "score"])
+
+    return links.groupBy("root").applyInPandas(run, "id string, founder string, level int, score double")
+
+
+def _in_rounds(links: DataFrame) -> DataFrame:
+    """The same for components of any size, by all tasks: each round places all units whose place no earlier one can change.
+
+    A unit is ready when all earlier units it matches are placed. If it matches all units of some groups, it joins the best of them, once
+    no earlier unit that is not placed yet matches all of that group too; if none, it founds a group. The earliest unit can always be
+    placed, and of units that do not compete for a group all are.
+    """
+    both = links.select(F.col("left_id").alias("id"), F.col("right_id").alias("other"), F.col("left_order").alias("o"), F.col("right_order").alias("other_o"), "level", "score")
+    both = written(both.union(links.select("right_id", "left_id", "right_order", "left_order", "level", "score")), "both")
+    todo = written(both.select("id", "o").distinct(), "todo")
+    placed = None
+    while todo.limit(1).count():
+        earlier = both.join(todo.select(F.col("id").alias("other")), "other").where("other_o < o").select("id").distinct()
+        ready = todo.join(earlier, "id", "left_anti")
+        if placed is None:
+            new = ready.select("id", F.col("id").alias("founder"), F.lit(0).alias("level"), F.lit(100.0).alias("score"))
+        else:
+            sizes = placed.groupBy("founder").agg(F.count("*").alias("size"))
+            met = both.join(todo.select("id"), "id").join(placed.select(F.col("id").alias("other"), "founder"), "other")
+            worst = F.max(F.struct(F.col("level").alias("level"), (-F.col("score")).alias("minus"))).alias("worst")
+            able = met.groupBy("id", "o", "founder").agg(F.count("*").alias("n"), worst).join(sizes, "founder").where("n = size")
+            able = written(able.select("id", "o", "founder", "worst"), "able")
+            firsts = able.groupBy("founder").agg(F.min("o").alias("first"))
+            best = able.groupBy("id", "o").agg(F.min(F.struct("worst", "founder")).alias("best")).select("id", "o", "best.*")
+            joining = ready.join(best, ["id", "o"]).join(firsts, "founder").where("o = first").select("id", "founder", F.col("worst.level").alias("level"), (-F.col("worst.minus")).alias("score"))
+            founding = ready.join(best, "id", "left_anti").select("id", F.col("id").alias("founder"), F.lit(0).alias("level"), F.lit(100.0).alias("score"))
+            new = joining.unionByName(founding)
+        new = written(new, "placed")
+        placed = new if placed is None else written(placed.unionByName(new), "placed")
+        todo = written(todo.join(new, "id", "left_anti"), "todo")
+    return placed if placed is not None else both.select("id", F.col("other").alias("founder"), "level", "score").limit(0)
+
+
+def complete_link_groups(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """(id, founder, level, score) of all units in links (left_id, right_id, left_order, right_order, level, score).
+
+    Groups never leave a component of the links. Components in which all match all are one group each; of the others those with at most
+    task_links links are grouped by one task each, larger ones in rounds by all tasks.
+    """
+    if not links.limit(1).count():
+        return links.select(F.col("left_id").alias("id"), F.col("right_id").alias("founder"), "level", "score")
+    parts = written(components(links.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))), "parts")
+    rooted = written(links.join(parts.withColumnRenamed("node", "left_id"), "left_id"), "rooted")
+    sizes = parts.groupBy("root").agg(F.count("*").alias("n")).join(rooted.groupBy("root").agg(F.count("*").alias("links")), "root")
+    sizes = written(sizes, "sizes")
+    full = sizes.where("links = n * (n - 1) / 2").select("root")
+    whole = rooted.join(full, "root")
+    later = F.when(F.col("left_order") < F.col("right_order"), F.col("right_id")).otherwise(F.col("left_id"))
+    first = F.min(F.least(F.struct(F.col("left_order").alias("o"), F.col("left_id").alias("id")), F.struct(F.col("right_order").alias("o"), F.col("right_id").alias("id"))))
+    founders = whole.groupBy("root").agg(first.alias("f")).select("root", F.col("f.id").alias("founder"))
+    worst = whole.groupBy("root", later.alias("id")).agg(F.max(F.struct("level", (-F.col("score")).alias("minus"))).alias("w")).join(founders, "root")
+    cliques = worst.select("id", "founder", F.col("w.level").alias("level"), (-F.col("w.minus")).alias("score")).unionByName(founders.select(F.col("founder").alias("id"), "founder", F.lit(0).alias("level"), F.lit(100.0).alias("score")))
+    rest = rooted.join(full, "root", "left_anti")
+    small = rest.join(sizes.where(F.col("links") <= task_links).select("root"), "root", "left_semi")
+    large = rest.join(sizes.where(F.col("links") > task_links).select("root"), "root", "left_semi")
+    out = cliques.unionByName(_in_tasks(small))
+    return out.unionByName(_in_rounds(large)) if large.limit(1).count() else out
+
+
+def deduplicate(records: DataFrame, r: DedupRules | None = None, task_links: int = TASK_LINKS) -> DataFrame:
     """records with entity_id, representative_id, level and score: groups in which every record matches every other.
 
-    Records are taken in the order of observation, source and id (no observation last). Records alike in every comparison are one
-    signature and are never paired with each other, so many copies cost no pairs. A signature can only join signatures of its
-    connected component of matches, so components are grouped independently of each other, each by itself.
+    Records are taken in the order of observation, source and id (no observation last). Records that compare alike and match each other
+    are one unit, placed where the first of them is, and are never paired, so many copies cost no pairs. level and score are those of the
+    weakest match with the group when a record joined it; 0 and null for the first of a group.
     """
     ensure_checkpoints(records.sparkSession)
-    df = written(keyed(eligible(records)), "keyed")
-    order = F.struct(F.coalesce(F.col("observed_at").cast("string"), F.lit("9999-12-31")), "source_id", "record_id")
-    signed = df.withColumn("signature", F.sha2(F.to_json(F.struct(*SIGNATURE), {"ignoreNullFields": "false"}), 256))
-    whole = (F.col("company_key") != "") & (F.col("city_key") != "") & (F.col("title_key") != "")
-    signed = signed.withColumn("signature", F.when(whole, F.col("signature")).otherwise(F.sha2("record_id", 256)))
-    signatures = written(signed.groupBy("signature").agg(F.min_by("record_id", order).alias("id"), F.min(order).alias("order"), F.collect_set("source_id").alias("sources"), *[F.first(c).alias(c) for c in (*SIGNATURE, "print")]), "signatures")
-    links = written(matched_pairs(signatures, r), "links")
-    parts = components(links.select(F.col("left_id").alias("u"), F.col("right_id").alias("v"))).withColumnRenamed("node", "id")
-    linked = links.join(parts.withColumnRenamed("id", "left_id"), "left_id").groupBy("root").agg(F.collect_list(F.struct("left_id", "right_id", "level", "score")).alias("links"))
-    members = parts.join(signatures.select("id", "order"), "id").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("order", "id"))).alias("members"))
-
-    @F.pandas_udf("array<struct<id:string,representative:string>>")
-    def grouped(members: pd.Series, links: pd.Series) -> pd.Series:
-        out = []
-        for ms, ls in zip(members, links, strict=True):
-            at = _complete_links(pd.DataFrame({"id": [m["id"] for m in ms]}), [(x["left_id"], x["right_id"], x["level"], x["score"]) for x in ls])
-            out.append([{"id": k, "representative": v} for k, v in at.items()])
-        return pd.Series(out)
-
-    found = members.join(linked, "root").select(F.explode(grouped("members", "links")).alias("g")).select("g.id", "g.representative")
-    best = links.union(links.select("right_id", "left_id", "level", "score")).toDF("id", "representative", "level", "score")
-    placed = signatures.select("signature", "id").join(found, "id", "left").withColumn("representative", F.coalesce("representative", "id")).join(best, ["id", "representative"], "left")
-    merged = signed.join(placed, "signature")
-    alone = F.col("record_id") == F.col("representative")
-    level = F.when(alone, 0).otherwise(F.coalesce("level", F.lit(1)))
-    return merged.select(*records.columns, F.concat(F.lit("entity_"), F.substring(F.sha2("representative", 256), 1, 24)).alias("entity_id"), F.col("representative").alias("representative_id"), level.alias("level"), F.when(alone, None).otherwise(F.coalesce("score", F.lit(100.0))).alias("score"))
+    df = written(units(keyed(eligible(records))), "keyed")
+    order = F.concat_ws("\u0001", F.coalesce(F.nullif(F.trim(F.col("observed_at").cast("string")), F.lit("")), F.lit("9999-12-31T23:59:59+00:00")), "source_id", "record_id")
+    first = F.min(F.struct(order.alias("order"), "record_id"))
+    heads = df.groupBy("unit_mark").agg(first.alias("f"), *[F.first(c).alias(c) for c in (*SIGNATURE, "print", "source_id", "native")])
+    heads = written(heads.select("unit_mark", F.col("f.record_id").alias("id"), F.col("f.order").alias("order"), *SIGNATURE, "print", "source_id", "native"), "units")
+    found = matched_pairs(heads, r)
+    for s in ("left", "right"):
+        found = found.join(heads.select(F.col("id").alias(f"{s}_id"), F.col("order").alias(f"{s}_order")), f"{s}_id")
+    grouped = complete_link_groups(written(found, "links"), task_links)
+    placed = heads.select("unit_mark", "id").join(grouped, "id", "left").withColumn("founder", F.coalesce("founder", "id"))
+    merged = df.join(placed, "unit_mark")
+    alone, copy = F.col("record_id") == F.col("founder"), F.col("record_id") != F.col("id")
+    level = F.when(alone, 0).when(copy & (F.col("id") == F.col("founder")), 1).otherwise(F.coalesce("level", F.lit(1)))
+    score = F.when(alone, None).when(copy & (F.col("id") == F.col("founder")), 100.0).otherwise(F.coalesce("score", F.lit(100.0)))
+    return merged.select(*records.columns, F.concat(F.lit("entity_"), F.substring(F.sha2("founder", 256), 1, 24)).alias("entity_id"), F.col("founder").alias("representative_id"), level.alias("level"), score.alias("score"))
 
 
 def provenance(merged: DataFrame) -> DataFrame:

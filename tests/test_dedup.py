@@ -1,8 +1,11 @@
 """Duplicate records and surviving values."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from demandlens.functions.similarity import ratio
 from demandlens.operators import components, dedup, survivorship
 
 SCHEMA = "record_id string, source_id string, source_record string, company string, title string, title_raw string, city string, role_id string, experience_band string, description string, observed_at string, record_status string"
@@ -67,3 +70,93 @@ def test_components(spark):
     found = {r.node: r.root for r in components.components(edges.where(F.col("u").isNotNull() | F.lit(True))).collect()}
     assert all(found[i] == 1 for i in range(1, 61)) and found[101] == 100
     assert components.components(edges.limit(0)).count() == 0
+
+
+def match(a, b):
+    """(level, score) of two records by the rule for pairs, or None; a and b have the fields that dedup.keyed makes."""
+    if a.company_key != b.company_key or a.city_key != b.city_key or not (a.company_key and a.city_key and a.title_key and b.title_key):
+        return None
+    known = a.role not in ("", "other") and b.role not in ("", "other")
+    if known and a.role != b.role or a.seniority and b.seniority and a.seniority != b.seniority or a.intern != b.intern or a.intern and b.full_time or b.intern and a.full_time or a.unit != b.unit:
+        return None
+    if a.title_key == b.title_key:
+        if a.source_id == b.source_id and a.source_record and b.source_record and a.source_record != b.source_record and not (a.body and b.body and ratio(a.body, b.body) >= 95):
+            return None
+        return 1, 100.0
+    if not known:
+        return None
+    found = round(ratio(a.title_key, b.title_key), 6)
+    if found >= 96:
+        return 2, found
+    if found >= 90 and a.print is not None and b.print is not None and (d := ((a.print ^ b.print) & (1 << 64) - 1).bit_count()) <= 3:
+        return 3, round((1 - d / 64) * 100, 6)
+    return None
+
+
+def slow_groups(records):
+    """Representative, level and score of each record, taken one at a time; a record alike to an earlier one follows it."""
+    records = sorted(records, key=lambda r: (r.observed_at or "9999", r.source_id, r.record_id))
+    bodies = {}
+    for r in records:
+        bodies.setdefault((r.company_key, r.city_key, r.title_key, r.source_id, r.source_record), set()).add(r.body)
+    groups, out, units = [], {}, {}
+    for r in records:
+        changed = len(bodies[r.company_key, r.city_key, r.title_key, r.source_id, r.source_record]) > 1
+        native = "" if not r.source_record else "*" if r.body and not changed else r.source_record
+        unit = (*[r[c] for c in dedup.SIGNATURE], r.source_id, native)
+        if unit in units and r.title_key and r.company_key and r.city_key:
+            g, level, score = units[unit]
+            out[r.record_id] = (g[0].record_id, level or 1, score or 100.0)
+            continue
+        best = None
+        for g in groups:
+            found = [match(r, m) for m in g]
+            if all(found):
+                level, score = max(found, key=lambda f: (f[0], -f[1]))
+                best = min([x for x in (best, ((level, -score, g[0].record_id), g)) if x], key=lambda x: x[0])
+        if best:
+            best[1].append(r)
+            g, level, score = best[1], best[0][0], -best[0][1]
+        else:
+            g, level, score = [r], 0, None
+            groups.append(g)
+        units[unit] = (g, level, score)
+        out[r.record_id] = (g[0].record_id, level, score)
+    return out
+
+
+def test_groups_are_those_of_the_rule(spark):
+    """500 random blocks: exact, fuzzy and SimHash matches, guards, changed texts of one native id, empty texts, copies."""
+    rng = random.Random(13)
+    titles = ["data analyst of the northern office", "data analyst of the northern offices", "data analyst of the northern officer!", "data analyst of northern offices", "data engineer", "data engineer intern", ""]
+    text = "we look for people who analyse numbers every day and write about what they found in clear words"
+    texts = [text, text + ".", text + " and so on, as long as it takes to be quite another text than it was before", text.replace("numbers", "figures"), "", None, "short"]
+    changes = []
+    for k in range(500):
+        for i in range(rng.randrange(2, 9)):
+            changes.append({
+                "company": f"c{k}", "title": rng.choice(titles), "title_raw": rng.choice([None, "x (unit a)"]) if rng.random() < 0.1 else None, "source_id": f"s{rng.randrange(3)}", "source_record": rng.choice(["", "1", "2", str(100 + i)]),
+                "role_id": rng.choice(["analyst", "analyst", "other", "engineer"]), "description": rng.choice(texts), "observed_at": rng.choice(["2026-01-01", "2026-01-02", None, ""]), "experience_band": rng.choice([None, None, "mid"]),
+            })
+    df = records(spark, *changes)
+    want = slow_groups(dedup.keyed(df).collect())
+    for task_links in (dedup.TASK_LINKS, 0):
+        got = {r.record_id: (r.representative_id, r.level, None if r.score is None else round(r.score, 6)) for r in dedup.deduplicate(df, task_links=task_links).collect()}
+        assert got == want
+    assert {level for _, level, _ in want.values()} == {0, 1, 2, 3}
+
+
+def test_records_of_several_sources_stay_together(spark):
+    # one title; a text test only between different ids of one source
+    df = records(spark, *[{"source_id": s, "description": d, "observed_at": f"2026-01-0{k + 1}"} for k, (s, d) in enumerate([("s0", "A" * 40), ("s2", "B" * 40), ("s1", "A" * 40), ("s1", "B" * 40)])])
+    assert groups(df) == [["r0", "r1", "r2"], ["r3"]]
+
+
+def test_near_titles_misses_none(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    titles = sorted({"".join(c for c in t if rng.random() > 0.06) + rng.choice(["", "a", "b "]) for t in base for _ in range(6)} - {""})
+    df = spark.createDataFrame([(t,) for t in titles], "t string").withColumn("k", F.lit(1))
+    for least in (75.0, 90.0, 96.0):
+        got = {(r.left_title, r.right_title) for r in dedup.near_titles(df, ["k"], "t", least).collect()}
+        assert got == {(a, b) for a in titles for b in titles if a < b and round(ratio(a, b), 6) >= least}
