@@ -17,6 +17,8 @@ from demandlens.llm.common import written
 CONSTANT, LEAST_PAGES, REFERENCES = 0.9, 5, 3
 #: Share of a main element's varying text that its articles must hold to stand for it, and of a page's that both must hold to stand for the page.
 ARTICLE_SHARE, MAIN_SHARE = 0.5, 0.25
+#: Cells up to which a table is made in plain Python, which is faster for short lists; longer ones are made in rows by numpy, to the same end.
+SMALL = 600
 #: Bytes of reference pages and of templates that are broadcast; larger ones are joined.
 BROADCAST_BYTES = 64_000_000
 
@@ -306,7 +308,32 @@ class Matcher:
         out[places + 1] = np.maximum(out[places + 1], row[places] + adds)
         return np.maximum.accumulate(out, out=out)
 
-    def _last(self, xs, ys) -> np.ndarray:
+    def _small_rows(self, xs, ys) -> list[list[int]]:
+        label, rows = self.shapes.label, [[0] * (len(ys) + 1)]
+        for x in xs:
+            above, now, left = rows[-1], [0], 0
+            for j, y in enumerate(ys):
+                w = above[j] + self.weight(x, y) if label[x] == label[y] else 0
+                left = max(left, above[j + 1], w)
+                now.append(left)
+            rows.append(now)
+        return rows
+
+    def _small_pairs(self, xs, ys) -> list[tuple[int, int]]:
+        rows, i, j, out = self._small_rows(xs, ys), len(xs), len(ys), []
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return out
+
+    def _last(self, xs, ys) -> np.ndarray | list[int]:
+        if len(xs) * len(ys) <= SMALL:
+            return self._small_rows(xs, ys)[-1]
         step, row = self._steps(xs, ys), np.zeros(len(ys) + 1, np.int64)
         for x in xs:
             row = self._next(row, *step(x))
@@ -320,6 +347,8 @@ class Matcher:
         if not xs or not ys:
             return out
         self.weigh(self._open(xs, ys))
+        if len(xs) * len(ys) <= SMALL:
+            return out + [(head + i, head + j) for i, j in self._small_pairs(xs, ys)]
         step, every = self._steps(xs, ys), int(len(xs) ** 0.5) + 1
         row, kept = np.zeros(len(ys) + 1, np.int64), []
         for i, x in enumerate(xs):
@@ -343,14 +372,20 @@ class Matcher:
         return out
 
 
-def align(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
-    """Pairs of nodes with text of a largest match of two trees. shapes: the table of b's shapes, if it was named before."""
-    if shapes is None:
+def named(tree: Node, shapes: Shapes) -> Matcher:
+    """What matches tree, whose shapes it sets, with trees that have theirs from shapes."""
+    own = Shapes(shapes)
+    own.name(tree)
+    return Matcher(own)
+
+
+def align(a: Node, b: Node, matcher: Matcher | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of nodes with text of a largest match of two trees. matcher: if both have shapes, what knows them."""
+    if matcher is None:
         shapes = Shapes()
         shapes.name(b)
-    own = Shapes(shapes)
-    own.name(a)
-    matcher, pairs, todo = Matcher(own), [], [(a, b)]
+        matcher = named(a, shapes)
+    pairs, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
         if x.label != y.label:
@@ -386,9 +421,11 @@ def described(page: str | None, reference: Reference | None) -> tuple[list[Node]
     """A page's nodes with text in order, and for each (by id) its slots in the host's reference pages and whether it has their text."""
     tree = parse(page)
     slots: dict[int, list[tuple[int, bool]]] = {}
-    for other, numbers in zip(reference.trees, reference.slots, strict=True) if reference else ():
-        for x, y in align(tree, other, reference.shapes):
-            slots.setdefault(id(x), []).append((numbers[id(y)], x.text == y.text))
+    if reference:
+        matcher = named(tree, reference.shapes)
+        for other, numbers in zip(reference.trees, reference.slots, strict=True):
+            for x, y in align(tree, other, matcher):
+                slots.setdefault(id(x), []).append((numbers[id(y)], x.text == y.text))
     return leaves(tree), slots
 
 
@@ -476,15 +513,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def or_else(a: str, b: str) -> Column:
         return F.when(F.size(a) > 0, F.col(a)).otherwise(F.col(b))
 
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """body of a value that is worked out once and not again for each element that body looks at."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def unmarked(x: Column) -> Column:
+        return (x["mark"] == "") | ((x["mark"] != "!") & ((x["kind"] > 0) | ~F.array_contains("furniture", x["mark"])))
+
+    def placed(x: Column) -> Column:
+        fixed = F.exists(x["slots"], lambda s: s["same"] & F.array_contains("template", s["slot"]))
+        return F.struct(x["text"].alias("text"), x["kind"].alias("kind"), ((x["kind"] > 0) & x["prose"]).alias("told"), fixed.alias("fixed"))
+
     df = joined.withColumn("able", F.filter("leaves", lambda x: x["kind"] >= 0))
-    df = df.withColumn("plain", F.filter("able", lambda x: (x["mark"] == "") | ((x["mark"] != "!") & ((x["kind"] > 0) | ~F.array_contains("furniture", x["mark"])))))
-    df = df.withColumn("plain", or_else("plain", "able"))
-    constant_leaf = F.transform("plain", lambda x: F.struct(x["text"].alias("text"), x["kind"].alias("kind"), ((x["kind"] > 0) & x["prose"]).alias("told"), F.exists(x["slots"], lambda s: s["same"] & F.array_contains("template", s["slot"])).alias("fixed")))
-    df = df.withColumn("plain", constant_leaf)
-    df = df.withColumn("copy", 2 * chars("plain", lambda x: x["told"] & x["fixed"]) > chars("plain", lambda x: x["told"]))
-    df = df.withColumn("varying", F.filter("plain", lambda x: ~x["fixed"] | (x["told"] & F.col("copy")))).withColumn("varying", or_else("varying", "plain"))
-    whole, inside, article = chars("varying", lambda x: F.lit(True)), chars("varying", lambda x: x["kind"] > 0), chars("varying", lambda x: x["kind"] == 2)
-    least = F.when((inside == 0) | (inside < MAIN_SHARE * whole), 0).when((article == 0) | (article < ARTICLE_SHARE * inside), 1).otherwise(2)
-    df = df.withColumn("least", least)
-    text = F.array_join(F.transform(F.filter("varying", lambda x: x["kind"] >= F.col("least")), lambda x: x["text"]), "\n")
+    df = df.withColumn("unmarked", F.filter("able", unmarked)).withColumn("plain", F.transform(or_else("unmarked", "able"), placed))
+    copy = 2 * chars("plain", lambda x: x["told"] & x["fixed"]) > chars("plain", lambda x: x["told"])
+    df = df.withColumn("varying", let(copy, lambda c: F.filter("plain", lambda x: ~x["fixed"] | (x["told"] & c)))).withColumn("content", or_else("varying", "plain"))
+    whole, inside, article = chars("content", lambda x: F.lit(True)), chars("content", lambda x: x["kind"] > 0), chars("content", lambda x: x["kind"] == 2)
+    df = df.withColumn("chars", F.struct(whole.alias("whole"), inside.alias("inside"), article.alias("article")))
+    inside, article = F.col("chars.inside"), F.col("chars.article")
+    least = F.when((inside == 0) | (inside < MAIN_SHARE * F.col("chars.whole")), 0).when((article == 0) | (article < ARTICLE_SHARE * inside), 1).otherwise(2)
+    text = F.array_join(let(least, lambda n: F.transform(F.filter("content", lambda x: x["kind"] >= n), lambda x: x["text"])), "\n")
     return df.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

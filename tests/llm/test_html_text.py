@@ -92,7 +92,7 @@ def matched(x, y):
     return 1 + rows[-1][-1]
 
 
-def test_tree_matching_is_the_largest():
+def test_tree_matching_is_the_largest(monkeypatch):
     rng = random.Random(11)
 
     def made(depth):
@@ -103,9 +103,8 @@ def test_tree_matching_is_the_largest():
         a, b = (html_text.parse("".join(made(rng.randrange(4)) for _ in range(rng.randrange(1, 6)))) for _ in "ab")
         shapes = html_text.Shapes()
         shapes.name(b)
-        own = html_text.Shapes(shapes)
-        own.name(a)
-        matcher = html_text.Matcher(own)
+        monkeypatch.setattr(html_text, "SMALL", rng.choice([0, 4, 600]))
+        matcher = html_text.named(a, shapes)
         matcher.weigh([(a.shape, b.shape)] if a.shape != b.shape and a.children and b.children else [])
         assert matcher.weight(a.shape, b.shape) == matched(a, b)
         pairs = matcher.pairs([c.shape for c in a.children], [c.shape for c in b.children])
