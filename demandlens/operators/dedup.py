@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandlens.functions.similarity import may_reach, ratio_udf, simhash
@@ -91,6 +92,13 @@ def units(keyed_records: DataFrame) -> DataFrame:
     return df.withColumn("unit_mark", F.when(whole, mark).otherwise(F.sha2(F.concat(F.lit("alone "), "record_id"), 256))).drop("_native", "_changed")
 
 
+def unit_heads(united: DataFrame) -> DataFrame:
+    """One row for each unit: unit_mark, id and order of its first record, and what pairs of units are compared by."""
+    order = F.concat_ws("\u0001", F.coalesce(F.nullif(F.trim(F.col("observed_at").cast("string")), F.lit("")), F.lit("9999-12-31T23:59:59+00:00")), "source_id", "record_id")
+    heads = united.groupBy("unit_mark").agg(F.min(F.struct(order.alias("order"), "record_id")).alias("f"), *[F.first(c).alias(c) for c in (*SIGNATURE, "print", "source_id", "native")])
+    return heads.select("unit_mark", F.col("f.record_id").alias("id"), F.col("f.order").alias("order"), *SIGNATURE, "print", "source_id", "native")
+
+
 def near_titles(titles: DataFrame, by: list[str], title: str, least: float) -> DataFrame:
     """(by, left_title, right_title, ratio) of different titles of one by with a ratio of at least least, left before right.
 
@@ -256,10 +264,7 @@ def deduplicate(records: DataFrame, r: DedupRules | None = None, task_links: int
     """
     ensure_checkpoints(records.sparkSession)
     df = written(units(keyed(eligible(records))), "keyed")
-    order = F.concat_ws("\u0001", F.coalesce(F.nullif(F.trim(F.col("observed_at").cast("string")), F.lit("")), F.lit("9999-12-31T23:59:59+00:00")), "source_id", "record_id")
-    first = F.min(F.struct(order.alias("order"), "record_id"))
-    heads = df.groupBy("unit_mark").agg(first.alias("f"), *[F.first(c).alias(c) for c in (*SIGNATURE, "print", "source_id", "native")])
-    heads = written(heads.select("unit_mark", F.col("f.record_id").alias("id"), F.col("f.order").alias("order"), *SIGNATURE, "print", "source_id", "native"), "units")
+    heads = written(unit_heads(df), "units")
     found = matched_pairs(heads, r)
     for s in ("left", "right"):
         found = found.join(heads.select(F.col("id").alias(f"{s}_id"), F.col("order").alias(f"{s}_order")), f"{s}_id")
@@ -290,7 +295,7 @@ def apply_decisions(merged: DataFrame, decisions: DataFrame) -> DataFrame:
     bad = judged.where(((F.col("decision") == "same") & ~F.col("together")) | ((F.col("decision") == "different") & F.col("together") & (F.col("n") != 2))).limit(1).count()
     if bad:
         raise ValueError("an audited decision does not fit its group")
-    split = judged.where("decision = 'different' and together").select(F.greatest("left_id", "right_id").alias("record_id"), F.lit(True).alias("_split")).distinct()
+    split = judged.where("decision = 'different' and together").select(F.explode(F.array("left_id", "right_id")).alias("record_id"), F.lit(True).alias("_split")).distinct()
     out = merged.join(split, "record_id", "left")
     mine = F.col("_split").isNotNull() & (F.col("record_id") != F.col("representative_id"))
     own = F.concat(F.lit("entity_"), F.substring(F.sha2("record_id", 256), 1, 24))
@@ -302,3 +307,18 @@ def report(merged: DataFrame) -> DataFrame:
     by = merged.groupBy("entity_id").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("s"))
     row = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("entities"), F.count_if(F.col("n") > 1).alias("duplicate_groups"), F.count_if(F.col("s") > 1).alias("cross_source_groups"))
     return row.withColumn("removed", F.col("records") - F.col("entities")).withColumn("dedup_rate", F.col("removed") / F.nullif(F.col("records").cast("double"), F.lit(0.0)))
+
+
+def pair_sample(keyed_records: DataFrame) -> DataFrame:
+    """(left_id, right_id, kind) of pairs to be labelled by hand, a few for each title and never all: left before right.
+
+    Easy ones are the first and last record of one company, city and title. Of each title and the next one of its company and city the
+    first records make a negative of two sources, or a hard one of one source. Only titles are sorted, not records.
+    """
+    one = F.struct("record_id", "source_id")
+    titles = keyed_records.groupBy("company_key", "city_key", "title_key").agg(F.min(one).alias("a"), F.max(one).alias("z"))
+    easy = titles.where("a.record_id < z.record_id").select("a", F.col("z").alias("b"), F.lit(True).alias("easy"))
+    following = F.lead("a").over(W.partitionBy("company_key", "city_key").orderBy("title_key"))
+    other = titles.select("a", following.alias("b"), F.lit(False).alias("easy")).where("b is not null")
+    kind = F.when(F.col("easy"), "easy").when(F.col("a.source_id") != F.col("b.source_id"), "cross_source_negative").otherwise("hard")
+    return easy.union(other).select(F.least("a.record_id", "b.record_id").alias("left_id"), F.greatest("a.record_id", "b.record_id").alias("right_id"), kind.alias("kind"))

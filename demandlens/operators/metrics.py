@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,10 +36,49 @@ def mixes(df: DataFrame, dimensions: dict[str, str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
 
 
+def percentiles(df: DataFrame, by: list[str], value: str | Column, points: dict[str, float]) -> DataFrame:
+    """(by, points): exact percentiles of a value, interpolated between neighbours, of the rows of each group that have one (NaN is none).
+
+    They come from counts: first of bins that are about a 64th of a value wide, then of the values in the bins that a point falls into.
+    So partial counts merge before each shuffle, and a group with most of the rows is counted by all tasks and held by none. Groups
+    without a value are absent; null keys are a group like any other.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    rows = df.select(*by, value.cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    size = F.floor((F.ln(F.abs("_v")) + 800) * 64)
+    rows = rows.withColumn("_bin", F.when(F.col("_v") == 0, 0).when(F.col("_v") > 0, size).otherwise(-size).cast("long"))
+    bins = rows.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*by)
+    before, total = F.sum("_n").over(group.orderBy("_bin")) - F.col("_n"), F.sum("_n").over(group)
+    ranks = [(name, end, f(F.lit(q) * (F.col("_total") - 1))) for name, q in points.items() for end, f in (("lo", F.floor), ("hi", F.ceil))]
+    inside = reduce(Column.__or__, [(r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")) for _, _, r in ranks])
+    wanted = bins.withColumn("_before", before).withColumn("_total", total).where(inside).drop("_n")
+    a, b = rows.alias("a"), wanted.alias("b")
+    on = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by], F.col("a._bin") == F.col("b._bin"))
+    counts = a.join(b, on).groupBy(*[F.col(f"b.{c}").alias(c) for c in by], "b._bin", "b._before", "b._total", "a._v").agg(F.count("*").alias("_n"))
+    first = F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_bin").orderBy("_v")) - F.col("_n")
+    placed = counts.withColumn("_first", first)
+    ends = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *[F.max(F.when((r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")), F.col("_v"))).alias(f"_{name}_{end}") for name, end, r in ranks])
+
+    def between(name: str, q: float) -> Column:
+        place = F.lit(q) * (F.col("_total") - 1)
+        return (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (place - F.floor(place))).alias(name)
+
+    return ends.select(*by, *[between(name, q) for name, q in points.items()])
+
+
+def with_percentiles(summary: DataFrame, df: DataFrame, by: list[str], value: str | Column, points: dict[str, float]) -> DataFrame:
+    """summary, one row for each group of df, with the percentiles of the group; null where it has no value."""
+    found = percentiles(df, by, value, points).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    on = reduce(Column.__and__, [summary[c].eqNullSafe(found[f"_by_{c}"]) for c in by], F.lit(True))
+    return summary.join(found, on, "left").select(*summary.columns, *points)
+
+
 def rollup(entities: DataFrame, by: str | list[str], company: str = "company_id", measure: str = "measure") -> DataFrame:
     """Entities, companies and the measure's median for each value of a dimension."""
     by = [by] if isinstance(by, str) else by
-    return entities.groupBy(*by).agg(F.count("*").alias("entity_count"), F.countDistinct(company).alias("company_count"), F.median(measure).alias("measure_median"))
+    counts = entities.groupBy(*by).agg(F.count("*").alias("entity_count"), F.countDistinct(company).alias("company_count"))
+    return with_percentiles(counts, entities, by, measure, {"measure_median": 0.5})
 
 
 def source_table(source_map: DataFrame, source: str = "source_id", entity: str = "entity_id", record: str = "record_id", observed: str = "observed_at") -> DataFrame:
@@ -85,7 +125,9 @@ def monthly_demand(entities: DataFrame, pairs: DataFrame, date: str = "event_dat
 
 def distribution(entities: DataFrame, by: list[str], measure: str = "measure") -> DataFrame:
     """Count, least, median and largest measure by dimensions, of entities with a measure."""
-    return entities.where(F.col(measure).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.min(measure).alias("least"), F.median(measure).alias("median"), F.max(measure).alias("largest"))
+    known = entities.where(F.col(measure).isNotNull())
+    ends = known.groupBy(*by).agg(F.count("*").alias("n"), F.min(measure).alias("least"), F.max(measure).alias("largest"))
+    return with_percentiles(ends, known, by, measure, {"median": 0.5}).select(*by, "n", "least", "median", "largest")
 
 
 @dataclass(frozen=True)
@@ -144,9 +186,9 @@ def balanced_demand(entities: DataFrame, source_map: DataFrame, entity_items: Da
 
 def measure_by_item(entities: DataFrame, pairs: DataFrame, items: DataFrame, measure: str = "measure") -> DataFrame:
     """Median and quartiles (interpolated) of the measure of entities with each item; unavailable where none has one."""
-    found = pairs.join(entities.select("entity_id", measure), "entity_id").groupBy("item_id").agg(
-        F.count("*").alias("entity_count"), F.count(measure).alias("measure_count"), F.percentile(measure, 0.5).alias("median"), F.percentile(measure, 0.25).alias("p25"), F.percentile(measure, 0.75).alias("p75")
-    )
+    measured = pairs.join(entities.select("entity_id", measure), "entity_id")
+    counts = measured.groupBy("item_id").agg(F.count("*").alias("entity_count"), F.count(measure).alias("measure_count"))
+    found = with_percentiles(counts, measured, ["item_id"], measure, {"median": 0.5, "p25": 0.25, "p75": 0.75})
     joined = items.select("item_id").join(found, "item_id", "left").fillna(0, ["entity_count", "measure_count"])
     return joined.withColumn("measure_coverage", share(F.col("measure_count"), F.col("entity_count"))).withColumn("status", F.when(F.col("measure_count") > 0, "available").otherwise("unavailable"))
 
@@ -212,7 +254,9 @@ def consistency(left: DataFrame, right: DataFrame, key: str = "key", value: str
 def freshness(df: DataFrame, as_of: str, date: str, by: list[str] | None = None) -> DataFrame:
     """Newest date, median and third quartile of age in days (future dates count as age 0), share of rows with a date."""
     age = F.greatest(F.datediff(F.lit(as_of).cast("date"), F.col(date)), F.lit(0))
-    return df.groupBy(*(by or [])).agg(F.max(date).alias("newest"), F.median(age).alias("median_age"), F.percentile(age, 0.75).alias("p75_age"), share(F.count(date), F.count("*")).alias("date_coverage"))
+    by = by or []
+    ends = df.groupBy(*by).agg(F.max(date).alias("newest"), share(F.count(date), F.count("*")).alias("date_coverage"))
+    return with_percentiles(ends, df, by, F.when(F.col(date).isNotNull(), age), {"median_age": 0.5, "p75_age": 0.75}).select(*by, "newest", "median_age", "p75_age", "date_coverage")
 
 
 def effective_count(counts: DataFrame, by: list[str], n: str = "n") -> DataFrame:
@@ -274,9 +318,9 @@ def theme_labels(themes: DataFrame) -> DataFrame:
 
 
 def inventory(df: DataFrame, name: str) -> DataFrame:
-    """One row about a published table: rows, and a fingerprint that does not depend on their order."""
+    """One row about a published table: rows, and a fingerprint (the sum of the rows' hashes, as text) that does not depend on their order."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return df.agg(F.count("*").alias("rows"), F.bit_xor(F.conv(F.substring(row, 1, 15), 16, 10).cast("long")).alias("fingerprint")).select(F.lit(name).alias("name"), "rows", "fingerprint")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(28,0)")), F.lit(0)).cast("string").alias("fingerprint")).select(F.lit(name).alias("name"), "rows", "fingerprint")
 
 
 def null_columns(df: DataFrame, columns: dict[str, T.DataType | str]) -> DataFrame:

@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.functions.similarity import ratio_udf, simhash
+from demandlens.functions.similarity import simhash
 from demandlens.operators import dedup, survivorship
-from demandlens.plans.base import Star, query, rounded, with_tables
+from demandlens.plans.base import Star, query, rounded
+from demandlens.sources.shared import written
 
 RECORDS_SQL = "r AS (SELECT CAST(p_partkey AS VARCHAR) AS record_id, 'src' || (p_partkey % 3) AS source_id, p_brand AS company, p_type AS city, p_name AS title, p_name || ' for ' || p_brand AS description FROM part)"
 
 
-#: The exact level alone, which SQL can express.
-EXACT = dedup.DedupRules(title=101.0, distance=-1)
-
-
 def records(t: Star) -> DataFrame:
-    """Parts as records: brands are companies, types cities, names titles."""
+    """Parts as records of no known role: brands are companies, types cities, names titles. Only the exact level matches them."""
     return t.table("part").select(
         F.col("p_partkey").cast("string").alias("record_id"), F.concat(F.lit("src"), (F.col("p_partkey") % 3).cast("string")).alias("source_id"), F.col("p_partkey").cast("string").alias("source_record"), F.col("p_brand").alias("company"), F.col("p_name").alias("title"),
         F.col("p_name").alias("title_raw"), F.col("p_type").alias("city"), F.lit("other").alias("role_id"), F.lit(None).cast("string").alias("experience_band"), F.concat("p_name", F.lit(" for "), "p_brand").alias("description"), F.lit(None).cast("string").alias("observed_at"), F.lit("valid").alias("record_status"),
     )
 
 
+def varied(t: Star) -> DataFrame:
+    """The same parts with numbered titles, short and long, roles for three quarters and two wordings of the description, so that all levels match some."""
+    p = t.table("part").select(F.col("p_partkey").cast("string").alias("record_id"), "p_partkey", "p_size", "p_type", F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    number = (F.col("p_partkey") % 7).cast("string")
+    title = F.when(F.col("p_size") % 2 == 0, F.concat("name", F.lit(" of the "), F.lower("p_type"), F.lit(" line, number "), number)).otherwise(F.concat("name", F.lit(" no "), number))
+    role = F.when(F.col("p_size") % 4 == 0, "other").otherwise(F.split_part(F.col("name"), F.lit(" "), F.lit(2)))
+    text = F.concat("name", F.lit(" for "), "brand", F.when(F.col("p_size") > 40, ", large enough for any use one can think of").otherwise(", small"))
+    more = p.select("record_id", title.alias("title"), title.alias("title_raw"), role.alias("role_id"), text.alias("description"))
+    return records(t).drop("title", "title_raw", "role_id", "description").join(more, "record_id")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """Matches of units: pairs of their first records. The other records of a unit share its matches and are not written out."""
+    return dedup.matched_pairs(dedup.unit_heads(dedup.units(dedup.keyed(rows))))
+
+
 @query("d1_blocks", f"WITH {RECORDS_SQL} SELECT company, city, count(*) AS n, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM r GROUP BY 1, 2")
 def d1(t: Star) -> DataFrame:
     return dedup.keyed(records(t)).groupBy(F.col("company_key").alias("company"), F.col("city").alias("city")).agg(F.count("*").alias("n")).withColumn("pairs", F.expr("n * (n - 1) div 2"))
@@ -38,36 +51,27 @@ def d2(t: Star) -> DataFrame:
     return dedup.keyed(made).select("c_custkey", "seniority", "intern", "unit")
 
 
-@query("d3_exact_pairs", f"WITH {RECORDS_SQL} SELECT a.record_id AS left_id, b.record_id AS right_id FROM r a JOIN r b ON a.company = b.company AND a.city = b.city AND a.title = b.title AND a.record_id < b.record_id WHERE a.source_id <> b.source_id")
+UNITS_SQL = f"WITH {RECORDS_SQL}, u AS (SELECT company, city, title, source_id, min(record_id) AS id FROM r GROUP BY ALL)"
+
+
+@query("d3_exact_pairs", UNITS_SQL + " SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id FROM u a JOIN u b ON a.company = b.company AND a.city = b.city AND a.title = b.title AND a.source_id < b.source_id")
 def d3(t: Star) -> DataFrame:
-    k = dedup.keyed(records(t)).select("record_id", "source_id", "company_key", "city_key", "title_key")
-    a, b = k.alias("a"), k.alias("b")
-    on = (F.col("a.company_key") == F.col("b.company_key")) & (F.col("a.city_key") == F.col("b.city_key")) & (F.col("a.title_key") == F.col("b.title_key")) & (F.col("a.record_id") < F.col("b.record_id")) & (F.col("a.source_id") != F.col("b.source_id"))
-    return a.join(b, on).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id"))
+    return links(records(t)).where("level = 1").select("left_id", "right_id")
 
 
 @query("d4_fuzzy_titles")
 def d4(t: Star) -> DataFrame:
-    k = dedup.keyed(records(t).withColumn("role_id", F.lit("part")).withColumn("title", F.concat("title", F.lit(" in stock now, part no "), (F.col("record_id") % 7).cast("string"))).withColumn("title_raw", F.col("title")))
-    signatures = k.withColumn("id", F.col("record_id")).withColumn("sources", F.array("source_id"))
-    return dedup.matched_pairs(signatures).where("level = 2")
+    return rounded(links(varied(t)).where("level = 2"))
 
 
 @query("d5_simhash_pairs")
 def d5(t: Star) -> DataFrame:
-    marked = dedup.keyed(records(t)).select(F.col("record_id").alias("id"), "print").where("print is not null")
-    # prints within three bits share one of four 16-bit parts
-    parts = marked.select("id", "print", F.posexplode(F.array(*[F.shiftrightunsigned("print", 16 * k).bitwiseAND(F.lit(65535).cast("long")) for k in range(4)])).alias("part", "value"))
-    a, b = parts.alias("a"), parts.alias("b")
-    on = (F.col("a.part") == F.col("b.part")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))) <= 3)
-    return a.join(b, on).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.bit_count(F.col("a.print").bitwiseXOR(F.col("b.print"))).alias("distance")).distinct()
+    return rounded(links(varied(t)).where("level = 3"))
 
 
 @query("d6_indel_ratio")
 def d6(t: Star) -> DataFrame:
-    names = t.items.select("item_id", "category")
-    a, b = names.alias("a"), names.alias("b")
-    return rounded(a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.item_id") < F.col("b.item_id"))).select(F.col("a.item_id").alias("left_id"), F.col("b.item_id").alias("right_id"), ratio_udf()("a.item_id", "b.item_id").alias("ratio")))
+    return rounded(dedup.near_titles(t.items.select("item_id", "category"), ["category"], "item_id", 60.0))
 
 
 @query("d7_simhash")
@@ -86,16 +90,21 @@ def d8(t: Star) -> DataFrame:
 GROUPS_SQL = f"WITH {RECORDS_SQL}, g AS (SELECT *, min(source_id || '|' || record_id) OVER (PARTITION BY company, city, title) AS first FROM r), k AS (SELECT *, 'entity_' || substr(sha256(string_split(first, '|')[2]), 1, 24) AS entity_id FROM g)"
 
 
-@query("d9_complete_link_groups", GROUPS_SQL + " SELECT record_id, entity_id FROM k")
+@query("d9_complete_link_groups")
 def d9(t: Star) -> DataFrame:
-    return dedup.deduplicate(records(t), EXACT).select("record_id", "entity_id")
+    return dedup.deduplicate(varied(t)).select("record_id", "entity_id")
+
+
+@query("d9_exact_level", GROUPS_SQL + " SELECT record_id, entity_id FROM k")
+def d9_exact(t: Star) -> DataFrame:
+    return dedup.deduplicate(records(t)).select("record_id", "entity_id")
 
 
-@query("d10_audited_decisions")
+@query("d10_audited_decisions", GROUPS_SQL + ", n AS (SELECT entity_id, count(*) AS n, min(record_id) AS low FROM k GROUP BY 1) SELECT record_id, CASE WHEN n = 2 AND CAST(low AS BIGINT) % 2 = 0 AND first <> source_id || '|' || record_id THEN 'entity_' || substr(sha256(record_id), 1, 24) ELSE entity_id END AS entity_id FROM k JOIN n USING (entity_id)")
 def d10(t: Star) -> DataFrame:
-    merged = dedup.deduplicate(records(t))
+    merged = written(dedup.deduplicate(records(t)), "merged")
     pairs = merged.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("record_id").alias("left_id"), F.max("record_id").alias("right_id")).where("n = 2")
-    decisions = pairs.select("left_id", "right_id", F.when(F.crc32("left_id") % 2 == 0, "different").otherwise("same").alias("decision"))
+    decisions = pairs.select("left_id", "right_id", F.when(F.col("left_id").cast("long") % 2 == 0, "different").otherwise("same").alias("decision"))
     return dedup.apply_decisions(merged, decisions).select("record_id", "entity_id")
 
 
@@ -106,14 +115,14 @@ def d11(t: Star) -> DataFrame:
     return dedup.eligible(marked).select("record_id")
 
 
-@query("d12_provenance", GROUPS_SQL + " SELECT record_id, entity_id, source_id, CASE WHEN first = source_id || '|' || record_id THEN 'representative' ELSE 'level_1_exact' END AS match_method FROM k")
+@query("d12_provenance")
 def d12(t: Star) -> DataFrame:
-    return dedup.provenance(dedup.deduplicate(records(t), EXACT)).select("record_id", "entity_id", "source_id", "match_method")
+    return rounded(dedup.provenance(dedup.deduplicate(varied(t))).select("record_id", "entity_id", "source_id", "match_method", "score"))
 
 
-@query("d13_dedup_report", GROUPS_SQL + ", b AS (SELECT entity_id, count(*) AS n, count(DISTINCT source_id) AS s FROM k GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS records, count(*) AS entities, count(*) FILTER (WHERE n > 1) AS duplicate_groups, count(*) FILTER (WHERE s > 1) AS cross_source_groups, CAST(sum(n) - count(*) AS BIGINT) AS removed, round((sum(n) - count(*)) * 1e0 / sum(n), 6) AS dedup_rate FROM b")
+@query("d13_dedup_report")
 def d13(t: Star) -> DataFrame:
-    return rounded(dedup.report(dedup.deduplicate(records(t), EXACT)))
+    return rounded(dedup.report(dedup.deduplicate(varied(t))))
 
 
 @query("d14_stable_mode", "SELECT o_custkey, max_by(o_orderpriority, printf('%08d%04d%s', n, length(o_orderpriority), o_orderpriority)) AS priority FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
@@ -154,10 +163,7 @@ def d19(t: Star) -> DataFrame:
     return survivorship.assemble(parts, "o_custkey")
 
 
-@query("d20_pair_labels", f"WITH {RECORDS_SQL} SELECT a.record_id AS left_id, b.record_id AS right_id, CASE WHEN a.title = b.title THEN 'easy' WHEN a.source_id <> b.source_id THEN 'cross_source_negative' ELSE 'hard' END AS kind FROM r a JOIN r b ON a.company = b.company AND a.city = b.city AND a.record_id < b.record_id")
+@query("d20_pair_labels", f"""WITH {RECORDS_SQL}, c AS (SELECT company, city, title, min(record_id) AS lo, max(record_id) AS hi FROM r GROUP BY ALL), p AS (SELECT lo AS a, hi AS b FROM c WHERE lo < hi UNION ALL SELECT lo, lead(lo) OVER (PARTITION BY company, city ORDER BY title) FROM c)
+ SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, CASE WHEN x.title = y.title THEN 'easy' WHEN x.source_id <> y.source_id THEN 'cross_source_negative' ELSE 'hard' END AS kind FROM p JOIN r x ON x.record_id = a JOIN r y ON y.record_id = b""")
 def d20(t: Star) -> DataFrame:
-    k = dedup.keyed(records(t))
-    a, b = k.alias("a"), k.alias("b")
-    on = (F.col("a.company_key") == F.col("b.company_key")) & (F.col("a.city_key") == F.col("b.city_key")) & (F.col("a.record_id") < F.col("b.record_id"))
-    kind = F.when(F.col("a.title_key") == F.col("b.title_key"), "easy").when(F.col("a.source_id") != F.col("b.source_id"), "cross_source_negative").otherwise("hard")
-    return a.join(b, on).select(F.col("a.record_id").alias("left_id"), F.col("b.record_id").alias("right_id"), kind.alias("kind"))
+    return rounded(dedup.pair_sample(dedup.keyed(records(t))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,9 +225,16 @@ def a33(t: Star) -> DataFrame:
     return scoped.join(t.entity_items, "entity_id").groupBy("window", "item_id").agg(F.countDistinct("entity_id").alias("entity_count"), F.countDistinct("company_id").alias("company_count"), F.countDistinct("role_id").alias("role_count"), F.countDistinct("record_id").alias("record_count"))
 
 
-@query("a34_inventory")
+def _inventory_sql(name: str, source: str, columns: dict[str, bool]) -> str:
+    """The inventory of a table whose columns are text (True) or whole numbers."""
+    text = " || ',' || ".join(f"""'"{c}":' || """ + (f"""'"' || {c} || '"'""" if is_text else f"CAST({c} AS VARCHAR)") for c, is_text in sorted(columns.items()))
+    return f"SELECT '{name}' AS name, count(*) AS \"rows\", CAST(coalesce(sum(CAST(CAST('0x' || substr(sha256('{{' || {text} || '}}'), 1, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) AS fingerprint FROM ({source})"
+
+
+@query("a34_inventory", with_tables("entities", "source_map", "entity_items") + _inventory_sql("source_demand", "SELECT source_id, item_id, count(DISTINCT entity_id) AS entity_count FROM entity_items JOIN source_map USING (entity_id, record_id) GROUP BY 1, 2", {"source_id": True, "item_id": True, "entity_count": False}) + " UNION ALL " + _inventory_sql("role_summary", "SELECT role_id, count(*) AS entity_count, count(DISTINCT company_id) AS company_count FROM entities GROUP BY 1", {"role_id": True, "entity_count": False, "company_count": False}))
 def a34(t: Star) -> DataFrame:
-    return metrics.inventory(metrics.source_demand(t.source_map, t.entity_items), "source_demand").union(metrics.inventory(metrics.rollup(t.entities, "role_id"), "role_summary"))
+    tables = {"source_demand": metrics.source_demand(t.source_map, t.entity_items).select("source_id", "item_id", "entity_count"), "role_summary": metrics.rollup(t.entities, "role_id").drop("measure_median")}
+    return reduce(DataFrame.union, [metrics.inventory(df, name) for name, df in tables.items()])
 
 
 @query("a35_publish_all", with_tables("entities", "entity_items", "pairs") + "SELECT coalesce(role_id, 'global') AS scope, item_id, count(*) AS entity_count FROM pairs JOIN entities USING (entity_id) GROUP BY GROUPING SETS ((item_id), (role_id, item_id))")
@@ -286,7 +295,8 @@ def t3(t: Star) -> DataFrame:
     return rounded(found.orderBy(F.coalesce("entity_count", F.lit(0)).desc(), "item_id").limit(20).select("item_id", "entity_count", "coverage"))
 
 
-@query("t4_nulls_last", with_tables("items", "entity_items", "pairs") + "SELECT i.item_id, n FROM items i LEFT JOIN (SELECT item_id, count(*) AS n FROM pairs WHERE entity_id % 1000 = 7 GROUP BY 1) c ON c.item_id = i.item_id ORDER BY n DESC NULLS LAST, i.item_id LIMIT 15")
+@query("t4_nulls_last", with_tables("entities", "items", "entity_items", "pairs") + "SELECT i.item_id, n FROM items i LEFT JOIN (SELECT item_id, count(*) AS n FROM pairs WHERE entity_id IN (SELECT entity_id FROM entities WHERE role_id = '1-URGENT' AND city_code = 3 AND experience_band = 'P') GROUP BY 1) c ON c.item_id = i.item_id ORDER BY n DESC NULLS LAST, i.item_id LIMIT 15")
 def t4(t: Star) -> DataFrame:
-    counts = t.pairs.where("entity_id % 1000 = 7").groupBy("item_id").agg(F.count("*").alias("n"))
+    scarce = t.entities.where("role_id = '1-URGENT' and city_code = 3 and experience_band = 'P'").select("entity_id")
+    counts = t.pairs.join(scarce, "entity_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
     return t.items.select("item_id").join(counts, "item_id", "left").orderBy(F.desc_nulls_last("n"), "item_id").limit(15)

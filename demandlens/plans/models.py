@@ -83,10 +83,9 @@ def m4(t: Star) -> DataFrame:
     return rounded(t.table("customer").select("c_custkey", effects.percent(F.col("c_acctbal") / 10000).alias("percent")))
 
 
-@query("m5_model_rows", with_tables("entities", "entity_items", "pairs") + "SELECT entity_id, round(ln(measure), 6) AS y, role_id, CAST(city_code AS VARCHAR) AS city_code, string_agg(item_id, '|' ORDER BY item_id) AS items FROM entities LEFT JOIN pairs USING (entity_id) WHERE measure BETWEEN 1000 AND 300000 AND entity_id % 7 = 0 GROUP BY ALL")
+@query("m5_model_rows", with_tables("entities", "entity_items", "pairs") + "SELECT entity_id, round(ln(measure), 6) AS y, role_id, CAST(city_code AS VARCHAR) AS city_code, string_agg(item_id, '|' ORDER BY item_id) AS items FROM entities LEFT JOIN pairs USING (entity_id) WHERE measure BETWEEN 1000 AND 300000 GROUP BY ALL")
 def m5(t: Star) -> DataFrame:
-    some = t.entities.where("entity_id % 7 = 0")
-    rows = effects.model_rows(some, ["role_id", "city_code"], effects.EffectRules())
+    rows = effects.model_rows(t.entities, ["role_id", "city_code"], effects.EffectRules())
     lists = t.pairs.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("item_id")), "|").alias("items"))
     return rounded(rows.join(lists, "entity_id", "left"))
 

@@ -1,6 +1,7 @@
 """Metrics, trends, graphs, fit and effects on tiny tables with values worked out by hand."""
 
 import math
+import random
 from datetime import date
 
 import numpy as np
@@ -161,3 +162,30 @@ def test_fan_out_does_not_count_twice(tiny):
     naive = source_map.join(relations, "entity_id").where("item_id = 'python'").count()
     right = metrics.source_demand(source_map, relations).where("item_id = 'python'").agg(F.sum("entity_count")).first()[0]
     assert naive == 3 and right == 2
+
+
+def test_percentiles_are_exact(spark):
+    """Against sorted lists: ties, negative values, zeros, groups of one row, null keys and values, one group with most of the rows."""
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.0, -1.5, 2.25, None, rng.gauss(0, 100), rng.random(), 7.0])) for g in ["a"] * 3000 + ["b"] * 40 + ["c"] + [None] * 30]
+    df = spark.createDataFrame([*rows, ("empty", None)], "g string, v double").repartition(4)
+    points = {"low": 0.0, "p25": 0.25, "mid": 0.5, "p75": 0.75, "high": 1.0}
+    found = {r.g: r for r in metrics.percentiles(df, ["g"], "v", points).collect()}
+    for g in ("a", "b", "c", None):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        for name, q in points.items():
+            if values:
+                at = q * (len(values) - 1)
+                low, high = values[int(at)], values[min(len(values) - 1, -int(-at // 1))]
+                assert found[g][name] == pytest.approx(low + (high - low) * (at - int(at)), abs=1e-9), (g, name)
+    assert "empty" not in found
+    summary = metrics.with_percentiles(df.groupBy("g").count(), df, ["g"], "v", {"mid": 0.5})
+    assert summary.count() == 5 and summary.where("g = 'empty'").first().mid is None
+    assert metrics.percentiles(df.limit(0), ["g"], "v", points).count() == 0
+    assert metrics.percentiles(df, [], "v", {"mid": 0.5}).count() == 1
+
+
+def test_fingerprint_counts_repeated_rows(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    prints = [metrics.inventory(df, "t").first().fingerprint for df in (twice, twice.repartition(3), twice.distinct(), twice.limit(0))]
+    assert prints[0] == prints[1] and len(set(prints)) == 3 and prints[3] == "0"
