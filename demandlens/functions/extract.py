@@ -38,7 +38,7 @@ def compile_rules(catalogue: dict[str, tuple[str, list[str]]], short: dict[str,
 
 
 def rules_frame(catalogue: DataFrame) -> DataFrame:
-    """(item, term, method, confidence, rank) of a catalogue (item, name, aliases) that is too large for literals."""
+    """(item, term, method, confidence, rank) of a catalogue (item, name, aliases) that is a table, for token_matches."""
     named = catalogue.select("item", F.col("name").alias("term"), F.lit("rule_canonical").alias("method"), F.lit(CANONICAL[0]).alias("confidence"), F.lit(CANONICAL[1]).alias("rank"))
     other = catalogue.select("item", F.explode("aliases").alias("term"), F.lit("rule_alias").alias("method"), F.lit(ALIAS[0]).alias("confidence"), F.lit(ALIAS[1]).alias("rank"))
     return named.unionByName(other).distinct()
@@ -60,6 +60,36 @@ def matches(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> D
     return best.select("id", "item", "b.*")
 
 
+def token_matches(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What matches gives, for rules (item, term, method, confidence, rank) in a table of any size.
+
+    A text can hold a term only if it has the term's first ASCII word among its own, so texts meet rules by an equality join on words;
+    terms without such a word meet them by their first two characters. Only what has met is looked at with the term's pattern. Null texts
+    and terms match nothing; repeated rules count once.
+    """
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    left = F.when(F.lower("term") == "js", "(?<![A-Za-z0-9_.])").otherwise("(?<![A-Za-z0-9_])")
+    word = F.regexp_extract(F.lower("term"), "[a-z0-9_]+", 0)
+    known = rules.where(F.length("term") > 0).distinct().select(
+        "item", "term", "method", "confidence", "rank", F.concat(F.lit("(?i)"), left, quoted, F.lit("(?![A-Za-z0-9_])")).alias("pattern"), F.when(word != "", word).otherwise(F.substring(F.lower("term"), 1, 2)).alias("token"), (word == "").alias("wordless")
+    )
+    low = F.lower(text_col)
+    tokens = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), 0)
+    if known.where("wordless").limit(1).count():
+        starts = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(2)))
+        signs = F.filter(F.concat(starts, F.transform(starts, lambda x: F.left(x, F.lit(1)))), lambda x: ~F.left(x, F.lit(1)).rlike("[a-z0-9_]"))
+        tokens = F.concat(tokens, F.when(F.length(low) > 0, signs).otherwise(F.array().cast("array<string>")))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    met = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokens)).alias("token")).distinct().join(known, "token")
+    asked = met.groupBy("_id").agg(F.collect_set(F.struct("item", "method", "confidence", "rank", "term", "pattern")).alias("rules"))
+    both = texts.join(asked, texts["id"].eqNullSafe(asked["_id"])).select("id", "text", F.explode("rules").alias("r"))
+    found = both.withColumn("start", F.regexp_instr("text", F.col("r.pattern")) - 1).where("start >= 0")
+    best = found.groupBy("id", F.col("r.item").alias("item")).agg(
+        F.max_by(F.struct(F.col("r.method").alias("method"), F.col("r.confidence").alias("confidence"), "start", F.substring(F.col("text"), F.col("start") + 1, F.length("r.term")).alias("matched")), F.struct("r.confidence", "r.rank", -F.col("start"), F.length("r.term"), "r.term")).alias("b")
+    )
+    return best.select("id", "item", "b.*")
+
+
 def structured(docs: DataFrame, aliases: DataFrame, id_col: str, list_col: str) -> DataFrame:
     """(id, item, method, confidence, matched) of a JSON list of terms looked up in an alias table (term, item)."""
     terms = docs.select(F.col(id_col).alias("id"), F.explode(F.from_json(list_col, "array<string>")).alias("matched")).withColumn("term", F.lower(F.trim("matched")))

@@ -27,6 +27,10 @@ class DedupRules:
     simhash_title: float = 90.0
     distance: int = 3
 
+    def __post_init__(self):
+        if not (0 < self.simhash_title <= self.title <= 100 and 0 < self.same_source_text <= 100 and 0 <= self.distance <= 64):
+            raise ValueError(f"thresholds out of order: {self}")
+
 
 def eligible(records: DataFrame) -> DataFrame:
     """The valid records; raises if an id is empty or not unique, or provenance is missing."""

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.sources.shared import written
+
 MISSING = "__missing__"
 STATISTICS = ["coefficient", "error", "low", "high", "p_value", "r2", "adjusted_r2", "aic", "bic", "residual_error", "condition"]
 
@@ -76,7 +78,7 @@ def associations(entities: DataFrame, pairs: DataFrame, items: DataFrame, contro
     status: unavailable, insufficient_sample, rank_deficient, estimated, estimated_with_warning (condition number too large).
     """
     r = r or EffectRules()
-    rows = model_rows(entities, controls, r, measure).persist()
+    rows = written(model_rows(entities, controls, r, measure), "model_rows")
     judged = gates(rows, pairs, items, r)
     sums = [F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")]
     every = [x.asDict() for x in rows.groupBy(*controls).agg(*sums).collect()]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.sources.shared import written
+
 
 def requirements(pairs: DataFrame, owned: DataFrame) -> DataFrame:
     """(entity_id, required, matched, fit) of entities with at least one item. owned: (item_id), a profile."""
@@ -52,21 +54,18 @@ def select_items(cohort: DataFrame, pairs: DataFrame, items: DataFrame, owned: l
     most the budget over the least cost. items: (item_id, cost); items without a positive cost are never picked.
     """
     spark = pairs.sparkSession
-    mine = pairs.join(cohort.select("entity_id"), "entity_id", "left_semi").persist()
+    mine = written(pairs.join(cohort.select("entity_id"), "entity_id", "left_semi"), "cohort_pairs")
     priced = items.where(F.col("cost") > 0).select("item_id", "cost")
     have, steps, left = list(dict.fromkeys(owned)), [], float(budget)
-    try:
-        while True:
-            held = spark.createDataFrame([(x,) for x in have], "item_id string")
-            found = gains(mine, requirements(mine, held), held, threshold).join(priced, "item_id")
-            marginal = average_weight * F.col("average_gain") + threshold_weight * F.col("threshold_gain")
-            able = found.withColumn("marginal", F.round(marginal, 12)).where((F.col("cost") <= left + 1e-9) & (F.col("marginal") >= least_gain))
-            best = able.orderBy(F.round(F.col("marginal") / F.col("cost"), 12).desc(), F.desc("marginal"), "item_id").limit(1).collect()
-            if not best:
-                break
-            left -= best[0]["cost"]
-            have.append(best[0]["item_id"])
-            steps.append((len(steps) + 1, best[0]["item_id"], float(best[0]["cost"]), best[0]["marginal"], left))
-    finally:
-        mine.unpersist()
+    while True:
+        held = spark.createDataFrame([(x,) for x in have], "item_id string")
+        found = gains(mine, requirements(mine, held), held, threshold).join(priced, "item_id")
+        marginal = average_weight * F.col("average_gain") + threshold_weight * F.col("threshold_gain")
+        able = found.withColumn("marginal", F.round(marginal, 12)).where((F.col("cost") <= left + 1e-9) & (F.col("marginal") >= least_gain))
+        best = able.orderBy(F.round(F.col("marginal") / F.col("cost"), 12).desc(), F.desc("marginal"), "item_id").limit(1).collect()
+        if not best:
+            break
+        left -= best[0]["cost"]
+        have.append(best[0]["item_id"])
+        steps.append((len(steps) + 1, best[0]["item_id"], float(best[0]["cost"]), best[0]["marginal"], left))
     return spark.createDataFrame(steps, "step int, item_id string, cost double, marginal double, remaining double")

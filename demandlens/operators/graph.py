@@ -89,19 +89,20 @@ def synergy(node_table: DataFrame, kept: DataFrame, pmi_cap: float = 2.0) -> Dat
     return joined.select("item_id", score.alias("synergy"))
 
 
-def communities(node_table: DataFrame, kept: DataFrame, rounds: int = 12) -> DataFrame:
+def communities(node_table: DataFrame, kept: DataFrame) -> DataFrame:
     """(item_id, community, size): communities of an undirected weighted graph by moving items to the neighbour community of the largest modularity gain.
 
     Every item starts alone. In each round every item sees the gain of each neighbouring community; items whose hash has the round's
-    parity move if they gain, ties to the lesser community, so that two neighbours seldom swap. Rounds are checkpointed. Communities
-    are numbered by falling size, then by their least item. Items without edges stay alone.
+    parity move if they gain, ties to the lesser community, so that two neighbours seldom swap. Rounds are checkpointed and go on until
+    one of each parity has brought the modularity no higher than before; the division with the highest is the result. Communities are
+    numbered by falling size, then by their least item. Items without edges stay alone.
     """
     links = _both_ways(kept, F.col("jaccard").alias("w")).checkpoint()
     degree = links.groupBy("item_id").agg(F.sum("w").alias("k"))
     total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m2"))
     now = node_table.select("item_id").join(degree, "item_id", "left").select("item_id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("item_id").alias("community")).checkpoint()
-    still = 0
-    for r in range(rounds):
+    best_now, best_q, still, r = now, None, 0, 0
+    while still < 2:
         mass = now.groupBy("community").agg(F.sum("k").alias("mass"))
         toward = links.join(now.select(F.col("item_id").alias("other"), "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
         own = now.select("item_id", "k", F.col("community").alias("at"))
@@ -113,11 +114,13 @@ def communities(node_table: DataFrame, kept: DataFrame, rounds: int = 12) -> Dat
         best = best.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("gain"), F.desc("stay"), "community"))).where("place = 1")
         turn = F.pmod(F.xxhash64("item_id"), F.lit(2)) == r % 2
         moved = best.select("item_id", "k", "at", F.when(turn, F.col("community")).otherwise(F.col("at")).alias("community")).checkpoint()
-        changes = moved.where("at <> community").limit(1).count()
-        now = moved.drop("at")
-        still = 0 if changes else still + 1
-        if still == 2:
-            break
+        now, r = moved.drop("at"), r + 1
+        q = modularity(now, kept).first()["modularity"]
+        if q is not None and (best_q is None or q > best_q + 1e-9):
+            best_now, best_q, still = now, q, 0
+        else:
+            still += 1
+    now = best_now
     sizes = now.groupBy("community").agg(F.count("*").alias("size"), F.min("item_id").alias("first"))
     numbered = sizes.withColumn("number", F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1)  # one row per community
     return now.join(numbered, "community").select("item_id", F.col("number").alias("community"), "size")

@@ -141,6 +141,10 @@ class Guardrails:
     most_age_days: int = 180
     least_sources: int = 2
 
+    def __post_init__(self):
+        if not (0 <= self.least_target_share <= 1 and 0 <= self.least_item_share <= 1 and min(self.least_target, self.most_age_days, self.least_sources) >= 0):
+            raise ValueError(f"guardrails out of range: {self}")
+
 
 def eligibility(sources: DataFrame, g: Guardrails, as_of: str) -> DataFrame:
     """sources (source_role, target_count, all_count, with_items, newest) with their age in days, reasons against them in order, and eligible."""

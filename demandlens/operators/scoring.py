@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,13 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return value / F.nullif(total, F.lit(0.0))
 
 
+def checked(weights: dict[str, float], names: Iterable[str]) -> dict[str, float]:
+    """weights, if they are those of names, none negative, and add up to 1; raises otherwise."""
+    if set(weights) != set(names) or min(weights.values()) < 0 or abs(sum(weights.values()) - 1) > 1e-9:
+        raise ValueError(f"weights of {sorted(names)} must be at least 0 and add up to 1, not {weights}")
+    return weights
+
+
 @dataclass(frozen=True)
 class ConfidenceRules:
     """Weights, scales and caps of evidence confidence; the defaults are fixed values."""
@@ -71,6 +79,13 @@ class ConfidenceRules:
     high: float = 75.0
     medium: float = 50.0
 
+    def __post_init__(self):
+        checked(self.weights, ("sample", "diversity", "freshness", "metric", "agreement"))
+        if not (0 <= self.medium <= self.high <= 100 and 0 <= self.fresh_days < self.stale_days and self.agreement_scale > 0 and self.full_sample > 0 and self.full_sources > 0):
+            raise ValueError(f"levels, days or scales out of order: {self}")
+        if not all(0 <= c <= 100 for c in (self.cap_no_gold, self.cap_few_sources, self.cap_small)):
+            raise ValueError(f"caps must be between 0 and 100: {self}")
+
 
 def confidence(df: DataFrame, r: ConfidenceRules | None = None) -> DataFrame:
     """df with the components of confidence, score, level and warnings.
@@ -106,7 +121,7 @@ HALF_VALUE = 160.0
 def market_value(demand: Column, effect: Column, slope: Column, synergy: Column, trust: Column, weights: dict[str, float] | None = None) -> Column:
     """Score of 0 to 100 of demand (0 to 1), effect in percent, slope per month, synergy (0 to 1) and confidence (0 to 100)."""
     parts = {"demand": 100 * clipped(demand), "effect": scaled(effect, -20.0, 20.0), "trend": scaled(slope, -0.02, 0.02), "synergy": 100 * clipped(synergy), "confidence": trust}
-    return weighted(parts, weights or VALUE_WEIGHTS)
+    return weighted(parts, checked(weights or VALUE_WEIGHTS, VALUE_WEIGHTS))
 
 
 def cost_decay(cost: Column, half_value: Column | float = HALF_VALUE) -> Column:
@@ -117,7 +132,7 @@ def cost_decay(cost: Column, half_value: Column | float = HALF_VALUE) -> Column:
 
 def personal_roi(gain: Column, value: Column, cost: Column, trust: Column, weights: dict[str, float] | None = None) -> Column:
     """Score of 0 to 100 of a fit gain (0 to 1), a market value and confidence (0 to 100) and a cost in hours."""
-    return weighted({"gain": 100 * clipped(gain), "value": value, "cost": 100 * cost_decay(cost), "confidence": trust}, weights or ROI_WEIGHTS)
+    return weighted({"gain": 100 * clipped(gain), "value": value, "cost": 100 * cost_decay(cost), "confidence": trust}, checked(weights or ROI_WEIGHTS, ROI_WEIGHTS))
 
 
 def market_signal(demand: Column, company: Column, role: Column, synergy: Column, trust: Column, weights: dict[str, Column | float] | None = None) -> Column:
@@ -136,6 +151,10 @@ def sensitivity(df: DataFrame, key: str = "item_id", scenarios: dict[str, tuple[
     Takes demand, company, role, synergy, confidence, cost_expected. Each scenario is ranked in a partition of its own.
     """
     scenarios = scenarios or SCENARIOS
+    for w, half in scenarios.values():
+        checked(dict(zip(SIGNAL_WEIGHTS, w, strict=True)), SIGNAL_WEIGHTS)
+        if half <= 0:
+            raise ValueError("a half-value cost must be positive")
     named = F.array(*[F.struct(F.lit(s).alias("scenario"), *[F.lit(v).alias(k) for k, v in zip(SIGNAL_WEIGHTS, w, strict=True)], F.lit(h).alias("half")) for s, (w, h) in scenarios.items()])
     each = df.withColumn("s", F.explode(named))
     score = market_signal(F.col("demand"), F.col("company"), F.col("role"), F.col("synergy"), F.col("confidence"), {k: F.col(f"s.{k}") for k in SIGNAL_WEIGHTS}) * cost_decay(F.col("cost_expected"), F.col("s.half"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandlens.sources.shared import written
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,6 +38,18 @@ class Star:
 
     spark: SparkSession
     at: str
+    kept: dict[str, DataFrame] | None = None
+
+    def once(self) -> Star:
+        """The same tables, each of the large ones worked out and written when first used, for queries that use them several times."""
+        return Star(self.spark, self.at, {})
+
+    def _keep(self, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+        if self.kept is None:
+            return made()
+        if name not in self.kept:
+            self.kept[name] = written(made(), name)
+        return self.kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.at}/{name}.parquet")
@@ -53,10 +67,24 @@ class Star:
         return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]), 256)
 
     @property
-    def source_map(self) -> DataFrame:
+    def _lines(self) -> DataFrame:
+        """Lines with source and item; they are told apart by their own keys, and the record id is hashed once at the end."""
+        keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+        lines = self.table("lineitem").select(*keys, F.col("l_shipdate").cast("date").alias("observed_at")).distinct()
+        parts = self.table("part").select("p_partkey", F.col("p_name").alias("item_id"))
+        joined = lines.join(self._sources, lines.l_suppkey == F.col("s_suppkey"), "left").join(parts, lines.l_partkey == F.col("p_partkey"), "left")
+        return joined.select(F.col("l_orderkey").alias("entity_id"), self._record().alias("record_id"), "item_id", "source_id", "observed_at")
+
+    @property
+    def _sources(self) -> DataFrame:
         # supplier, nation and region are small dimensions; Spark broadcasts them where their size allows
-        sources = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("source_id"))
-        lines = self.table("lineitem")
+        return self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("r_name").alias("source_id"))
+
+    @property
+    def source_map(self) -> DataFrame:
+        if self.kept is not None:
+            return self._keep("lines", lambda: self._lines).where("source_id is not null").select("entity_id", "record_id", "source_id", "observed_at")
+        lines, sources = self.table("lineitem"), self._sources
         return lines.join(sources, lines.l_suppkey == sources.s_suppkey).select(F.col("l_orderkey").alias("entity_id"), self._record().alias("record_id"), "source_id", F.col("l_shipdate").cast("date").alias("observed_at")).distinct()
 
     @property
@@ -67,13 +95,15 @@ class Star:
 
     @property
     def entity_items(self) -> DataFrame:
+        if self.kept is not None:
+            return self._keep("entity_items", lambda: self._keep("lines", lambda: self._lines).where("item_id is not null").select("entity_id", "record_id", "item_id").distinct())
         lines, parts = self.table("lineitem"), self.table("part")
         return lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("entity_id"), self._record().alias("record_id"), F.col("p_name").alias("item_id")).distinct()
 
     @property
     def pairs(self) -> DataFrame:
         lines, parts = self.table("lineitem"), self.table("part")
-        return lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("entity_id"), F.col("p_name").alias("item_id")).distinct()
+        return self._keep("pairs", lambda: lines.join(parts, lines.l_partkey == parts.p_partkey).select(F.col("l_orderkey").alias("entity_id"), F.col("p_name").alias("item_id")).distinct())
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Star], DataFrame]], Callable[[Star], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,13 +131,15 @@ def q13(t: Star) -> DataFrame:
     return evaluate.valid_mapping(themes(t), t.items, "theme", "item_id")
 
 
-@query("q14_artifact_audit")
+@query("q14_artifact_audit", "SELECT 'as listed' AS inventory, 'ok' AS status, true AS some UNION ALL SELECT 'other sizes', 'changed', true")
 def q14(t: Star) -> DataFrame:
     path = fresh_path(t.spark, "published")
     t.entities.groupBy("role_id", "city_code").agg(F.count("*").alias("n")).write.json(path)
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     listed = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return evaluate.artifact_audit(files, listed).groupBy("status").agg(F.count("*").alias("n"))
+    inventories = {"as listed": listed, "other sizes": listed.withColumn("bytes", F.col("bytes") + 1)}
+    found = reduce(DataFrame.union, [evaluate.artifact_audit(files, i).select(F.lit(n).alias("inventory"), "status") for n, i in inventories.items()])
+    return found.groupBy("inventory", "status").agg((F.count("*") > 0).alias("some"))
 
 
 @query("t8_hash_split", f"SELECT o_orderkey, {SPLIT.format(k='o_orderkey')} AS split FROM orders")

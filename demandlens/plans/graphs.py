@@ -17,7 +17,7 @@ LEAST = 0.03
 
 
 def _edges(t: Star) -> DataFrame:
-    return graph.edges(t.pairs, t.entities.count(), least_jaccard=LEAST)
+    return graph.edges(t.once().pairs, t.entities.count(), least_jaccard=LEAST)
 
 
 @query("g1_pair_support", BASE + EDGES + " SELECT item_a, item_b, n, support_a, support_b FROM edges")

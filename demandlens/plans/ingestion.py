@@ -85,13 +85,15 @@ def s11(t: Star) -> DataFrame:
     return made.select("record", "raw_input__source_id", "source_id", "run_id")
 
 
-@query("s13_idempotent_import")
+@query("s13_idempotent_import", "SELECT CAST(0 AS BIGINT) AS again, CAST(0 AS BIGINT) AS unaccounted, true AS some")
 def s13(t: Star) -> DataFrame:
     path = fresh_path(t.spark, "inbox")
     t.table("part").select("p_partkey", "p_name").repartition(4, "p_partkey").write.parquet(path)
     found = contracts.artifacts(t.spark, path, "*.parquet")
     done = found.where(F.crc32("sha256") % 2 == 0)
-    return contracts.new_artifacts(found, done, "approved").agg(F.count("*").alias("new")).crossJoin(found.agg(F.count("*").alias("found"))).withColumn("again", F.lit(contracts.new_artifacts(found, found, "approved").count()))
+    again, new, there = (df.agg(F.count("*").alias(n)) for df, n in ((contracts.new_artifacts(found, found, "approved"), "again"), (contracts.new_artifacts(found, done, "approved"), "new"), (done, "done")))
+    one = again.crossJoin(new).crossJoin(there).crossJoin(found.agg(F.count("*").alias("found")))  # one row each
+    return one.select("again", (F.col("found") - F.col("new") - F.col("done")).alias("unaccounted"), (F.col("found") > 0).alias("some"))
 
 
 @query("s14_accounting", "SELECT count(*) AS raw, count(*) FILTER (WHERE c_custkey % 3 <> 0) AS accepted, count(*) FILTER (WHERE c_custkey % 3 = 0) AS rejected FROM customer")
@@ -173,6 +175,7 @@ def r1(t: Star) -> DataFrame:
     return found.select("event_id", "user_id", "event_type")
 
 
-@query("r2_daily_counts")
+@query("r2_daily_counts", "SELECT CAST(ts AS DATE) AS day, event_type, count(DISTINCT (user_id, ts)) AS n, CAST(0 AS BIGINT) AS late FROM events GROUP BY ALL")
 def r2(t: Star) -> DataFrame:
-    return incremental.daily_counts(t.spark, _inbox(t), fresh_path(t.spark, "days"), fresh_path(t.spark, "progress"), EVENTS, ["user_id", "event_type", "ts"], "event_type", "ts")
+    found = incremental.daily_counts(t.spark, _inbox(t), fresh_path(t.spark, "days"), fresh_path(t.spark, "progress"), EVENTS, ["user_id", "event_type", "ts"], "event_type", "ts")
+    return found.withColumn("day", F.col("day").cast("date"))

@@ -101,6 +101,7 @@ SLICED_PAIRS = """, spairs AS (SELECT DISTINCT x.entity_id, item_id FROM entity_
 
 @query("a11_sliced_demand", with_tables("entities", "source_map", "items", "entity_items") + f", {SLICED}{SLICED_PAIRS} SELECT i.item_id, i.category, CAST(coalesce(n, 0) AS BIGINT) AS entity_count, round(coalesce(n, 0) * 1e0 / (SELECT count(*) FROM sliced), 6) AS coverage, (SELECT count(*) FROM sliced) AS sample_size FROM items i LEFT JOIN (SELECT item_id, count(*) AS n FROM spairs GROUP BY 1) c ON c.item_id = i.item_id")
 def a11(t: Star) -> DataFrame:
+    t = t.once()
     return rounded(metrics.demand(t.entities, t.source_map, t.entity_items, t.items, MAIN))
 
 
@@ -113,11 +114,13 @@ p AS (SELECT item_id, count(*) * 1e0 / (SELECT count(*) FROM entities) AS pooled
 SELECT d.item_id, source_id, record_count, sample_size, round(coverage, 6) AS coverage, eligible, round(coalesce(pooled, 0), 6) AS pooled_coverage, count(*) FILTER (WHERE eligible) OVER (PARTITION BY d.item_id) AS eligible_sources,
  CASE WHEN count(*) FILTER (WHERE eligible) OVER (PARTITION BY d.item_id) >= 2 THEN round(avg(CASE WHEN eligible THEN coverage END) OVER (PARTITION BY d.item_id), 6) END AS balanced_coverage FROM dense d LEFT JOIN p ON p.item_id = d.item_id""")
 def a12(t: Star) -> DataFrame:
+    t = t.once()
     return rounded(metrics.balanced_demand(t.entities, t.source_map, t.entity_items, t.items, judged(t)))
 
 
 @query("a13_source_eligibility", with_tables("entities", "source_map", "entity_items") + JUDGED + " SELECT source_id, target_count, all_count, with_items, age_days, eligible FROM judged")
 def a13(t: Star) -> DataFrame:
+    t = t.once()
     return judged(t).select("source_id", "target_count", "all_count", "with_items", "age_days", "eligible")
 
 
@@ -195,11 +198,13 @@ def a28(t: Star) -> DataFrame:
 
 @query("a29_agreement", with_tables("source_map", "entity_items") + ", s AS (SELECT m.source_id, item_id, count(DISTINCT m.entity_id) * 1e0 / any_value(n) AS c FROM entity_items x JOIN source_map m USING (entity_id, record_id) JOIN (SELECT source_id, count(DISTINCT entity_id) AS n FROM source_map GROUP BY 1) z ON z.source_id = m.source_id GROUP BY 1, 2) SELECT item_id, count(*) AS n, round(var_pop(c), 9) AS variance, round(stddev_pop(c), 9) AS deviation, CASE WHEN var_pop(c) <= 0.0025 THEN 'High' WHEN var_pop(c) <= 0.0225 THEN 'Medium' ELSE 'Low' END AS agreement FROM s GROUP BY 1")
 def a29(t: Star) -> DataFrame:
+    t = t.once()
     return rounded(metrics.agreement(metrics.source_demand(t.source_map, t.entity_items), ["item_id"], "coverage"), 9)
 
 
 @query("a30_divergence", with_tables("source_map", "entity_items") + ", k AS (SELECT split_part(item_id, ' ', 2) AS category, count(*) FILTER (WHERE source_id = 'ASIA') * 1e0 AS l, count(*) FILTER (WHERE source_id = 'EUROPE') * 1e0 AS r FROM entity_items JOIN source_map USING (entity_id, record_id) GROUP BY 1), s AS (SELECT l / sum(l) OVER () AS p, r / sum(r) OVER () AS q FROM k) SELECT round(greatest(0e0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 6) AS divergence FROM s")
 def a30(t: Star) -> DataFrame:
+    t = t.once()
     counts = t.entity_items.join(t.source_map, ["entity_id", "record_id"]).groupBy("source_id", F.split_part(F.col("item_id"), F.lit(" "), F.lit(2)).alias("category")).agg(F.count("*").alias("n"))
     return rounded(metrics.divergence(counts, "ASIA", "EUROPE"))
 
@@ -237,26 +242,14 @@ def a34(t: Star) -> DataFrame:
     return reduce(DataFrame.union, [metrics.inventory(df, name) for name, df in tables.items()])
 
 
-@query("a35_publish_all", with_tables("entities", "entity_items", "pairs") + "SELECT coalesce(role_id, 'global') AS scope, item_id, count(*) AS entity_count FROM pairs JOIN entities USING (entity_id) GROUP BY GROUPING SETS ((item_id), (role_id, item_id))")
-def a35(t: Star) -> DataFrame:
-    joined = t.pairs.join(t.entities.select("entity_id", "role_id"), "entity_id")
-    return joined.groupingSets([["item_id"], ["role_id", "item_id"]], "role_id", "item_id").agg(F.count("*").alias("entity_count"), F.grouping("role_id").alias("g")).select(F.when(F.col("g") == 1, "global").otherwise(F.col("role_id")).alias("scope"), "item_id", "entity_count")
-
-
 @query("a36_theme_labels", f"WITH {THEMES_SQL} SELECT p_name AS item_id, string_agg(DISTINCT theme, '; ' ORDER BY theme) AS label FROM themes JOIN part ON item_id = p_name GROUP BY 1")
 def a36(t: Star) -> DataFrame:
     return metrics.theme_labels(themes(t).join(t.items.select("item_id"), "item_id"))
 
 
-@query("a37_item_profile", with_tables("entities", "items", "entity_items", "pairs") + "SELECT i.item_id, i.category, count(*) AS entity_count, round(count(*) * 1e0 / (SELECT count(*) FROM entities), 6) AS coverage, round(quantile_cont(measure, 0.5), 6) AS median, round(quantile_cont(measure, 0.25), 6) AS p25, round(quantile_cont(measure, 0.75), 6) AS p75 FROM items i JOIN pairs USING (item_id) JOIN entities USING (entity_id) WHERE item_id = 'red widget' GROUP BY 1, 2")
-def a37(t: Star) -> DataFrame:
-    one = t.items.where("item_id = 'red widget'")
-    found = metrics.demand(t.entities, t.source_map, t.entity_items, one).join(metrics.measure_by_item(t.entities, t.pairs, one).select("item_id", "median", "p25", "p75"), "item_id")
-    return rounded(found.select("item_id", "category", "entity_count", "coverage", "median", "p25", "p75"))
-
-
 @query("a38_source_catalogue", with_tables("entities", "source_map", "entity_items") + JUDGED + " SELECT r.r_name AS source_id, source_role, CAST(coalesce(n, 0) AS BIGINT) AS record_count, CASE WHEN eligible THEN 'eligible' ELSE 'not_eligible' END AS status FROM region r LEFT JOIN roles ON roles.source_id = r_name LEFT JOIN (SELECT source_id, count(DISTINCT record_id) AS n FROM source_map GROUP BY 1) s ON s.source_id = r_name LEFT JOIN judged j ON j.source_id = r_name")
 def a38(t: Star) -> DataFrame:
+    t = t.once()
     listed = t.table("region").select(F.col("r_name").alias("source_id"))
     seen = metrics.source_table(t.source_map).select("source_id", "record_count")
     known = judged(t).select("source_id", "source_role", "eligible")
@@ -274,6 +267,7 @@ def a39(t: Star) -> DataFrame:
 
 @query("a40_source_evidence_maps", with_tables("source_map", "entity_items") + ", c AS (SELECT item_id, source_id, count(DISTINCT record_id) AS n FROM entity_items JOIN source_map USING (entity_id, record_id) GROUP BY 1, 2) SELECT item_id, string_agg(source_id || '=' || n, ';' ORDER BY source_id) AS sizes FROM c GROUP BY 1")
 def a40(t: Star) -> DataFrame:
+    t = t.once()
     counts = t.entity_items.join(t.source_map, ["entity_id", "record_id"]).groupBy("item_id", "source_id").agg(F.countDistinct("record_id").alias("n"))
     maps = counts.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_id", "n")))).alias("sizes"))
     return maps.select("item_id", F.array_join(F.transform(F.map_entries("sizes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias("sizes"))
@@ -291,6 +285,7 @@ def t2(t: Star) -> DataFrame:
 
 @query("t3_top_coverage", with_tables("entities", "source_map", "items", "entity_items") + f", {SLICED}{SLICED_PAIRS}, c AS (SELECT item_id, count(*) AS n FROM spairs GROUP BY 1) SELECT i.item_id, CAST(coalesce(n, 0) AS BIGINT) AS entity_count, round(coalesce(n, 0) * 1e0 / (SELECT count(*) FROM sliced), 6) AS coverage FROM items i LEFT JOIN c ON c.item_id = i.item_id ORDER BY coalesce(n, 0) DESC, i.item_id LIMIT 20")
 def t3(t: Star) -> DataFrame:
+    t = t.once()
     found = metrics.demand(t.entities, t.source_map, t.entity_items, t.items, MAIN)
     return rounded(found.orderBy(F.coalesce("entity_count", F.lit(0)).desc(), "item_id").limit(20).select("item_id", "entity_count", "coverage"))
 

@@ -179,6 +179,13 @@ def e4(t: Star) -> DataFrame:
     return _matches(t).select("id", "item", "method", "confidence")
 
 
+@query("e4_catalogue_match", f"WITH {RULES_SQL} SELECT id, item, method, confidence FROM best WHERE item <> 'r_item'")
+def e4_catalogue(t: Star) -> DataFrame:
+    rows = [(item, name, aliases) for item, (name, aliases) in CATALOGUE.items() if item not in SHORT]
+    rules = extract.rules_frame(t.spark.createDataFrame(rows, "item string, name string, aliases array<string>"))
+    return extract.token_matches(t.table("documents"), rules, "doc_id", "text").select("id", "item", "method", "confidence")
+
+
 ALIASES_SQL = "WITH s AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS term FROM part)"
 
 

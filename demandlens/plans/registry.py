@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from demandlens.plans import evaluation, graphs, ingestion, matching, metrics, models, normalisation, scoring, slicing, trends
+from demandlens.plans import evaluation, graphs, ingestion, matching, metrics, models, normalisation, publish, scoring, slicing, trends
 from demandlens.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "graphs", "ingestion", "matching", "metrics", "models", "normalisation", "scoring", "slicing", "trends"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "graphs", "ingestion", "matching", "metrics", "models", "normalisation", "publish", "scoring", "slicing", "trends"]

@@ -9,6 +9,7 @@ from demandlens.operators import graph, metrics, scoring
 from demandlens.plans.base import Star, query, rounded, with_tables
 from demandlens.plans.graphs import EDGES, LEAST, SYNERGY
 from demandlens.plans.metrics import AS_OF, SCOPED, WINDOWS, role_counts
+from demandlens.sources.shared import written
 
 BASE = with_tables("entities", "items", "entity_items", "pairs")
 #: One row per item with the evidence that scores need.
@@ -28,12 +29,14 @@ ROBUST = ", rb AS (SELECT ev.*, best_rank, worst_rank, baseline_rank, worst_rank
 
 def evidence(t: Star) -> DataFrame:
     """Demand, breadth, synergy, confidence and cost of every item that an entity has."""
+    t = t.once()
     n = t.entities.count()
     companies = t.entities.agg(F.countDistinct("company_id").alias("companies"))
     kept = graph.edges(t.pairs, n, least_jaccard=LEAST).where("kept")
     synergy = graph.synergy(graph.nodes(t.pairs, kept, n), kept)
     age = F.greatest(F.datediff(F.lit(AS_OF).cast("date"), "event_date"), F.lit(0))
-    base = t.pairs.join(t.entities, "entity_id").groupBy("item_id").agg(F.count("*").alias("sample_size"), F.countDistinct("company_id").alias("company_count"), F.percentile(age, 0.75).alias("p75_age"))
+    base = t.pairs.join(t.entities, "entity_id").groupBy("item_id").agg(F.count("*").alias("sample_size"), F.countDistinct("company_id").alias("company_count"))
+    base = metrics.with_percentiles(base, t.pairs.join(t.entities.where("event_date is not null"), "entity_id"), ["item_id"], age, {"p75_age": 0.75})
     counts = role_counts(t)
     roles = counts.where("n >= 3").groupBy("item_id").agg(F.count("*").alias("roles"))
     wide = metrics.breadth(counts, 5).select("item_id", F.col("breadth").alias("role"))
@@ -47,7 +50,7 @@ def evidence(t: Star) -> DataFrame:
 
 def ranked(t: Star) -> DataFrame:
     """evidence with sensitivity, signal, robustness and level."""
-    ev = evidence(t).persist()
+    ev = written(evidence(t), "evidence")
     out = ev.join(scoring.sensitivity(ev), "item_id")
     out = out.withColumn("signal", scoring.market_signal(F.col("demand"), F.col("company"), F.col("role"), F.col("synergy"), F.col("confidence")))
     out = out.withColumn("robustness", scoring.robustness(F.col("rank_range"), F.col("sample_size"), F.col("company_count"), F.col("roles"), F.col("confidence"), F.col("cost_min"), F.col("cost_expected"), F.col("cost_max")))
@@ -105,6 +108,11 @@ def c9(t: Star) -> DataFrame:
 
 @query("c10_scope_ranks", BASE + SCOPED + """, c AS (SELECT "window", coalesce(role_id, 'all') AS role, item_id, count(*) AS n FROM w JOIN pairs USING (entity_id) GROUP BY GROUPING SETS (("window", item_id), ("window", role_id, item_id))) SELECT "window", role, item_id, eligibility, n, CAST(row_number() OVER (PARTITION BY "window", role, eligibility ORDER BY n DESC, item_id) AS INTEGER) AS class_rank, CASE WHEN eligibility = 'main' THEN CAST(row_number() OVER (PARTITION BY "window", role, eligibility ORDER BY n DESC, item_id) AS INTEGER) END AS demand_rank FROM c JOIN items USING (item_id)""")
 def c10(t: Star) -> DataFrame:
+    return scope_ranks(t)
+
+
+def scope_ranks(t: Star) -> DataFrame:
+    """Places of items by demand within each window, role (all for every one) and class of items."""
     cube = metrics.scope_cube(t.entities, t.pairs, AS_OF, WINDOWS).join(t.items.select("item_id", "eligibility"), "item_id")
     scoped = cube.select("window", F.when(F.col("every_role") == 1, "all").otherwise(F.col("role_id")).alias("role"), "item_id", "eligibility", F.col("entity_count").alias("n"))
     out = scoring.ordinal_rank(scoped, "n", "item_id", "class_rank", ["window", "role", "eligibility"])
@@ -122,7 +130,8 @@ def c11(t: Star) -> DataFrame:
 
 @query("c12_quadrants", BASE + EVIDENCE + SENSITIVE + ROBUST + ", q AS (SELECT quantile_cont(signal, 0.75) AS hs, quantile_cont(cost_expected, 0.75) AS hc, quantile_cont(cost_expected, 0.25) AS lc, quantile_cont(signal, 0.5) AS ms FROM rb) SELECT item_id, CASE WHEN signal >= hs AND cost_expected >= hc THEN 'high_value_high_cost' WHEN cost_expected <= lc AND signal <= ms THEN 'low_cost_average' ELSE 'other' END AS quadrant FROM rb, q")
 def c12(t: Star) -> DataFrame:
-    ev = evidence(t).withColumn("signal", scoring.market_signal(F.col("demand"), F.col("company"), F.col("role"), F.col("synergy"), F.col("confidence"))).select("item_id", "signal", "cost_expected").persist()
+    ev = evidence(t).withColumn("signal", scoring.market_signal(F.col("demand"), F.col("company"), F.col("role"), F.col("synergy"), F.col("confidence"))).select("item_id", "signal", "cost_expected")
+    ev = written(ev, "evidence")
     limits = ev.agg(F.percentile("signal", 0.75).alias("hs"), F.percentile("cost_expected", 0.75).alias("hc"), F.percentile("cost_expected", 0.25).alias("lc"), F.percentile("signal", 0.5).alias("ms"))
     quadrant = F.when((F.col("signal") >= F.col("hs")) & (F.col("cost_expected") >= F.col("hc")), "high_value_high_cost").when((F.col("cost_expected") <= F.col("lc")) & (F.col("signal") <= F.col("ms")), "low_cost_average").otherwise("other")
     return ev.crossJoin(F.broadcast(limits)).select("item_id", quadrant.alias("quadrant"))  # one row

@@ -4,21 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share; a local one where that is unset and the master is local, as in tests."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
+#: Paths given out inside each open scratch(), the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written through fresh_path inside it. Results must have been written elsewhere or collected by then."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

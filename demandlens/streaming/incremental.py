@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest(spark: SparkSession, inbox: str, table: str, checkpoint: str, schema: str, keys: list[str], time: str, lateness: str = "365 days") -> DataFrame:
-    """Appends the files of inbox that were not read before to a Parquet table, the first row of each key, and returns the table.
+def ingest(spark: SparkSession, inbox: str, table: str, checkpoint: str, schema: str, keys: list[str], time: str) -> DataFrame:
+    """Appends the files of inbox that were not read before to a Parquet table, the earliest row of each key, and returns the table.
 
-    Every file counts once, also after a restart, as the checkpoint remembers it.
+    Every file counts once, also after a restart, as the checkpoint remembers it. A row is new if the table has none with its keys (null
+    equals null), however late it comes; so a batch that is run again adds nothing twice. No state is kept but the table, of which each
+    batch reads the keys.
     """
+
+    def append(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        first = batch.groupBy(*keys).agg(F.min_by(F.struct(*batch.columns), F.struct(time, F.xxhash64(*batch.columns))).alias("row")).select("row.*")
+        there = own.read.schema(schema).parquet(table).select(*[F.col(k).alias(f"_{k}") for k in keys])
+        seen = [first[k].eqNullSafe(there[f"_{k}"]) for k in keys]
+        first.join(there, reduce(Column.__and__, seen), "left_anti").write.mode("append").parquet(table)
+
+    spark.createDataFrame([], schema).write.mode("append").parquet(table)  # so that the first batch finds a table
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(inbox)
-    first = rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
-    query = first.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(table)
 
 

@@ -160,3 +160,16 @@ def test_near_titles_misses_none(spark):
     for least in (75.0, 90.0, 96.0):
         got = {(r.left_title, r.right_title) for r in dedup.near_titles(df, ["k"], "t", least).collect()}
         assert got == {(a, b) for a in titles for b in titles if a < b and round(ratio(a, b), 6) >= least}
+
+
+def test_a_split_pair_parts_whichever_is_the_representative(spark):
+    # the second id is the first by source, so that it represents the pair
+    merged = dedup.deduplicate(records(spark, {"source_id": "z"}, {"source_id": "a"}))
+    split = dedup.apply_decisions(merged, spark.createDataFrame([("r0", "r1", "different")], "left_id string, right_id string, decision string"))
+    assert merged.select("entity_id").distinct().count() == 1 and split.select("entity_id").distinct().count() == 2
+
+
+def test_pair_sample_is_linear(spark):
+    df = dedup.keyed(records(spark, *[{"title": f"t{k % 3}"} for k in range(30)]))
+    rows = dedup.pair_sample(df).collect()
+    assert len(rows) == 5 and sorted(r.kind for r in rows) == ["cross_source_negative"] * 2 + ["easy"] * 3

@@ -189,3 +189,18 @@ def test_fingerprint_counts_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "b")], "k int, v string")
     prints = [metrics.inventory(df, "t").first().fingerprint for df in (twice, twice.repartition(3), twice.distinct(), twice.limit(0))]
     assert prints[0] == prints[1] and len(set(prints)) == 3 and prints[3] == "0"
+
+
+def test_parameters_are_checked():
+    from demandlens.operators import dedup, scoring
+
+    with pytest.raises(ValueError, match="add up to 1"):
+        scoring.ConfidenceRules(weights={"sample": 0.9, "diversity": 0.2, "freshness": 0.2, "metric": 0.15, "agreement": 0.15})
+    with pytest.raises(ValueError, match="out of order"):
+        scoring.ConfidenceRules(high=10.0)
+    with pytest.raises(ValueError, match="add up to 1"):
+        scoring.checked({"a": 0.5, "b": 0.6}, ("a", "b"))
+    with pytest.raises(ValueError, match="order"):
+        dedup.DedupRules(title=80.0)
+    with pytest.raises(ValueError, match="range"):
+        metrics.Guardrails(least_target_share=2.0)

@@ -60,3 +60,13 @@ def test_similarity(spark):
     prints = {r.t: r.p for r in spark.createDataFrame([("ab",), ("the same words here and there",), ("the same words here and then",), (None,)], "t string").select("t", similarity.simhash(F.col("t")).alias("p")).collect()}
     assert prints["ab"] is None and prints[None] is None
     assert (prints["the same words here and there"] ^ prints["the same words here and then"]).bit_count() < 20
+
+
+def test_table_of_rules_matches_as_literals_do(spark):
+    catalogue = {"js": ("js", ["node.js"]), "cpp": ("C++", ["c plus plus"]), "dot": (".NET", []), "data": ("data analysis", ["analysis"]), "cn": ("数据", ["数据分析"]), "one": ("R", []), "q": ("a\\E|b", [])}
+    texts = ["uses JS and node.js", "x.js", "C++, .net; Data  analysis", "data analysis and analysis", "做数据分析。", "R", "r2 R.", "a\\E|b", "", None, "c plus  plus", "plain", "DATA ANALYSIS c++x C++ y"]
+    docs = spark.createDataFrame([*enumerate(texts), (3, "another text with R under the same id")], "i long, t string")
+    rules = extract.rules_frame(spark.createDataFrame([(k, n, a) for k, (n, a) in catalogue.items()], "item string, name string, aliases array<string>"))
+    want = {tuple(r) for r in extract.matches(docs, extract.compile_rules(catalogue), "i", "t").collect()}
+    got = {tuple(r) for r in extract.token_matches(docs, rules, "i", "t").collect()}
+    assert got == want and len(got) > 10

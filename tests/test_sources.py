@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import evaluate, scoring
 from demandlens.sources import contracts, readers
-from demandlens.sources.shared import fresh_path
+from demandlens.sources.shared import fresh_path, scratch
 from demandlens.streaming import incremental
 
 
@@ -106,5 +106,23 @@ def test_all_events_are_counted_by_day(spark, data):
 
     rows = registry.QUERIES["r2_daily_counts"](spark, data).collect()
     events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).distinct()
-    want = {(r.day, r.event_type): r.n for r in events.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()}
+    want = {(r.day, r.event_type): r.n for r in events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert {(r.day, r.event_type): r.n for r in rows} == want and not any(r.late for r in rows)
+
+
+def test_ingest_keeps_late_rows_and_null_keys(spark):
+    schema, start = "k long, item string, ts timestamp", datetime(2026, 1, 1)
+    inbox, table, progress = (fresh_path(spark, n) for n in ("in", "out", "progress"))
+    for rows in ([(1, "a", start), (1, "b", start - timedelta(days=3)), (None, "n", start)], [(2, "old", start - timedelta(days=3000)), (1, "c", start), (None, "m", start)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        found = incremental.ingest(spark, inbox, table, progress, schema, ["k"], "ts")
+    assert {(r.k, r.item) for r in found.collect()} == {(1, "b"), (None, "n"), (2, "old")}
+
+
+def test_scratch_is_cleared(spark):
+    with scratch(spark):
+        path = fresh_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
