@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from demandlens.sources.shared import fresh_path
+
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "fresh_path", "id_remainder", "words", "written"]
+
 #: Characters of the white space class [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    sc = spark.sparkContext
-    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that no later job computes it again."""
     path = fresh_path(df.sparkSession, name)
