@@ -92,7 +92,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that hold a benchmark window; the others stay as they were."""
-    bad = written(contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "contaminated")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_mark"))
+    """docs without the rows that hold a benchmark window; the others stay as they were.
+
+    Rows are told apart by id and text, so of rows with one id, or with none, only those whose own text has a window go. Null and empty
+    texts stay, repeated rows go or stay together, columns of any names keep their values; an empty table gives no rows.
+    """
+    bad = written(contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "contaminated")
+    same = docs[id_col].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["bad_mark"])
     return docs.join(bad, same, "left_anti")

@@ -136,15 +136,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
 
     It is a row with the least id, or any row where all ids of the group are null; of several texts under that id the one with the least
     digest. Rows are told apart by id and digest, so groups without an id, or with an id that others have too, each keep their row.
+    Null and blank texts are one group; of repeated rows one stays; columns of any names keep their values; an empty table gives no rows.
     """
+    own = docs.columns
     digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
     rows = _grouped(docs, id_col, text_col, near, {"digest": digest}).where(F.col("id").eqNullSafe(F.col("component_id")))
     equals = rows.groupBy("root", "id", "digest").agg(F.count("*").alias("copies"))
-    firsts = equals.groupBy("root").agg(F.min(F.struct("digest", "id", "copies")).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.digest").alias("_digest"), "f.copies")
+    firsts = equals.groupBy("root").agg(F.min(F.struct("digest", "id", "copies")).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.digest").alias("first_digest"), "f.copies")
     firsts = written(firsts, "firsts")
-    same = docs[id_col].cast("long").eqNullSafe(firsts["_id"]) & (F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256) == firsts["_digest"])
+    same = docs[id_col].cast("long").eqNullSafe(firsts["first_id"]) & (F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256) == firsts["first_digest"])
     kept = docs.join(firsts, same, "left_semi")
     if not firsts.where("copies > 1").limit(1).count():
         return kept
     # equal digests are one group, so that one row per id and digest is one per group
-    return kept.withColumns({"_id": F.col(id_col).cast("long"), "_digest": digest}).dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).cast("long").alias("id"), digest.alias("digest"))
+    return rows.dropDuplicates(["id", "digest"]).select(*[F.col(f"row.`{c}`").alias(c) for c in own])

@@ -18,6 +18,8 @@ from demandlens.llm.common import fresh_path, written
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Bytes of records after which a bundle ends; least payload that is stored once only; compression level.
 BUNDLE_BYTES, LEAST_BYTES, LEVEL = 16_000_000, 0, 3
+#: Payloads that occur more than once and whose digests (about 60 bytes each) are broadcast; with more of them all payloads are dealt by digest.
+MOST_FIRSTS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, bundle string, frame int, offset long, frame_bytes long"
 
@@ -102,8 +104,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = rows.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "digest")
+    # only payloads that occur more than once are looked up, and while these are few no payload leaves its task
+    firsts = written(rows.select("digest", "page_id").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").drop("n"), "firsts")
+    joined = rows.join(F.broadcast(firsts) if firsts.count() <= MOST_FIRSTS else firsts, "digest", "left")
     revisit = (F.length("payload") >= least_bytes) & F.coalesce(F.col("first") < F.col("page_id"), F.col("page_id").isNull() & F.col("first").isNotNull())
     marked = joined.select("page_id", "url", "payload", "first", F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
