@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandlens.sources.shared import written
@@ -49,83 +50,184 @@ def gates(rows: DataFrame, pairs: DataFrame, items: DataFrame, r: EffectRules) -
     return joined.select("item_id", "n", "with_item", "without_item", F.when(F.col("n") == 0, "unavailable").when(~enough, "insufficient_sample").otherwise("candidate").alias("status"))
 
 
-def _design(levels: dict[str, list[str]], cells: list[dict]) -> tuple[np.ndarray, list[str]]:
-    """Intercept and drop-first dummies of each cell; columns that depend on those before them are left out."""
-    names = ["const"] + [f"{c}={v}" for c, vs in levels.items() for v in vs[1:]]
-    x = np.ones((len(cells), len(names)))
-    k = 1
-    for c, vs in levels.items():
-        for v in vs[1:]:
-            x[:, k] = [float(cell[c] == v) for cell in cells]
-            k += 1
-    gram, kept, basis = x.T @ x, [], []
-    for j in range(len(names)):
-        v = x[:, j].copy()
-        for b in basis:
-            v -= (b @ v) * b
-        if np.linalg.norm(v) > 1e-8 * max(1.0, np.sqrt(gram[j, j])):
+@dataclass(frozen=True)
+class Columns:
+    """Intercept and drop-first dummies: the columns of the controls that do not depend on those before them."""
+
+    controls: tuple[str, ...]
+    place: dict[tuple[str, str], int]
+    width: int
+
+    def of(self, pdf: pd.DataFrame) -> np.ndarray:
+        x = np.zeros((len(pdf), self.width))
+        x[:, 0] = 1
+        for c in self.controls:
+            at = np.array([self.place.get((c, v), -1) for v in pdf[c]], np.int64)
+            x[np.flatnonzero(at >= 0), at[at >= 0]] = 1
+        return x
+
+
+def _columns(cells: DataFrame, controls: list[str]) -> tuple[Columns, np.ndarray, np.ndarray, float]:
+    """The columns kept, their Gram matrix and products with y over all rows, and the sum of squares of y.
+
+    The driver gets the values of the controls and the sums over pairs of columns, never rows or combinations of values.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in controls])).alias("x")
+    levels: dict[str, list[str]] = {c: [] for c in controls}
+    for r in cells.select(named).select("x.c", "x.v").distinct().collect():
+        levels[r["c"]].append(r["v"])
+    place = {(c, v): k for k, (c, v) in enumerate(((c, v) for c in controls for v in sorted(levels[c])[1:]), 1)}
+    wide = Columns(tuple(controls), place, 1 + len(place))
+
+    def sums(parts):
+        gram, right, squares = np.zeros((wide.width, wide.width)), np.zeros(wide.width), 0.0
+        for pdf in parts:
+            x = wide.of(pdf)
+            gram += x.T @ (x * pdf["n"].to_numpy(float)[:, None])
+            right += x.T @ pdf["sy"].to_numpy(float)
+            squares += float(pdf["syy"].sum())
+        i, j = np.nonzero(gram)
+        yield pd.DataFrame({"i": [*i, *range(wide.width), -1], "j": [*j, *([-1] * wide.width), -1], "v": [*gram[i, j], *right, squares]})
+
+    gram, right, squares = np.zeros((wide.width, wide.width)), np.zeros(wide.width), 0.0
+    for r in cells.mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        if r["j"] >= 0:
+            gram[r["i"], r["j"]] = r["v"]
+        elif r["i"] >= 0:
+            right[r["i"]] = r["v"]
+        else:
+            squares = r["v"]
+    kept: list[int] = []
+    for j in range(wide.width):
+        rest = gram[j, j]
+        if kept:
+            rest -= gram[j, kept] @ np.linalg.solve(gram[np.ix_(kept, kept)], gram[kept, j])
+        if rest > 1e-9 * max(1.0, gram[j, j]):
             kept.append(j)
-            basis.append(v / np.linalg.norm(v))
-    return x[:, kept], [names[j] for j in kept]
+    new = {old: k for k, old in enumerate(kept)}
+    narrow = Columns(wide.controls, {key: new[k] for key, k in place.items() if k in new}, len(kept))
+    return narrow, gram[np.ix_(kept, kept)], right[kept], squares
 
 
 def associations(entities: DataFrame, pairs: DataFrame, items: DataFrame, controls: list[str], r: EffectRules | None = None, measure: str = "measure") -> DataFrame:
     """Per item: coefficient of having it in ln(measure) ~ 1 + item + controls, HC3 error, interval, p-value and fit statistics.
 
     Rows with equal controls and item have equal design rows and leverages, so the fit needs only counts and sums of y and y squared of
-    these cells. The cell table is as large as the combinations of control values that occur, whatever the number of entities; it alone
-    reaches the driver. Each item's small linear system is solved in a task of its own. Normal quantiles are used for intervals.
+    these cells, which stay in Spark tables. The controls' part of the normal equations is one small matrix for all items; what an item
+    adds is its counts by column. A scan over the cells then adds up the robust error of many items at once, PASS_ITEMS a pass. The
+    driver holds matrices of as many rows as the controls have values, and the solutions of one pass. Normal quantiles give intervals.
     status: unavailable, insufficient_sample, rank_deficient, estimated, estimated_with_warning (condition number too large).
     """
     r = r or EffectRules()
-    rows = written(model_rows(entities, controls, r, measure), "model_rows")
-    judged = gates(rows, pairs, items, r)
+    rows = model_rows(entities, controls, r, measure)
+    if not controls:
+        rows, controls = rows.withColumn("_every", F.lit("every")), ["_every"]
+    rows = written(rows, "model_rows")
+    judged = written(gates(rows, pairs, items, r), "gates")
     sums = [F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")]
-    every = [x.asDict() for x in rows.groupBy(*controls).agg(*sums).collect()]
-    levels = {c: sorted({cell[c] for cell in every}) for c in controls}
-    base = _design(levels, every)[0] if every else np.zeros((0, 1))
-    n0, s0, q0 = (np.array([float(c[k]) for c in every]) for k in ("n", "sy", "syy"))
-    z = NormalDist().inv_cdf(0.5 + r.level / 2)
-
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = {tuple(x[c] for c in controls): x for x in pdf.to_dict("records")}
-        one = [mine.get(tuple(c[k] for k in controls), {"n": 0, "sy": 0.0, "syy": 0.0}) for c in every]
-        n1, s1, q1 = (np.array([float(c[k]) for c in one]) for k in ("n", "sy", "syy"))
-        found = _solve(base, np.concatenate((n1, n0 - n1)), np.concatenate((s1, s0 - s1)), np.concatenate((q1, q0 - q1)), z, r)
-        return pd.DataFrame([{"item_id": pdf["item_id"].iloc[0], "fit": found["status"], **{k: found.get(k) for k in STATISTICS}}]).astype(dict.fromkeys(STATISTICS, float))
-
+    cells = written(rows.groupBy(*controls).agg(*sums), "cells")
     candidates = judged.where("status = 'candidate'").select("item_id")
-    cells = pairs.join(candidates, "item_id").join(rows, "entity_id").groupBy("item_id", *controls).agg(*sums)
-    fits = cells.groupBy("item_id").applyInPandas(fitted, "item_id string, fit string, " + ", ".join(f"{k} double" for k in STATISTICS))
-    return judged.join(fits, "item_id", "left").select("item_id", F.coalesce("fit", "status").alias("status"), "n", "with_item", "without_item", *STATISTICS)
-
-
-def _solve(base: np.ndarray, n: np.ndarray, sy: np.ndarray, syy: np.ndarray, z: float, r: EffectRules) -> dict:
-    """Fit over cells of equal rows: the first half of the cells has the item. base: control columns of the cells."""
-    flag = np.concatenate((np.ones(len(base)), np.zeros(len(base))))
-    x = np.column_stack((np.concatenate((base, base)), flag))
-    use = n > 0.5
-    x, n, sy, syy = x[use], n[use], sy[use], syy[use]
-    total, p = n.sum(), x.shape[1]
-    if total <= p or np.linalg.matrix_rank(x * np.sqrt(n)[:, None]) < p:
-        return {"status": "rank_deficient"}
-    inverse = np.linalg.inv(x.T @ (x * n[:, None]))
-    beta = inverse @ (x.T @ sy)
-    fitted = x @ beta
-    leverage = np.einsum("ij,jk,ik->i", x, inverse, x)
-    squares = syy - 2 * fitted * sy + n * fitted**2  # sums of squared residuals of the cells
-    weight = np.maximum(squares, 0) / np.maximum(1 - leverage, 1e-12) ** 2
-    cov = inverse @ (x.T @ (x * weight[:, None])) @ inverse
-    b, error = float(beta[-1]), float(np.sqrt(max(cov[-1, -1], 0.0)))
-    rss, tss = float(np.maximum(squares, 0).sum()), float(syy.sum() - sy.sum() ** 2 / total)
-    r2 = 1 - rss / tss if tss > 0 else 0.0
-    likelihood = -total / 2 * (np.log(2 * np.pi * max(rss, 1e-300) / total) + 1)
-    condition = float(np.linalg.cond(x * np.sqrt(n)[:, None]))
-    p_value = 2 * (1 - NormalDist().cdf(abs(b) / error)) if error > 0 else 0.0
-    return {
-        "status": "estimated_with_warning" if condition > r.condition else "estimated", "coefficient": b, "error": error, "low": b - z * error, "high": b + z * error, "p_value": p_value, "r2": r2,
-        "adjusted_r2": 1 - (1 - r2) * (total - 1) / (total - p), "aic": float(2 * p - 2 * likelihood), "bic": float(p * np.log(total) - 2 * likelihood), "residual_error": float(np.sqrt(rss / (total - p))), "condition": condition,
-    }
+    own = written(pairs.join(candidates, "item_id").join(rows, "entity_id").groupBy("item_id", *controls).agg(*sums), "item_cells")
+    if not own.limit(1).count():
+        return judged.select("item_id", "status", "n", "with_item", "without_item", *[F.lit(None).cast("double").alias(k) for k in STATISTICS])
+    x, gram, right, squares = _columns(cells, controls)
+    inverse, total = np.linalg.inv(gram), gram[0, 0]
+    spread = squares - right[0] ** 2 / total  # of y around its mean
+
+    def counts(parts):
+        for pdf in parts:
+            row, at = np.nonzero(x.of(pdf))
+            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[row], "at": at, "n": pdf["n"].to_numpy(float)[row], "sy": pdf["sy"].to_numpy(float)[row]})
+
+    def solved(parts):
+        for pdf in parts:
+            yield pd.DataFrame([_solved(i, n, sy, x.width, gram, inverse, right, squares) for i, n, sy in zip(pdf["item_id"], pdf["counts"], pdf["sy"], strict=True)], columns=["item_id", "deficient", *SOLUTION])
+
+    by_column = own.mapInPandas(counts, "item_id string, at int, n double, sy double").groupBy("item_id", "at").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
+    per_item = by_column.groupBy("item_id").agg(F.collect_list(F.struct("at", "n")).alias("counts"), F.max(F.when(F.col("at") == 0, F.col("sy"))).alias("sy"))
+    solution = per_item.mapInPandas(solved, "item_id string, deficient boolean, slope array<double>, beta array<double>, b double, own double, rest double, condition double")
+    solution = written(solution.withColumn("number", F.row_number().over(W.orderBy("item_id")) - 1), "solution")  # one row for each item
+
+    errors = None
+    for k in range(0, solution.count(), PASS_ITEMS):
+        some = solution.where(~F.col("deficient") & F.col("number").between(k, k + PASS_ITEMS - 1))
+        part = _robust(cells, own, controls, x, inverse, some.orderBy("number").collect())
+        errors = part if errors is None else errors.unionByName(part)
+    z, width = NormalDist().inv_cdf(0.5 + r.level / 2), x.width + 1
+
+    def told(parts):
+        for pdf in parts:
+            b, error, rss = pdf["b"].to_numpy(float), np.sqrt(np.maximum(pdf["meat"].to_numpy(float), 0)) / pdf["own"].to_numpy(float), np.maximum(pdf["rest"].to_numpy(float), 0)
+            r2 = 1 - rss / spread if spread > 0 else np.zeros(len(b))
+            likelihood = -total / 2 * (np.log(2 * np.pi * np.maximum(rss, 1e-300) / total) + 1)
+            p_value = [2 * (1 - NormalDist().cdf(abs(v) / e)) if e > 0 else 0.0 for v, e in zip(b, error, strict=True)]
+            yield pd.DataFrame({
+                "item_id": pdf["item_id"], "fit": np.where(pdf["condition"] > r.condition, "estimated_with_warning", "estimated"), "coefficient": b, "error": error, "low": b - z * error, "high": b + z * error, "p_value": p_value, "r2": r2,
+                "adjusted_r2": 1 - (1 - r2) * (total - 1) / (total - width), "aic": 2 * width - 2 * likelihood, "bic": width * np.log(total) - 2 * likelihood, "residual_error": np.sqrt(rss / (total - width)), "condition": pdf["condition"],
+            })
+
+    able = solution.where("not deficient").join(errors, "item_id") if total > width and errors is not None else None
+    schema = "item_id string, fit string, " + ", ".join(f"{k} double" for k in STATISTICS)
+    fits = able.mapInPandas(told, schema) if able is not None else entities.sparkSession.createDataFrame([], schema)
+    status = F.when(F.col("status") != "candidate", F.col("status")).otherwise(F.coalesce("fit", F.lit("rank_deficient")))
+    return judged.join(fits, "item_id", "left").select("item_id", status.alias("status"), "n", "with_item", "without_item", *STATISTICS)
+
+
+#: Items whose solutions one scan over the cells takes along, and numbers in the largest matrix of a scan.
+PASS_ITEMS, SCAN = 1000, 2_000_000
+SOLUTION = ["slope", "beta", "b", "own", "rest", "condition"]
+
+
+def _solved(item: str, counts: list, sy: float, width: int, gram: np.ndarray, inverse: np.ndarray, right: np.ndarray, squares: float) -> tuple:
+    """An item's coefficient b, those of the controls (beta), the item regressed on the controls (slope) and what is left of it (own)."""
+    c = np.zeros(width)
+    for x in counts:
+        c[x["at"]] = x["n"]
+    slope, n = inverse @ c, c[0]
+    own = n - c @ slope
+    if own <= 1e-9 * max(1.0, n):
+        return (item, True, [], [], None, None, None, None)
+    plain = inverse @ right
+    b = (sy - c @ plain) / own
+    beta = plain - slope * b
+    whole = np.block([[gram, c[:, None]], [c[None, :], np.array([[n]])]])
+    values = np.linalg.eigvalsh(whole)
+    condition = float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else float("inf")
+    return (item, False, slope.tolist(), beta.tolist(), float(b), float(own), float(squares - right @ beta - sy * b), condition)
+
+
+def _robust(cells: DataFrame, own: DataFrame, controls: list[str], x: Columns, inverse: np.ndarray, solutions: list) -> DataFrame:
+    """(item_id, meat): for each solution the sum over rows of squared own parts by squared residuals over (1 - leverage) squared.
+
+    Each cell meets the sums of the items it has; rows of the cell without an item have what is left of the cell's sums.
+    """
+    names, number = [r["item_id"] for r in solutions], {r["item_id"]: k for k, r in enumerate(solutions)}
+    slope, beta = (np.array([r[k] for r in solutions]).reshape(len(solutions), x.width).T for k in ("slope", "beta"))
+    b, left = (np.array([r[k] for r in solutions]) for k in ("b", "own"))
+    step = max(1, SCAN // max(1, len(solutions)))
+
+    def scan(parts):
+        meat = np.zeros(len(names))
+        for whole in parts:
+            for k in range(0, len(whole), step):
+                pdf = whole.iloc[k : k + step]
+                with_item = np.zeros((3, len(pdf), len(names)))
+                for i, found in enumerate(pdf["found"]):
+                    for f in found if found is not None else ():
+                        if f["item_id"] in number:
+                            with_item[:, i, number[f["item_id"]]] = f["n"], f["sy"], f["syy"]
+                rows = x.of(pdf)
+                base = np.einsum("ij,jk,ik->i", rows, inverse, rows)[:, None]
+                part, fitted = rows @ slope, rows @ beta
+                without = pdf[["n", "sy", "syy"]].to_numpy(float).T[:, :, None] - with_item
+                for (n, sy, syy), d, f in ((with_item, 1 - part, fitted + b), (without, -part, fitted)):
+                    residual = np.where(n > 0.5, np.maximum(syy - 2 * f * sy + n * f**2, 0), 0)
+                    meat += (d**2 * residual / np.maximum(1 - base - d**2 / left, 1e-12) ** 2).sum(axis=0)
+        yield pd.DataFrame({"item_id": names, "meat": meat})
+
+    listed = own.groupBy(*controls).agg(F.collect_list(F.struct("item_id", "n", "sy", "syy")).alias("found"))  # at most one entry for each item
+    joined = cells.join(listed, controls, "left")
+    return joined.mapInPandas(scan, "item_id string, meat double").groupBy("item_id").agg(F.sum("meat").alias("meat"))
 
 
 def rank_correlation(internal: DataFrame, external: DataFrame, aliases: DataFrame, diverge: int = 20) -> DataFrame:
