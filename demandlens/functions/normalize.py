@@ -29,18 +29,18 @@ MONTHLY_FACTORS = {"year": 1 / 12, "month": 1.0, "week": 52 / 12, "day": 260 / 1
 def _nfkc_udf() -> Callable[[Column], Column]:
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
     return nfkc
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode normal form KC. Spark has no such function, so this is a vectorised UDF; skip it where the data is ASCII."""
+    """Unicode normal form KC. Spark has no such function, so this is a vectorised UDF, which hands ASCII on as it is."""
     return _nfkc_udf()(c)
 
 
-def text(c: Column, compatible: bool = False) -> Column:
-    """Trimmed lower-case text with single spaces; null if nothing is left. compatible: normal form KC first."""
+def text(c: Column, compatible: bool = True) -> Column:
+    """Trimmed lower-case text with single spaces; null if nothing is left. compatible: normal form KC first; switch it off where all data is ASCII."""
     c = nfkc(c) if compatible else c
     return F.nullif(F.lower(F.trim(F.regexp_replace(c, "\\s+", " "))), F.lit(""))
 
@@ -121,7 +121,7 @@ def date_until(c: Column, cutoff: Column, placeholders: tuple[str, ...] = ("1970
     return F.when((found <= cutoff) & ~found.cast("string").isin(*placeholders), found)
 
 
-def salary(c: Column, compatible: bool = False) -> Column:
+def salary(c: Column, compatible: bool = True) -> Column:
     """Struct of low, high, mid (monthly), annual, months and status of a written pay range: 20-30K·13薪, 200-300元/天, 20-30万/年.
 
     A range that falls, starts at zero or is not finite, and months outside 12 to 24, are invalid_range; nothing else is guessed.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demandlens.functions.normalize import nfkc
 from demandlens.functions.similarity import may_reach, ratio_udf, simhash
 from demandlens.operators.components import components
 from demandlens.sources.shared import ensure_checkpoints, written
@@ -52,7 +53,7 @@ def keyed(records: DataFrame) -> DataFrame:
         return F.coalesce(F.trim(F.col(c).cast("string")), F.lit(""))
 
     df = records.withColumn("city_key", F.lower(plain("city"))).withColumn("company_key", plain("company")).withColumn("title_key", F.lower(plain("title")))
-    df = df.withColumn("body", F.regexp_replace(F.lower(plain("description")), "\\s+", ""))
+    df = df.withColumn("body", F.regexp_replace(F.lower(nfkc(plain("description"))), "(?U)\\s+", ""))
     titles = F.concat_ws(" ", plain("title_raw"), F.col("title_key"))
     band = F.lower(plain("experience_band"))
     level = F.coalesce(*[F.when(titles.rlike(f"(?iU){p}"), F.lit(n)) for n, p in SENIORITY], F.when(~band.isin("", "unlimited", "unknown"), band))

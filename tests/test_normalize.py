@@ -70,3 +70,8 @@ def test_table_of_rules_matches_as_literals_do(spark):
     want = {tuple(r) for r in extract.matches(docs, extract.compile_rules(catalogue), "i", "t").collect()}
     got = {tuple(r) for r in extract.token_matches(docs, rules, "i", "t").collect()}
     assert got == want and len(got) > 10
+
+
+def test_compatible_forms_are_one(spark):
+    assert one(spark, normalize.text, " Ｄａｔａ　Ａnalyst（Ｌ）① ") == "data analyst(l)1" and one(spark, normalize.text, "　") is None
+    assert one(spark, lambda c: normalize.text(c, compatible=False), " Ａb  C ") == "ａb c"
