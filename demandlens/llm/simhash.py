@@ -79,9 +79,9 @@ def links(prints: DataFrame, near: int = NEAR, blocks: int = BLOCKS, chunk: int
     the edges of a spanning forest, so no task holds more than about two chunks and no group is written out as all its pairs.
     """
     masks = block_masks(near, blocks)
+    # the prints are few bytes, which Spark would leave in few tasks, but each becomes 35 rows
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the prints are few bytes in few partitions, but each becomes 35 rows
-    keyed = prints.select("fp").repartition(tasks, "fp").select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("k.b", "k.key", "fp")
+    keyed = written(prints.select("fp").repartition(tasks), "fingerprints").select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("k.b", "k.key", "fp")
     sizes = written(keyed.groupBy("b", "key").agg(F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).where("n > 1"), "blocks")
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= near
     pairs = sizes.where("n = 2").where(close).select("u", "v")
