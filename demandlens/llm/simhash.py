@@ -14,6 +14,8 @@ from demandlens.llm.common import written
 from demandlens.operators.components import components
 
 SHINGLE, SEED, NEAR, BLOCKS, CHUNK = 4, 42, 4, 7, 4096
+#: Blocks of more than two prints (about 25 bytes each) that are broadcast, so that prints in no such block are never dealt out; more are joined.
+MOST_BLOCKS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -88,8 +90,9 @@ def links(prints: DataFrame, near: int = NEAR, blocks: int = BLOCKS, chunk: int
 
     parts = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    large = sizes.where("n > 2").select("b", "key", "n")
     units = (
-        keyed.join(sizes.where("n > 2").select("b", "key", "n"), ["b", "key"])
+        keyed.join(F.broadcast(large) if large.count() <= MOST_BLOCKS else large, ["b", "key"])
         .select("b", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
         .select("b", "key", "fp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         .groupBy("b", "key", "i", "j")
