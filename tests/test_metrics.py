@@ -204,3 +204,52 @@ def test_parameters_are_checked():
         dedup.DedupRules(title=80.0)
     with pytest.raises(ValueError, match="range"):
         metrics.Guardrails(least_target_share=2.0)
+
+
+def test_greedy_selection_against_a_plain_loop(spark):
+    rng = random.Random(8)
+    sets = {f"e{k}": {f"i{rng.randrange(9)}" for _ in range(rng.randrange(1, 6))} for k in range(40)}
+    costs = {f"i{k}": float(rng.randrange(1, 9)) for k in range(9)} | {"i8": 0.0}
+    owned, left, want = {"i0"}, 15.0, []
+    while True:
+        best = None
+        for item, cost in costs.items():
+            lacking = [s for s in sets.values() if item in s and item not in owned]
+            lifted = sum(len(s & owned) / len(s) < 0.7 <= (len(s & owned) + 1) / len(s) for s in lacking)
+            marginal = 0.6 * sum(1 / len(s) for s in lacking) / len(sets) + 0.4 * lifted / len(sets)
+            if lacking and 0 < cost <= left and marginal >= 1e-6:
+                best = min(x for x in (best, (-round(marginal / cost, 12), -round(marginal, 12), item)) if x)
+        if not best:
+            break
+        owned.add(best[2])
+        left -= costs[best[2]]
+        want.append((best[2], left))
+    pairs = spark.createDataFrame([(e, i) for e, s in sets.items() for i in s], "entity_id string, item_id string")
+    cohort, priced = spark.createDataFrame([(e,) for e in sets], "entity_id string"), spark.createDataFrame(list(costs.items()), "item_id string, cost double")
+    assert [(r.item_id, r.remaining) for r in fit.select_items(cohort, pairs, priced, ["i0"], 15.0).collect()] == want and len(want) > 2
+
+
+def test_communities_against_the_best_division(spark):
+    """On small graphs the modularity found is near that of the best of all divisions."""
+    rng = random.Random(4)
+    names = "abcdefg"
+    edges = [(a, b, round(rng.uniform(0.1, 1), 2)) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < (0.9 if (a < "d") == (b < "d") else 0.25)]
+    total, degree = 2 * sum(w for *_, w in edges), {n: sum(w for a, b, w in edges if n in (a, b)) for n in names}
+
+    def quality(at):
+        return sum(2 * w for a, b, w in edges if at[a] == at[b]) / total - sum((sum(degree[n] for n in names if at[n] == c) / total) ** 2 for c in set(at.values()))
+
+    def divisions(k, used):
+        if k == len(names):
+            yield {}
+            return
+        for c in range(used + 1):
+            for rest in divisions(k + 1, max(used, c + 1)):
+                yield {names[k]: c} | rest
+
+    best = max(quality(at) for at in divisions(0, 0))
+    kept = spark.createDataFrame([(a, b, 1, w, 0.0) for a, b, w in edges], "item_a string, item_b string, n int, jaccard double, pmi_nat double")
+    member = graph.communities(spark.createDataFrame([(n,) for n in names], "item_id string"), kept)
+    found = quality({r.item_id: r.community for r in member.collect()})
+    assert best - 0.05 <= found <= best + 1e-9
+    assert graph.modularity(member, kept).first().modularity == pytest.approx(found, abs=1e-9)

@@ -3,6 +3,7 @@
 from datetime import date
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from demandlens.functions import extract, normalize, similarity
@@ -75,3 +76,15 @@ def test_table_of_rules_matches_as_literals_do(spark):
 def test_compatible_forms_are_one(spark):
     assert one(spark, normalize.text, " Ｄａｔａ　Ａnalyst（Ｌ）① ") == "data analyst(l)1" and one(spark, normalize.text, "　") is None
     assert one(spark, lambda c: normalize.text(c, compatible=False), " Ａb  C ") == "ａb c"
+
+
+def test_simhash_against_a_plain_count(spark):
+    texts = ["ab", "abc", "wir suchen menschen", "é😀é😀é", "aaaaaa" * 20, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", similarity.simhash(F.col("t")).alias("h")).collect()
+    for r in rows:
+        t = texts[r.i]
+        if t is None or len(t) < 3:
+            assert r.h is None
+            continue
+        hashes = [xxhash.xxh64_intdigest(t[k : k + 3].encode(), 42) for k in range(len(t) - 2)]
+        assert r.h % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
