@@ -89,22 +89,27 @@ def synergy(node_table: DataFrame, kept: DataFrame, pmi_cap: float = 2.0) -> Dat
     return joined.select("item_id", score.alias("synergy"))
 
 
-def communities(node_table: DataFrame, kept: DataFrame) -> DataFrame:
-    """(item_id, community, size): communities of an undirected weighted graph by moving items to the neighbour community of the largest modularity gain.
+def _quality(links: DataFrame, now: DataFrame) -> float | None:
+    """Modularity of a division (item_id, community) of links (item_id, other, w), both ways; null without links."""
+    at = now.select("item_id", "community")
+    ends = links.join(at, "item_id").join(at.select(F.col("item_id").alias("other"), F.col("community").alias("there")), "other")
+    by = ends.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("there"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("mass"))
+    sums = by.agg(F.sum("inner").alias("i"), F.sum(F.col("mass") * F.col("mass")).alias("s"), F.sum("mass").alias("m2")).first()
+    return None if not sums["m2"] else sums["i"] / sums["m2"] - sums["s"] / sums["m2"] ** 2
+
 
-    Every item starts alone. In each round every item sees the gain of each neighbouring community; items whose hash has the round's
-    parity move if they gain, ties to the lesser community, so that two neighbours seldom swap. Rounds are checkpointed and go on until
-    one of each parity has brought the modularity no higher than before; the division with the highest is the result. Communities are
-    numbered by falling size, then by their least item. Items without edges stay alone.
+def _local_moves(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(item_id, community): nodes moved to the neighbouring community of the largest modularity gain until none has anything to gain.
+
+    In each round a third of the nodes, by a hash of node and round, move if they gain, ties to the lesser community, so that two
+    neighbours seldom swap. Rounds are checkpointed; eight in a row that bring the modularity no higher end it as well.
     """
-    links = _both_ways(kept, F.col("jaccard").alias("w")).checkpoint()
-    degree = links.groupBy("item_id").agg(F.sum("w").alias("k"))
-    total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m2"))
-    now = node_table.select("item_id").join(degree, "item_id", "left").select("item_id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("item_id").alias("community")).checkpoint()
-    best_now, best_q, still, r = now, None, 0, 0
-    while still < 2:
+    degree, total = links.groupBy("item_id").agg(F.sum("w").alias("k")), links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m2"))
+    now = nodes.join(degree, "item_id", "left").select("item_id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("item_id").alias("community")).checkpoint()
+    best_now, best_q, still, r = now, _quality(links, now), 0, 0
+    while best_q is not None and still < 8:
         mass = now.groupBy("community").agg(F.sum("k").alias("mass"))
-        toward = links.join(now.select(F.col("item_id").alias("other"), "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
+        toward = links.where("item_id <> other").join(now.select(F.col("item_id").alias("other"), "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
         own = now.select("item_id", "k", F.col("community").alias("at"))
         every = toward.join(own, "item_id").unionByName(own.select("item_id", F.col("at").alias("community"), F.lit(0.0).alias("into"), "k", "at"))
         every = every.groupBy("item_id", "community", "k", "at").agg(F.sum("into").alias("into")).join(mass, "community").crossJoin(F.broadcast(total))  # one row
@@ -112,15 +117,35 @@ def communities(node_table: DataFrame, kept: DataFrame) -> DataFrame:
         gain = F.round(F.col("into") - F.col("k") * others / F.nullif(F.col("m2"), F.lit(0.0)), 12)
         best = every.withColumn("gain", F.coalesce(gain, F.lit(0.0))).withColumn("stay", (F.col("community") == F.col("at")).cast("int"))
         best = best.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("gain"), F.desc("stay"), "community"))).where("place = 1")
-        turn = F.pmod(F.xxhash64("item_id"), F.lit(2)) == r % 2
-        moved = best.select("item_id", "k", "at", F.when(turn, F.col("community")).otherwise(F.col("at")).alias("community")).checkpoint()
-        now, r = moved.drop("at"), r + 1
-        q = modularity(now, kept).first()["modularity"]
-        if q is not None and (best_q is None or q > best_q + 1e-9):
-            best_now, best_q, still = now, q, 0
-        else:
-            still += 1
-    now = best_now
+        turn = F.pmod(F.xxhash64("item_id", F.lit(r)), F.lit(3)) == 0
+        moved = best.select("item_id", "k", F.when(turn, F.col("community")).otherwise(F.col("at")).alias("community"), (F.col("community") != F.col("at")).alias("gains")).checkpoint()
+        if not moved.where("gains").limit(1).count():
+            break
+        now, r = moved.drop("gains"), r + 1
+        q = _quality(links, now)
+        best_now, best_q, still = (now, q, 0) if q > best_q + 1e-9 else (best_now, best_q, still + 1)
+    return best_now.select("item_id", "community")
+
+
+def communities(node_table: DataFrame, kept: DataFrame) -> DataFrame:
+    """(item_id, community, size): communities of an undirected weighted graph by moving items to the neighbour community of the largest modularity gain.
+
+    Every item starts alone. When no item has anything to gain, the communities are taken as items, with the weights between them summed,
+    and moved in the same way, until that no longer raises the modularity. Communities are numbered by falling size, then by their least
+    item. Items without edges stay alone.
+    """
+    links = first = _both_ways(kept, F.col("jaccard").alias("w")).checkpoint()
+    now = node_table.select("item_id", F.col("item_id").alias("community")).checkpoint()
+    best_q = _quality(first, now)
+    while best_q is not None:
+        found = _local_moves(links, now.select(F.col("community").alias("item_id")).distinct())
+        wider = now.join(found.toDF("community", "new"), "community").select("item_id", F.col("new").alias("community")).checkpoint()
+        q = _quality(first, wider)
+        if q <= best_q + 1e-9:
+            break
+        now, best_q = wider, q
+        ends = links.join(found.toDF("item_id", "a"), "item_id").join(found.toDF("other", "b"), "other")
+        links = ends.groupBy(F.col("a").alias("item_id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")).checkpoint()
     sizes = now.groupBy("community").agg(F.count("*").alias("size"), F.min("item_id").alias("first"))
     numbered = sizes.withColumn("number", F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1)  # one row per community
     return now.join(numbered, "community").select("item_id", F.col("number").alias("community"), "size")

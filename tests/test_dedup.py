@@ -29,11 +29,13 @@ def groups(df):
 
 
 def test_levels_and_guards(spark):
-    assert groups(records(spark, {}, {})) == [["r0", "r1"]]
-    assert groups(records(spark, {}, {"source_id": "s0", "description": "something else entirely, not alike"})) == [["r0"], ["r1"]]
-    assert groups(records(spark, {"title": "senior data platform analyst"}, {"title": "senior data platform analyst!"})) == [["r0", "r1"]]
-    for change in ({"city": "y"}, {"company": "other"}, {"role_id": "engineer"}, {"title": "data analyst intern"}, {"title_raw": "data analyst (unit b)"}, {"title": ""}):
-        assert groups(records(spark, {}, change)) == [["r0"], ["r1"]], change
+    """Pairs of records, each pair in a company of its own: which are merged."""
+    senior = "senior data platform analyst"
+    merged = [({}, {}), ({"title": senior}, {"title": senior + "!"})]
+    apart = [({}, {"source_id": "s0", "description": "something else entirely, not alike"})]
+    apart += [({}, change) for change in ({"city": "y"}, {"company": "other"}, {"role_id": "engineer"}, {"title": "data analyst intern"}, {"title_raw": "data analyst (unit b)"}, {"title": ""})]
+    rows = [{"company": f"c{k}", "source_id": f"s{i}"} | change for k, pair in enumerate(merged + apart) for i, change in enumerate(pair)]
+    assert groups(records(spark, *rows)) == sorted([["r0", "r1"], ["r2", "r3"], *[[f"r{i}"] for i in range(4, len(rows))]])
 
 
 def test_chain_of_three_is_not_merged_through_the_middle(spark):
