@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandlens.llm import decontam, html_text, langid, packing, pii, quality, robust_rules, simhash, token_bits, warc
+from demandlens.llm import decontam, html_text, langid, packing, pii, quality, robust_rules, simhash, spelling, sum_squares, token_bits, trie, warc
+from demandlens.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,19 @@ FROM d
 @query
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, conversations = trie.rebuilt(written(trie.placed(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "placed"))
+    return trie.trie(turns, conversations).drop("k1", "k2")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"), drop_every=199)
+
+
+@query
+def op13_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sum_squares.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
