@@ -107,6 +107,17 @@ FROM d
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
+#: CRC32 in DuckDB: the table of its 256 steps as a list, and the sum of a text's bytes by it.
+CRC_TABLE = """crc AS (
+  SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(0, 256) t(i))
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC32 of a SQL text beside the table crc."""
+    octets = f"list_transform(range(0, strlen({text})), lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295)"
+
 
 @query
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +125,56 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(turns, conversations).drop("k1", "k2")
 
 
+ORACLES["op11_prefix_trie"] = f"""
+WITH {CRC_TABLE}, p AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT c, count(*) AS n FROM p GROUP BY c), s AS (
+  SELECT c, CAST(c AS VARCHAR) AS name, c - c % 5 AS base FROM n
+), h AS (SELECT c, base, {crc32_sql("name")} % 9 AS h FROM s, crc),
+own AS (SELECT h.*, least(h.h, coalesce(b.n, 0)) AS taken FROM h LEFT JOIN n b ON b.c = h.base),
+turns AS (
+  SELECT own.c, place, r, t FROM own JOIN p ON p.c = base WHERE place <= h
+  UNION ALL SELECT own.c, place - h + taken, r, t FROM own JOIN p ON p.c = own.c WHERE place > h
+), seqs AS (SELECT n.c, coalesce(q.w, []) AS w FROM n LEFT JOIN (SELECT c, list([r, t] ORDER BY place) AS w FROM turns GROUP BY c) q USING (c)),
+m AS (SELECT c, len(w) AS l, d, w, sha256(CAST(to_json(w[1:d]) AS VARCHAR)) AS k FROM (SELECT c, w, unnest(range(0, len(w) + 1)) AS d FROM seqs)),
+node AS (
+  SELECT k, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, max(CASE WHEN d > 0 THEN strlen(w[d][2]) ELSE 0 END) AS bytes,
+         any_value(CASE WHEN d > 0 THEN sha256(CAST(to_json(w[1:d - 1]) AS VARCHAR)) END) AS up, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = l), '') AS ends
+  FROM m GROUP BY k
+), kids AS (SELECT up AS k, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM node LEFT JOIN kids USING (k)),
+above AS (SELECT DISTINCT k, sha256(CAST(to_json(w[1:j]) AS VARCHAR)) AS top FROM (SELECT k, w, unnest(range(0, d + 1)) AS j FROM m)),
+sums AS (SELECT top AS k, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above JOIN v USING (k) GROUP BY top)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN sums USING (k) LEFT JOIN node o ON o.k = v.up
+"""
+
+
 @query
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"), drop_every=199)
 
 
+ORACLES["op12_spelling"] = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT id, run, count(*) AS n, id || ':' || run AS name FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents
+  ) GROUP BY id, run
+), marked AS (SELECT run, n, {crc32_sql("name")} AS h FROM runs, crc), cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM marked
+), w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+gaps AS (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS x FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.x = b.x AND a.i = b.i AND a.word <> b.word
+  UNION SELECT gaps.word, w.word FROM gaps JOIN w ON gaps.x = w.word UNION SELECT w.word, gaps.word FROM gaps JOIN w ON gaps.x = w.word
+), best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY o.n DESC, other) AS other, max(o.n) AS top FROM near JOIN w o ON o.word = near.other GROUP BY near.word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN other END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n FROM w LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS here FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.here WHERE f.form IS NOT NULL),
+root AS (SELECT way.word, here AS root FROM way JOIN f ON f.word = way.here WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+"""
+
+
 @query
 def op13_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_squares.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from demandlens.llm.common import ascii_lower, written
 
 #: Least letters and occurrences of a word, how many times as frequent its form is, and parts of the letters of which two may differ.
-LEAST_LETTERS, LEAST_COUNT, TIMES, PARTS = 6, 5, 5, 5
+LEAST_LETTERS, LEAST_COUNT, TIMES, PARTS = 6, 5, 5, 4
 LETTERS = "a-zÀ-ÿ"
 
 
@@ -30,8 +30,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     return rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
-def signatures(word: Column, parts: int = PARTS) -> Column:
-    """PartEnum signatures of a word's letters as a binary vector, for Hamming distances of at most two.
+def signatures(word: Column, parts: int = PARTS) -> tuple[Column, Column]:
+    """The letters of a word as places of a binary vector, to be named _places, and its PartEnum signatures for Hamming distances of at most two.
 
     The vector has a place for each letter and number of occurrence: the second e is another place than the first. The places are dealt
     by a hash into parts. Vectors that differ in at most two places differ in at most two parts, so they agree in all parts of one of the
@@ -39,25 +39,39 @@ def signatures(word: Column, parts: int = PARTS) -> Column:
     """
     letters = F.array_sort(F.split(word, ""))
     places = F.transform(letters, lambda x, i: F.xxhash64(x, i - F.array_position(letters, x)))
-    each = [F.aggregate(F.filter(F.col("_places"), lambda h, q=q: F.pmod(F.shiftrightunsigned(h, 32), F.lit(parts)) == q), F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h)) for q in range(parts)]
+
+    def part(q: int) -> Column:
+        mine = F.filter(F.col("_places"), lambda h: F.pmod(F.shiftrightunsigned(h, 32), F.lit(parts)) == q)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(h))
+
+    each = [part(q) for q in range(parts)]
     return places, F.array(*[F.xxhash64(F.lit(k), *[each[q] for q in kept]) for k, kept in enumerate(combinations(range(parts), parts - 2))])
 
 
-def near_pairs(words: DataFrame, least_letters: int = LEAST_LETTERS, parts: int = PARTS) -> DataFrame:
-    """(a, b), a < b: all words that differ by exactly one letter put in, left out or replaced.
+def keys(words: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(key, short, word): what words meet by. Two words one letter apart have a key in common, with short the length of the shorter.
 
-    One such step changes the letters as a multiset in one or two places, so near words share a signature. It also leaves the first half
-    of the shortest word or as many letters at the end as they are, so a signature is joined with one of these ends; that misses
-    nothing and keeps apart what shares only letters. What has met is compared letter by letter.
+    One letter put in, left out or replaced changes the letters as a multiset in one or two places, so near words share a signature. It also
+    leaves the first half of the shorter word alone, or as many letters at the end. A signature is joined with one of these ends, which
+    misses nothing and keeps apart what shares only letters. Each word stands both as the shorter and as the longer of a pair.
     """
-    half = least_letters // 2
     places, found = signatures(F.col("word"), parts)
-    signed = words.select("word", places.alias("_places")).select("word", F.explode(found).alias("s"))
-    ends = F.array(F.concat(F.lit("<"), F.substring("word", 1, half)), F.concat(F.lit(">"), F.right("word", F.lit(half))))
-    keys = written(signed.select("word", "s", F.explode(ends).alias("end")), "signatures")
-    a, b = keys.withColumnRenamed("word", "a"), keys.withColumnRenamed("word", "b")
-    close = F.abs(F.length("a") - F.length("b")) <= 1
-    met = a.join(b, ["s", "end"]).where((F.col("a") < F.col("b")) & close)
+    signed = words.select("word", places.alias("_places")).select("word", F.explode(F.array(F.length("word"), F.length("word") - 1)).alias("short"), found.alias("_signatures"))
+    half = F.expr("short div 2")
+    ends = F.array(F.xxhash64(F.lit(0), "short", F.substring(F.col("word"), F.lit(1), half)), F.xxhash64(F.lit(1), "short", F.right("word", half)))
+    met = F.flatten(F.transform("_signatures", lambda s: F.transform(F.col("_ends"), lambda e: F.xxhash64(s, e))))
+    return signed.withColumn("_ends", ends).select(F.explode(met).alias("key"), "short", "word")
+
+
+def near_pairs(words: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(a, b): all words that differ by exactly one letter put in, left out or replaced, once each; a is the shorter, or the first of equal length.
+
+    What has met by keys() is compared letter by letter.
+    """
+    every = written(keys(words, parts), "keys")
+    a = every.where(F.length("word") == F.col("short")).select("key", "short", F.col("word").alias("a"))
+    b = every.select("key", F.col("short").alias("b_short"), F.col("word").alias("b"))
+    met = a.join(b, "key").where((F.col("short") == F.col("b_short")) & ((F.length("b") > F.col("short")) | (F.col("a") < F.col("b"))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
@@ -72,7 +86,7 @@ def roots(forms: DataFrame) -> DataFrame:
         now = step.select("word", "root")
 
 
-def variants(counts: DataFrame, times: int = TIMES, least_letters: int = LEAST_LETTERS, parts: int = PARTS) -> DataFrame:
+def variants(counts: DataFrame, times: int = TIMES, parts: int = PARTS) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of counted words (word, n): each word's most frequent near word, if frequent enough to be its form.
 
     form is the near word of the largest n, ties to the least, if that is at least times the word's own; form_n is its n. root is where
@@ -82,7 +96,7 @@ def variants(counts: DataFrame, times: int = TIMES, least_letters: int = LEAST_L
     if times < 2 or parts < 3:
         raise ValueError("times must be at least 2 and parts at least 3")
     counts = written(counts, "words")
-    pairs = written(near_pairs(counts, least_letters, parts), "near")
+    pairs = written(near_pairs(counts, parts), "near")
     both = pairs.union(pairs.select("b", "a")).toDF("word", "other")
     other = counts.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     best = both.join(other, "other").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other").alias("w"))).alias("best"))

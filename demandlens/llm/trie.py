@@ -81,7 +81,8 @@ def keyed(turns: DataFrame, conversations: DataFrame, band: int = BAND) -> DataF
     b1, b2 = F.coalesce("b1", zero), F.coalesce("b2", zero)
     up = F.transform("up", lambda x: F.struct(x["k1"].bitwiseXOR(b1).alias("k1"), x["k2"].bitwiseXOR(b2).alias("k2")))
     k1, k2 = F.col("k1").bitwiseXOR(b1), F.col("k2").bitwiseXOR(b2)
-    return whole.select("conv_id", "place", "bytes", (F.col("place") == F.col("turns")).alias("last"), k1.alias("k1"), k2.alias("k2"), k1.bitwiseXOR(F.col("z1")).alias("p1"), k2.bitwiseXOR(F.col("z2")).alias("p2"), up.alias("up"))
+    p1, p2 = (F.when(F.col("place") > 0, k.bitwiseXOR(F.col(z))) for k, z in ((k1, "z1"), (k2, "z2")))  # the root has no parent
+    return whole.select("conv_id", "place", "bytes", (F.col("place") == F.col("turns")).alias("last"), k1.alias("k1"), k2.alias("k2"), p1.alias("p1"), p2.alias("p2"), up.alias("up"))
 
 
 def subtree_sums(nodes: DataFrame, steps: DataFrame, values: list[str], deepest: int, band: int = BAND, level: int = 0) -> DataFrame:
@@ -160,5 +161,5 @@ def trie(turns: DataFrame, conversations: DataFrame, band: int = BAND) -> DataFr
     sums = subtree_sums(valued, steps, ["n_leaves", "saved_tokens"], deepest, band)
     over = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     out = valued.drop("n_leaves", "saved_tokens", "up", "bytes").join(sums, ["k1", "k2"]).join(listed_hashes(steps.where("last")), ["k1", "k2"], "left")
-    out = out.join(over, ["p1", "p2"], "left").withColumn("parent_conv_id", F.when(F.col("place") > 0, F.col("parent_conv_id")))
+    out = out.join(over, ["p1", "p2"], "left")
     return out.select("k1", "k2", "conv_id", F.col("place").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
