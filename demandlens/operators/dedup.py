@@ -104,26 +104,53 @@ def unit_heads(united: DataFrame) -> DataFrame:
     return heads.select("unit_mark", F.col("f.record_id").alias("id"), F.col("f.order").alias("order"), *SIGNATURE, "print", "source_id", "native")
 
 
+def title_keys(titles: DataFrame, by: list[str], title: str, least: float) -> DataFrame:
+    """(by, title, _g): what titles meet by. Two titles of one by with a ratio of at least least have a _g in common.
+
+    A title is a set of pairs of neighbouring characters, or of numbered characters (the second e is another than the first) where least is
+    so low that all its pairs would be needed. Each character of a title that is left out breaks two of its pairs at most, each put in
+    breaks one; numbered characters lose at most those that are left out. So of a title's set, in one order of all, the first few are enough,
+    and that order is by how many titles have them, the rarest first: a pair that most titles have is seldom among the first.
+    """
+    t = least / 200
+    broken = (2 - 3 * t) + max(0.0, 1 - 3 * t) * (1 - t) / t + min(0.0, 1 - 3 * t) * t / (1 - t)  # pairs of each character, at most
+    some, n = titles.select(*by, title).distinct(), F.length(title)
+    if broken < 1:
+        every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.substring(F.col(title), i, F.lit(2))))
+        share = broken
+    else:
+        letters = F.array_sort(F.split(title, ""))
+        every = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))
+        share = 1 - t / (1 - t)  # a partner is at least t / (1 - t) as long, and shares that many characters
+    grams = written(some.where(n >= 1).select(*by, title, F.explode(every).alias("_g")), "grams")
+    held = grams.groupBy("_g").agg(F.count("*").alias("_held"))
+    ranked = grams.join(held, "_g").withColumn("_place", F.row_number().over(W.partitionBy(*by, title).orderBy("_held", "_g")))
+    return ranked.where(F.col("_place") <= F.floor(n * share + 1e-9) + 1).select(*by, title, "_g")
+
+
 def near_titles(titles: DataFrame, by: list[str], title: str, least: float) -> DataFrame:
     """(by, left_title, right_title, ratio) of different titles of one by with a ratio of at least least, left before right.
 
-    Two titles that alike share most of their pairs of neighbouring characters: each character of a title that is left out breaks two of
-    its pairs at most, each put in breaks one. So titles meet only if the first few of their pairs, in an order of all pairs, have one in
-    common, and no pair of titles that reaches least is missed.
+    Titles meet by title_keys, which misses no pair that reaches least; what has met is compared by length and then whole.
     """
-    t = least / 200
-    broken = (2 - 3 * t) + max(0.0, 1 - 3 * t) * (1 - t) / t + min(0.0, 1 - 3 * t) * t / (1 - t)  # of each character, at most
-    some = titles.select(*by, title).distinct()
-    n = F.length(title)
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col(title), i, F.lit(2))))
-    order = F.array_sort(F.transform(pairs, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
-    first = F.slice(order, F.lit(1), (F.floor(n * broken + 1e-9) + 1).cast("int"))
-    keyed = some.where(n >= 2).select(*by, title, F.explode(first).alias("x")).select(*by, title, F.col("x.g").alias("g"))
+    keyed = written(title_keys(titles, by, title, least), "title_keys")
     a, b = keyed.withColumnRenamed(title, "left_title"), keyed.withColumnRenamed(title, "right_title")
-    met = a.join(b, [*by, "g"]).where((F.col("left_title") < F.col("right_title")) & may_reach(F.col("left_title"), F.col("right_title"), least)).select(*by, "left_title", "right_title").distinct()
+    met = a.join(b, [*by, "_g"]).where((F.col("left_title") < F.col("right_title")) & may_reach(F.col("left_title"), F.col("right_title"), least)).select(*by, "left_title", "right_title").distinct()
     return met.withColumn("ratio", F.round(ratio_udf()("left_title", "right_title"), 6)).where(F.col("ratio") >= least)
 
 
+def _print_blocks(records: DataFrame, name: str, distance: int) -> DataFrame:
+    """records once for each of distance + 1 blocks of the bits of their print (name_block): prints at most distance bits apart share one."""
+    width = -(-64 // (distance + 1))
+    bits = [F.shiftrightunsigned(F.col(f"{name}_print"), at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)) for at in range(0, 64, width)]
+    return records.withColumn(f"{name}_block", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), b.alias("bits")) for k, b in enumerate(bits)])))
+
+
+def membership(united: DataFrame, heads: DataFrame) -> DataFrame:
+    """(id, record_id): the records of each unit, by the id of its first. Pairs of units hold for all their records."""
+    return united.select("unit_mark", "record_id").join(heads.select("unit_mark", "id"), "unit_mark").select("id", "record_id")
+
+
 def matched_pairs(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
     """(left_id, right_id, level, score) of units (id, columns of SIGNATURE, print, source_id, native) that match, left_id < right_id.
 
@@ -152,13 +179,22 @@ def matched_pairs(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
     alike = texts.where(ratio("a_body", "b_body") >= r.same_source_text).select(*ids, F.lit(1).alias("level"), F.lit(100.0).alias("score"))
 
     known = some.where(~F.col("role").isin("", "other"))
-    near = near_titles(known, [*block, "role"], "title_key", min(r.title, r.simhash_title))
-    met = near.join(side("a"), (F.col("left_title") == F.col("a_title_key")) & (F.col("role") == F.col("a_role")) & (F.col("company_key") == F.col("a_company_key")) & (F.col("city_key") == F.col("a_city_key")))
-    met = met.join(side("b"), (F.col("right_title") == F.col("b_title_key")) & equal(*block, "role")).where(~protected("a", "b"))
+    near = written(near_titles(known, [*block, "role"], "title_key", min(r.title, r.simhash_title)), "near")
+
+    def sides(pairs: DataFrame, *more: str) -> DataFrame:
+        """Records of near titles, left as a, right as b, with equal columns more."""
+        keys = [*block, "role"]
+        a, b = side("a"), side("b")
+        if more:
+            a, b = _print_blocks(a, "a", r.distance), _print_blocks(b, "b", r.distance)
+        met = pairs.join(a, (F.col("left_title") == F.col("a_title_key")) & (F.col("role") == F.col("a_role")) & (F.col("company_key") == F.col("a_company_key")) & (F.col("city_key") == F.col("a_city_key")))
+        return met.join(b, (F.col("right_title") == F.col("b_title_key")) & equal(*keys, *more)).where(~protected("a", "b"))
+
+    fuzzy = sides(near.where(F.col("ratio") >= r.title)).select(*ids, F.lit(2).alias("level"), F.col("ratio").alias("score"))
     distance = F.bit_count(F.col("a_print").bitwiseXOR(F.col("b_print")))
-    fuzzy = F.col("ratio") >= r.title
-    close = (F.col("ratio") >= r.simhash_title) & F.coalesce(distance <= r.distance, F.lit(False))
-    rest = met.where(fuzzy | close).select(*ids, F.when(fuzzy, 2).otherwise(3).alias("level"), F.when(fuzzy, F.col("ratio")).otherwise(F.round((1 - distance / 64.0) * 100, 6)).alias("score"))
+    close = sides(near.where((F.col("ratio") < r.title) & (F.col("ratio") >= r.simhash_title)), "block").where(distance <= r.distance)
+    close = close.select(*ids, F.lit(3).alias("level"), F.round((1 - distance / 64.0) * 100, 6).alias("score")).distinct()
+    rest = fuzzy.unionByName(close)
     return free.unionByName(alike).unionByName(rest)
 
 
@@ -201,44 +237,77 @@ def _in_tasks(links: DataFrame) -> DataFrame:
     return links.groupBy("root").applyInPandas(run, "id string, founder string, level int, score double")
 
 
-def _in_rounds(links: DataFrame) -> DataFrame:
+def _block_placed(units: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Places the earliest units of a component in their order, as complete_links does.
+
+    units has id, o and a row for each group placed before that the unit matches whole (founder null if there is none), with the weakest
+    match (level, minus); links are those among the units. A unit can still join such a group if it also matches all that joined since.
+    """
+    match: dict[str, dict[str, tuple[int, float]]] = {}
+    for x, y, level, minus in zip(links["id"], links["other"], links["level"], links["minus"], strict=True):
+        match.setdefault(x, {})[y] = match.setdefault(y, {})[x] = (level, minus)
+    whole: dict[str, dict[str, tuple[int, float]]] = {}
+    for u, founder, level, minus in units.sort_values("o")[["id", "founder", "level", "minus"]].itertuples(index=False):
+        whole.setdefault(u, {})
+        if isinstance(founder, str):
+            whole[u][founder] = (int(level), minus)
+    joined: dict[str, int] = {}
+    at: dict[str, tuple[str, int, float]] = {}
+    for u, before in whole.items():
+        met: dict[str, tuple[int, tuple[int, float]]] = {}
+        for o, weight in match.get(u, {}).items():
+            if o in at:
+                n, worst = met.get(at[o][0], (0, weight))
+                met[at[o][0]] = (n + 1, max(worst, weight))
+        options = [(worst if g not in met else max(worst, met[g][1]), g) for g, worst in before.items() if joined.get(g, 0) == met.get(g, (0,))[0]]
+        options += [(worst, g) for g, (n, worst) in met.items() if g in whole and n == joined[g] and g not in before]  # groups of these units alone
+        (level, minus), g = min(options, default=((0, -100.0), u))
+        at[u] = (g, level, -minus)
+        joined[g] = joined.get(g, 0) + 1
+    return pd.DataFrame([(k, *v) for k, v in at.items()], columns=["id", "founder", "level", "score"])
+
+
+def _in_rounds(links: DataFrame, block: int) -> DataFrame:
     """The same for components of any size, by all tasks: each round places all units whose place no earlier one can change.
 
-    A unit is ready when all earlier units it matches are placed. If it matches all units of some groups, it joins the best of them, once
-    no earlier unit that is not placed yet matches all of that group too; if none, it founds a group. The earliest unit can always be
-    placed, and of units that do not compete for a group all are.
+    Of each component the earliest units, block of them, are placed in their order by one task, which needs only the links among them and
+    which earlier groups each of them matches whole. So a dense component, where each unit waits for nearly all before it, takes a round
+    for each block. Beyond them a unit is placed in the same round if all earlier units it matches are placed, and if it can join groups,
+    no earlier unit that is not placed yet can join the best of them too; so a sparse component takes a few rounds.
     """
-    both = links.select(F.col("left_id").alias("id"), F.col("right_id").alias("other"), F.col("left_order").alias("o"), F.col("right_order").alias("other_o"), "level", "score")
-    both = written(both.union(links.select("right_id", "left_id", "right_order", "left_order", "level", "score")), "both")
-    todo = written(both.select("id", "o").distinct(), "todo")
-    placed = None
+    both = links.select("root", F.col("left_id").alias("id"), F.col("right_id").alias("other"), F.col("left_order").alias("o"), F.col("right_order").alias("other_o"), "level", (-F.col("score")).alias("minus"))
+    both = written(both.union(links.select("root", "right_id", "left_id", "right_order", "left_order", "level", -F.col("score"))), "both")
+    todo = written(both.select("root", "id", "o").distinct(), "todo")
+    placed = todo.select("root", "id", F.col("id").alias("founder"), F.lit(0).alias("level"), F.lit(100.0).alias("score")).limit(0)
     while todo.limit(1).count():
-        earlier = both.join(todo.select(F.col("id").alias("other")), "other").where("other_o < o").select("id").distinct()
-        ready = todo.join(earlier, "id", "left_anti")
-        if placed is None:
-            new = ready.select("id", F.col("id").alias("founder"), F.lit(0).alias("level"), F.lit(100.0).alias("score"))
-        else:
-            sizes = placed.groupBy("founder").agg(F.count("*").alias("size"))
-            met = both.join(todo.select("id"), "id").join(placed.select(F.col("id").alias("other"), "founder"), "other")
-            worst = F.max(F.struct(F.col("level").alias("level"), (-F.col("score")).alias("minus"))).alias("worst")
-            able = met.groupBy("id", "o", "founder").agg(F.count("*").alias("n"), worst).join(sizes, "founder").where("n = size")
-            able = written(able.select("id", "o", "founder", "worst"), "able")
-            firsts = able.groupBy("founder").agg(F.min("o").alias("first"))
-            best = able.groupBy("id", "o").agg(F.min(F.struct("worst", "founder")).alias("best")).select("id", "o", "best.*")
-            joining = ready.join(best, ["id", "o"]).join(firsts, "founder").where("o = first").select("id", "founder", F.col("worst.level").alias("level"), (-F.col("worst.minus")).alias("score"))
-            founding = ready.join(best, "id", "left_anti").select("id", F.col("id").alias("founder"), F.lit(0).alias("level"), F.lit(100.0).alias("score"))
-            new = joining.unionByName(founding)
-        new = written(new, "placed")
-        placed = new if placed is None else written(placed.unionByName(new), "placed")
-        todo = written(todo.join(new, "id", "left_anti"), "todo")
-    return placed if placed is not None else both.select("id", F.col("other").alias("founder"), "level", "score").limit(0)
+        sizes = placed.groupBy("founder").agg(F.count("*").alias("size"))
+        met = both.join(todo.select("id"), "id").join(placed.select(F.col("id").alias("other"), "founder"), "other")
+        worst = F.max(F.struct("level", "minus")).alias("worst")
+        able = met.groupBy("id", "o", "founder").agg(F.count("*").alias("n"), worst).join(sizes, "founder").where("n = size")
+        able = written(able.select("id", "o", "founder", "worst"), "able")
+        place = F.row_number().over(W.partitionBy("root").orderBy("o"))
+        first = written(todo.withColumn("place", place).where(F.col("place") <= block).select("root", "id", "o"), "first")
+        inner = both.where("o < other_o").join(first.select("id"), "id").join(first.select(F.col("id").alias("other")), "other").select("root", "id", "other", "level", "minus")
+        asked = first.join(able.select("id", "founder", "worst.*"), "id", "left")
+        early = asked.groupBy("root").cogroup(inner.groupBy("root")).applyInPandas(_block_placed, "id string, founder string, level int, score double")
+        later = todo.join(first, "id", "left_anti")
+        waiting = both.join(later.select("id"), "id", "left_semi").join(todo.select(F.col("id").alias("other")), "other", "left_semi").where("other_o < o").select("id").distinct()
+        ready = later.join(waiting, "id", "left_anti")
+        firsts = able.groupBy("founder").agg(F.min("o").alias("first"))
+        best = able.groupBy("id", "o").agg(F.min(F.struct("worst", "founder")).alias("best")).select("id", "o", "best.*")
+        joining = ready.join(best, ["id", "o"]).join(firsts, "founder").where("o = first").select("id", "founder", F.col("worst.level").alias("level"), (-F.col("worst.minus")).alias("score"))
+        founding = ready.join(best, "id", "left_anti").select("id", F.col("id").alias("founder"), F.lit(0).alias("level"), F.lit(100.0).alias("score"))
+        new = written(todo.select("root", "id").join(early.unionByName(joining).unionByName(founding), "id").select("root", "id", "founder", "level", "score"), "placed")
+        placed = written(placed.unionByName(new), "placed")
+        todo = written(todo.join(new.select("id"), "id", "left_anti"), "todo")
+    return placed.select("id", "founder", "level", "score")
 
 
 def complete_link_groups(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(id, founder, level, score) of all units in links (left_id, right_id, left_order, right_order, level, score).
 
     Groups never leave a component of the links. Components in which all match all are one group each; of the others those with at most
-    task_links links are grouped by one task each, larger ones in rounds by all tasks.
+    task_links links are grouped by one task each, larger ones in rounds by all tasks, in which a task never has more links than that.
     """
     if not links.limit(1).count():
         return links.select(F.col("left_id").alias("id"), F.col("right_id").alias("founder"), "level", "score")
@@ -257,7 +326,7 @@ def complete_link_groups(links: DataFrame, task_links: int = TASK_LINKS) -> Data
     small = rest.join(sizes.where(F.col("links") <= task_links).select("root"), "root", "left_semi")
     large = rest.join(sizes.where(F.col("links") > task_links).select("root"), "root", "left_semi")
     out = cliques.unionByName(_in_tasks(small))
-    return out.unionByName(_in_rounds(large)) if large.limit(1).count() else out
+    return out.unionByName(_in_rounds(large, max(1, int((2 * task_links) ** 0.5)))) if large.limit(1).count() else out
 
 
 def deduplicate(records: DataFrame, r: DedupRules | None = None, task_links: int = TASK_LINKS) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demandlens.sources.shared import written
+
 
 def co_counts(pairs: DataFrame, entity: str = "entity_id", item: str = "item_id") -> DataFrame:
     """(item_a, item_b, n): entities with both items, item_a < item_b. pairs are distinct."""
@@ -89,63 +91,107 @@ def synergy(node_table: DataFrame, kept: DataFrame, pmi_cap: float = 2.0) -> Dat
     return joined.select("item_id", score.alias("synergy"))
 
 
-def _quality(links: DataFrame, now: DataFrame) -> float | None:
-    """Modularity of a division (item_id, community) of links (item_id, other, w), both ways; null without links."""
-    at = now.select("item_id", "community")
-    ends = links.join(at, "item_id").join(at.select(F.col("item_id").alias("other"), F.col("community").alias("there")), "other")
-    by = ends.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("there"), F.col("w")).otherwise(0.0)).alias("inner"), F.sum("w").alias("mass"))
+def _quality(links: DataFrame, now: DataFrame) -> float:
+    """Modularity of a division (item_id, community) of links (a, b, w), one row for each edge; nan without links."""
+    ends = links.join(now.toDF("a", "at_a"), "a").join(now.toDF("b", "at_b"), "b")
+    inner = F.when(F.col("at_a") == F.col("at_b"), F.col("w")).otherwise(0.0)
+    sides = F.explode(F.array(F.struct(F.col("at_a").alias("c"), inner.alias("i"), "w"), F.struct(F.col("at_b").alias("c"), inner.alias("i"), "w")))
+    by = ends.select(sides.alias("s")).groupBy("s.c").agg(F.sum("s.i").alias("inner"), F.sum("s.w").alias("mass"))
     sums = by.agg(F.sum("inner").alias("i"), F.sum(F.col("mass") * F.col("mass")).alias("s"), F.sum("mass").alias("m2")).first()
-    return None if not sums["m2"] else sums["i"] / sums["m2"] - sums["s"] / sums["m2"] ** 2
+    return sums["i"] / sums["m2"] - sums["s"] / sums["m2"] ** 2 if sums["m2"] else float("nan")
+
+
+def _masses(links: DataFrame) -> DataFrame:
+    """(c, mass): the weight of all ends of links (a, b, w) at each community; a link inside a community has both there."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("c"), "w"), F.struct(F.col("b").alias("c"), "w")))
+    return links.select(ends.alias("e")).groupBy("e.c").agg(F.sum("e.w").alias("mass"))
 
 
-def _local_moves(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(item_id, community): nodes moved to the neighbouring community of the largest modularity gain until none has anything to gain.
+def _merges(links: DataFrame, m2: float, enough: float = 0.9) -> DataFrame:
+    """(old, new): which communities merge into which in one round. links (a, b, w) has a <= b, m2 is the weight of all ends.
 
-    In each round a third of the nodes, by a hash of node and round, move if they gain, ties to the lesser community, so that two
-    neighbours seldom swap. Rounds are checkpointed; eight in a row that bring the modularity no higher end it as well.
+    Pairs have one order, by modularity gain, then by their ends. A pair that is the first of both its ends merges; the first pair of all is
+    one, so that every round with a gain merges some. Others whose first pair leads to the heavier end of such a pair, a hub, join it too,
+    in their order, while what they gain beside those before them is still enough of what they gain alone. So hubs need no round for
+    each of their neighbours.
     """
-    degree, total = links.groupBy("item_id").agg(F.sum("w").alias("k")), links.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m2"))
-    now = nodes.join(degree, "item_id", "left").select("item_id", F.coalesce("k", F.lit(0.0)).alias("k"), F.col("item_id").alias("community")).checkpoint()
-    best_now, best_q, still, r = now, _quality(links, now), 0, 0
-    while best_q is not None and still < 8:
-        mass = now.groupBy("community").agg(F.sum("k").alias("mass"))
-        toward = links.where("item_id <> other").join(now.select(F.col("item_id").alias("other"), "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
-        own = now.select("item_id", "k", F.col("community").alias("at"))
+    mass = written(_masses(links), "masses")
+    pairs = links.where("a <> b").join(mass.toDF("a", "mass_a"), "a").join(mass.toDF("b", "mass_b"), "b")
+    pairs = pairs.withColumn("gain", F.round(2 * (F.col("w") / m2 - F.col("mass_a") * F.col("mass_b") / m2**2), 12)).where("gain > 0")
+    pair = F.struct((-F.col("gain")).alias("minus"), "a", "b", "w", "mass_a", "mass_b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), pair.alias("p")).groupBy("c").agg(F.min("p").alias("p"))
+    firsts = written(ends.select("c", "p.*"), "firsts")
+    mutual = firsts.groupBy("a", "b", "mass_a", "mass_b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
+    heavier = F.col("mass_a") >= F.col("mass_b")
+    mutual = written(mutual.select(F.when(heavier, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(heavier, F.col("b")).otherwise(F.col("a")).alias("other"), (F.col("mass_a") + F.col("mass_b")).alias("start")), "mutual")
+    paired = mutual.select(F.explode(F.array("hub", "other")).alias("c"))
+    free = firsts.join(paired, "c", "left_anti").withColumn("hub", F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    free = free.withColumn("own", F.when(F.col("c") == F.col("a"), F.col("mass_a")).otherwise(F.col("mass_b"))).join(mutual.select("hub", "start"), "hub")
+    before = F.sum("own").over(W.partitionBy("hub").orderBy("minus", "a", "b")) - F.col("own") + F.col("start")
+    joins = free.withColumn("before", before).where(2 * (F.col("w") / m2 - F.col("own") * F.col("before") / m2**2) >= -enough * F.col("minus"))
+    every = mutual.select(F.col("other").alias("old"), F.col("hub").alias("new")).unionByName(joins.select(F.col("c").alias("old"), F.col("hub").alias("new")))
+    return written(every, "merges")
+
+
+def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
+    return df.join(merges.toDF(column, "_new"), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def _agglomerated(links: DataFrame, now: DataFrame, m2: float) -> DataFrame:
+    """(item_id, community): communities merged by modularity gain until no merge gains. Links between two communities become one link."""
+    while True:
+        merges = _merges(links, m2)
+        if not merges.limit(1).count():
+            return now
+        now = written(_renamed(now, "community", merges), "members")
+        ends = _renamed(_renamed(links, "a", merges), "b", merges)
+        links = written(ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "links")
+
+
+def _moved(links: DataFrame, now: DataFrame, m2: float, most_still: int = 3) -> DataFrame:
+    """(item_id, community): items of a division moved to the neighbouring community of the largest gain, until that raises the modularity no more.
+
+    In each round a third of the items, by a hash of item and round, move if they gain, so that two neighbours seldom swap. The best
+    division met is the result; most_still rounds in a row without a better one end it.
+    """
+    ways = F.explode(F.array(F.struct(F.col("a").alias("item_id"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("item_id"), F.col("a").alias("other"), "w")))
+    both = written(links.where("a <> b").select(ways.alias("e")).select("e.*"), "ways")
+    weights = written(_masses(links).toDF("item_id", "k"), "weights")
+    best, best_q, still, r = now, _quality(links, now), 0, 0
+    while still < most_still:
+        placed = now.join(weights, "item_id")
+        mass = placed.groupBy("community").agg(F.sum("k").alias("mass"))
+        toward = both.join(now.toDF("other", "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
+        own = placed.select("item_id", "k", F.col("community").alias("at"))
         every = toward.join(own, "item_id").unionByName(own.select("item_id", F.col("at").alias("community"), F.lit(0.0).alias("into"), "k", "at"))
-        every = every.groupBy("item_id", "community", "k", "at").agg(F.sum("into").alias("into")).join(mass, "community").crossJoin(F.broadcast(total))  # one row
-        others = F.col("mass") - F.when(F.col("community") == F.col("at"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("into") - F.col("k") * others / F.nullif(F.col("m2"), F.lit(0.0)), 12)
-        best = every.withColumn("gain", F.coalesce(gain, F.lit(0.0))).withColumn("stay", (F.col("community") == F.col("at")).cast("int"))
-        best = best.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("gain"), F.desc("stay"), "community"))).where("place = 1")
+        every = every.groupBy("item_id", "community", "k", "at").agg(F.sum("into").alias("into")).join(mass, "community")
+        stays = F.col("community") == F.col("at")
+        gain = F.round(F.col("into") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / m2, 12)
+        first = every.groupBy("item_id", "at").agg(F.min(F.struct((-gain).alias("minus"), (~stays).alias("moves"), "community")).alias("f"))
         turn = F.pmod(F.xxhash64("item_id", F.lit(r)), F.lit(3)) == 0
-        moved = best.select("item_id", "k", F.when(turn, F.col("community")).otherwise(F.col("at")).alias("community"), (F.col("community") != F.col("at")).alias("gains")).checkpoint()
-        if not moved.where("gains").limit(1).count():
+        step = written(first.select("item_id", F.when(turn, F.col("f.community")).otherwise(F.col("at")).alias("community"), F.col("f.moves").alias("gains")), "moves")
+        if not step.where("gains").limit(1).count():
             break
-        now, r = moved.drop("gains"), r + 1
+        now, r = written(now.join(step.select("item_id", F.col("community").alias("_new")), "item_id", "left").select("item_id", F.coalesce("_new", "community").alias("community")), "members"), r + 1
         q = _quality(links, now)
-        best_now, best_q, still = (now, q, 0) if q > best_q + 1e-9 else (best_now, best_q, still + 1)
-    return best_now.select("item_id", "community")
+        best, best_q, still = (now, q, 0) if q > best_q + 1e-9 else (best, best_q, still + 1)
+    return best
 
 
 def communities(node_table: DataFrame, kept: DataFrame) -> DataFrame:
-    """(item_id, community, size): communities of an undirected weighted graph by moving items to the neighbour community of the largest modularity gain.
+    """(item_id, community, size): communities of an undirected weighted graph by parallel agglomeration.
 
-    Every item starts alone. When no item has anything to gain, the communities are taken as items, with the weights between them summed,
-    and moved in the same way, until that no longer raises the modularity. Communities are numbered by falling size, then by their least
-    item. Items without edges stay alone.
+    Every item starts alone. In each round communities that are each other's best partner by modularity gain merge, and hubs take in
+    several; the links between two merged communities become one. When no merge gains, single items are moved while that raises the
+    modularity. Each round writes its small tables and reads them again, so plans stay short. Communities are numbered by falling size,
+    then by their least item. Items without edges stay alone.
     """
-    links = first = _both_ways(kept, F.col("jaccard").alias("w")).checkpoint()
-    now = node_table.select("item_id", F.col("item_id").alias("community")).checkpoint()
-    best_q = _quality(first, now)
-    while best_q is not None:
-        found = _local_moves(links, now.select(F.col("community").alias("item_id")).distinct())
-        wider = now.join(found.toDF("community", "new"), "community").select("item_id", F.col("new").alias("community")).checkpoint()
-        q = _quality(first, wider)
-        if q <= best_q + 1e-9:
-            break
-        now, best_q = wider, q
-        ends = links.join(found.toDF("item_id", "a"), "item_id").join(found.toDF("other", "b"), "other")
-        links = ends.groupBy(F.col("a").alias("item_id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")).checkpoint()
+    links = kept.groupBy(F.least("item_a", "item_b").alias("a"), F.greatest("item_a", "item_b").alias("b")).agg(F.sum(F.col("jaccard").cast("double")).alias("w"))
+    links = written(links.where("w > 0"), "links")
+    now = written(node_table.select("item_id", F.col("item_id").alias("community")), "members")
+    m2 = 2 * (links.agg(F.sum("w")).first()[0] or 0.0)
+    if m2:
+        now = _moved(links, _agglomerated(links, now, m2), m2)
     sizes = now.groupBy("community").agg(F.count("*").alias("size"), F.min("item_id").alias("first"))
     numbered = sizes.withColumn("number", F.row_number().over(W.orderBy(F.desc("size"), "first")) - 1)  # one row per community
     return now.join(numbered, "community").select("item_id", F.col("number").alias("community"), "size")

@@ -32,9 +32,14 @@ def varied(t: Star) -> DataFrame:
     return records(t).drop("title", "title_raw", "role_id", "description").join(more, "record_id")
 
 
-def links(rows: DataFrame) -> DataFrame:
-    """Matches of units: pairs of their first records. The other records of a unit share its matches and are not written out."""
-    return dedup.matched_pairs(dedup.unit_heads(dedup.units(dedup.keyed(rows))))
+def links(rows: DataFrame, level: int) -> DataFrame:
+    """Matches of one level: pairs of units by their first records (kind pair), and the records of every unit (kind member, unit on the left)."""
+    united = dedup.units(dedup.keyed(rows))
+    united = written(united, "united")
+    heads = written(dedup.unit_heads(united), "heads")
+    pairs = dedup.matched_pairs(heads).where(F.col("level") == level).select(F.lit("pair").alias("kind"), "left_id", "right_id", "score")
+    members = dedup.membership(united, heads).select(F.lit("member").alias("kind"), F.col("id").alias("left_id"), F.col("record_id").alias("right_id"), F.lit(None).cast("double").alias("score"))
+    return rounded(pairs.unionByName(members))
 
 
 @query("d1_blocks", f"WITH {RECORDS_SQL} SELECT company, city, count(*) AS n, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM r GROUP BY 1, 2")
@@ -51,22 +56,23 @@ def d2(t: Star) -> DataFrame:
     return dedup.keyed(made).select("c_custkey", "seniority", "intern", "unit")
 
 
-UNITS_SQL = f"WITH {RECORDS_SQL}, u AS (SELECT company, city, title, source_id, min(record_id) AS id FROM r GROUP BY ALL)"
-
-
-@query("d3_exact_pairs", UNITS_SQL + " SELECT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id FROM u a JOIN u b ON a.company = b.company AND a.city = b.city AND a.title = b.title AND a.source_id < b.source_id")
+@query(
+    "d3_exact_pairs",
+    f"WITH {RECORDS_SQL}, u AS (SELECT *, min(record_id) OVER (PARTITION BY company, city, title, source_id) AS id FROM r), h AS (SELECT DISTINCT company, city, title, source_id, id FROM u)"
+    " SELECT 'pair' AS kind, least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, 1e2 AS score FROM h a JOIN h b ON a.company = b.company AND a.city = b.city AND a.title = b.title AND a.source_id < b.source_id UNION ALL SELECT 'member', id, record_id, NULL FROM u",
+)
 def d3(t: Star) -> DataFrame:
-    return links(records(t)).where("level = 1").select("left_id", "right_id")
+    return links(records(t), 1)
 
 
 @query("d4_fuzzy_titles")
 def d4(t: Star) -> DataFrame:
-    return rounded(links(varied(t)).where("level = 2"))
+    return links(varied(t), 2)
 
 
 @query("d5_simhash_pairs")
 def d5(t: Star) -> DataFrame:
-    return rounded(links(varied(t)).where("level = 3"))
+    return links(varied(t), 3)
 
 
 @query("d6_indel_ratio")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +42,70 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it takes it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, root: str) -> list[dict]:
+    """The published versions of a replaceable table, oldest first: number, path, rows. What cannot be read as a whole is not published."""
+    fs, at = _files(spark, f"{root}/manifests")
+    if not fs.exists(at):
+        return []
+    out = []
+    for number in sorted(int(n) for f in fs.listStatus(at) if (n := f.getPath().getName().removesuffix(".json")).isdigit()):
+        text = "\n".join(r["value"] for r in spark.read.text(f"{root}/manifests/{number}.json").collect())
+        try:
+            out.append({"number": number} | json.loads(text))
+        except ValueError:  # its writer was stopped
+            continue
+    return out
+
+
+def replace(df: DataFrame, root: str, expected_rows: int | None = None) -> int:
+    """Replaces the table at root by df in one step and returns the number of its version.
+
+    The rows are written beside the old ones, counted on the way and again when read back, and published by a small manifest that is
+    created only if no other writer has created one of that number. Until then, and if the writer stops anywhere before, readers see the old
+    table whole; those that read it already go on doing so until vacuum().
+    """
+    spark, seen = df.sparkSession, Observation()
+    before = versions(spark, root)
+    number, path = (before[-1]["number"] if before else 0) + 1, f"{root}/data/{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    rows, there = seen.get["rows"], spark.read.parquet(path).count()
+    if rows != there or expected_rows not in (None, rows):
+        raise ValueError(f"{rows} rows were written, {there} are there, {expected_rows} were expected; {root} stays as it was")
+    fs, at = _files(spark, f"{root}/manifests/{number}.json")
+    while fs.exists(at) and number not in [v["number"] for v in versions(spark, root)]:  # of a writer that was stopped
+        number += 1
+        fs, at = _files(spark, f"{root}/manifests/{number}.json")
+    out = fs.create(at, False)  # fails if another writer was first
+    try:
+        out.write(bytearray(json.dumps({"path": path, "rows": rows}).encode()))
+    finally:
+        out.close()
+    return number
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the last published version of a replaceable table; raises if there is none."""
+    if not (published := versions(spark, root)):
+        raise FileNotFoundError(f"nothing is published at {root}")
+    return spark.read.parquet(published[-1]["path"])
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Deletes what no version but the last keep refers to, also what stopped writers left behind, and returns how many folders that were."""
+    stay = {v["path"].rpartition("/")[2] for v in versions(spark, root)[-keep:]}
+    fs, at = _files(spark, f"{root}/data")
+    gone = [f.getPath() for f in fs.listStatus(at) if f.getPath().getName() not in stay] if fs.exists(at) else []
+    for p in gone:
+        fs.delete(p, True)
+    return len(gone)
+
+
 def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
     """A report of a few rows as one JSON or CSV file."""
     writer = df.coalesce(1).write.mode("errorifexists")

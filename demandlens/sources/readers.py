@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,8 +57,7 @@ def nested(df: DataFrame, array: str, fields: list[str], required: list[str], co
 
 def accept(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by whether all required columns have text that is not blank."""
-    whole = reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "" for c in required], F.lit(True))
-    return df.where(whole), df.where(~whole)
+    return df.where(filled(required)), df.where(~filled(required))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -107,9 +106,21 @@ def with_provenance(df: DataFrame, mapping: dict[str, str], source: str, run: st
     return hashed.withColumns({"source_record_id": record, "source_id": F.lit(source), "run_id": F.lit(run), "observed_at": F.lit(observed_at)}).drop("_h")
 
 
-def accounting(raw: DataFrame, accepted: DataFrame) -> DataFrame:
-    """One row: raw, accepted and rejected rows."""
-    return raw.agg(F.count("*").alias("raw")).crossJoin(accepted.agg(F.count("*").alias("accepted"))).withColumn("rejected", F.col("raw") - F.col("accepted"))
+def filled(required: list[str]) -> Column:
+    """Whether all required columns have text that is not blank."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "" for c in required], F.lit(True))
+
+
+def import_counted(df: DataFrame, required: list[str], path: str, warnings: dict[str, Column] | None = None) -> dict[str, int]:
+    """Writes the accepted rows to a new path and returns the numbers of raw, accepted and rejected rows and of each kind of warning.
+
+    The numbers are observed while the rows are written, so df is read once. Warnings are conditions on accepted rows.
+    """
+    seen, ok = Observation(), filled(required)
+    counts = [F.count(F.lit(1)).alias("raw"), F.count_if("_ok").alias("accepted"), F.count_if(~F.col("_ok")).alias("rejected")]
+    counts += [F.count_if(F.col("_ok") & F.coalesce(c, F.lit(False))).alias(n) for n, c in (warnings or {}).items()]
+    df.withColumn("_ok", ok).observe(seen, *counts).where("_ok").drop("_ok").write.mode("errorifexists").parquet(path)
+    return seen.get
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

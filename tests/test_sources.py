@@ -1,5 +1,6 @@
 """Sources, contracts, scores, evaluation and streams."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -75,9 +76,96 @@ def test_stream_equals_batch_and_resumes(spark):
     again = incremental.ingest(spark, inbox, table, progress, schema, ["k"], "ts").count()
     assert (first, again) == (20, 40)
     days = incremental.daily_counts(spark, inbox, fresh_path(spark, "days"), fresh_path(spark, "p"), schema, ["k", "item", "ts"], "item", "ts", "1 hour")
-    want = {(r.day, r.item): r.n for r in df.groupBy(F.date_trunc("day", "ts").alias("day"), "item").agg(F.count("*").alias("n")).collect()}
-    got = {(r.day, r.item): r.n for r in days.collect()}
-    assert got and all(want[k] == n for k, n in got.items())
+    want = {(r.day, r.item): r.n for r in df.groupBy(F.to_date("ts").alias("day"), "item").agg(F.count("*").alias("n")).collect()}
+    assert {(r.day, r.item): r.n for r in days.collect()} == want
+
+
+def test_a_batch_reads_only_the_days_that_it_touches(spark, monkeypatch):
+    """Keys repeat across files and restarts; the index files that a batch reads do not grow with the table."""
+    schema, start = "k long, item string, ts timestamp", datetime(2026, 1, 1)
+    inbox, table, progress = (fresh_path(spark, n) for n in ("in", "out", "progress"))
+    read, plain = [], incremental._unseen
+    monkeypatch.setattr(incremental, "_unseen", lambda rows, seen, keys: read.append(seen.select(F.col("_metadata.file_path")).distinct().count()) or plain(rows, seen, keys))
+    for day in range(12):
+        rows = [(10 * day + i, f"d{day}", start + timedelta(days=day, hours=i)) for i in range(10)]
+        rows += [(10 * day - 3, "again", start + timedelta(days=day))] * 2  # a key of the day before, twice
+        spark.createDataFrame(rows, schema).repartition(2).write.mode("append").parquet(inbox)
+        found = incremental.ingest(spark, inbox, table, progress, schema, ["k"], "ts", within_days=1)
+    got = [(r.k, r.item) for r in found.collect()]
+    assert sorted(got) == sorted([(10 * d + i, f"d{d}") for d in range(12) for i in range(10)] + [(-3, "again")])
+    assert read[0] == 0 and max(read[6:]) <= max(read[2:6])
+    for path, keys in ((table, "k long"), (f"{table}_keys", "k long")):
+        assert spark.read.schema(f"{keys}, batch long").parquet(path).groupBy("k").count().where("count > 1").count() == 0
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark):
+    schema, start = "k long, item string, ts timestamp", datetime(2026, 1, 1)
+    inbox, table = fresh_path(spark, "in"), fresh_path(spark, "out")
+    spark.createDataFrame([(i, "a", start + timedelta(hours=i)) for i in range(50)], schema).write.parquet(inbox)
+    # a checkpoint that knows nothing of the batch is what is left if its run failed after the writes
+    counts = [incremental.ingest(spark, inbox, table, fresh_path(spark, "progress"), schema, ["k"], "ts").count() for _ in range(2)]
+    assert counts == [50, 50]
+    table = fresh_path(spark, "days")
+    days = [sorted(map(tuple, incremental.daily_counts(spark, inbox, table, fresh_path(spark, "progress"), schema, ["k"], "item", "ts").collect())) for _ in range(2)]
+    assert days[0] == days[1] and sum(n for _, _, n, _ in days[0]) == 50
+
+
+def test_a_key_on_two_days_counts_on_both_and_is_not_late(spark):
+    schema, start = "k long, item string, ts timestamp", datetime(2026, 1, 1)
+    rng = random.Random(3)
+    rows = [(rng.randrange(30), rng.choice("ab"), start + timedelta(hours=rng.randrange(240))) for _ in range(400)] + [(5, "a", None)]
+    inbox, table, progress = (fresh_path(spark, n) for n in ("in", "days", "p"))
+    latest, late, seen = None, {}, set()
+    for k in range(0, 401, 100):  # four shuffled landings
+        part = rows[k : k + 100]
+        spark.createDataFrame(part, schema).write.mode("append").parquet(inbox)
+        found = incremental.daily_counts(spark, inbox, table, progress, schema, ["k"], "item", "ts", "2 days")
+        for key, item, ts in part:
+            if ts is not None and (ts.date(), item, key) not in seen:
+                seen.add((ts.date(), item, key))
+                over = latest is not None and datetime.combine(ts.date(), datetime.min.time()) + timedelta(days=1) <= latest - timedelta(days=2)
+                late[ts.date(), item] = late.get((ts.date(), item), 0) + over
+        latest = max([ts for *_, ts in part if ts is not None] + ([latest] if latest else []))
+    want = {}
+    for day, item, _ in seen:
+        want[day, item] = want.get((day, item), 0) + 1
+    assert {(r.day, r.item): (r.n, r.late) for r in found.collect()} == {d: (n, late[d]) for d, n in want.items()}
+    assert sum(late.values()) > 0
+
+
+def test_replaced_tables_are_whole_at_any_time(spark):
+    root = fresh_path(spark, "table")
+    with pytest.raises(FileNotFoundError):
+        contracts.current(spark, root)
+    assert contracts.replace(spark.range(10), root) == 1
+
+    @F.udf("long")
+    def stops(i):
+        if i == 57:
+            raise RuntimeError("killed half-way")
+        return i
+
+    reader = contracts.current(spark, root)
+    with pytest.raises(Exception, match="killed half-way"):
+        contracts.replace(spark.range(0, 100, 1, 10).select(stops("id").alias("id")), root)
+    assert contracts.current(spark, root).count() == 10
+    with pytest.raises(ValueError, match="expected"):
+        contracts.replace(spark.range(5), root, expected_rows=6)
+    # a manifest that its writer could not finish is no version, and its number is left out
+    spark.createDataFrame([('{"path": "/tm',)], "value string").coalesce(1).write.text(f"{root}/manifests/2.json")
+    assert contracts.current(spark, root).count() == 10
+    assert contracts.replace(spark.range(20), root) == 3
+    assert contracts.current(spark, root).count() == 20 and reader.count() == 10
+    assert [v["rows"] for v in contracts.versions(spark, root)] == [10, 20]
+    assert contracts.vacuum(spark, root, keep=1) >= 2 and contracts.current(spark, root).count() == 20
+
+
+def test_counts_come_from_the_write(spark):
+    df = spark.createDataFrame([("a", 1), (" ", 2), (None, 3), ("b", -4)], "t string, n int")
+    path = fresh_path(spark, "accepted")
+    counts = readers.import_counted(df, ["t"], path, {"negative": F.col("n") < 0})
+    assert counts == {"raw": 4, "accepted": 2, "rejected": 2, "negative": 1} and spark.read.parquet(path).count() == 2
+    assert readers.import_counted(df.limit(0), ["t"], fresh_path(spark, "none"))["raw"] == 0
 
 
 def test_daily_counts_have_open_days_and_late_rows(spark):
@@ -90,7 +178,7 @@ def test_daily_counts_have_open_days_and_late_rows(spark):
         return {(r.day, r.item): (r.n, r.late) for r in incremental.daily_counts(spark, inbox, table, progress, schema, ["k", "item", "ts"], "item", "ts", "1 hour").collect()}
 
     def batch(rows):
-        return {(r.day, r.item): r.n for r in rows.distinct().groupBy(F.date_trunc("day", "ts").alias("day"), "item").agg(F.count("*").alias("n")).collect()}
+        return {(r.day, r.item): r.n for r in rows.distinct().groupBy(F.to_date("ts").alias("day"), "item").agg(F.count("*").alias("n")).collect()}
 
     df.write.parquet(inbox)
     first = counts()
@@ -98,16 +186,7 @@ def test_daily_counts_have_open_days_and_late_rows(spark):
     tardy.write.mode("append").parquet(inbox)
     again = counts()
     assert {k: n for k, (n, _) in again.items()} == batch(df.union(tardy))
-    assert {k: late for k, (_, late) in again.items() if late} == {(start, "i0"): 1, (start + timedelta(days=1), "i9"): 1}
-
-
-def test_all_events_are_counted_by_day(spark, data):
-    from demandlens.plans import registry
-
-    rows = registry.QUERIES["r2_daily_counts"](spark, data).collect()
-    events = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).distinct()
-    want = {(r.day, r.event_type): r.n for r in events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()}
-    assert {(r.day, r.event_type): r.n for r in rows} == want and not any(r.late for r in rows)
+    assert {k: late for k, (_, late) in again.items() if late} == {(start.date(), "i0"): 1, (start.date() + timedelta(days=1), "i9"): 1}
 
 
 def test_ingest_keeps_late_rows_and_null_keys(spark):
