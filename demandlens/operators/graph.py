@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandlens.sources.shared import written
+from demandlens.sources.shared import written, written_counted
 
 
 def co_counts(pairs: DataFrame, entity: str = "entity_id", item: str = "item_id") -> DataFrame:
@@ -107,15 +107,15 @@ def _masses(links: DataFrame) -> DataFrame:
     return links.select(ends.alias("e")).groupBy("e.c").agg(F.sum("e.w").alias("mass"))
 
 
-def _merges(links: DataFrame, m2: float, enough: float = 0.9) -> DataFrame:
-    """(old, new): which communities merge into which in one round. links (a, b, w) has a <= b, m2 is the weight of all ends.
+def _merges(links: DataFrame, m2: float, enough: float = 0.9) -> tuple[DataFrame, int]:
+    """(old, new): which communities merge into which in one round, and how many do. links (a, b, w) has a <= b, m2 is the weight of all ends.
 
     Pairs have one order, by modularity gain, then by their ends. A pair that is the first of both its ends merges; the first pair of all is
     one, so that every round with a gain merges some. Others whose first pair leads to the heavier end of such a pair, a hub, join it too,
     in their order, while what they gain beside those before them is still enough of what they gain alone. So hubs need no round for
     each of their neighbours.
     """
-    mass = written(_masses(links), "masses")
+    mass = _masses(links)
     pairs = links.where("a <> b").join(mass.toDF("a", "mass_a"), "a").join(mass.toDF("b", "mass_b"), "b")
     pairs = pairs.withColumn("gain", F.round(2 * (F.col("w") / m2 - F.col("mass_a") * F.col("mass_b") / m2**2), 12)).where("gain > 0")
     pair = F.struct((-F.col("gain")).alias("minus"), "a", "b", "w", "mass_a", "mass_b")
@@ -123,29 +123,38 @@ def _merges(links: DataFrame, m2: float, enough: float = 0.9) -> DataFrame:
     firsts = written(ends.select("c", "p.*"), "firsts")
     mutual = firsts.groupBy("a", "b", "mass_a", "mass_b").agg(F.count("*").alias("n")).where("n = 2").drop("n")
     heavier = F.col("mass_a") >= F.col("mass_b")
-    mutual = written(mutual.select(F.when(heavier, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(heavier, F.col("b")).otherwise(F.col("a")).alias("other"), (F.col("mass_a") + F.col("mass_b")).alias("start")), "mutual")
+    mutual = mutual.select(F.when(heavier, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(heavier, F.col("b")).otherwise(F.col("a")).alias("other"), (F.col("mass_a") + F.col("mass_b")).alias("start"))
     paired = mutual.select(F.explode(F.array("hub", "other")).alias("c"))
     free = firsts.join(paired, "c", "left_anti").withColumn("hub", F.when(F.col("c") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     free = free.withColumn("own", F.when(F.col("c") == F.col("a"), F.col("mass_a")).otherwise(F.col("mass_b"))).join(mutual.select("hub", "start"), "hub")
     before = F.sum("own").over(W.partitionBy("hub").orderBy("minus", "a", "b")) - F.col("own") + F.col("start")
     joins = free.withColumn("before", before).where(2 * (F.col("w") / m2 - F.col("own") * F.col("before") / m2**2) >= -enough * F.col("minus"))
     every = mutual.select(F.col("other").alias("old"), F.col("hub").alias("new")).unionByName(joins.select(F.col("c").alias("old"), F.col("hub").alias("new")))
-    return written(every, "merges")
+    return written_counted(every, "merges")
 
 
 def _renamed(df: DataFrame, column: str, merges: DataFrame) -> DataFrame:
     return df.join(merges.toDF(column, "_new"), column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def _agglomerated(links: DataFrame, now: DataFrame, m2: float) -> DataFrame:
-    """(item_id, community): communities merged by modularity gain until no merge gains. Links between two communities become one link."""
+def _agglomerated(links: DataFrame, now: DataFrame, m2: float, at_once: int = 8) -> DataFrame:
+    """(item_id, community): communities merged by modularity gain until no merge gains. Links between two communities become one link.
+
+    Items follow the merges of at_once rounds at a time.
+    """
+    pending: list[DataFrame] = []
     while True:
-        merges = _merges(links, m2)
-        if not merges.limit(1).count():
+        merges, more = _merges(links, m2)
+        if more:
+            pending.append(merges)
+            ends = _renamed(_renamed(links, "a", merges), "b", merges)
+            links = written(ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "links")
+        if len(pending) == at_once or not more:
+            for m in pending:
+                now = _renamed(now, "community", m)
+            now, pending = written(now, "members"), []
+        if not more:
             return now
-        now = written(_renamed(now, "community", merges), "members")
-        ends = _renamed(_renamed(links, "a", merges), "b", merges)
-        links = written(ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")), "links")
 
 
 def _moved(links: DataFrame, now: DataFrame, m2: float, most_still: int = 3) -> DataFrame:
@@ -157,11 +166,12 @@ def _moved(links: DataFrame, now: DataFrame, m2: float, most_still: int = 3) ->
     ways = F.explode(F.array(F.struct(F.col("a").alias("item_id"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("item_id"), F.col("a").alias("other"), "w")))
     both = written(links.where("a <> b").select(ways.alias("e")).select("e.*"), "ways")
     weights = written(_masses(links).toDF("item_id", "k"), "weights")
-    best, best_q, still, r = now, _quality(links, now), 0, 0
+    linked = now.join(weights.select("item_id"), "item_id", "left_semi")  # others have no neighbours
+    best, best_q, still, r = linked, _quality(links, linked), 0, 0
     while still < most_still:
-        placed = now.join(weights, "item_id")
+        placed = linked.join(weights, "item_id")
         mass = placed.groupBy("community").agg(F.sum("k").alias("mass"))
-        toward = both.join(now.toDF("other", "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
+        toward = both.join(linked.toDF("other", "community"), "other").groupBy("item_id", "community").agg(F.sum("w").alias("into"))
         own = placed.select("item_id", "k", F.col("community").alias("at"))
         every = toward.join(own, "item_id").unionByName(own.select("item_id", F.col("at").alias("community"), F.lit(0.0).alias("into"), "k", "at"))
         every = every.groupBy("item_id", "community", "k", "at").agg(F.sum("into").alias("into")).join(mass, "community")
@@ -169,13 +179,14 @@ def _moved(links: DataFrame, now: DataFrame, m2: float, most_still: int = 3) ->
         gain = F.round(F.col("into") - F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / m2, 12)
         first = every.groupBy("item_id", "at").agg(F.min(F.struct((-gain).alias("minus"), (~stays).alias("moves"), "community")).alias("f"))
         turn = F.pmod(F.xxhash64("item_id", F.lit(r)), F.lit(3)) == 0
-        step = written(first.select("item_id", F.when(turn, F.col("f.community")).otherwise(F.col("at")).alias("community"), F.col("f.moves").alias("gains")), "moves")
-        if not step.where("gains").limit(1).count():
+        step = first.select("item_id", F.when(turn, F.col("f.community")).otherwise(F.col("at")).alias("community"), F.col("f.moves").alias("gains"))
+        step, gaining = written_counted(step, "moves", F.col("gains"))
+        if not gaining:
             break
-        now, r = written(now.join(step.select("item_id", F.col("community").alias("_new")), "item_id", "left").select("item_id", F.coalesce("_new", "community").alias("community")), "members"), r + 1
-        q = _quality(links, now)
-        best, best_q, still = (now, q, 0) if q > best_q + 1e-9 else (best, best_q, still + 1)
-    return best
+        linked, r = step.drop("gains"), r + 1
+        q = _quality(links, linked)
+        best, best_q, still = (linked, q, 0) if q > best_q + 1e-9 else (best, best_q, still + 1)
+    return best.unionByName(now.join(weights.select("item_id"), "item_id", "left_anti"))
 
 
 def communities(node_table: DataFrame, kept: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> str:
@@ -53,3 +54,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_counted(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """What written gives, and how many of its rows meet a condition (all without one), counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, (F.count(F.lit(1)) if condition is None else F.count_if(condition)).alias("n")), name)
+    return out, seen.get["n"]

@@ -175,3 +175,52 @@ def test_pair_sample_is_linear(spark):
     df = dedup.keyed(records(spark, *[{"title": f"t{k % 3}"} for k in range(30)]))
     rows = dedup.pair_sample(df).collect()
     assert len(rows) == 5 and sorted(r.kind for r in rows) == ["cross_source_negative"] * 2 + ["easy"] * 3
+
+
+@pytest.mark.parametrize(("n", "missing", "task_links", "most_rounds"), [(1000, 100, 25_000, 5), (60, 5, 32, 9)])
+def test_dense_components_take_few_rounds(spark, monkeypatch, n, missing, task_links, most_rounds):
+    """One of so many pairs is missing; groups are those of taking one unit after the other."""
+    pair = F.xxhash64("a", "b")
+    name = {s: F.format_string("u%05d", F.col(s)) for s in "ab"}
+    order = {s: F.concat((F.xxhash64(s) % 1000).cast("string"), name[s]) for s in "ab"}
+    pairs = spark.range(n).toDF("a").join(spark.range(n).toDF("b"), F.col("a") < F.col("b")).where(pair % missing != 0)
+    links = pairs.select(F.lit("u00000").alias("root"), name["a"].alias("left_id"), name["b"].alias("right_id"), order["a"].alias("left_order"), order["b"].alias("right_order"), (1 + F.pmod(pair, F.lit(3))).cast("int").alias("level"), (90.0 + F.pmod(pair, F.lit(7))).alias("score"))
+    rounds, plain = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: (rounds.append(1) if name == "first" else None) or plain(df, name))
+    got = {r.id: (r.founder, r.level, r.score) for r in dedup._in_rounds(links, int((2 * task_links) ** 0.5)).collect()}
+    rows = links.toPandas()
+    orders = dict(zip(rows["left_id"], rows["left_order"], strict=True)) | dict(zip(rows["right_id"], rows["right_order"], strict=True))
+    want = dedup.complete_links(sorted(orders, key=orders.get), list(zip(rows["left_id"], rows["right_id"], rows["level"], rows["score"], strict=True)))
+    assert got == want and len(rounds) <= most_rounds
+
+
+def test_pairs_and_members_stand_for_all_matches(spark):
+    """Levels 2 and 3 of whole records, by comparing all pairs; the queries give pairs of units and the records of each."""
+    rng = random.Random(2)
+    text = "we look for people who analyse numbers every day and write about what they found in clear words"
+    titles = ["data analyst of the northern office", "data analyst of the northern offices", "data analyst of northern offices", "analyst of data in the north"]
+    df = records(spark, *[{"company": f"c{k % 12}", "title": rng.choice(titles), "source_id": f"s{rng.randrange(2)}", "source_record": "", "description": rng.choice([text, text + ".", text + " and more of it, much more than was there before"])} for k in range(150)])
+    united = dedup.units(dedup.keyed(df)).cache()
+    heads = dedup.unit_heads(united)
+    units = {}
+    for r in dedup.membership(united, heads).collect():
+        units.setdefault(r.id, []).append(r.record_id)
+    assert sorted(x for u in units.values() for x in u) == sorted(r.record_id for r in df.collect())
+    got = {}
+    for r in dedup.matched_pairs(heads).collect():
+        for a in units[r.left_id]:
+            for b in units[r.right_id]:
+                got[frozenset((a, b))] = (r.level, round(r.score, 6))
+    for u in units.values():
+        got |= {frozenset((a, b)): (1, 100.0) for a in u for b in u if a != b}
+    rows = united.collect()
+    want = {frozenset((a.record_id, b.record_id)): m for i, a in enumerate(rows) for b in rows[:i] if (m := match(a, b))}
+    assert got == want and {level for level, _ in want.values()} == {1, 2, 3}
+
+
+def test_rare_pairs_of_characters_come_first(spark):
+    """A pair of characters that all titles have is no key of any but short ones."""
+    rng = random.Random(8)
+    titles = {"senior " + "".join(rng.choice("abcdefghijklmnop") for _ in range(14)) + " engineer" for _ in range(300)}
+    keys = dedup.title_keys(spark.createDataFrame([(t, "x") for t in titles], "t string, k string"), ["k"], "t", 90.0).groupBy("_g").count().collect()
+    assert max(r["count"] for r in keys) < 0.2 * len(titles)

@@ -253,3 +253,55 @@ def test_communities_against_the_best_division(spark):
     found = quality({r.item_id: r.community for r in member.collect()})
     assert best - 0.05 <= found <= best + 1e-9
     assert graph.modularity(member, kept).first().modularity == pytest.approx(found, abs=1e-9)
+
+
+def greedy_communities(names, edges):
+    """Merging the best pair of communities, one at a time, until none gains."""
+    m2 = 2 * sum(edges.values())
+    mass, links, at = dict.fromkeys(names, 0.0), {n: {} for n in names}, {n: n for n in names}
+    for (a, b), w in edges.items():
+        mass[a] += w / m2
+        mass[b] += w / m2
+        links[a][b] = links[b][a] = w / m2
+    while True:
+        gain, a, b = max(((2 * (w - mass[a] * mass[b]), a, b) for a in links for b, w in links[a].items() if a < b), default=(0, None, None))
+        if gain <= 1e-12:
+            return at
+        for c, w in links.pop(b).items():
+            del links[c][b]
+            if c != a:
+                links[a][c] = links[c][a] = links[a].get(c, 0) + w
+        mass[a] += mass.pop(b)
+        at = {n: a if c == b else c for n, c in at.items()}
+
+
+def quality_of(at, edges):
+    m2, mass, inner = 2 * sum(edges.values()), {}, 0.0
+    for (a, b), w in edges.items():
+        inner += 2 * w * (at[a] == at[b])
+        for n in (a, b):
+            mass[at[n]] = mass.get(at[n], 0.0) + w
+    return inner / m2 - sum(x * x for x in mass.values()) / m2**2
+
+
+@pytest.mark.parametrize(("seed", "share"), [(1, 0.2), (2, 0.4)])
+def test_communities_are_as_good_as_greedy_ones(spark, seed, share):
+    rng = random.Random(seed)
+    names = [f"n{i:02}" for i in range(30)]
+    edges = {(a, b): round(rng.random(), 3) + 0.001 for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < share}
+    kept = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "item_a string, item_b string, jaccard double")
+    found = {r.item_id: r.community for r in graph.communities(spark.createDataFrame([(n,) for n in names], "item_id string"), kept).collect()}
+    assert set(found) == set(names)
+    assert quality_of(found, edges) >= quality_of(greedy_communities(names, edges), edges) - 0.01
+
+
+def test_a_hub_takes_in_many_neighbours_a_round(spark, monkeypatch):
+    """Without that a star would need a round for each of its 40 ends."""
+    rows = [("hub", f"x{i:02}", 1.0) for i in range(40)] + [("alone", "too", 1.0)]
+    kept = spark.createDataFrame(rows, "item_a string, item_b string, jaccard double")
+    rounds, plain = [], graph._merges
+    monkeypatch.setattr(graph, "_merges", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    nodes = spark.createDataFrame([(n,) for n in {n for a, b, _ in rows for n in (a, b)} | {"single"}], "item_id string")
+    found = {r.item_id: (r.community, r.size) for r in graph.communities(nodes, kept).collect()}
+    assert len({c for c, _ in found.values()}) == 3 and found["hub"] == (0, 41) and found["single"][1] == 1 and found["too"] == found["alone"]
+    assert len(rounds) <= 22
