@@ -2,76 +2,50 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Confidence and rank of the kinds of rules, and the confidence of structured evidence; fixed values.
 CANONICAL, ALIAS, SHORT, STRUCTURED = (0.98, 3), (0.95, 2), (0.90, 1), 0.85
+#: What may not stand beside a term; js is also no term after a dot. Fixed values.
+SIGNS, BEFORE, BEFORE_JS = "A-Za-z0-9_", "(?<![A-Za-z0-9_])", "(?<![A-Za-z0-9_.])"
 
 
-@dataclass(frozen=True)
-class Rule:
-    item: str
-    pattern: str
-    method: str
-    confidence: float
-    rank: int
-
-
-def term_pattern(term: str) -> str:
-    """A term between signs that are not ASCII letters, digits or underscores, in any case; js also not after a dot."""
-    left = "(?<![A-Za-z0-9_.])" if term.lower() == "js" else "(?<![A-Za-z0-9_])"
-    return f"(?i){left}{re.escape(term)}(?![A-Za-z0-9_])"
-
+def bounded(term: Column) -> Column:
+    """A pattern for a term in any case between signs that are not ASCII letters, digits or underscores; what the term holds stands for itself."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.lit("(?i)"), F.when(F.lower(term) == "js", BEFORE_JS).otherwise(BEFORE), quoted, F.lit(f"(?![{SIGNS}])"))
 
-def compile_rules(catalogue: dict[str, tuple[str, list[str]]], short: dict[str, str] | None = None) -> list[Rule]:
-    """Rules of a catalogue (item: name, aliases), longest pattern first. short: patterns that stand for the name of short terms."""
-    short, out = short or {}, []
-    for item, (name, aliases) in catalogue.items():
-        out.append(Rule(item, short[item], "rule_short_context", *SHORT) if item in short else Rule(item, term_pattern(name), "rule_canonical", *CANONICAL))
-        out += [Rule(item, term_pattern(a), "rule_alias", *ALIAS) for a in aliases]
-    return sorted(out, key=lambda r: -len(r.pattern))
 
+def rules_frame(catalogue: DataFrame, short: DataFrame | None = None) -> DataFrame:
+    """(item, term, method, confidence, rank, pattern) of a catalogue (item, name, aliases).
 
-def rules_frame(catalogue: DataFrame) -> DataFrame:
-    """(item, term, method, confidence, rank) of a catalogue (item, name, aliases) that is a table, for token_matches."""
-    named = catalogue.select("item", F.col("name").alias("term"), F.lit("rule_canonical").alias("method"), F.lit(CANONICAL[0]).alias("confidence"), F.lit(CANONICAL[1]).alias("rank"))
-    other = catalogue.select("item", F.explode("aliases").alias("term"), F.lit("rule_alias").alias("method"), F.lit(ALIAS[0]).alias("confidence"), F.lit(ALIAS[1]).alias("rank"))
-    return named.unionByName(other).distinct()
-
-
-def matches(docs: DataFrame, rules: list[Rule], id_col: str, text_col: str) -> DataFrame:
-    """(id, item, method, confidence, start, matched) with one best match for each text and item.
-
-    Best is the highest confidence, then method, then the earliest place; full ties keep the longer pattern. Rules are literals of one
-    projection, so each pattern is compiled once for a task and texts are read once. Only texts with a match give rows.
+    short (item, pattern): items whose name is too short to be told by itself, with a pattern of the name in its context, which stands for
+    the name. pattern is null where the term decides alone.
     """
 
-    def one(k: int, r: Rule) -> Column:
-        at = F.regexp_instr(F.col(text_col), F.lit(r.pattern))
-        return F.when(at > 0, F.struct(F.lit(r.item).alias("item"), F.lit(r.method).alias("method"), F.lit(r.confidence).alias("confidence"), F.lit(r.rank).alias("rank"), (at - 1).alias("start"), F.lit(k).alias("rule"), F.regexp_extract(F.col(text_col), r.pattern, 0).alias("matched")))
+    def kind(method: str, of: tuple[float, int]) -> Column:
+        return F.struct(F.lit(method).alias("method"), F.lit(of[0]).alias("confidence"), F.lit(of[1]).alias("rank"))
 
-    found = docs.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*[one(k, r) for k, r in enumerate(rules)]))).alias("m")).select("id", "m.*")
-    best = found.groupBy("id", "item").agg(F.max_by(F.struct("method", "confidence", "start", "matched"), F.struct("confidence", "rank", -F.col("start"), -F.col("rule"))).alias("b"))
-    return best.select("id", "item", "b.*")
+    named = catalogue.select("item", F.col("name").alias("term"))
+    named = named.join(short.select("item", "pattern"), "item", "left") if short is not None else named.withColumn("pattern", F.lit(None).cast("string"))
+    named = named.withColumn("k", F.when(F.col("pattern").isNotNull(), kind("rule_short_context", SHORT)).otherwise(kind("rule_canonical", CANONICAL)))
+    other = catalogue.select("item", F.explode("aliases").alias("term"), F.lit(None).cast("string").alias("pattern"), kind("rule_alias", ALIAS).alias("k"))
+    return named.unionByName(other).select("item", "term", "k.*", "pattern").distinct()
 
 
 def token_matches(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """What matches gives, for rules (item, term, method, confidence, rank) in a table of any size.
+    """(id, item, method, confidence, start, matched) of texts and rules (as rules_frame gives them), one best match for each text and item.
 
-    A text can hold a term only if it has the term's first ASCII word among its own, so texts meet rules by an equality join on words;
-    terms without such a word meet them by their first two characters. Only what has met is looked at with the term's pattern. Null texts
-    and terms match nothing; repeated rules count once.
+    Best is the highest confidence, then method, then the earliest place; full ties keep the longer term. A text can hold a term only if it
+    has the term's first ASCII word among its own, so texts meet rules of any number by an equality join on words; terms without such a
+    word meet them by their first two characters. Only what has met is looked at with the rule's pattern. Null texts and terms match
+    nothing; repeated rules count once; only texts with a match give rows.
     """
-    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    left = F.when(F.lower("term") == "js", "(?<![A-Za-z0-9_.])").otherwise("(?<![A-Za-z0-9_])")
     word = F.regexp_extract(F.lower("term"), "[a-z0-9_]+", 0)
     known = rules.where(F.length("term") > 0).distinct().select(
-        "item", "term", "method", "confidence", "rank", F.concat(F.lit("(?i)"), left, quoted, F.lit("(?![A-Za-z0-9_])")).alias("pattern"), F.when(word != "", word).otherwise(F.substring(F.lower("term"), 1, 2)).alias("token"), (word == "").alias("wordless")
+        "item", "term", "method", "confidence", "rank", F.col("pattern").isNotNull().alias("own"), F.coalesce("pattern", bounded(F.col("term"))).alias("pattern"), F.when(word != "", word).otherwise(F.substring(F.lower("term"), 1, 2)).alias("token"), (word == "").alias("wordless")
     )
     low = F.lower(text_col)
     tokens = F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), 0)
@@ -81,11 +55,12 @@ def token_matches(docs: DataFrame, rules: DataFrame, id_col: str, text_col: str)
         tokens = F.concat(tokens, F.when(F.length(low) > 0, signs).otherwise(F.array().cast("array<string>")))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     met = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokens)).alias("token")).distinct().join(known, "token")
-    asked = met.groupBy("_id").agg(F.collect_set(F.struct("item", "method", "confidence", "rank", "term", "pattern")).alias("rules"))
+    asked = met.groupBy("_id").agg(F.collect_set(F.struct("item", "method", "confidence", "rank", "term", "own", "pattern")).alias("rules"))
     both = texts.join(asked, texts["id"].eqNullSafe(asked["_id"])).select("id", "text", F.explode("rules").alias("r"))
     found = both.withColumn("start", F.regexp_instr("text", F.col("r.pattern")) - 1).where("start >= 0")
+    matched = F.when(F.col("r.own"), F.expr("regexp_extract(text, r.pattern, 0)")).otherwise(F.substring(F.col("text"), F.col("start") + 1, F.length("r.term")))
     best = found.groupBy("id", F.col("r.item").alias("item")).agg(
-        F.max_by(F.struct(F.col("r.method").alias("method"), F.col("r.confidence").alias("confidence"), "start", F.substring(F.col("text"), F.col("start") + 1, F.length("r.term")).alias("matched")), F.struct("r.confidence", "r.rank", -F.col("start"), F.length("r.term"), "r.term")).alias("b")
+        F.max_by(F.struct(F.col("r.method").alias("method"), F.col("r.confidence").alias("confidence"), "start", matched.alias("matched")), F.struct("r.confidence", "r.rank", -F.col("start"), F.length("r.term"), "r.term")).alias("b")
     )
     return best.select("id", "item", "b.*")
 

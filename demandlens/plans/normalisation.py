@@ -155,13 +155,18 @@ SHORT = {"r_item": "(?i)(?<![A-Za-z0-9_])a(?=\\s+(?:the|of)\\b)"}
 RULES_SQL = "rules AS (SELECT * FROM (VALUES ('the_item', 'rule_canonical', 0.98e0, 3, 'the'), ('the_item', 'rule_alias', 0.95e0, 2, 'teh'), ('the_item', 'rule_alias', 0.95e0, 2, 'and the'), ('la_item', 'rule_canonical', 0.98e0, 3, 'la'), ('la_item', 'rule_alias', 0.95e0, 2, 'les'), ('der_item', 'rule_canonical', 0.98e0, 3, 'der'), ('der_item', 'rule_alias', 0.95e0, 2, 'das')) r(item, method, confidence, rank, term)), m AS (SELECT doc_id AS id, item, method, confidence, rank FROM documents, rules WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])' || term || '([^A-Za-z0-9_]|$)') UNION ALL SELECT doc_id, 'r_item', 'rule_short_context', 0.90e0, 1 FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])a\\s+(the|of)([^A-Za-z0-9_]|$)')), best AS (SELECT id, item, max_by(method, rank) AS method, max(confidence) AS confidence FROM m GROUP BY 1, 2)"
 
 
+def _rules(t: Star, catalogue: dict[str, tuple[str, list[str]]], short: dict[str, str]) -> DataFrame:
+    frame = t.spark.createDataFrame([(item, name, aliases) for item, (name, aliases) in catalogue.items()], "item string, name string, aliases array<string>")
+    return extract.rules_frame(frame, t.spark.createDataFrame(list(short.items()), "item string, pattern string"))
+
+
 def _matches(t: Star) -> DataFrame:
-    return extract.matches(t.table("documents"), extract.compile_rules(CATALOGUE, SHORT), "doc_id", "text")
+    return extract.token_matches(t.table("documents"), _rules(t, CATALOGUE, SHORT), "doc_id", "text")
 
 
 @query("e1_term_boundary", "SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])of the([^A-Za-z0-9_]|$)') AS found FROM documents")
 def e1(t: Star) -> DataFrame:
-    return t.table("documents").select("doc_id", F.col("text").rlike(extract.term_pattern("of the").replace("\\ ", " ")).alias("found"))
+    return t.table("documents").select("doc_id", F.rlike("text", extract.bounded(F.lit("of the"))).alias("found"))
 
 
 @query("e2_short_context", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])a\\s+(the|of)([^A-Za-z0-9_]|$)')")
@@ -171,7 +176,7 @@ def e2(t: Star) -> DataFrame:
 
 @query("e3_rules", "SELECT DISTINCT p_name AS item, p_name AS term, 'rule_canonical' AS method, 0.98e0 AS confidence, 3 AS rank FROM part UNION ALL SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')), 'rule_alias', 0.95e0, 2 FROM part")
 def e3(t: Star) -> DataFrame:
-    return extract.rules_frame(t.items.select(F.col("item_id").alias("item"), F.col("item_id").alias("name"), F.split("item_id", " ").alias("aliases")))
+    return extract.rules_frame(t.items.select(F.col("item_id").alias("item"), F.col("item_id").alias("name"), F.split("item_id", " ").alias("aliases"))).drop("pattern")
 
 
 @query("e4_best_match", f"WITH {RULES_SQL} SELECT id, item, method, confidence FROM best")
@@ -181,8 +186,7 @@ def e4(t: Star) -> DataFrame:
 
 @query("e4_catalogue_match", f"WITH {RULES_SQL} SELECT id, item, method, confidence FROM best WHERE item <> 'r_item'")
 def e4_catalogue(t: Star) -> DataFrame:
-    rows = [(item, name, aliases) for item, (name, aliases) in CATALOGUE.items() if item not in SHORT]
-    rules = extract.rules_frame(t.spark.createDataFrame(rows, "item string, name string, aliases array<string>"))
+    rules = _rules(t, {item: terms for item, terms in CATALOGUE.items() if item not in SHORT}, {})
     return extract.token_matches(t.table("documents"), rules, "doc_id", "text").select("id", "item", "method", "confidence")
 
 
@@ -201,8 +205,8 @@ def e5(t: Star) -> DataFrame:
 
 @query("e6_precedence", ALIASES_SQL + ", m AS (SELECT DISTINCT id, 'item_' || term AS item, 'structured' AS method, 0.85e0 AS confidence FROM s WHERE term <> 'red' UNION ALL SELECT p_partkey, 'item_red', 'rule_canonical', 0.98e0 FROM part WHERE contains(p_name, 'red')) SELECT * FROM m")
 def e6(t: Star) -> DataFrame:
-    rules = extract.compile_rules({f"item_{w}": (w, []) for w in ("red", "ring", "widget")})
-    found = extract.matches(t.table("part"), rules, "p_partkey", "p_name")
+    rules = _rules(t, {f"item_{w}": (w, []) for w in ("red", "ring", "widget")}, {})
+    found = extract.token_matches(t.table("part"), rules, "p_partkey", "p_name")
     return extract.by_precedence([_structured(t), found]).select("id", "item", "method", "confidence")
 
 

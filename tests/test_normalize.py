@@ -1,5 +1,6 @@
 """Reading of written values: what is understood, and what must not be guessed."""
 
+import re
 from datetime import date
 
 import pytest
@@ -50,9 +51,12 @@ def test_longest_prefix(spark):
 
 def test_extraction_boundaries_and_ties(spark):
     catalogue = {"js": ("JS", ["JavaScript"]), "python": ("Python", ["py"]), "r": ("R", []), "bi": ("Power BI", ["BI"])}
-    rules = extract.compile_rules(catalogue, {"r": "(?i)(?<![A-Za-z0-9_])R(?=\\s*(?:语言|programming\\b))"})
+    frame = spark.createDataFrame([(k, n, a) for k, (n, a) in catalogue.items()], "item string, name string, aliases array<string>")
+    rules = extract.rules_frame(frame, spark.createDataFrame([("r", "(?i)(?<![A-Za-z0-9_])R(?=\\s*(?:语言|programming\\b))")], "item string, pattern string"))
+    kinds = {(r.item, r.term): (r.method, r.confidence, r.rank, r.pattern is None) for r in rules.collect()}
+    assert kinds["r", "R"] == ("rule_short_context", 0.9, 1, False) and kinds["js", "JS"] == ("rule_canonical", 0.98, 3, True) and kinds["python", "py"] == ("rule_alias", 0.95, 2, True) and len(kinds) == 7
     docs = spark.createDataFrame([(1, "Node.js and PYTHON, R语言"), (2, "R and D; Python3; py"), (3, "power bi 分析, BI"), (4, None), (5, "")], "id long, text string")
-    found = {(r.id, r.item): (r.method, r.start, r.matched) for r in extract.matches(docs, rules, "id", "text").collect()}
+    found = {(r.id, r.item): (r.method, r.start, r.matched) for r in extract.token_matches(docs, rules, "id", "text").collect()}
     assert found == {(1, "python"): ("rule_canonical", 12, "PYTHON"), (1, "r"): ("rule_short_context", 20, "R"), (2, "python"): ("rule_alias", 18, "py"), (3, "bi"): ("rule_canonical", 0, "power bi")}
 
 
@@ -63,14 +67,21 @@ def test_similarity(spark):
     assert (prints["the same words here and there"] ^ prints["the same words here and then"]).bit_count() < 20
 
 
-def test_table_of_rules_matches_as_literals_do(spark):
+def test_rules_match_as_a_search_of_each_text_does(spark):
     catalogue = {"js": ("js", ["node.js"]), "cpp": ("C++", ["c plus plus"]), "dot": (".NET", []), "data": ("data analysis", ["analysis"]), "cn": ("数据", ["数据分析"]), "one": ("R", []), "q": ("a\\E|b", [])}
     texts = ["uses JS and node.js", "x.js", "C++, .net; Data  analysis", "data analysis and analysis", "做数据分析。", "R", "r2 R.", "a\\E|b", "", None, "c plus  plus", "plain", "DATA ANALYSIS c++x C++ y"]
-    docs = spark.createDataFrame([*enumerate(texts), (3, "another text with R under the same id")], "i long, t string")
+    rows = [*enumerate(texts), (3, "another text with R under the same id")]
     rules = extract.rules_frame(spark.createDataFrame([(k, n, a) for k, (n, a) in catalogue.items()], "item string, name string, aliases array<string>"))
-    want = {tuple(r) for r in extract.matches(docs, extract.compile_rules(catalogue), "i", "t").collect()}
-    got = {tuple(r) for r in extract.token_matches(docs, rules, "i", "t").collect()}
-    assert got == want and len(got) > 10
+    want = {}
+    for i, text in rows:
+        for item, (name, aliases) in catalogue.items():
+            for term, confidence, method in ((name, 0.98, "rule_canonical"), *((a, 0.95, "rule_alias") for a in aliases)):
+                before = "A-Za-z0-9_." if term.lower() == "js" else "A-Za-z0-9_"
+                if m := re.search(f"(?<![{before}]){re.escape(term)}(?![A-Za-z0-9_])", text or "", re.I):
+                    found = ((confidence, -m.start(), len(term)), (i, item, method, confidence, m.start(), m.group()))
+                    want[i, item] = max(want.get((i, item), found), found)
+    got = {tuple(r) for r in extract.token_matches(spark.createDataFrame(rows, "i long, t string"), rules, "i", "t").collect()}
+    assert got == {x for _, x in want.values()} and len(got) > 10
 
 
 def test_compatible_forms_are_one(spark):
