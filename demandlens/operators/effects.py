@@ -8,9 +8,9 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demandlens.operators import ranking
 from demandlens.sources.shared import written
 
 MISSING = "__missing__"
@@ -146,7 +146,7 @@ def associations(entities: DataFrame, pairs: DataFrame, items: DataFrame, contro
     by_column = own.mapInPandas(counts, "item_id string, at int, n double, sy double").groupBy("item_id", "at").agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"))
     per_item = by_column.groupBy("item_id").agg(F.collect_list(F.struct("at", "n")).alias("counts"), F.max(F.when(F.col("at") == 0, F.col("sy"))).alias("sy"))
     solution = per_item.mapInPandas(solved, "item_id string, deficient boolean, slope array<double>, beta array<double>, b double, own double, rest double, condition double")
-    solution = written(solution.withColumn("number", F.row_number().over(W.orderBy("item_id")) - 1), "solution")  # one row for each item
+    solution = written(ranking.numbered(solution, ["item_id"], "number").withColumn("number", F.col("number") - 1), "solution")
 
     errors = None
     for k in range(0, solution.count(), PASS_ITEMS):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.sources.shared import written
+from demandlens.sources.shared import written, written_counted
 
 
 def requirements(pairs: DataFrame, owned: DataFrame) -> DataFrame:
@@ -47,25 +49,47 @@ def analyse(cohort: DataFrame, pairs: DataFrame, owned: DataFrame, threshold: fl
 
 
 def select_items(cohort: DataFrame, pairs: DataFrame, items: DataFrame, owned: list[str], budget: float, threshold: float = 0.70, average_weight: float = 0.6, threshold_weight: float = 0.4, least_gain: float = 1e-6) -> DataFrame:
-    """Items picked one by one within a budget of cost, each time the one with the largest marginal gain per cost, gains counted anew.
+    """Items picked one by one within a budget of cost, each time the one with the largest marginal gain per cost, gains kept up to date.
 
     Ties go to the larger gain, then to the lesser id. Returns step, item_id, cost, marginal, remaining. The loop is on the driver, as each
-    pick depends on the last, but every step is one Spark aggregation over the cohort's pairs; its result is one row. The steps are at
-    most the budget over the least cost. items: (item_id, cost); items without a positive cost are never picked.
+    pick depends on the last; its steps are at most the budget over the least cost. items: (item_id, cost); items without a positive cost
+    are never picked.
+    All gains are counted once. A pick changes only which items lift an entity over the threshold, and only of entities that hold the
+    picked item; what they gave before and give now is counted for these, and the differences are added to the last gains, one row for
+    each item. An entity that has reached the threshold gives nothing any more, so such entities are left out of what later steps read,
+    written anew whenever half of those left have got there.
     """
     spark = pairs.sparkSession
-    mine = written(pairs.join(cohort.select("entity_id"), "entity_id", "left_semi"), "cohort_pairs")
-    priced = items.where(F.col("cost") > 0).select("item_id", "cost")
+    mine = written(pairs.where(F.col("item_id").isNotNull()).join(cohort.select("entity_id"), "entity_id", "left_semi"), "cohort_pairs")
     have, steps, left = list(dict.fromkeys(owned)), [], float(budget)
+    held = spark.createDataFrame([(x,) for x in have], "item_id string")
+    fits = written(requirements(mine, held), "fits")
+    n = fits.count()
+    now = written(gains(mine, fits, held, threshold).join(items.where(F.col("cost") > 0).select("item_id", "cost"), "item_id"), "gains")
+    below, below_n = written_counted(fits.where(F.col("fit") < threshold).select("entity_id"), "below")
+    waiting, reached, reached_n = written(mine.join(below, "entity_id", "left_semi"), "waiting"), [], 0
+
+    def lifts(matched: Column) -> Column:
+        required = F.col("required").cast("double")
+        return ((matched / required < threshold) & ((matched + 1) / required >= threshold)).cast("long")
+
     while True:
-        held = spark.createDataFrame([(x,) for x in have], "item_id string")
-        found = gains(mine, requirements(mine, held), held, threshold).join(priced, "item_id")
-        marginal = average_weight * F.col("average_gain") + threshold_weight * F.col("threshold_gain")
-        able = found.withColumn("marginal", F.round(marginal, 12)).where((F.col("cost") <= left + 1e-9) & (F.col("marginal") >= least_gain))
+        marginal = average_weight * F.col("average_gain") + threshold_weight * F.col("crossing_count") / max(n, 1)
+        able = now.withColumn("marginal", F.round(marginal, 12)).where((F.col("cost") <= left + 1e-9) & (F.col("marginal") >= least_gain))
         best = able.orderBy(F.round(F.col("marginal") / F.col("cost"), 12).desc(), F.desc("marginal"), "item_id").limit(1).collect()
         if not best:
             break
+        picked = best[0]["item_id"]
         left -= best[0]["cost"]
-        have.append(best[0]["item_id"])
-        steps.append((len(steps) + 1, best[0]["item_id"], float(best[0]["cost"]), best[0]["marginal"], left))
+        have.append(picked)
+        steps.append((len(steps) + 1, picked, float(best[0]["cost"]), best[0]["marginal"], left))
+        touched = written(waiting.join(waiting.where(F.col("item_id") == picked).select("entity_id"), "entity_id", "left_semi"), "touched")
+        each = touched.groupBy("entity_id").agg(F.count("*").alias("required"), F.count_if(F.col("item_id").isin(have)).alias("matched"))
+        each, got = written_counted(each, "each", F.col("matched") / F.col("required").cast("double") >= threshold)
+        change = touched.where(~F.col("item_id").isin(have)).join(each, "entity_id").groupBy("item_id").agg(F.sum(lifts(F.col("matched")) - lifts(F.col("matched") - 1)).alias("_change"))
+        now = written(now.where(F.col("item_id") != picked).join(change, "item_id", "left").withColumn("crossing_count", F.col("crossing_count") + F.coalesce("_change", F.lit(0))).drop("_change"), "gains")
+        reached, reached_n = [*reached, each.where(F.col("matched") / F.col("required").cast("double") >= threshold).select("entity_id")], reached_n + got
+        if 2 * reached_n > below_n:
+            waiting = written(waiting.join(reduce(DataFrame.unionByName, reached), "entity_id", "left_anti"), "waiting")
+            below_n, reached, reached_n = below_n - reached_n, [], 0
     return spark.createDataFrame(steps, "step int, item_id string, cost double, marginal double, remaining double")

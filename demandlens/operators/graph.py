@@ -15,6 +15,41 @@ def co_counts(pairs: DataFrame, entity: str = "entity_id", item: str = "item_id"
     return a.join(b, entity).where("item_a < item_b").groupBy("item_a", "item_b").agg(F.count("*").alias("n"))
 
 
+def posting_bitmaps(pairs: DataFrame, number: str, item: str = "item_id") -> DataFrame:
+    """(item, bucket, bits): each item's entities as bitmaps, one for each bucket of 32,768 numbers that it has any in.
+
+    number is a column of whole numbers that tells entities apart. Bitmaps are made before the shuffle and united after it, so an item that
+    most entities have costs a few kilobytes for each bucket and task.
+    """
+    return pairs.where(F.col(item).isNotNull() & F.col(number).isNotNull()).groupBy(F.col(item).alias("item_id"), F.bitmap_bucket_number(F.col(number)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(number))).alias("bits"))
+
+
+def set_sizes(bitmaps: DataFrame) -> DataFrame:
+    """(item_id, n): the entities of each item."""
+    return bitmaps.groupBy("item_id").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+def overlaps(bitmaps: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(item_a, item_b, both_sets, either_set) of pairs of items: how many entities have both, how many either.
+
+    All pairs that have any in common, item_a < item_b, or those of wanted (item_a, item_b), also with none in common. Items meet in
+    buckets, so a pair costs a few kilobytes for each bucket and not a row for each entity that has both; no pair of entities is made.
+    """
+    bitmaps = written(bitmaps, "bitmaps")
+    a, b = (bitmaps.select(F.col("item_id").alias(f"item_{s}"), "bucket", F.col("bits").alias(f"bits_{s}")) for s in "ab")
+    if wanted is not None:
+        met = wanted.select("item_a", "item_b").distinct().join(a, "item_a").join(b, ["item_b", "bucket"])
+    else:
+        met = a.join(b, "bucket").where("item_a < item_b")
+    each = met.select("item_a", "item_b", "bucket", F.explode(F.array("bits_a", "bits_b")).alias("bits")).groupBy("item_a", "item_b", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
+    both = each.groupBy("item_a", "item_b").agg(F.sum(F.bitmap_count("bits")).alias("both_sets")).where("both_sets > 0")
+    if wanted is not None:
+        both = wanted.select("item_a", "item_b").distinct().join(both, ["item_a", "item_b"], "left").fillna(0, ["both_sets"])
+    n = set_sizes(bitmaps)
+    sized = both.join(n.toDF("item_a", "n_a"), "item_a", "left").join(n.toDF("item_b", "n_b"), "item_b", "left").fillna(0, ["n_a", "n_b"])
+    return sized.select("item_a", "item_b", "both_sets", (F.col("n_a") + F.col("n_b") - F.col("both_sets")).alias("either_set"))
+
+
 def support(pairs: DataFrame) -> DataFrame:
     """(item_id, support): entities with each item."""
     return pairs.groupBy("item_id").agg(F.count("*").alias("support"))

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from demandlens.operators import ranking
+
 
 def ordinal_rank(df: DataFrame, score: str, key: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """df with positions 1, 2, ... by falling score, equal ones by key. Without by, all rows are ranked at once: for item-sized sets."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*(by or [])).orderBy(F.desc_nulls_last(score), key)))
+    """df with positions 1, 2, ... by falling score, equal ones by key, within each by or over all rows."""
+    order = [F.desc_nulls_last(score), F.col(key)]
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order))) if by else ranking.numbered(df, order, out)
 
 
 def rank_changes(df: DataFrame, pooled: str, balanced: str, key: str = "item_id") -> DataFrame:
@@ -160,9 +163,9 @@ def sensitivity(df: DataFrame, key: str = "item_id", scenarios: dict[str, tuple[
     score = market_signal(F.col("demand"), F.col("company"), F.col("role"), F.col("synergy"), F.col("confidence"), {k: F.col(f"s.{k}") for k in SIGNAL_WEIGHTS}) * cost_decay(F.col("cost_expected"), F.col("s.half"))
     ranked = each.select(key, "s.scenario", F.round(score, 9).alias("score")).withColumn("place", F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("score"), key)))
     out = ranked.groupBy(key).agg(F.min("place").alias("best_rank"), F.max("place").alias("worst_rank"), F.max(F.when(F.col("scenario") == "baseline", F.col("place"))).alias("baseline_rank"))
-    n = F.count("*").over(W.partitionBy())
-    wide = F.col("worst_rank") - F.col("best_rank")
-    return out.withColumn("rank_range", wide).withColumn("stability", F.when(n > 1, 1 - wide / (n - 1)).otherwise(1.0)).withColumn("sensitive", wide >= sensitive)
+    n, wide = F.col("_n"), F.col("worst_rank") - F.col("best_rank")
+    counted = out.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
+    return counted.withColumn("rank_range", wide).withColumn("stability", F.when(n > 1, 1 - wide / (n - 1)).otherwise(1.0)).withColumn("sensitive", wide >= sensitive).drop("_n")
 
 
 def robustness(width: Column, n: Column, companies: Column, roles: Column, trust: Column, cost_min: Column, cost_expected: Column, cost_max: Column) -> Column:
@@ -194,7 +197,7 @@ def pareto(df: DataFrame, cost: str, signal: str) -> DataFrame:
     A cost stays if its best signal exceeds that of all lower costs; one row per distinct cost is compared.
     """
     best = df.groupBy(cost).agg(F.max(signal).alias("_best"))
-    below = best.withColumn("_below", F.max("_best").over(W.orderBy(cost).rowsBetween(W.unboundedPreceding, -1)))
+    below = ranking.running_before(best, [F.col(cost)], "_best", "_below")
     front = below.where(F.col("_below").isNull() | (F.col("_best") > F.col("_below"))).select(F.col(cost).alias("_cost"), "_best")
     return df.join(front, (F.col(cost) == F.col("_cost")) & (F.col(signal) == F.col("_best"))).drop("_cost", "_best")
 
@@ -205,7 +208,7 @@ def tiered(df: DataFrame, level: str, rank: str, first: int = 12, second: int =
     quota = F.when(F.col(level) == "robust", first).when((F.col(level) == "moderate") & F.lit(moderate), second).otherwise(0)
     picked = df.withColumn("_k", k).where(F.col("_k") <= quota).drop("_k")
     none = df.agg(F.count_if(F.col(level) == "robust").alias("_r"))
-    fallback = df.withColumn("_k", F.row_number().over(W.orderBy(rank))).where(F.col("_k") <= first).drop("_k").crossJoin(none).where("_r = 0").drop("_r")
+    fallback = df.orderBy(rank).limit(first).crossJoin(none).where("_r = 0").drop("_r")
     return picked.unionByName(fallback).distinct()
 
 

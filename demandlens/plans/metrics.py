@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import metrics, slices
 from demandlens.plans.base import Star, query, rounded, with_tables
+from demandlens.sources.shared import written
 from demandlens.plans.slicing import MAIN, SLICED
 
 AS_OF = "2000-06-30"
@@ -230,6 +231,11 @@ def a33(t: Star) -> DataFrame:
     return scoped.join(t.entity_items, "entity_id").groupBy("window", "item_id").agg(F.countDistinct("entity_id").alias("entity_count"), F.countDistinct("company_id").alias("company_count"), F.countDistinct("role_id").alias("role_count"), F.countDistinct("record_id").alias("record_count"))
 
 
+@query("a33_sketched_counts")
+def a33_sketched(t: Star) -> DataFrame:
+    return metrics.sketched_counts(written(metrics.daily_sketches(t.entities, t.entity_items), "sketches"), AS_OF, WINDOWS)
+
+
 def _inventory_sql(name: str, source: str, columns: dict[str, bool]) -> str:
     """The inventory of a table whose columns are text (True) or whole numbers."""
     text = " || ',' || ".join(f"""'"{c}":' || """ + (f"""'"' || {c} || '"'""" if is_text else f"CAST({c} AS VARCHAR)") for c, is_text in sorted(columns.items()))

@@ -53,10 +53,27 @@ def c13(t: Star) -> DataFrame:
     return rounded(judged.select("item_id", "target_count", F.col("cohort_size").alias("sample_size"), "average_fit", F.col("sample_size").alias("entity_count"), "average_gain", "crossing_count", "confidence", "status"))
 
 
-@query("t11_greedy_selection")
+#: One step after the other: each row has what is owned so far; gains of all items are counted anew from it.
+T11_SQL = BASE + f""", cohort AS (SELECT entity_id FROM entities WHERE role_id = '2-HIGH'), lists AS (SELECT entity_id, list(item_id) AS its FROM pairs WHERE entity_id IN (SELECT entity_id FROM cohort) GROUP BY 1),
+steps AS (
+ SELECT 0 AS step, [{OWN[1:-1]}] AS have, 120e0 AS remaining, CAST(NULL AS VARCHAR) AS item_id, CAST(NULL AS DOUBLE) AS cost, CAST(NULL AS DOUBLE) AS marginal
+ UNION ALL
+ SELECT step + 1, list_append(have, item_id), remaining - cost, item_id, cost, marginal FROM (
+  SELECT step, have, remaining, g.item_id, cost_expected AS cost, round(0.6 * gain / n + 0.4 * crossing / n, 12) AS marginal FROM (
+   SELECT step, have, remaining, item_id, sum(1e0 / required) AS gain, count(*) FILTER (WHERE matched * 1e0 / required < 0.5 AND (matched + 1) * 1e0 / required >= 0.5) AS crossing FROM (
+    SELECT step, have, remaining, len(its) AS required, len(list_intersect(its, have)) AS matched, unnest(list_filter(its, lambda i: NOT list_contains(have, i))) AS item_id FROM steps, lists
+   ) GROUP BY step, have, remaining, item_id
+  ) g JOIN items USING (item_id), (SELECT count(*) AS n FROM lists) WHERE cost_expected > 0 AND cost_expected <= remaining + 1e-9
+  ORDER BY round(round(0.6 * gain / n + 0.4 * crossing / n, 12) / cost_expected, 12) DESC, marginal DESC, item_id LIMIT 1
+ ) WHERE marginal >= 1e-6
+)
+SELECT CAST(step AS INTEGER) AS step, item_id, cost, marginal, round(remaining, 6) AS remaining FROM steps WHERE step > 0"""
+
+
+@query("t11_greedy_selection", T11_SQL.replace("WITH ", "WITH RECURSIVE ", 1))
 def t11(t: Star) -> DataFrame:
     costs = t.items.select("item_id", F.col("cost_expected").alias("cost"))
-    return fit.select_items(cohort(t), t.pairs, costs, OWNED, 120.0, 0.5)
+    return fit.select_items(cohort(t), t.pairs, costs, OWNED, 120.0, 0.5).withColumn("remaining", F.round("remaining", 6))
 
 
 CONTROLS = ["role_id", "experience_band", "education_band"]

@@ -203,6 +203,11 @@ def x4(t: Star) -> DataFrame:
     return marked.agg(F.count_if(F.col("n") == 2).alias("both_sets"), F.count("*").alias("either_set"))
 
 
+@query("x4_posting_overlaps", with_tables("entity_items", "pairs") + ", n AS (SELECT item_id, count(*) AS n FROM pairs GROUP BY 1), c AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS both_sets FROM pairs a JOIN pairs b ON a.entity_id = b.entity_id AND a.item_id < b.item_id GROUP BY 1, 2) SELECT item_a, item_b, both_sets, x.n + y.n - both_sets AS either_set FROM c JOIN n x ON x.item_id = item_a JOIN n y ON y.item_id = item_b")
+def x4_all(t: Star) -> DataFrame:
+    return graph.overlaps(graph.posting_bitmaps(t.pairs, "entity_id"))
+
+
 @query("x5_set_difference", with_tables("entity_items", "pairs") + ", a AS (SELECT entity_id FROM pairs WHERE item_id = 'red widget'), b AS (SELECT entity_id FROM pairs WHERE item_id = 'small ring') SELECT 'false_positive' AS kind, entity_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'false_negative', entity_id FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def x5(t: Star) -> DataFrame:
     p = t.pairs
