@@ -73,6 +73,27 @@ def edges(pairs: DataFrame, n: int | Column, least_count: int = 3, least_jaccard
     return out.withColumn("kept", (F.col("n") >= least_count) & (F.col("jaccard") >= least_jaccard))
 
 
+def scoped_edges(pairs: DataFrame, entities: DataFrame, scope: str = "role_id", whole: str = "global", least_count: int = 3, least_jaccard: float = 0.01) -> DataFrame:
+    """(scope, ...) with the columns of edges: item pairs over all entities (scope is the text whole) and over those of each value of a column.
+
+    Entities meet themselves once. As each has one value, the counts over all entities are the sums of those by value.
+    """
+    sized = entities.select("entity_id", F.col(scope).cast("string").alias("scope"))
+    mine = written(pairs.join(sized, "entity_id"), "scoped_pairs")
+
+    def with_whole(counts: DataFrame, *keys: str) -> DataFrame:
+        both = F.explode(F.array(F.lit(whole), F.col("scope")))
+        return counts.withColumn("scope", both).where("scope is not null").groupBy("scope", *keys).agg(F.sum("n").alias("n"))
+
+    a, b = (mine.select("entity_id", F.col("item_id").alias(f"item_{s}"), *["scope"] * (s == "a")) for s in "ab")
+    co = with_whole(a.join(b, "entity_id").where("item_a < item_b").groupBy("scope", "item_a", "item_b").agg(F.count("*").alias("n")), "item_a", "item_b")
+    s = written(with_whole(mine.groupBy("scope", "item_id").agg(F.count("*").alias("n")), "item_id"), "support")
+    n = with_whole(sized.groupBy("scope").agg(F.count("*").alias("n"))).withColumnRenamed("n", "entities")
+    joined = co.join(s.toDF("scope", "item_a", "support_a"), ["scope", "item_a"]).join(s.toDF("scope", "item_b", "support_b"), ["scope", "item_b"]).join(n, "scope")
+    out = joined.withColumn("jaccard", jaccard(F.col("n"), F.col("support_a"), F.col("support_b"))).withColumn("pmi_nat", pmi(F.col("n"), F.col("support_a"), F.col("support_b"), F.col("entities")))
+    return out.withColumn("kept", (F.col("n") >= least_count) & (F.col("jaccard") >= least_jaccard)).drop("entities")
+
+
 def _both_ways(e: DataFrame, *values: str) -> DataFrame:
     return e.select(F.col("item_a").alias("item_id"), F.col("item_b").alias("other"), *values).union(e.select(F.col("item_b").alias("item_id"), F.col("item_a").alias("other"), *values))
 

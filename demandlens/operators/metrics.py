@@ -188,6 +188,22 @@ def balanced_demand(entities: DataFrame, source_map: DataFrame, entity_items: Da
     return dense.join(pooled, "item_id", "left").join(mean, "item_id").select("item_id", "source_id", "record_count", "sample_size", "coverage", "eligible", F.coalesce(share(F.col("pooled_count"), F.col("pooled_size")), F.lit(0.0)).alias("pooled_coverage"), "eligible_sources", "balanced_coverage")
 
 
+def scoped_balance(entities: DataFrame, source_map: DataFrame, entity_items: DataFrame, items: DataFrame, judged: DataFrame, scope: str = "scope", least_sources: int = 2) -> DataFrame:
+    """(scope, item_id, eligible_sources, balanced_coverage): what balanced_demand gives for each value of a column of entities.
+
+    An entity may stand in several scopes, once in each. Records are counted by scope, source and item in one pass.
+    """
+    records = source_map.select("entity_id", "record_id", "source_id").join(entities.select("entity_id", scope), "entity_id").join(judged.where("eligible").select("source_id"), "source_id", "left_semi")
+    totals = records.groupBy(scope, "source_id").agg(F.countDistinct("record_id").alias("sample_size"))
+    counts = entity_items.join(records, ["entity_id", "record_id"]).groupBy(scope, "source_id", "item_id").agg(F.countDistinct("record_id").alias("record_count"))
+    # absent pairs are zero, so the sum of what is there over the number of sources is the mean of all
+    shares = counts.join(totals, [scope, "source_id"]).groupBy(scope, "item_id").agg(F.sum(share(F.col("record_count"), F.col("sample_size"))).alias("sum"))
+    sources = totals.groupBy(scope).agg(F.count("*").alias("eligible_sources"))
+    every = items.select("item_id").crossJoin(F.broadcast(sources)).join(shares, [scope, "item_id"], "left")  # a row for each scope
+    mean = F.coalesce("sum", F.lit(0.0)) / F.col("eligible_sources")
+    return every.select(scope, "item_id", "eligible_sources", F.when(F.col("eligible_sources") >= least_sources, mean).alias("balanced_coverage"))
+
+
 def measure_by_item(entities: DataFrame, pairs: DataFrame, items: DataFrame, measure: str = "measure") -> DataFrame:
     """Median and quartiles (interpolated) of the measure of entities with each item; unavailable where none has one."""
     measured = pairs.join(entities.select("entity_id", measure), "entity_id")

@@ -35,33 +35,36 @@ class TrendRules:
     stable_volatility: float = 0.03
 
 
-def monthly_series(entities: DataFrame, pairs: DataFrame, items: DataFrame, date: str = "event_date") -> DataFrame:
-    """(item_id, ordinal, month, entity_count, sample_size, coverage) for every item and every month with entities; absent pairs are 0."""
-    dated = entities.where(F.col(date).isNotNull()).select("entity_id", F.trunc(date, "MM").alias("month"))
-    months = dated.groupBy("month").agg(F.count("*").alias("sample_size"))
-    counts = pairs.join(dated, "entity_id").groupBy("item_id", "month").agg(F.count("*").alias("entity_count"))
-    dense = densify(counts, items.select("item_id"), months.select("month"), ["entity_count"]).join(months, "month")
-    return dense.select("item_id", (F.year("month") * 12 + F.month("month")).alias("ordinal"), "month", "entity_count", "sample_size", share(F.col("entity_count"), F.col("sample_size")).alias("coverage"))
+def monthly_series(entities: DataFrame, pairs: DataFrame, items: DataFrame, date: str = "event_date", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, item_id, ordinal, month, entity_count, sample_size, coverage) for every item and every month with entities; absent pairs are 0.
+
+    by: columns of entities; each of their values has a series of its own, of the months in which it has entities.
+    """
+    dated = entities.where(F.col(date).isNotNull()).select("entity_id", *by, F.trunc(date, "MM").alias("month"))
+    months = dated.groupBy(*by, "month").agg(F.count("*").alias("sample_size"))
+    counts = pairs.join(dated, "entity_id").groupBy(*by, "item_id", "month").agg(F.count("*").alias("entity_count"))
+    dense = densify(counts, items.select("item_id"), months.select(*by, "month"), ["entity_count"]).join(months, [*by, "month"])
+    return dense.select(*by, "item_id", (F.year("month") * 12 + F.month("month")).alias("ordinal"), "month", "entity_count", "sample_size", share(F.col("entity_count"), F.col("sample_size")).alias("coverage"))
 
 
-def rolling_mean(series: DataFrame, k: int = 3, value: str = "coverage") -> DataFrame:
+def rolling_mean(series: DataFrame, k: int = 3, value: str = "coverage", by: tuple[str, ...] = ()) -> DataFrame:
     """series with rolling: the mean of k rows if they are k months in a row, else null."""
-    w = W.partitionBy("item_id").orderBy("ordinal")
+    w = W.partitionBy(*by, "item_id").orderBy("ordinal")
     whole = F.col("ordinal") - F.lag("ordinal", k - 1).over(w) == k - 1
     return series.withColumn("rolling", F.when(whole, F.avg(value).over(w.rowsBetween(1 - k, 0))))
 
 
-def calendar_changes(series: DataFrame, lags: tuple[int, ...] = (3, 6), value: str = "coverage") -> DataFrame:
+def calendar_changes(series: DataFrame, lags: tuple[int, ...] = (3, 6), value: str = "coverage", by: tuple[str, ...] = ()) -> DataFrame:
     """series with change_<k>m: the value minus that of exactly k calendar months before, null if that month is not there."""
-    w = W.partitionBy("item_id").orderBy("ordinal")
+    w = W.partitionBy(*by, "item_id").orderBy("ordinal")
     return series.withColumns({f"change_{k}m": F.col(value) - F.first(value).over(w.rangeBetween(-k, -k)) for k in lags})
 
 
-def slope_and_volatility(series: DataFrame, value: str = "coverage") -> DataFrame:
+def slope_and_volatility(series: DataFrame, value: str = "coverage", by: tuple[str, ...] = ()) -> DataFrame:
     """Per item the least-squares slope by month (null without two different months) and the sample deviation of changes between adjacent months (null below two)."""
-    w = W.partitionBy("item_id").orderBy("ordinal")
+    w = W.partitionBy(*by, "item_id").orderBy("ordinal")
     steps = series.withColumn("step", F.when(F.col("ordinal") - F.lag("ordinal").over(w) == 1, F.col(value) - F.lag(value).over(w)))
-    return steps.groupBy("item_id").agg(F.regr_slope(F.col(value), F.col("ordinal").cast("double")).alias("slope"), F.when(F.count("step") >= 2, F.stddev_samp("step")).alias("volatility"))
+    return steps.groupBy(*by, "item_id").agg(F.regr_slope(F.col(value), F.col("ordinal").cast("double")).alias("slope"), F.when(F.count("step") >= 2, F.stddev_samp("step")).alias("volatility"))
 
 
 def classify(df: DataFrame, r: TrendRules) -> DataFrame:
@@ -84,18 +87,21 @@ def classify(df: DataFrame, r: TrendRules) -> DataFrame:
     return df.withColumn("reasons", reasons).withColumn("trend", trend)
 
 
-def trends(entities: DataFrame, pairs: DataFrame, items: DataFrame, r: TrendRules | None = None, date: str = "event_date") -> DataFrame:
+def trends(entities: DataFrame, pairs: DataFrame, items: DataFrame, r: TrendRules | None = None, date: str = "event_date", by: tuple[str, ...] = ()) -> DataFrame:
     """One row per item: latest qualified month, its coverage, rolling mean, changes, slope, volatility, gates and class.
 
-    Months with fewer than month_sample entities count for the rolling mean and the total sample only.
+    Months with fewer than month_sample entities count for the rolling mean and the total sample only. by: columns of entities; each of
+    their values has trends of its own.
     """
     r = r or TrendRules()
-    series = rolling_mean(monthly_series(entities, pairs, items, date), r.rolling)
-    total = entities.agg(F.count("*").alias("all_entities"))
-    whole = series.groupBy("item_id").agg(F.sum("sample_size").alias("total_sample"), F.max_by("rolling", "ordinal").alias("rolling"))
+    key = [*by, "item_id"]
+    series = rolling_mean(monthly_series(entities, pairs, items, date, by), r.rolling, by=by)
+    total = entities.groupBy(*by).agg(F.count("*").alias("all_entities")) if by else entities.agg(F.count("*").alias("all_entities"))
+    whole = series.groupBy(*key).agg(F.sum("sample_size").alias("total_sample"), F.max_by("rolling", "ordinal").alias("rolling"))
     good = series.where(F.col("sample_size") >= r.month_sample)
-    moved = calendar_changes(good)
-    last = moved.groupBy("item_id").agg(F.max("ordinal").alias("latest_ordinal"), F.max_by("coverage", "ordinal").alias("latest"), F.max_by("change_3m", "ordinal").alias("change_3m"), F.max_by("change_6m", "ordinal").alias("change_6m"), F.count("*").alias("qualified_months"))
-    joined = items.select("item_id").join(whole, "item_id", "left").join(last, "item_id", "left").join(slope_and_volatility(good), "item_id", "left").crossJoin(F.broadcast(total))  # one row
+    moved = calendar_changes(good, by=by)
+    last = moved.groupBy(*key).agg(F.max("ordinal").alias("latest_ordinal"), F.max_by("coverage", "ordinal").alias("latest"), F.max_by("change_3m", "ordinal").alias("change_3m"), F.max_by("change_6m", "ordinal").alias("change_6m"), F.count("*").alias("qualified_months"))
+    every = items.select("item_id").crossJoin(F.broadcast(total))  # one row, or one for each value of by
+    joined = every.join(whole, key, "left").join(last, key, "left").join(slope_and_volatility(good, by=by), key, "left")
     joined = joined.fillna(0, ["total_sample", "qualified_months"]).withColumn("before_3m", F.col("latest") - F.col("change_3m")).withColumn("date_coverage", F.coalesce(F.least(F.lit(1.0), share(F.col("total_sample"), F.col("all_entities"))), F.lit(0.0)))
-    return classify(joined, r).select("item_id", "latest_ordinal", "latest", "rolling", "change_3m", "change_6m", "slope", "volatility", "qualified_months", "total_sample", "date_coverage", "reasons", "trend")
+    return classify(joined, r).select(*key, "latest_ordinal", "latest", "rolling", "change_3m", "change_6m", "slope", "volatility", "qualified_months", "total_sample", "date_coverage", "reasons", "trend")

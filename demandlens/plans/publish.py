@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from demandlens.operators import effects, graph, metrics, trend
 from demandlens.plans import models, trends  # noqa: F401  (whose SQL is used here)
-from demandlens.plans.base import ORACLES, Star, query, rounded, with_tables
+from demandlens.plans.base import ORACLES, SQL_TABLES, Star, query, rounded, with_tables
 from demandlens.plans.graphs import LEAST
+from demandlens.plans.metrics import JUDGED, judged
 from demandlens.plans.scoring import scope_ranks
+from demandlens.sources import contracts
+from demandlens.sources.shared import fresh_path
 
 
 def long(df: DataFrame, kind: str, scope: Column, key: Column, values: list[str]) -> DataFrame:
@@ -26,31 +29,53 @@ def _long_sql(source: str, kind: str, scope: str, key: str, values: list[str]) -
 
 SCOPED_SQL = """(SELECT coalesce(role_id, 'global') AS scope, item_id, count(*) AS entity_count, count(*) * 1e0 / any_value(n) AS coverage, median(measure) AS median
  FROM (SELECT item_id, measure, unnest([NULL, role_id]) AS role_id FROM pairs JOIN entities USING (entity_id)) p JOIN (SELECT unnest([NULL, role_id]) AS r, count(*) AS n FROM entities GROUP BY 1) s ON r IS NOT DISTINCT FROM role_id GROUP BY 1, 2)"""
-ITEM_VALUES, RANK_VALUES, TREND_VALUES, RELATION_VALUES = ["entity_count", "coverage", "median"], ["n", "class_rank", "demand_rank"], ["latest", "change_3m", "change_6m", "slope", "volatility"], ["n", "jaccard", "pmi_nat"]
+BALANCED_SQL = (
+    "(" + with_tables("entities", "source_map", "items", "entity_items") + JUDGED
+    + """, rec AS (SELECT DISTINCT source_id, record_id, unnest(['global', role_id]) AS scope FROM source_map JOIN entities USING (entity_id) WHERE source_id IN (SELECT source_id FROM judged WHERE eligible)),
+ tot AS (SELECT scope, source_id, count(*) AS n FROM rec GROUP BY 1, 2), cnt AS (SELECT scope, source_id, item_id, count(DISTINCT record_id) AS k FROM entity_items JOIN rec USING (record_id) GROUP BY 1, 2, 3)
+ SELECT t.scope, i.item_id, CAST(count(*) AS DOUBLE) AS eligible_sources, CASE WHEN count(*) >= 2 THEN avg(coalesce(k, 0) * 1e0 / t.n) END AS balanced_coverage FROM items i CROSS JOIN tot t LEFT JOIN cnt ON cnt.scope = t.scope AND cnt.source_id = t.source_id AND cnt.item_id = i.item_id GROUP BY 1, 2)"""
+)
+ITEM_VALUES, BALANCED_VALUES, RANK_VALUES, TREND_VALUES, RELATION_VALUES = ["entity_count", "coverage", "median"], ["eligible_sources", "balanced_coverage"], ["n", "class_rank", "demand_rank"], ["latest", "change_3m", "change_6m", "slope", "volatility"], ["n", "jaccard", "pmi_nat"]
+ROLES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _by_role(sql: str) -> str:
+    """A query of the logical tables over all entities and over those of each role, with the role as scope."""
+
+    def of(role: str) -> str:
+        some = sql.replace(SQL_TABLES["entities"], "every_" + SQL_TABLES["entities"] + f", entities AS (SELECT * FROM every_entities WHERE role_id = '{role}')")
+        return some.replace(SQL_TABLES["pairs"], "every_" + SQL_TABLES["pairs"] + ", pairs AS (SELECT * FROM every_pairs WHERE entity_id IN (SELECT entity_id FROM entities))")
+
+    return "(" + " UNION ALL ".join(f"SELECT '{scope}' AS scope, * FROM ({text}) q" for scope, text in [("global", sql), *((r, of(r)) for r in ROLES)]) + ")"
 
 
 @query(
     "a35_publish_all",
     with_tables("entities", "entity_items", "pairs")
     + " UNION ALL ".join([
-        _long_sql(SCOPED_SQL, "item", "scope", "item_id", ITEM_VALUES), _long_sql(f"({ORACLES['c10_scope_ranks']})", "ranking", "\"window\" || '|' || role", "item_id", RANK_VALUES),
-        _long_sql(f"({ORACLES['w10_trend_records']})", "trend", "'global'", "item_id", TREND_VALUES), _long_sql(f"({ORACLES['g2_edge_metrics']})", "relation", "'global'", "item_a || '|' || item_b", RELATION_VALUES),
+        _long_sql(SCOPED_SQL, "item", "scope", "item_id", ITEM_VALUES), _long_sql(BALANCED_SQL, "balanced", "scope", "item_id", BALANCED_VALUES), _long_sql(f"({ORACLES['c10_scope_ranks']})", "ranking", "\"window\" || '|' || role", "item_id", RANK_VALUES),
+        _long_sql(_by_role(ORACLES["w10_trend_records"]), "trend", "scope", "item_id", TREND_VALUES), _long_sql(_by_role(ORACLES["g2_edge_metrics"]), "relation", "scope", "item_a || '|' || item_b", RELATION_VALUES),
     ]),
 )
 def a35(t: Star) -> DataFrame:
+    """Every metric for all entities and for each role, every ranking scope and every relation, published by scope and read back."""
     t = t.once()
-    every = F.array(F.lit("global"), F.col("role_id"))
-    scoped = t.entities.select("entity_id", "measure", F.explode(every).alias("scope"))
-    found = scoped.join(t.pairs, "entity_id").select("scope", "item_id", "measure")
-    sizes = scoped.groupBy("scope").agg(F.count("*").alias("size"))
+    entities = t.entities.withColumn("scope", F.explode(F.array(F.lit("global"), F.col("role_id")))).where("scope is not null")
+    found = entities.select("entity_id", "measure", "scope").join(t.pairs, "entity_id").select("scope", "item_id", "measure")
+    sizes = entities.groupBy("scope").agg(F.count("*").alias("size"))
     counts = found.groupBy("scope", "item_id").agg(F.count("*").alias("entity_count")).join(sizes, "scope").withColumn("coverage", metrics.share(F.col("entity_count"), F.col("size")))
     items = metrics.with_percentiles(counts, found, ["scope", "item_id"], "measure", {"median": 0.5})
-    edges = graph.edges(t.pairs, t.entities.count(), least_jaccard=LEAST).where("kept")
+    balanced = metrics.scoped_balance(entities, t.source_map, t.entity_items, t.items, judged(t))
+    courses = trend.trends(entities, t.pairs, t.items, by=("scope",))
+    edges = graph.scoped_edges(t.pairs, t.entities, least_jaccard=LEAST).where("kept")
+    scope, item = F.col("scope"), F.col("item_id")
     parts = [
-        long(items, "item", F.col("scope"), F.col("item_id"), ITEM_VALUES), long(scope_ranks(t), "ranking", F.concat_ws("|", "window", "role"), F.col("item_id"), RANK_VALUES),
-        long(trend.trends(t.entities, t.pairs, t.items), "trend", F.lit("global"), F.col("item_id"), TREND_VALUES), long(edges, "relation", F.lit("global"), F.concat_ws("|", "item_a", "item_b"), RELATION_VALUES),
+        long(items, "item", scope, item, ITEM_VALUES), long(balanced, "balanced", scope, item, BALANCED_VALUES), long(scope_ranks(t), "ranking", F.concat_ws("|", "window", "role"), item, RANK_VALUES),
+        long(courses, "trend", scope, item, TREND_VALUES), long(edges, "relation", scope, F.concat_ws("|", "item_a", "item_b"), RELATION_VALUES),
     ]
-    return rounded(reduce(DataFrame.unionByName, parts))
+    root = fresh_path(t.spark, "published")
+    contracts.replace(rounded(reduce(DataFrame.unionByName, parts)), root, by=("scope",))
+    return contracts.current(t.spark, root)
 
 
 @query(

@@ -63,18 +63,19 @@ def versions(spark: SparkSession, root: str) -> list[dict]:
     return out
 
 
-def replace(df: DataFrame, root: str, expected_rows: int | None = None) -> int:
+def replace(df: DataFrame, root: str, expected_rows: int | None = None, by: tuple[str, ...] = ()) -> int:
     """Replaces the table at root by df in one step and returns the number of its version.
 
     The rows are written beside the old ones, counted on the way and again when read back, and published by a small manifest that is
     created only if no other writer has created one of that number. Until then, and if the writer stops anywhere before, readers see the old
-    table whole; those that read it already go on doing so until vacuum().
+    table whole; those that read it already go on doing so until vacuum(). by: columns whose values get a folder each, so that readers of one skip the others.
     """
     spark, seen = df.sparkSession, Observation()
     before = versions(spark, root)
     number, path = (before[-1]["number"] if before else 0) + 1, f"{root}/data/{uuid.uuid4().hex}"
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    rows, there = seen.get["rows"], spark.read.parquet(path).count()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.partitionBy(*by).parquet(path)
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)  # folder names would be read back as other types
+    rows, there = seen.get["rows"], spark.read.schema(schema).parquet(path).count()
     if rows != there or expected_rows not in (None, rows):
         raise ValueError(f"{rows} rows were written, {there} are there, {expected_rows} were expected; {root} stays as it was")
     fs, at = _files(spark, f"{root}/manifests/{number}.json")
@@ -83,7 +84,7 @@ def replace(df: DataFrame, root: str, expected_rows: int | None = None) -> int:
         fs, at = _files(spark, f"{root}/manifests/{number}.json")
     out = fs.create(at, False)  # fails if another writer was first
     try:
-        out.write(bytearray(json.dumps({"path": path, "rows": rows}).encode()))
+        out.write(bytearray(json.dumps({"path": path, "rows": rows, "schema": schema}).encode()))
     finally:
         out.close()
     return number
@@ -93,7 +94,8 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     """The rows of the last published version of a replaceable table; raises if there is none."""
     if not (published := versions(spark, root)):
         raise FileNotFoundError(f"nothing is published at {root}")
-    return spark.read.parquet(published[-1]["path"])
+    last = published[-1]
+    return spark.read.schema(last["schema"]).parquet(last["path"]) if "schema" in last else spark.read.parquet(last["path"])
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
