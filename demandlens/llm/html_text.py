@@ -15,6 +15,8 @@ from demandlens.llm.common import written
 
 #: Share of a host's aligned pages in which a slot has the reference page's text for it to be template, least pages to tell by, pages of a host that others are aligned with.
 CONSTANT, LEAST_PAGES, REFERENCES = 0.9, 5, 3
+#: Characters of a text outside articles and prose for which one more page with it is asked where a host has few.
+LONGER = 40
 #: Share of a main element's varying text that its articles must hold to stand for it, and of a page's that both must hold to stand for the page.
 ARTICLE_SHARE, MAIN_SHARE = 0.5, 0.25
 #: Cells up to which a table is made in plain Python, which is faster for short lists; longer ones are made in rows by numpy, to the same end.
@@ -45,16 +47,19 @@ MARK = re.compile(
 BOXES = frozenset(
     "a all also and area article articles bar block body bottom box boxes btn button buttons card cards center col column container content entry feed form global group header heading holder icons image info inline inner item items left links list main message middle module more news only outer page pages panel post posts primary read reading region right row secondary section site slot small sticky stories story strip tab text the title to top topics unit up view wrap wrapper you".split()
 )
+#: Those of them that also name what holds an article, so that a name of these and a mark may lie.
+HOLDERS = frozenset("article articles body content entry feed main message news page pages post posts primary read reading section stories story text topics unit".split())
 #: Names that tell of the page's layout, such as has-sidebar, and mark nothing themselves.
 LAYOUT = re.compile(r"(?:no|has|have|with|without)[_-]", re.I)
 PARTS = re.compile(r"[_\W]+|(?<=[a-z])(?=[A-Z])")
 
 
 def mark_of(names: str, article: bool = False) -> str:
-    """How a class, id or role marks its element: "!" surely, a name that may, or "" not at all.
+    """How a class, id or role marks its element: "!" and a name surely, "?" and a name likely, a name that may, or "" not at all.
 
-    A name marks surely if it has a mark and otherwise only words for boxes; beside other words, as in share-price-report, it may. An
-    article is marked only by a name that is a mark alone.
+    A name marks surely if it has a mark and otherwise only words for boxes, as in comments-list; likely if one of these is also what an
+    article is held by, as in alert-story; beside other words, as in share-price-report, it may. An article is marked only by a name that
+    is a mark alone.
     """
     found = ""
     for name in names.split():
@@ -64,12 +69,19 @@ def mark_of(names: str, article: bool = False) -> str:
         marks = [x for x in parts if MARK.fullmatch(x)]
         if not marks or article and len(parts) > 1:
             continue
-        if len(marks) + sum(x.lower() in BOXES or x[0].isdigit() for x in parts if x not in marks) == len(parts):
-            return "!"
-        found = found or name.lower()
+        name, rest = name.lower(), [x.lower() for x in parts if x not in marks]
+        if all(x in BOXES or x[0].isdigit() for x in rest):
+            found = surer(found, ("?" if HOLDERS.intersection(rest) else "!") + name)
+        else:
+            found = found or name
     return found
 
 
+def surer(a: str, b: str) -> str:
+    """The surer of two marks, of equally sure ones the first."""
+    return max((a, b), key=lambda m: 3 if m.startswith("!") else 2 if m.startswith("?") else bool(m))
+
+
 class Node:
     """A block element, or a run of text in one that has other blocks too (label #text)."""
 
@@ -84,7 +96,7 @@ class Node:
 def parse(page: str | None) -> Node:
     """The tree of block elements of a page. Inline elements belong to the text around them; white space is one space.
 
-    off: inside something that is never content. mark: "!" inside something surely marked, else the name that may mark what it is in.
+    off: inside something that is never content. mark: the surest of the marks of what it is in, of equally sure ones the outermost.
     main: 2 inside an article, 1 inside a main element, else 0. Digits in labels count alike, so that numbered ids do not part pages.
     """
     root = Node("root", "root", False, "", 0)
@@ -162,15 +174,15 @@ def parse(page: str | None) -> Node:
                 name, value = name.lower(), a or b or c
                 if name in ("class", "id", "role"):
                     label += f".{DIGITS.sub('0', value.strip().lower())}"
-                    if mark != "!" and tag not in ("html", "body", "main"):
-                        mark = mark_of(value, tag == "article") or mark
+                    if tag not in ("html", "body", "main"):
+                        mark = surer(mark, mark_of(value, tag == "article"))
                     role = value.strip().lower() if name == "role" else role
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     hidden = True
         main = 2 if tag == "article" else max(top.main, 1 if tag == "main" or role == "main" else 0)
         # a header counts as the site's unless it stands inside the article
         off = top.off or hidden or tag in DROPPED or tag == "header" and not top.main or role in ("navigation", "banner", "search", "form", "alert")
-        node = Node(tag, label, off, "!" if "!" in (top.mark, mark) else top.mark or mark, main)
+        node = Node(tag, label, off, surer(top.mark, mark), main)
         top.children.append(node)
         if not m.group(3).endswith("/") or tag not in ("svg", "math", "object"):
             stack.append(node)
@@ -478,34 +490,40 @@ def aligned(pages: DataFrame, id_col: str, url_col: str, html_col: str, referenc
 
 
 def templates(found: DataFrame, constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, template, furniture): slots that have the reference page's text in most pages aligned there, and names that may mark and
-    stand on at least least_pages pages. Copies of one page count once."""
+    """(host, template, likely, furniture). template: slots that have the reference page's text in most pages aligned there, at least
+    least_pages. likely: slots with one text in all pages aligned there, two for a few words and one more for each LONGER characters.
+    furniture: names that may mark and stand on at least least_pages pages. Copies of one page count once."""
     pages = found.select("host", F.xxhash64(F.col("leaves.text")).alias("page"), "leaves")
-    slots = pages.select("host", "page", F.explode(F.flatten(F.col("leaves.slots"))).alias("x")).groupBy("host", F.col("x.slot").alias("slot"), F.col("x.same").alias("same")).agg(F.count_distinct("page").alias("n"))
-    each = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"))
-    constant_slots = each.where((F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
-    names = pages.select("host", "page", F.explode(F.array_distinct(F.transform(F.filter("leaves", lambda x: ~x["mark"].isin("", "!")), lambda x: x["mark"]))).alias("name"))
+    each = F.flatten(F.transform("leaves", lambda x: F.transform(x["slots"], lambda s: F.struct(s["slot"].alias("slot"), s["same"].alias("same"), F.length(x["text"]).alias("chars")))))
+    slots = pages.select("host", "page", F.explode(each).alias("x")).groupBy("host", F.col("x.slot").alias("slot"), F.col("x.same").alias("same")).agg(F.count_distinct("page").alias("n"), F.max("x.chars").alias("chars"))
+    each = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("same"), F.max(F.when(F.col("same"), F.col("chars"))).alias("chars"))
+    fixed = (F.col("n") >= least_pages) & (F.col("same") >= constant * F.col("n"))
+    likely = ~fixed & F.lit(constant <= 1) & (F.col("n") >= 2 + F.floor(F.col("chars") / LONGER)) & (F.col("same") == F.col("n"))
+    listed = each.where(fixed | likely).groupBy("host").agg(F.collect_list(F.when(fixed, F.col("slot"))).alias("template"), F.collect_list(F.when(likely, F.col("slot"))).alias("likely"))
+    names = pages.select("host", "page", F.explode(F.array_distinct(F.transform(F.filter("leaves", lambda x: (x["mark"] != "") & ~x["mark"].rlike("^[!?]")), lambda x: x["mark"]))).alias("name"))
     furniture = names.groupBy("host", "name").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least_pages).groupBy("host").agg(F.collect_list("name").alias("furniture"))
-    return constant_slots.join(furniture, "host", "full")
+    return listed.join(furniture, "host", "full")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Main text of every row of pages: page_id, url, text, n_chars.
 
     Navigation, footers, forms, scripts and hidden elements never count. Of the rest, texts that are constant in their slot of the host
-    are template and dropped; what varies is content. Prose inside an article or main element is kept though constant where most of it
-    is, as the page is then a near copy of the reference and not an article in its template. Among varying texts the elements' marks
-    decide: what is surely marked as comments, adverts and the like goes, and outside of articles also what a name may mark if the name
-    recurs on the host; articles stand for the main element, and both for the page, if they hold enough of its varying text. A page whose
-    texts are all template or all marked keeps them. Null and empty pages have an empty text. Rows with null ids or urls and repeated
-    rows stay; an empty table gives no rows; other columns are ignored.
+    are template and dropped; what varies is content. On hosts of few pages that takes fewer pages for short texts outside of articles and
+    prose. Prose inside an article or main element is kept though constant where most of it is, as the page is then a near copy of the
+    reference and not an article in its template. Among varying texts the elements' marks decide: what is surely or likely marked as
+    comments, adverts and the like goes, and outside of articles also what a name may mark if the name recurs on the host. But of a page
+    without unmarked prose in an article or main element, what holds more than half of the varying text is never taken away by its name, and
+    what is only likely marked is not on any page. Articles stand for the main element, and both for the page, if they hold enough of its
+    varying text. A page whose texts are all template or all marked keeps them. Null and empty pages have an empty text. Rows with null
+    ids or urls and repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     found = aligned(pages, id_col, url_col, html_col)
     listed = written(templates(found, constant, least_pages), "templates")
-    sizes = F.octet_length("host") + 8 * F.size(F.coalesce("template", F.array())) + F.octet_length(F.array_join(F.coalesce("furniture", F.array().cast("array<string>")), ",")) + 32
+    sizes = F.octet_length("host") + 8 * F.size(F.coalesce("template", F.array())) + 8 * F.size(F.coalesce("likely", F.array())) + F.octet_length(F.array_join(F.coalesce("furniture", F.array().cast("array<string>")), ",")) + 32
     size = listed.agg(F.coalesce(F.sum(sizes), F.lit(0)).alias("n")).first()["n"]
     none = F.array().cast("array<string>")
-    joined = found.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "host", "left").withColumns({"template": F.coalesce("template", F.array().cast("array<bigint>")), "furniture": F.coalesce("furniture", none)})
+    joined = found.join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "host", "left").withColumns({**{c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("template", "likely")}, "furniture": F.coalesce("furniture", none)})
 
     def chars(leaves: str, which: Callable[[Column], Column]) -> Column:
         return F.aggregate(F.filter(leaves, which), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
@@ -517,15 +535,25 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         """body of a value that is worked out once and not again for each element that body looks at."""
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def unmarked(x: Column) -> Column:
-        return (x["mark"] == "") | ((x["mark"] != "!") & ((x["kind"] > 0) | ~F.array_contains("furniture", x["mark"])))
-
     def placed(x: Column) -> Column:
-        fixed = F.exists(x["slots"], lambda s: s["same"] & F.array_contains("template", s["slot"]))
-        return F.struct(x["text"].alias("text"), x["kind"].alias("kind"), ((x["kind"] > 0) & x["prose"]).alias("told"), fixed.alias("fixed"))
+        outside = (x["kind"] == 0) & ~x["prose"]
+        fixed = F.exists(x["slots"], lambda s: s["same"] & (F.array_contains("template", s["slot"]) | (outside & F.array_contains("likely", s["slot"]))))
+        return F.struct(x["text"].alias("text"), x["kind"].alias("kind"), x["mark"].alias("mark"), ((x["kind"] > 0) & x["prose"]).alias("told"), fixed.alias("fixed"))
 
-    df = joined.withColumn("able", F.filter("leaves", lambda x: x["kind"] >= 0))
-    df = df.withColumn("unmarked", F.filter("able", unmarked)).withColumn("plain", F.transform(or_else("unmarked", "able"), placed))
+    def unmarked(x: Column) -> Column:
+        sign = F.left(x["mark"], F.lit(1))
+        named = (sign != "!") & (sign != "?") & ((x["kind"] > 0) | ~F.array_contains("furniture", x["mark"]))
+        return (x["mark"] == "") | named | F.array_contains("heavy", x["mark"])
+
+    df = joined.withColumn("able", F.transform(F.filter("leaves", lambda x: x["kind"] >= 0), placed))
+    # marks of more than half of the varying text: kept if they are only likely, or if no article or main element tells better
+    varies = chars("able", lambda x: ~x["fixed"])
+    df = df.withColumns({"varies": varies, "plainly": F.exists("able", lambda x: x["told"] & (x["mark"] == ""))})
+    marks = F.array_distinct(F.transform(F.filter("able", lambda x: x["mark"].rlike("^[!?]")), lambda x: x["mark"]))
+    weighed = F.transform(marks, lambda m: F.struct(m.alias("mark"), chars("able", lambda x: ~x["fixed"] & (x["mark"] == m)).alias("n")))
+    heavy = F.filter(weighed, lambda w: (2 * w["n"] > F.col("varies")) & (w["mark"].startswith("?") | ~F.col("plainly")))
+    df = df.withColumn("heavy", F.transform(heavy, lambda w: w["mark"]))
+    df = df.withColumn("unmarked", F.filter("able", unmarked)).withColumn("plain", or_else("unmarked", "able"))
     copy = 2 * chars("plain", lambda x: x["told"] & x["fixed"]) > chars("plain", lambda x: x["told"])
     df = df.withColumn("varying", let(copy, lambda c: F.filter("plain", lambda x: ~x["fixed"] | (x["told"] & c)))).withColumn("content", or_else("varying", "plain"))
     whole, inside, article = chars("content", lambda x: F.lit(True)), chars("content", lambda x: x["kind"] > 0), chars("content", lambda x: x["kind"] == 2)

@@ -3,6 +3,9 @@ import random
 import re
 import time
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from demandlens.llm import html_text
 
 
@@ -81,6 +84,41 @@ def test_misleading_tags_and_names(spark):
     assert got == {1: "Intro text\nteaser\nThe main body", 2: "All of it", 3: "Prices rose", 4: "The story", 5: "A much longer text than that of the teaser, which is the page's own", 6: "only comments", 7: "On models"}
 
 
+def test_a_name_never_takes_the_article_away(spark):
+    long = "A much longer text than anything else on the page, which is what the page is about."
+    names = ["alert-story", "notice-text", "social-stories", "related-topics", "ad-content", "share-page", "comments-page", "widget"]
+    rows = [(i, f"http://h{i}/", f"<div class='story'><p>Short line.</p></div><div class='{n}'><p>{long}</p></div>") for i, n in enumerate(names)]
+    # beside an article or more text the same names do mark
+    rows += [(100 + i, f"http://g{i}/", f"<div class='story'><p>{long}</p></div><div class='{n}'><p>Short line.</p></div>") for i, n in enumerate(names)]
+    rows += [(200, "http://e/", f"<article><p>{long}</p></article><div class='comments'><p>{long * 5}</p></div>"), (201, "http://f/", f"<main><div class='ad-content'><p>{long}</p></div></main>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Short line.\n{long}" for i in range(len(names))} | {100 + i: long for i in range(len(names))} | {200: long, 201: long}
+
+
+def test_hosts_of_few_pages_lose_their_short_template(spark):
+    """Three pages of plain divs: short texts that all have are template, long ones need more pages."""
+    same = "A text that all three pages have, but so long that three pages do not make it the template of their host, as it may be what they quote."
+    page = "<body><div><div>Daily Example</div><div>Home</div></div><div><div>{0} text</div><p>Quoted</p><div>" + same + "</div></div><div>All rights reserved</div></body>"
+    rows = [(i, "https://h.example/", page.format(f"Story {i}")) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} text\nQuoted\n{same}" for i in range(3)}
+
+
+def test_templates_take_a_frame_off_the_given_pages(spark):
+    """The given pages without their tags, classes and ids, each in a frame of its host: templates alone take the frame away, and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where(F.col("html").contains("<body>")).withColumn("host", html_text.host(F.col("url")))
+    for tag in ("article", "nav", "footer", "header", "aside", "main"):
+        pages = pages.withColumn("html", F.regexp_replace("html", f"(?i)<(/?){tag}\\b[^>]*>", "<$1div>"))
+    pages = pages.withColumn("html", F.regexp_replace("html", "(?i) (class|id|role)=(\"[^\"]*\"|'[^']*'|[^ >]+)", ""))
+    frame = F.concat(F.lit("<body><div><div>Daily "), "host", F.lit("</div><div>Home</div><div>About us</div></div><div>All rights reserved</div>"))
+    framed = pages.withColumn("html", F.replace("html", F.lit("<body>"), frame))
+    plain = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    on, off = ({r.page_id: r.text for r in html_text.extract(framed, constant=c).collect()} for c in (html_text.CONSTANT, 2.0))
+    several = [r.page_id for r in pages.select("page_id", F.count("*").over(Window.partitionBy("host")).alias("n")).where("n > 2").collect()]
+    assert len(several) > 150 and all(t.startswith("Daily ") for t in off.values())
+    assert sum(on[i] == plain[i] for i in several) > 0.98 * len(several)
+
+
 def matched(x, y):
     """Nodes of a largest match, by plain recursion."""
     if x.label != y.label:
@@ -129,7 +167,8 @@ def test_long_lists_and_deep_trees(spark):
 
 
 def test_marks():
-    assert all(html_text.mark_of(n) == "!" for n in ("post-comments", "box ad", "sidebar_left", "ad-300x250", "cookieNotice", "related-posts"))
+    assert all(html_text.mark_of(n).startswith("!") for n in ("comments-list", "box ad", "sidebar_left", "ad-300x250", "cookieNotice", "comments story ad"))
+    assert all(html_text.mark_of(n) == f"?{n}" for n in ("alert-story", "notice-text", "social-stories", "related-topics", "ad-content", "share-page", "post-comments"))
     assert not any(html_text.mark_of(n) for n in ("has-sidebar content", "header-image address download"))
     assert html_text.mark_of("share-price-report") == "share-price-report" and html_text.mark_of("post related-work", article=True) == ""
 
