@@ -2,13 +2,13 @@
 
 import math
 import random
-from datetime import date
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from demandlens.operators import effects, fit, graph, metrics, slices, trend
+from demandlens.operators import effects, fit, graph, metrics, ranking, scoring, slices, trend
 from demandlens.operators.slices import Slice
 
 ENTITIES = "entity_id string, role_id string, city_code string, experience_band string, education_band string, event_date date, measure double, market_scope string, company_id string"
@@ -192,7 +192,7 @@ def test_fingerprint_counts_repeated_rows(spark):
 
 
 def test_parameters_are_checked():
-    from demandlens.operators import dedup, scoring
+    from demandlens.operators import dedup
 
     with pytest.raises(ValueError, match="add up to 1"):
         scoring.ConfidenceRules(weights={"sample": 0.9, "diversity": 0.2, "freshness": 0.2, "metric": 0.15, "agreement": 0.15})
@@ -305,3 +305,65 @@ def test_a_hub_takes_in_many_neighbours_a_round(spark, monkeypatch):
     found = {r.item_id: (r.community, r.size) for r in graph.communities(nodes, kept).collect()}
     assert len({c for c, _ in found.values()}) == 3 and found["hub"] == (0, 41) and found["single"][1] == 1 and found["too"] == found["alone"]
     assert len(rounds) <= 22
+
+
+@pytest.fixture
+def apart(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_positions_over_many_ranges(spark, apart):
+    """Ranks and running values are those of one sorted list, with ties and nulls."""
+    rng = random.Random(6)
+    rows = [(f"k{i:04}", rng.choice([None, *range(40)])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key string, score int").repartition(7)
+    ranked = scoring.ordinal_rank(df, "score", "key", "position")
+    assert ranking._ranges(df, ["key"]).select("_range").distinct().count() > 1
+    want = {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1] if r[1] is not None else 99, r[0])))}
+    assert {r.key: r.position for r in ranked.collect()} == want
+    got = {r.key: r.low for r in ranking.running_before(df, ["key"], "score", "low", "min").collect()}
+    least, plain = None, {}
+    for k, v in sorted(rows):
+        plain[k] = least
+        least = v if least is None else least if v is None else min(least, v)
+    assert got == plain
+
+
+def test_bitmaps_count_as_sets_do(spark):
+    rng = random.Random(3)
+    sets = {i: {rng.randrange(-50, 200_000) for _ in range(rng.choice([1, 5, 3000]))} | set(range(20 * (i in "ab"))) for i in "abcdef"}
+    bits = graph.posting_bitmaps(spark.createDataFrame([(i, e) for i, s in sets.items() for e in s] + [("a", None), (None, 5)], "item_id string, e long"), "e")
+    assert {r.item_id: r.n for r in graph.set_sizes(bits).collect()} == {i: len(s) for i, s in sets.items()}
+    want = {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in sets for b in sets if a < b}
+    assert {(r.item_a, r.item_b): (r.both_sets, r.either_set) for r in graph.overlaps(bits).collect()} == {p: n for p, n in want.items() if n[0]}
+    wanted = spark.createDataFrame([("b", "a"), ("a", "f"), ("a", "none")], "item_a string, item_b string")
+    got = {(r.item_a, r.item_b): (r.both_sets, r.either_set) for r in graph.overlaps(bits, wanted).collect()}
+    assert got == {("b", "a"): want["a", "b"], ("a", "f"): want["a", "f"], ("a", "none"): (0, len(sets["a"]))}
+
+
+def test_sketches_of_days_give_the_counts_of_windows(spark):
+    rows = [(i, i % 700, (date(2026, 1, 1) + timedelta(days=i % 120)) if i % 50 else None) for i in range(12000)]
+    entities = spark.createDataFrame(rows, "entity_id long, company_id long, event_date date")
+    entity_items = spark.createDataFrame([(i, f"r{i}-{k}", f"item{i % 3}") for i in range(12000) for k in range(1 + i % 2)], "entity_id long, record_id string, item_id string")
+    windows = {"30d": 30, "90d": 90, "all": None}
+    got = {(r.window, r.item_id): (r.entity_count, r.company_count, r.record_count) for r in metrics.sketched_counts(metrics.daily_sketches(entities, entity_items), "2026-04-30", windows).collect()}
+    exact = metrics.in_windows(entities, "2026-04-30", windows).join(entity_items, "entity_id").groupBy("window", "item_id").agg(*[F.countDistinct(c) for c in ("entity_id", "company_id", "record_id")]).collect()
+    assert len(got) == 9
+    for r in exact:
+        for estimate, n in zip(got[r["window"], r["item_id"]], r[2:], strict=True):
+            assert abs(estimate - n) <= max(1, 0.02 * n)
+
+
+def test_relations_of_scopes_are_those_of_their_entities(spark):
+    rng = random.Random(9)
+    entities = spark.createDataFrame([(i, rng.choice(["x", "y", None])) for i in range(200)], "entity_id long, role_id string").cache()
+    pairs = spark.createDataFrame([(i, c) for i in range(200) for c in rng.sample("abcdefg", rng.randrange(5))], "entity_id long, item_id string").cache()
+    got = {s: {tuple(r)[1:] for r in graph.scoped_edges(pairs, entities).withColumns({c: F.round(c, 9) for c in ("jaccard", "pmi_nat")}).select("scope", "item_a", "item_b", "n", "support_a", "support_b", "jaccard", "pmi_nat", "kept").where(F.col("scope") == s).collect()} for s in ("global", "x", "y")}
+    for s in got:
+        some = entities if s == "global" else entities.where(F.col("role_id") == s)
+        e = graph.edges(pairs.join(some, "entity_id", "left_semi"), some.count())
+        want = {tuple(r) for r in e.withColumns({c: F.round(c, 9) for c in ("jaccard", "pmi_nat")}).select("item_a", "item_b", "n", "support_a", "support_b", "jaccard", "pmi_nat", "kept").collect()}
+        assert got[s] == want and want
