@@ -13,9 +13,9 @@ from demandlens.llm.common import id_remainder, written
 
 #: Longest n-gram, hash bits of an n-gram, landmarks and training rows for each language (the bounds of the sample), ridge, least eigenvalue.
 NGRAM, BITS, LANDMARKS, TRAIN, RIDGE, CUT = 4, 15, 16, 600, 1e-2, 1e-3
+#: Languages that are learned; a worker holds 2 MB of landmarks for each.
+LANGUAGES = 64
 UNKNOWN = "und"
-#: Columns that a pipeline stage adds for a while; tables do not use these names.
-LANG_OUT, SCORE_OUT = "_demandlens_lang", "_demandlens_lang_score"
 ODD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 1274126177, 2971215073, 1640531527], np.uint32)
 
 
@@ -75,20 +75,21 @@ def values(found: list[np.ndarray], marks: np.ndarray, weights: np.ndarray, bits
     return _dense(found, bits) @ marks @ weights
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: tuple[int, int] = (3, 1), landmarks: int = LANDMARKS, train: int = TRAIN, bits: int = BITS, ridge: float = RIDGE) -> dict:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: tuple[int, int] = (3, 1), landmarks: int = LANDMARKS, train: int = TRAIN, bits: int = BITS, ridge: float = RIDGE, languages: int = LANGUAGES) -> dict:
     """Model from the rows with a language whose crc32(id) modulo held[0] is not held[1].
 
     At most train rows of each language are used, those with the least hash of id and text, each of several equal rows once; the first
-    landmarks of them serve as landmarks. So the driver gets at most train times 2^bits ids of n-grams for each language that there is,
-    whatever the number of rows, of null ids or of copies. Without labelled rows the model knows no language.
+    landmarks of them serve as landmarks. The languages with the most rows are learned, at most languages of them, ties to the lesser name;
+    texts in others get the learned language that is nearest. So the driver gets at most languages times train times 2^bits ids of n-grams,
+    whatever the number of rows, of null ids, of copies or of values in the language column. Without labelled rows the model knows no language.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & (id_remainder(F.col(id_col), held[0]) != held[1])).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.col(lang_col).cast("string")).alias("mark"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return {"langs": [], "bits": bits}
     # so many marks are enough in all likelihood; where many rows are equal fewer are left
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * train / n))])[F.col("lang")]
-    likely = rows.where(F.pmod("mark", F.lit(1 << 40)) <= share * (1 << 40))
+    likely = rows.where(F.pmod("mark", F.lit(1 << 40)) <= share * (1 << 40))  # a language that is not learned has no share
     order = F.pmod("mark", F.lit(1 << 40))
     chosen = written(likely.select("lang", "mark").distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(order, "mark"))).where(F.col("n") <= train).select("lang", "mark", "n"), "chosen")
 
@@ -161,6 +162,9 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = fit(docs, id_col, text_col, lang_col)
     if not model["langs"]:
         return docs.where(F.col(text_col).rlike("\\p{L}"))
-    found = annotate(docs, model, LANG_OUT, SCORE_OUT, text_col)
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.col(LANG_OUT)).cast(docs.schema[lang_col].dataType).alias(lang_col)
-    return found.where(F.col(LANG_OUT) != UNKNOWN).select(*[lang if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    longest = max(docs.columns, key=len)  # names that are longer than all of the table's are none of them
+    lang_name, score_name = f"{longest}_lang", f"{longest}_score"
+    found = annotate(docs, model, lang_name, score_name, text_col)
+    predicted = F.col(f"`{lang_name}`")
+    lang = F.coalesce(F.col(lang_col).cast("string"), predicted).cast(docs.schema[lang_col].dataType).alias(lang_col)
+    return found.where(predicted != UNKNOWN).select(*[lang if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

@@ -64,3 +64,13 @@ def test_regression_is_that_of_the_full_kernel():
     marks = (model["marks"] / model["norms"][:, None]).T.astype(np.float32)
     got = langid.values(new, marks, model["weights"], 12)
     assert np.allclose(got, cross @ alpha, atol=1e-3)
+
+
+def test_languages_are_bounded_and_names_do_not_clash(spark):
+    rows = [(i, "the text of the whole and the end of it", "en") for i in range(40)] + [(100 + i, "der text von dem ganzen und das ende", "de") for i in range(30)] + [(200 + i, f"free text {i}", f"value {i}") for i in range(25)]
+    docs = spark.createDataFrame([(*r, "a", 1.0) for r in rows], "doc_id long, text string, lang string, _demandlens_lang string, text_lang double")
+    assert langid.fit(docs, languages=2)["langs"] == ["de", "en"]
+    assert langid.fit(docs, languages=1, held=(3, 99))["langs"] == ["en"]
+    kept = langid.keep_known(docs)
+    assert kept.columns == docs.columns and kept.count() == 95
+    assert {(r._demandlens_lang, r.text_lang) for r in kept.collect()} == {("a", 1.0)}

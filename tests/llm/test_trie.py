@@ -9,6 +9,14 @@ from demandlens.llm import trie
 COLUMNS = "conv_id long, turn int, role string, text string, k1 string, place string, up string"
 
 
+@pytest.fixture(autouse=True)
+def apart(spark):
+    """Small partitions stay apart, as large ones do, so that conversations and lists of ends span several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def slow_nodes(sequences):
     """Nodes of the trie of {conv_id: [(role, text), ...]} by walking every prefix."""
     members = {}
@@ -101,6 +109,14 @@ def test_odd_rows(spark):
         trie.trie(turns, conversations, band=3)
 
 
+def test_a_conversation_over_several_partitions(spark):
+    rows = [(1, t, "user", str(t % 5)) for t in range(2000)] + [(c, t, "user", "x") for c in (0, 2) for t in range(3)]
+    placed = trie.placed(frame(spark, rows))
+    assert sorted((r.conv_id, r.place) for r in placed.collect()) == sorted((c, t + 1) for c, t, *_ in rows)
+    digests = {r.place: (r.a, r.b) for r in placed.where("conv_id = 1").collect()}
+    assert len(set(digests.values())) == 5 and all(digests[t + 1] == digests[t % 5 + 1] for t in range(2000))
+
+
 def test_role_and_text_do_not_run_together(spark):
     placed = trie.placed(frame(spark, [(1, 0, "user", "ab"), (2, 0, "usera", "b"), (3, 0, "", "userab")]))
     assert placed.select("a", "b").distinct().count() == 3
