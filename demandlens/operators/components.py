@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     edges has two columns (u, v) of one type that can be ordered; loops, repeats and both directions are allowed, rows with a null are
     ignored. Returns (node, root): root is the least node that is reachable. An empty list gives no rows.
-    Each round is checkpointed, so that a lost executor costs one round at most.
+    Each round is checkpointed, so that a lost executor costs one round at most; the rows are two ids wide, and rounds stay equally short.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     mark = None
