@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from demandlens.functions.normalize import nfkc
-from demandlens.functions.similarity import may_reach, ratio_udf, simhash
+from demandlens.functions.similarity import may_reach, ratio_udf, simhash, simhash_udf
 from demandlens.operators.components import components
 from demandlens.sources.shared import ensure_checkpoints, written
 
@@ -21,16 +21,19 @@ FULL_TIME, UNIT = "全职|full[- ]?time", "[（(\\[【]([^）)\\]】]+)[）)\\]
 
 @dataclass(frozen=True)
 class DedupRules:
-    """Thresholds of the levels; the defaults are fixed values."""
+    """Thresholds of the levels; the defaults are fixed values. features: the hash of the prints' grams, xxhash64 (in the JVM) or blake2b."""
 
     same_source_text: float = 95.0
     title: float = 96.0
     simhash_title: float = 90.0
     distance: int = 3
+    features: str = "xxhash64"
 
     def __post_init__(self):
         if not (0 < self.simhash_title <= self.title <= 100 and 0 < self.same_source_text <= 100 and 0 <= self.distance <= 64):
             raise ValueError(f"thresholds out of order: {self}")
+        if self.features not in ("xxhash64", "blake2b"):
+            raise ValueError(f"no hash {self.features}")
 
 
 def eligible(records: DataFrame) -> DataFrame:
@@ -43,7 +46,7 @@ def eligible(records: DataFrame) -> DataFrame:
     return valid
 
 
-def keyed(records: DataFrame) -> DataFrame:
+def keyed(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
     """records with what blocking and guards compare: city_key, title_key, body, seniority, intern, full_time, unit.
 
     Takes record_id, source_id, source_record, company, title, title_raw, city, role_id, experience_band, description, observed_at.
@@ -59,7 +62,7 @@ def keyed(records: DataFrame) -> DataFrame:
     level = F.coalesce(*[F.when(titles.rlike(f"(?iU){p}"), F.lit(n)) for n, p in SENIORITY], F.when(~band.isin("", "unlimited", "unknown"), band))
     shown = F.concat_ws(" ", plain("title_raw"), F.col("body"))
     unit = F.lower(F.trim(F.regexp_extract(F.when(plain("title_raw") != "", plain("title_raw")).otherwise(F.col("title_key")), UNIT, 1)))
-    return df.withColumns({"seniority": level, "intern": shown.rlike(f"(?iU){SENIORITY[0][1]}"), "full_time": shown.rlike(f"(?i){FULL_TIME}"), "unit": F.nullif(unit, F.lit("")), "print": simhash(F.col("body")), "role": plain("role_id")})
+    return df.withColumns({"seniority": level, "intern": shown.rlike(f"(?iU){SENIORITY[0][1]}"), "full_time": shown.rlike(f"(?i){FULL_TIME}"), "unit": F.nullif(unit, F.lit("")), "print": simhash(F.col("body")) if (r or DedupRules()).features == "xxhash64" else simhash_udf()("body"), "role": plain("role_id")})
 
 
 def protected(a: str, b: str) -> Column:
@@ -337,7 +340,7 @@ def deduplicate(records: DataFrame, r: DedupRules | None = None, task_links: int
     weakest match with the group when a record joined it; 0 and null for the first of a group.
     """
     ensure_checkpoints(records.sparkSession)
-    df = written(units(keyed(eligible(records))), "keyed")
+    df = written(units(keyed(eligible(records), r)), "keyed")
     heads = written(unit_heads(df), "units")
     found = matched_pairs(heads, r)
     for s in ("left", "right"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -19,7 +20,7 @@ STATISTICS = ["coefficient", "error", "low", "high", "p_value", "r2", "adjusted_
 
 @dataclass(frozen=True)
 class EffectRules:
-    """Gates of the model; the defaults are fixed values."""
+    """Gates of the model; the defaults are fixed values. student: intervals and p-values by Student's t with the residual degrees of freedom."""
 
     low: float = 1000.0
     high: float = 300000.0
@@ -28,6 +29,35 @@ class EffectRules:
     least_without: int = 20
     level: float = 0.95
     condition: float = 100000.0
+    student: bool = False
+
+
+def student_cdf(t: float, degrees: float) -> float:
+    """The distribution function of Student's t, by the incomplete beta function as a continued fraction evaluated from its end."""
+    a, b, x = degrees / 2, 0.5, degrees / (degrees + t * t)
+    flip = x > (a + 1) / (a + b + 2)  # the fraction settles fast on one side
+    if flip:
+        a, b, x = b, a, 1 - x
+    fraction = 1.0
+    for m in range(200, 0, -1):
+        fraction = 1 + m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) / fraction
+        fraction = 1 - (a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1)) / fraction
+    front = 0.0 if x <= 0 else math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    tail = (1 - front / fraction if flip else front / fraction) / 2
+    return tail if t < 0 else 1 - tail
+
+
+def student_point(q: float, degrees: float) -> float:
+    """Where Student's t has a share of q below it."""
+    low, high = -1.0, 1.0
+    while student_cdf(low, degrees) > q:
+        low *= 2
+    while student_cdf(high, degrees) < q:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if student_cdf(middle, degrees) < q else (low, middle)
+    return (low + high) / 2
 
 
 def percent(coefficient: Column) -> Column:
@@ -153,14 +183,19 @@ def associations(entities: DataFrame, pairs: DataFrame, items: DataFrame, contro
         some = solution.where(~F.col("deficient") & F.col("number").between(k, k + PASS_ITEMS - 1))
         part = _robust(cells, own, controls, x, inverse, some.orderBy("number").collect())
         errors = part if errors is None else errors.unionByName(part)
-    z, width = NormalDist().inv_cdf(0.5 + r.level / 2), x.width + 1
+    width = x.width + 1
+    student = r.student and total > width
+    z = student_point(0.5 + r.level / 2, total - width) if student else NormalDist().inv_cdf(0.5 + r.level / 2)
+
+    def below(v: float) -> float:
+        return student_cdf(v, total - width) if student else NormalDist().cdf(v)
 
     def told(parts):
         for pdf in parts:
             b, error, rss = pdf["b"].to_numpy(float), np.sqrt(np.maximum(pdf["meat"].to_numpy(float), 0)) / pdf["own"].to_numpy(float), np.maximum(pdf["rest"].to_numpy(float), 0)
             r2 = 1 - rss / spread if spread > 0 else np.zeros(len(b))
             likelihood = -total / 2 * (np.log(2 * np.pi * np.maximum(rss, 1e-300) / total) + 1)
-            p_value = [2 * (1 - NormalDist().cdf(abs(v) / e)) if e > 0 else 0.0 for v, e in zip(b, error, strict=True)]
+            p_value = [2 * below(-abs(v) / e) if e > 0 else 0.0 for v, e in zip(b, error, strict=True)]
             yield pd.DataFrame({
                 "item_id": pdf["item_id"], "fit": np.where(pdf["condition"] > r.condition, "estimated_with_warning", "estimated"), "coefficient": b, "error": error, "low": b - z * error, "high": b + z * error, "p_value": p_value, "r2": r2,
                 "adjusted_r2": 1 - (1 - r2) * (total - 1) / (total - width), "aic": 2 * width - 2 * likelihood, "bic": width * np.log(total) - 2 * likelihood, "residual_error": np.sqrt(rss / (total - width)), "condition": pdf["condition"],

@@ -154,6 +154,16 @@ def test_records_of_several_sources_stay_together(spark):
     assert groups(df) == [["r0", "r1", "r2"], ["r3"]]
 
 
+def test_prints_by_another_hash(spark):
+    text = "we look for people who analyse numbers every day and write about what they found in clear words"
+    df = records(spark, {"title": "data analyst of the office", "description": text}, {"title": "data analyst of the offices up", "description": text + "."})
+    for features in ("xxhash64", "blake2b"):
+        rules = dedup.DedupRules(features=features, distance=20)
+        assert sorted(r.level for r in dedup.deduplicate(df, rules).collect()) == [0, 3]
+    with pytest.raises(ValueError, match="hash"):
+        dedup.DedupRules(features="md5")
+
+
 def test_near_titles_misses_none(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 30))) for _ in range(40)]

@@ -367,3 +367,19 @@ def test_relations_of_scopes_are_those_of_their_entities(spark):
         e = graph.edges(pairs.join(some, "entity_id", "left_semi"), some.count())
         want = {tuple(r) for r in e.withColumns({c: F.round(c, 9) for c in ("jaccard", "pmi_nat")}).select("item_a", "item_b", "n", "support_a", "support_b", "jaccard", "pmi_nat", "kept").collect()}
         assert got[s] == want and want
+
+
+def test_students_t(spark):
+    table = {(0.975, 1): 12.7062047, (0.975, 10): 2.2281389, (0.95, 5): 2.0150484, (0.995, 30): 2.7499957, (0.975, 1e6): 1.9599664, (0.025, 10): -2.2281389}
+    for (q, degrees), t in table.items():
+        assert effects.student_point(q, degrees) == pytest.approx(t, abs=1e-6) and effects.student_cdf(t, degrees) == pytest.approx(q, abs=1e-8)
+    rng = random.Random(1)
+    rows = [(f"e{i}", "x" if i % 2 else "y", 1000 * math.exp(rng.random() + 0.3 * (i % 3 == 0))) for i in range(60)]
+    entities = spark.createDataFrame(rows, "entity_id string, role_id string, measure double")
+    pairs = spark.createDataFrame([(f"e{i}", "i") for i in range(0, 60, 3)], "entity_id string, item_id string")
+    items = spark.createDataFrame([("i",)], "item_id string")
+    rules = {"least_n": 10, "least_with": 5, "least_without": 5}
+    normal, student = (effects.associations(entities, pairs, items, ["role_id"], effects.EffectRules(**rules, student=s)).first() for s in (False, True))
+    assert (student.coefficient, student.error) == pytest.approx((normal.coefficient, normal.error))
+    assert (student.high - student.low) / (2 * student.error) == pytest.approx(effects.student_point(0.975, 57)) and (normal.high - normal.low) / (2 * normal.error) == pytest.approx(1.959964, abs=1e-6)
+    assert student.p_value == pytest.approx(2 * effects.student_cdf(-abs(student.coefficient) / student.error, 57)) and student.p_value > normal.p_value

@@ -1,5 +1,6 @@
 """Reading of written values: what is understood, and what must not be guessed."""
 
+import hashlib
 import re
 from datetime import date
 
@@ -99,3 +100,15 @@ def test_simhash_against_a_plain_count(spark):
             continue
         hashes = [xxhash.xxh64_intdigest(t[k : k + 3].encode(), 42) for k in range(len(t) - 2)]
         assert r.h % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
+
+
+def test_blake2b_prints_against_a_plain_count(spark):
+    texts = ["the same words here and there", "aaaa", "数据分析师", "ab", "", None, "x" * 500 + "y"]
+
+    def plain(text):
+        grams = [text[i : i + 3].encode() for i in range(len(text or "") - 2)]
+        hashes = [int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "big") for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes)) if hashes else None
+
+    found = {r.t: r.p for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", similarity.simhash_udf()("t").alias("p")).collect()}
+    assert {t: None if p is None else p & (1 << 64) - 1 for t, p in found.items()} == {t: plain(t) for t in texts}
