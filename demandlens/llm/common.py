@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from demandlens.sources.shared import fresh_path
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "fresh_path", "id_remainder", "words", "written"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "fresh_path", "id_remainder", "words", "written", "written_counted"]
 
 #: Characters of the white space class [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,6 +21,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame, name: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """What written gives, and how many of its rows meet a condition (all without one), counted while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, (F.count(F.lit(1)) if condition is None else F.count_if(condition)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(c, UPPER, LOWER)

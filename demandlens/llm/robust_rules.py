@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from demandlens.llm.common import BLANKS, words, written
+from demandlens.llm.common import BLANKS, words, written, written_counted
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -149,15 +149,16 @@ def _starts(rows: DataFrame, key: str, starts: int) -> tuple[DataFrame, Callable
     classes = len(STATS) + 1
     mark = F.xxhash64(*STATS, "start")
     spread = rows.select(key, *STATS, F.explode(F.sequence(F.lit(1), F.lit(starts))).alias("start")).withColumn("mark", mark).withColumn("class", F.pmod("mark", F.lit(classes)))
-    least = written(spread.groupBy(key, "start", "class").agg(F.min("mark").alias("mark")), "starts")
-    small = F.broadcast if least.count() <= MOST_ESTIMATES else lambda table: table
+    least, n = written_counted(spread.groupBy(key, "start", "class").agg(F.min("mark").alias("mark")), "starts")
+    small = F.broadcast if n <= MOST_ESTIMATES else lambda table: table
     return _moments(spread.join(small(least), [key, "start", "class", "mark"]).groupBy(key, "start", "class").agg(*[F.min(x).alias(x) for x in STATS]), key, "start"), small
 
 
-def _step(rows: DataFrame, state: DataFrame, key: str, core: float, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """state after a concentration step: moments of the nearest share of each group's rows, where they have a smaller determinant.
+def _step(rows: DataFrame, state: DataFrame, key: str, core: float, small: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """state after a concentration step, and how many of its rows changed: moments of the nearest share of each group's rows, where they
+    have a smaller determinant.
 
-    The share is met up to one bin. Rows stay where they are; sums and counts of bins are what is shuffled. moved tells what changed.
+    The share is met up to one bin. Rows stay where they are; sums and counts of bins are what is shuffled.
     """
     bin = F.floor(F.ln(_distance() + 1e-9) / LOG_BIN).cast("long").alias("bin")
     near = rows.join(small(state.select(key, "start", *MEANS, *CHOLESKY)), key).select(key, "start", *STATS, bin)
@@ -169,7 +170,7 @@ def _step(rows: DataFrame, state: DataFrame, key: str, core: float, small: Calla
     old = state.select(key, "start", *[F.col(c).alias(f"_{c}") for c in ("n", *MEANS, *COVARIANCE, *CHOLESKY, "depth")])
     better = F.col("depth") < F.col("_depth") - 1e-9
     columns = [F.when(better, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("n", *MEANS, *COVARIANCE, *CHOLESKY, "depth")]
-    return written(old.join(found, [key, "start"]).select(key, "start", *columns, better.alias("moved")), "estimates")
+    return written_counted(old.join(found, [key, "start"]).select(key, "start", *columns, better.alias("moved")), "estimates", F.col("moved"))
 
 
 def _best(state: DataFrame, key: str, n: int) -> DataFrame:
@@ -186,12 +187,12 @@ def robust_estimates(rows: DataFrame, key: str, core: float = CORE, starts: int
     A group is shared by all tasks: only sums, counts and the few rows of a start are shuffled.
     """
     first, small = _starts(rows, key, starts)
-    state = written(_rooted(first).withColumn("moved", F.lit(True)), "estimates")
+    state = written(_rooted(first), "estimates")
     for _ in range(FIRST_STEPS):
-        state = _step(rows, state, key, core, small)
-    state = written(_best(state, key, FINALISTS), "estimates")
-    while state.where("moved").limit(1).count():  # ends, as determinants of finitely many subsets only become smaller
-        state = _step(rows, state, key, core, small)
+        state, _ = _step(rows, state, key, core, small)
+    state, moved = written_counted(_best(state, key, FINALISTS), "estimates", F.col("moved"))
+    while moved:  # ends, as determinants of finitely many subsets only become smaller
+        state, moved = _step(rows, state, key, core, small)
     raw = written(_rooted(_best(state, key, 1).select(key, "n", *MEANS, *COVARIANCE), consistency(core)), "estimates")
     near = rows.join(small(raw.select(key, *MEANS, *CHOLESKY)), key).where(_distance() <= chi_squared_point(REWEIGHT, len(STATS)))
     factor = consistency(REWEIGHT)
