@@ -21,6 +21,10 @@ class Slice:
     scope_col: str = "market_scope"
     date_col: str = "event_date"
 
+    def takes_all(self, columns: list[str]) -> bool:
+        """Whether it filters neither entities nor records."""
+        return not self.sources and not self.predicates(columns)
+
     def predicates(self, columns: list[str]) -> list[Column]:
         """The filters on entities; the scope counts only where the entities have its column."""
         out = [F.col(c) == F.lit(v) for c, v in self.equal.items()]
@@ -36,7 +40,7 @@ class Slice:
 def select(entities: DataFrame, source_map: DataFrame, s: Slice, key: str = "entity_id", source_col: str = "source_id") -> DataFrame:
     """The entities of a slice: those that pass its filters and have at least one record of its sources."""
     kept = entities.filter(reduce(lambda a, b: a & b, s.predicates(entities.columns), F.lit(True)))
-    return kept.join(of_sources(source_map, s, source_col), key, "left_semi") if s.sources else kept
+    return kept.join(of_sources(source_map, s, source_col).select(key).distinct(), key, "left_semi") if s.sources else kept
 
 
 def of_sources(source_map: DataFrame, s: Slice, source_col: str = "source_id") -> DataFrame:
