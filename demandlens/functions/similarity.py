@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,14 +49,31 @@ def may_reach(a: Column, b: Column, least: float) -> Column:
 def simhash(c: Column, gram: int = 3) -> Column:
     """64-bit SimHash of a text's character n-grams as a signed long; a bit is set if at least half of the grams have it; null below one gram.
 
-    JVM functions only: grams are hashed with xxhash64 and folded into 64 counters.
+    JVM functions only: grams are hashed once with xxhash64, and each sum counts several bits side by side, in fields as wide as the number
+    of grams needs without the sum's sign: eight bits up to 127 grams, 16 up to 32,767, 32 beyond.
     """
-    hashes = F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram))))
-    zero = F.array_repeat(F.lit(0), 64)
-    places = F.sequence(F.lit(0), F.lit(63))
-    counts = F.aggregate(hashes, zero, lambda acc, h: F.zip_with(acc, places, lambda n, k: n + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(1).cast("long")).cast("int")))
-    word = F.aggregate(F.zip_with(counts, places, lambda n, k: F.when(2 * n >= F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return F.when(F.length(c) >= gram, word)
+    grams = F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram))))
+
+    def word(hashes: Column, n: Column, width: int) -> Column:
+        ones, field = sum(1 << at for at in range(0, 64, width)), (1 << width) - 1
+
+        def place(k: int) -> Column:
+            """The bits k, k + width and so on of the word."""
+
+            def bits(x: Column) -> Column:
+                held = [(k + at, F.shiftrightunsigned(x, at).bitwiseAND(F.lit(field))) for at in range(0, 64, width)]
+                return reduce(Column.bitwiseOR, [F.when(2 * m >= n, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b, m in held])
+
+            sums = F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones).cast("long")))
+            return F.transform(F.array(sums), bits)[0]  # so that each sum is made once
+
+        return reduce(Column.bitwiseOR, [place(k) for k in range(width)])
+
+    def words(h: Column) -> Column:
+        n = F.size(h)
+        return F.when(n < 1 << 7, word(h, n, 8)).when(n < 1 << 15, word(h, n, 16)).otherwise(word(h, n, 32))
+
+    return F.when(F.length(c) >= gram, F.transform(F.array(grams), words)[0])
 
 
 def blake2b_print(text: str | None, gram: int = 3) -> int | None:

@@ -62,7 +62,7 @@ def keyed(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
     level = F.coalesce(*[F.when(titles.rlike(f"(?iU){p}"), F.lit(n)) for n, p in SENIORITY], F.when(~band.isin("", "unlimited", "unknown"), band))
     shown = F.concat_ws(" ", plain("title_raw"), F.col("body"))
     unit = F.lower(F.trim(F.regexp_extract(F.when(plain("title_raw") != "", plain("title_raw")).otherwise(F.col("title_key")), UNIT, 1)))
-    return df.withColumns({"seniority": level, "intern": shown.rlike(f"(?iU){SENIORITY[0][1]}"), "full_time": shown.rlike(f"(?i){FULL_TIME}"), "unit": F.nullif(unit, F.lit("")), "print": simhash(F.col("body")) if (r or DedupRules()).features == "xxhash64" else simhash_udf()("body"), "role": plain("role_id")})
+    return df.withColumns({"seniority": level, "intern": shown.rlike(f"(?iU){SENIORITY[0][1]}"), "full_time": shown.rlike(f"(?i){FULL_TIME}"), "unit": F.nullif(unit, F.lit("")), "print": text_print("body", r), "role": plain("role_id")})
 
 
 def protected(a: str, b: str) -> Column:
@@ -100,10 +100,19 @@ def units(keyed_records: DataFrame) -> DataFrame:
     return df.withColumn("unit_mark", F.when(whole, mark).otherwise(F.sha2(F.concat(F.lit("alone "), "record_id"), 256))).drop("_native", "_changed")
 
 
-def unit_heads(united: DataFrame) -> DataFrame:
-    """One row for each unit: unit_mark, id and order of its first record, and what pairs of units are compared by."""
+def text_print(c: str, r: DedupRules | None = None) -> Column:
+    """The SimHash of a text with the hash that the rules name."""
+    return simhash(F.col(c)) if (r or DedupRules()).features == "xxhash64" else simhash_udf()(c)
+
+
+def unit_heads(united: DataFrame, r: DedupRules | None = None) -> DataFrame:
+    """One row for each unit: unit_mark, id and order of its first record, and what pairs of units are compared by.
+
+    Records of a unit have one text, so where united has no print it is made here, once for each unit.
+    """
     order = F.concat_ws("\u0001", F.coalesce(F.nullif(F.trim(F.col("observed_at").cast("string")), F.lit("")), F.lit("9999-12-31T23:59:59+00:00")), "source_id", "record_id")
-    heads = united.groupBy("unit_mark").agg(F.min(F.struct(order.alias("order"), "record_id")).alias("f"), *[F.first(c).alias(c) for c in (*SIGNATURE, "print", "source_id", "native")])
+    heads = united.groupBy("unit_mark").agg(F.min(F.struct(order.alias("order"), "record_id")).alias("f"), *[F.first(c).alias(c) for c in (*SIGNATURE, *["print"] * ("print" in united.columns), "source_id", "native")])
+    heads = heads if "print" in heads.columns else heads.withColumn("print", text_print("body", r))
     return heads.select("unit_mark", F.col("f.record_id").alias("id"), F.col("f.order").alias("order"), *SIGNATURE, "print", "source_id", "native")
 
 
@@ -340,8 +349,8 @@ def deduplicate(records: DataFrame, r: DedupRules | None = None, task_links: int
     weakest match with the group when a record joined it; 0 and null for the first of a group.
     """
     ensure_checkpoints(records.sparkSession)
-    df = written(units(keyed(eligible(records), r)), "keyed")
-    heads = written(unit_heads(df), "units")
+    df = written(units(keyed(eligible(records), r)).drop("print"), "keyed")
+    heads = written(unit_heads(df, r), "units")
     found = matched_pairs(heads, r)
     for s in ("left", "right"):
         found = found.join(heads.select(F.col("id").alias(f"{s}_id"), F.col("order").alias(f"{s}_order")), f"{s}_id")

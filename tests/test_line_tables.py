@@ -4,8 +4,11 @@ import shutil
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from demandlens.plans import registry
+from demandlens.functions.similarity import simhash
+from demandlens.operators import dedup
+from demandlens.plans import matching, registry
 from demandlens.plans.base import Star
 from tests.test_oracles import TABLES, plain
 
@@ -56,3 +59,24 @@ def test_evidence_is_the_join(spark, odd):
     want = t.counted().entity_items.join(t.counted().source_map, ["entity_id", "record_id"]).select(columns)
     assert not want.exceptAll(t.evidence.select(columns)).count() and not t.evidence.select(columns).exceptAll(want).count()
     assert not t.counted().evidence.select(columns).distinct().exceptAll(want).count()
+
+
+def test_grams_are_hashed_once(spark):
+    texts = ["", "ab", "abc", "abcd" * 31, "x" * 129, "xy" * 65, "é中" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = df.select(simhash(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert text.count("xxhash64(") == 1
+
+    for r in df.select("t", simhash(F.col("t")).alias("p")).collect():
+        hashes = [h["h"] for h in spark.createDataFrame([(r.t[i : i + 3],) for i in range(len(r.t) - 2)] or [("",)], "g string").select(F.xxhash64("g").alias("h")).collect()]
+        bits = [2 * sum(h >> k & 1 for h in hashes) >= len(hashes) for k in range(64)]
+        word = sum(1 << k for k in range(64) if bits[k])
+        assert r.p == (None if len(r.t) < 3 else word - (1 << 64) * (word >> 63))
+
+
+def test_prints_of_units_only(spark, data, monkeypatch):
+    seen = {}
+    write = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: seen.setdefault(name, write(df, name)))
+    dedup.deduplicate(matching.records(Star(spark, data)))
+    assert "print" not in seen["keyed"].columns and "print" in seen["units"].columns
