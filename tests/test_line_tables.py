@@ -14,6 +14,7 @@ from tests.test_oracles import TABLES, plain
 
 NAMES = [
     "a12_balanced_demand",
+    "a38_source_catalogue",
 ]
 
 
