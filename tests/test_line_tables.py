@@ -16,6 +16,7 @@ NAMES = [
     "a12_balanced_demand",
     "a38_source_catalogue",
     "a40_source_evidence_maps",
+    "a13_source_eligibility",
 ]
 
 
