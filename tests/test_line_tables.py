@@ -18,6 +18,7 @@ NAMES = [
     "a40_source_evidence_maps",
     "a13_source_eligibility",
     "a29_agreement",
+    "j4_densified",
 ]
 
 
