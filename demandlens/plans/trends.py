@@ -22,13 +22,14 @@ def series(t: Star) -> DataFrame:
 
 @query("w1_partition_count", with_tables("source_map", "entity_items") + "SELECT DISTINCT item_id, source_id, count(*) OVER (PARTITION BY item_id) AS sources FROM (SELECT DISTINCT item_id, source_id FROM entity_items JOIN source_map USING (entity_id, record_id))")
 def w1(t: Star) -> DataFrame:
-    two = t.entity_items.join(t.source_map, ["entity_id", "record_id"]).select("item_id", "source_id").distinct()
+    two = t.counted().evidence.select("item_id", "source_id").distinct()
     return two.withColumn("sources", F.count("*").over(W.partitionBy("item_id")))
 
 
 @query("w2_partition_mean", with_tables("source_map", "entity_items") + ", s AS (SELECT m.source_id, item_id, count(DISTINCT m.entity_id) * 1e0 / any_value(n) AS c FROM entity_items x JOIN source_map m USING (entity_id, record_id) JOIN (SELECT source_id, count(DISTINCT entity_id) AS n FROM source_map GROUP BY 1) z ON z.source_id = m.source_id GROUP BY 1, 2) SELECT item_id, source_id, round(c, 6) AS coverage, round(avg(c) OVER (PARTITION BY item_id), 6) AS mean_coverage FROM s")
 def w2(t: Star) -> DataFrame:
-    found = metrics.source_demand(t.source_map, t.entity_items).select("item_id", "source_id", "coverage")
+    t = t.counted()
+    found = metrics.source_demand(t.source_map, t.entity_items, t.evidence).select("item_id", "source_id", "coverage")
     return rounded(found.withColumn("mean_coverage", F.avg("coverage").over(W.partitionBy("item_id"))))
 
 

@@ -20,6 +20,7 @@ NAMES = [
     "a29_agreement",
     "j4_densified",
     "a6_source_demand",
+    "w2_partition_mean",
 ]
 
 
