@@ -26,6 +26,7 @@ NAMES = [
     "a34_inventory",
     "a33_scope_counts",
     "a30_divergence",
+    "q5_multi_label",
 ]
 
 
