@@ -65,7 +65,7 @@ def a35(t: Star) -> DataFrame:
     sizes = entities.groupBy("scope").agg(F.count("*").alias("size"))
     counts = found.groupBy("scope", "item_id").agg(F.count("*").alias("entity_count")).join(sizes, "scope").withColumn("coverage", metrics.share(F.col("entity_count"), F.col("size")))
     items = metrics.with_percentiles(counts, found, ["scope", "item_id"], "measure", {"median": 0.5})
-    balanced = metrics.scoped_balance(entities, t.source_map, t.entity_items, t.items, judged(t))
+    balanced = metrics.scoped_balance(entities, t.source_map, t.entity_items, t.items, judged(t), evidence=t.evidence)
     courses = trend.trends(entities, t.pairs, t.items, by=("scope",))
     edges = graph.scoped_edges(t.pairs, t.entities, least_jaccard=LEAST).where("kept")
     scope, item = F.col("scope"), F.col("item_id")
