@@ -55,17 +55,13 @@ def simhash(c: Column, gram: int = 3) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.length(c) - gram + 1), lambda i: F.xxhash64(F.substring(c, i, F.lit(gram))))
 
     def word(hashes: Column, n: Column, width: int) -> Column:
-        ones, field = sum(1 << at for at in range(0, 64, width)), (1 << width) - 1
+        ones, top = sum(1 << at for at in range(0, 64, width)), width - 2
+        start = (F.lit(1 << top) - F.shiftright(n + 1, 1)).cast("long") * F.lit(ones).cast("long")
 
         def place(k: int) -> Column:
-            """The bits k, k + width and so on of the word."""
-
-            def bits(x: Column) -> Column:
-                held = [(k + at, F.shiftrightunsigned(x, at).bitwiseAND(F.lit(field))) for at in range(0, 64, width)]
-                return reduce(Column.bitwiseOR, [F.when(2 * m >= n, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b, m in held])
-
-            sums = F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones).cast("long")))
-            return F.transform(F.array(sums), bits)[0]  # so that each sum is made once
+            """The bits k, k + width and so on of the word: sums start so that half of the grams carry into the second highest bit of a field."""
+            sums = F.aggregate(hashes, start, lambda acc, h: acc + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones).cast("long")))
+            return F.shiftleft(F.shiftrightunsigned(sums, top).bitwiseAND(F.lit(ones).cast("long")), k)
 
         return reduce(Column.bitwiseOR, [place(k) for k in range(width)])
 

@@ -46,8 +46,8 @@ def eligible(records: DataFrame) -> DataFrame:
     return valid
 
 
-def keyed(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
-    """records with what blocking and guards compare: city_key, title_key, body, seniority, intern, full_time, unit.
+def keyed(records: DataFrame, r: DedupRules | None = None, prints: bool = True) -> DataFrame:
+    """records with what blocking and guards compare: city_key, title_key, body, seniority, intern, full_time, unit, and print if prints.
 
     Takes record_id, source_id, source_record, company, title, title_raw, city, role_id, experience_band, description, observed_at.
     """
@@ -62,7 +62,7 @@ def keyed(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
     level = F.coalesce(*[F.when(titles.rlike(f"(?iU){p}"), F.lit(n)) for n, p in SENIORITY], F.when(~band.isin("", "unlimited", "unknown"), band))
     shown = F.concat_ws(" ", plain("title_raw"), F.col("body"))
     unit = F.lower(F.trim(F.regexp_extract(F.when(plain("title_raw") != "", plain("title_raw")).otherwise(F.col("title_key")), UNIT, 1)))
-    return df.withColumns({"seniority": level, "intern": shown.rlike(f"(?iU){SENIORITY[0][1]}"), "full_time": shown.rlike(f"(?i){FULL_TIME}"), "unit": F.nullif(unit, F.lit("")), "print": text_print("body", r), "role": plain("role_id")})
+    return df.withColumns({"seniority": level, "intern": shown.rlike(f"(?iU){SENIORITY[0][1]}"), "full_time": shown.rlike(f"(?i){FULL_TIME}"), "unit": F.nullif(unit, F.lit("")), "role": plain("role_id")} | ({"print": text_print("body", r)} if prints else {}))
 
 
 def protected(a: str, b: str) -> Column:
@@ -100,6 +100,15 @@ def units(keyed_records: DataFrame) -> DataFrame:
     return df.withColumn("unit_mark", F.when(whole, mark).otherwise(F.sha2(F.concat(F.lit("alone "), "record_id"), 256))).drop("_native", "_changed")
 
 
+def united(records: DataFrame, r: DedupRules | None = None) -> DataFrame:
+    """records with what keyed (but for prints) and units add, written.
+
+    Records are dealt to all tasks first, as a small file with many rows is read by few, and are keyed once for both uses in units.
+    """
+    some = written(keyed(records.repartition("record_id"), r, prints=False), "keyed")
+    return written(units(some), "united")
+
+
 def text_print(c: str, r: DedupRules | None = None) -> Column:
     """The SimHash of a text with the hash that the rules name."""
     return simhash(F.col(c)) if (r or DedupRules()).features == "xxhash64" else simhash_udf()(c)
@@ -349,7 +358,7 @@ def deduplicate(records: DataFrame, r: DedupRules | None = None, task_links: int
     weakest match with the group when a record joined it; 0 and null for the first of a group.
     """
     ensure_checkpoints(records.sparkSession)
-    df = written(units(keyed(eligible(records), r)).drop("print"), "keyed")
+    df = united(eligible(records), r)
     heads = written(unit_heads(df, r), "units")
     found = matched_pairs(heads, r)
     for s in ("left", "right"):

@@ -34,8 +34,7 @@ def varied(t: Star) -> DataFrame:
 
 def links(rows: DataFrame, level: int) -> DataFrame:
     """Matches of one level: pairs of units by their first records (kind pair), and the records of every unit (kind member, unit on the left)."""
-    united = dedup.units(dedup.keyed(rows)).drop("print")
-    united = written(united, "united")
+    united = dedup.united(rows)
     heads = written(dedup.unit_heads(united), "heads")
     pairs = dedup.matched_pairs(heads).where(F.col("level") == level).select(F.lit("pair").alias("kind"), "left_id", "right_id", "score")
     members = dedup.membership(united, heads).select(F.lit("member").alias("kind"), F.col("id").alias("left_id"), F.col("record_id").alias("right_id"), F.lit(None).cast("double").alias("score"))
