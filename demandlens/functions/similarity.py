@@ -32,12 +32,14 @@ def ratio(a: str | None, b: str | None) -> float:
     return 100.0 if not a and not b else 200.0 * lcs_length(a, b) / (len(a) + len(b))
 
 
-def ratio_udf() -> Callable[[Column, Column], Column]:
+def ratio_udf(once: bool = False) -> Callable[[Column, Column], Column]:
+    """ratio, vectorised. once: it is evaluated where it stands, so that Spark moves no filter on it below a distinct, where pairs repeat."""
+
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([100.0 if x == y else ratio(x, y) for x, y in zip(a, b, strict=True)])
 
-    return run
+    return run.asNondeterministic() if once else run
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:

@@ -157,7 +157,7 @@ def near_titles(titles: DataFrame, by: list[str], title: str, least: float) -> D
     keyed = written(title_keys(titles, by, title, least), "title_keys")
     a, b = keyed.withColumnRenamed(title, "left_title"), keyed.withColumnRenamed(title, "right_title")
     met = a.join(b, [*by, "_g"]).where((F.col("left_title") < F.col("right_title")) & may_reach(F.col("left_title"), F.col("right_title"), least)).select(*by, "left_title", "right_title").distinct()
-    return met.withColumn("ratio", F.round(ratio_udf()("left_title", "right_title"), 6)).where(F.col("ratio") >= least)
+    return met.withColumn("ratio", F.round(ratio_udf(once=True)("left_title", "right_title"), 6)).where(F.col("ratio") >= least)
 
 
 def _print_blocks(records: DataFrame, name: str, distance: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What duplicate records cost: texts are keyed once by all tasks, prints of few expressions."""
+"""What duplicate records cost: texts are keyed once by all tasks, near titles compared once, prints of few expressions."""
 
 from pyspark.sql import functions as F
 
@@ -27,6 +27,14 @@ def test_records_are_keyed_once_by_all_tasks(spark, data, monkeypatch):
     assert "aggregate(" not in first + second  # no print
 
 
+def test_near_titles_are_compared_after_repeats_are_gone(spark):
+    df = spark.createDataFrame([("k", f"senior data analyst number {i}") for i in range(20)], "k string, title string")
+    near = dedup.near_titles(df, ["k"], "title", 90.0)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Aggregate")
+    assert near.count() == 190
+
+
 def test_print_has_few_expressions(spark):
     """Threshold of every bit in one step for each sum: no expression for each bit."""
     df = spark.createDataFrame([("a" * 3 * k + "bcd" * k + "ef",) for k in (1, 2, 20, 21, 22, 40, 60)], "t string")
