@@ -12,8 +12,12 @@ from demandlens.operators.metrics import share, violations
 from demandlens.operators.slices import bad_number
 
 
-def star_checks(entities: DataFrame, source_map: DataFrame, items: DataFrame, entity_items: DataFrame) -> DataFrame:
-    """(test, violations) of the star: unique keys, required values, sane numbers, references."""
+def star_checks(entities: DataFrame, source_map: DataFrame, items: DataFrame, entity_items: DataFrame, referred: DataFrame | None = None) -> DataFrame:
+    """(test, violations) of the star: unique keys, required values, sane numbers, references.
+
+    Callers that know which rows of source_map and entity_items may be violations, with all that share their keys, can leave the others out.
+    referred: the entities to which rows of source_map may refer, where that is known to be fewer.
+    """
 
     def repeated(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -22,7 +26,7 @@ def star_checks(entities: DataFrame, source_map: DataFrame, items: DataFrame, en
         "entities_unique": repeated(entities, "entity_id"), "items_unique": repeated(items, "item_id"), "records_unique": repeated(source_map, "record_id", "source_id"), "relations_unique": repeated(entity_items, "record_id", "item_id"),
         "entities_id_present": entities.where("entity_id is null"), "items_id_present": items.where("item_id is null"), "records_source_present": source_map.where("source_id is null"),
         "measure_sane": entities.where(bad_number(F.col("measure"))), "cost_ordered": items.where("cost_min > cost_expected or cost_expected > cost_max"),
-        "records_reference": source_map.join(entities, "entity_id", "left_anti"), "relations_reference": entity_items.join(items, "item_id", "left_anti"),
+        "records_reference": source_map.join(entities if referred is None else referred, "entity_id", "left_anti"), "relations_reference": entity_items.join(items, "item_id", "left_anti"),
     })
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from demandlens.operators import evaluate
 from demandlens.plans.base import Star, query, rounded, with_tables
 from demandlens.plans.metrics import THEMES_SQL, themes
-from demandlens.sources.shared import fresh_path
+from demandlens.sources.shared import fresh_path, written
 
 #: A rule that predicts quality: few signs and no line of capitals.
 PREDICTED = "p AS (SELECT l.doc_id, quality = 1 AS gold, d.text NOT LIKE '%\\%\\%\\%%' ESCAPE '\\' AND d.text NOT LIKE '%!!%' AS predicted, d.lang, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
@@ -27,7 +27,11 @@ def predicted(t: Star) -> DataFrame:
 UNION ALL SELECT 'relations_unique', (SELECT count(*) FROM (SELECT record_id, item_id FROM entity_items GROUP BY 1, 2 HAVING count(*) > 1)) UNION ALL SELECT 'entities_id_present', 0 UNION ALL SELECT 'items_id_present', 0 UNION ALL SELECT 'records_source_present', 0 UNION ALL SELECT 'measure_sane', (SELECT count(*) FROM entities WHERE measure < 0 OR isnan(measure)) UNION ALL SELECT 'cost_ordered', 0
 UNION ALL SELECT 'records_reference', (SELECT count(*) FROM source_map WHERE entity_id NOT IN (SELECT entity_id FROM entities)) UNION ALL SELECT 'relations_reference', 0""")
 def q1(t: Star) -> DataFrame:
-    return evaluate.star_checks(t.entities, t.source_map, t.items, t.entity_items)
+    t = t.counted()
+    entities = written(t.entities.select("entity_id", "measure"), "entities")
+    records = t.doubtful_records(entities)
+    ids = t.sent(records.select("entity_id").distinct(), "ids")
+    return evaluate.star_checks(entities, records, t.items, t.doubtful_relations, entities.join(ids, "entity_id", "left_semi"))
 
 
 @query("q2_published_checks", with_tables("entities") + "SELECT count(*) AS rows, count(*) FILTER (WHERE measure < 0) AS negative, count(*) FILTER (WHERE role_id IS NULL) AS unassigned, count(*) FILTER (WHERE measure > 500000) AS above_range FROM entities")

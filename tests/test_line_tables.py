@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandlens.functions.similarity import simhash
-from demandlens.operators import dedup
+from demandlens.operators import dedup, evaluate
 from demandlens.plans import base, matching, registry
 from demandlens.plans.base import Star
 from tests.test_oracles import TABLES, plain
@@ -125,3 +125,46 @@ def test_part_bits(spark, tmp_path):
     near = sorted({k + d for k in keys if k is not None for d in (-1, 0, 1)})
     found = Star(spark, str(tmp_path))._with_parts(spark.createDataFrame([(k,) for k in [*near, None]], "l_partkey long")).collect()
     assert {r.l_partkey: r.has_items for r in found} == {k: k is not None and k in keys for k in [*near, None]} and len(found) == len(near) + 1
+
+
+@pytest.fixture(scope="module")
+def broken(odd, tmp_path_factory):
+    """The odd tables with two lines of one record id, orders that are not there, there twice or without a sane total, a region and parts without a name."""
+    at = tmp_path_factory.mktemp("broken")
+    for t in TABLES:
+        shutil.copy(f"{odd}/{t}.parquet", f"{at}/{t}.parquet")
+    con = duckdb.connect()
+    for table, rows in {
+        "orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 40 = 1 THEN -1 ELSE o_totalprice END AS o_totalprice) FROM '{}' WHERE o_orderkey % 9 <> 4 UNION ALL SELECT * FROM '{}' WHERE o_orderkey % 50 = 7 UNION ALL SELECT * REPLACE (CAST(NULL AS BIGINT) AS o_orderkey) FROM '{}' WHERE o_orderkey < 5",
+        "region": "SELECT * REPLACE (CASE WHEN r_name <> 'ASIA' THEN r_name END AS r_name) FROM '{}'",
+        "lineitem": "SELECT * FROM '{}' UNION ALL SELECT * EXCLUDE (x, y) REPLACE (CAST(x AS BIGINT) AS l_orderkey, 1 AS l_partkey, 1 AS l_suppkey, CAST(y AS INTEGER) AS l_linenumber) FROM (SELECT * FROM '{}' LIMIT 1), (VALUES (1, NULL), (NULL, 1)) v(x, y)",
+        "part": "SELECT * REPLACE (CASE WHEN p_partkey % 30 <> 2 THEN p_name END AS p_name) FROM '{}'",
+    }.items():
+        con.execute(f"COPY ({rows.replace('{}', f'{odd}/{table}.parquet')}) TO '{at}/{table}.parquet'")
+    return str(at)
+
+
+@pytest.mark.parametrize("most", [0, base.MOST_ROWS])
+def test_data_tests_look_at_doubtful_lines(spark, odd, broken, most, monkeypatch):
+    monkeypatch.setattr(base, "MOST_ROWS", most)
+    rows, write = {}, base.written
+
+    def kept(df, name):
+        rows[name] = write(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(base, "written", kept)
+    for at in (odd, broken):
+        rows.clear()
+        t = Star(spark, at)
+        want = {r.test: r.violations for r in evaluate.star_checks(t.entities, t.source_map, t.items, t.entity_items).collect()}
+        assert {r.test: r.violations for r in registry.QUERIES["q1_data_tests"](spark, at).collect()} == want
+        lines = t.table("lineitem").count()
+        assert rows["doubtful_records"].count() < lines and rows["doubtful_relations"].count() < lines / 2
+        assert rows["doubtful_records"].where("length(record_id) > 40").count() == 0
+    assert want["records_unique"] > 0 and want["relations_unique"] > 0 and want["entities_unique"] > 0 and want["records_source_present"] > 0 and want["records_reference"] > 0 and want["relations_reference"] > 0
+
+
+def test_clean_lines_are_not_doubtful(spark, data):
+    t = Star(spark, data).counted()
+    assert t.doubtful_records(t.entities).count() < t.table("lineitem").count() / 1000 and t.doubtful_relations.count() == 0
