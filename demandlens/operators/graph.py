@@ -88,7 +88,13 @@ def scoped_edges(pairs: DataFrame, entities: DataFrame, scope: str = "role_id",
     a, b = (mine.select("entity_id", F.col("item_id").alias(f"item_{s}"), *["scope"] * (s == "a")) for s in "ab")
     co = with_whole(a.join(b, "entity_id").where("item_a < item_b").groupBy("scope", "item_a", "item_b").agg(F.count("*").alias("n")), "item_a", "item_b")
     s = written(with_whole(mine.groupBy("scope", "item_id").agg(F.count("*").alias("n")), "item_id"), "support")
-    n = with_whole(sized.groupBy("scope").agg(F.count("*").alias("n"))).withColumnRenamed("n", "entities")
+    n = with_whole(sized.groupBy("scope").agg(F.count("*").alias("n")))
+    return scored(co, s, n, least_count, least_jaccard)
+
+
+def scored(co: DataFrame, s: DataFrame, n: DataFrame, least_count: int = 3, least_jaccard: float = 0.01) -> DataFrame:
+    """What scoped_edges gives, from (scope, item_a, item_b, n), (scope, item_id, n) and (scope, n)."""
+    n = n.withColumnRenamed("n", "entities")
     joined = co.join(s.toDF("scope", "item_a", "support_a"), ["scope", "item_a"]).join(s.toDF("scope", "item_b", "support_b"), ["scope", "item_b"]).join(n, "scope")
     out = joined.withColumn("jaccard", jaccard(F.col("n"), F.col("support_a"), F.col("support_b"))).withColumn("pmi_nat", pmi(F.col("n"), F.col("support_a"), F.col("support_b"), F.col("entities")))
     return out.withColumn("kept", (F.col("n") >= least_count) & (F.col("jaccard") >= least_jaccard)).drop("entities")

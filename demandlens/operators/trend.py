@@ -43,6 +43,11 @@ def monthly_series(entities: DataFrame, pairs: DataFrame, items: DataFrame, date
     dated = entities.where(F.col(date).isNotNull()).select("entity_id", *by, F.trunc(date, "MM").alias("month"))
     months = dated.groupBy(*by, "month").agg(F.count("*").alias("sample_size"))
     counts = pairs.join(dated, "entity_id").groupBy(*by, "item_id", "month").agg(F.count("*").alias("entity_count"))
+    return dense_series(months, counts, items, by)
+
+
+def dense_series(months: DataFrame, counts: DataFrame, items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What monthly_series gives, from the entities of each month (sample_size) and those with each item (entity_count)."""
     dense = densify(counts, items.select("item_id"), months.select(*by, "month"), ["entity_count"]).join(months, [*by, "month"])
     return dense.select(*by, "item_id", (F.year("month") * 12 + F.month("month")).alias("ordinal"), "month", "entity_count", "sample_size", share(F.col("entity_count"), F.col("sample_size")).alias("coverage"))
 
@@ -93,10 +98,15 @@ def trends(entities: DataFrame, pairs: DataFrame, items: DataFrame, r: TrendRule
     Months with fewer than month_sample entities count for the rolling mean and the total sample only. by: columns of entities; each of
     their values has trends of its own.
     """
+    total = entities.groupBy(*by).agg(F.count("*").alias("all_entities")) if by else entities.agg(F.count("*").alias("all_entities"))
+    return courses(monthly_series(entities, pairs, items, date, by), total, items, r, by)
+
+
+def courses(series: DataFrame, total: DataFrame, items: DataFrame, r: TrendRules | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """What trends gives, from the monthly series and the number of entities (all_entities), one row or one for each value of by."""
     r = r or TrendRules()
     key = [*by, "item_id"]
-    series = rolling_mean(monthly_series(entities, pairs, items, date, by), r.rolling, by=by)
-    total = entities.groupBy(*by).agg(F.count("*").alias("all_entities")) if by else entities.agg(F.count("*").alias("all_entities"))
+    series = rolling_mean(series, r.rolling, by=by)
     whole = series.groupBy(*key).agg(F.sum("sample_size").alias("total_sample"), F.max_by("rolling", "ordinal").alias("rolling"))
     good = series.where(F.col("sample_size") >= r.month_sample)
     moved = calendar_changes(good, by=by)

@@ -113,8 +113,13 @@ def c10(t: Star) -> DataFrame:
 
 def scope_ranks(t: Star) -> DataFrame:
     """Places of items by demand within each window, role (all for every one) and class of items."""
-    cube = metrics.scope_cube(t.entities, t.pairs, AS_OF, WINDOWS).join(t.items.select("item_id", "eligibility"), "item_id")
-    scoped = cube.select("window", F.when(F.col("every_role") == 1, "all").otherwise(F.col("role_id")).alias("role"), "item_id", "eligibility", F.col("entity_count").alias("n"))
+    cube = metrics.scope_cube(t.entities, t.pairs, AS_OF, WINDOWS)
+    return ranked_scopes(cube.select("window", F.when(F.col("every_role") == 1, "all").otherwise(F.col("role_id")).alias("role"), "item_id", F.col("entity_count").alias("n")), t.items)
+
+
+def ranked_scopes(counts: DataFrame, items: DataFrame) -> DataFrame:
+    """What scope_ranks gives, from (window, role, item_id, n)."""
+    scoped = counts.join(items.select("item_id", "eligibility"), "item_id").select("window", "role", "item_id", "eligibility", "n")
     out = scoring.ordinal_rank(scoped, "n", "item_id", "class_rank", ["window", "role", "eligibility"])
     return out.withColumn("demand_rank", F.when(F.col("eligibility") == "main", F.col("class_rank")))
 

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandlens.functions.similarity import simhash
-from demandlens.operators import dedup, evaluate
-from demandlens.plans import base, matching, registry
+from demandlens.operators import dedup, evaluate, holdings
+from demandlens.plans import base, matching, publish, registry
 from demandlens.plans.base import Star
 from tests.test_oracles import TABLES, plain
 
@@ -168,3 +168,32 @@ def test_data_tests_look_at_doubtful_lines(spark, odd, broken, most, monkeypatch
 def test_clean_lines_are_not_doubtful(spark, data):
     t = Star(spark, data).counted()
     assert t.doubtful_records(t.entities).count() < t.table("lineitem").count() / 1000 and t.doubtful_relations.count() == 0
+
+
+@pytest.mark.parametrize("most", [0, base.MOST_ROWS])
+def test_published_snapshot_of_odd_lines(spark, odd, broken, most, monkeypatch):
+    monkeypatch.setattr(base, "MOST_ROWS", most)
+    at = odd if most else broken
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    names = []
+    for module in (base, holdings, publish):
+        monkeypatch.setattr(module, "written", lambda df, name, write=module.written: names.append(name) or write(df, name))
+    df = registry.QUERIES["a35_publish_all"](spark, at)
+    columns = sorted(df.columns)
+    want = sorted(repr(tuple(map(plain, r))) for r in con.execute(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES['a35_publish_all']}) q").fetchall())
+    assert sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect()) == want
+    assert "holdings" in names and not {"lines", "pairs"} & set(names)
+
+
+def test_entities_meet_their_lines_once(spark, odd):
+    t = Star(spark, odd).counted()
+    held = holdings.holdings(t.cells, t.entities, t.sent)
+    assert held.count() == t.evidence.select("entity_id").union(t.pairs.select("entity_id")).where("entity_id is not null").distinct().union(
+        t.source_map.select("entity_id").where("entity_id is not null").distinct()).distinct().count()
+    busy = holdings.holdings(t.cells, t.entities, t.sent, 0)
+    assert busy.selectExpr("max(size(cells))").first()[0] <= held.selectExpr("max(size(cells))").first()[0]
+    for count in (holdings.records, holdings.supports, holdings.co_counts, holdings.evidence):
+        a, b = count(held), count(busy)
+        assert a.count() and not a.exceptAll(b).count() and not b.exceptAll(a).count()
