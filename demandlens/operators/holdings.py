@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandlens.sources.shared import written
+from demandlens.sources.shared import shuffle_tasks, written
 
 #: Marks of a cell: the entity has the item; the record has an item; the cell is the first of its record and source.
 OWN, LISTED, FIRST = 1, 2, 4
@@ -15,10 +15,6 @@ OWN, LISTED, FIRST = 1, 2, 4
 BUCKETS, LINES = 65_536, 100_000
 
 
-def marks(own: Column, listed: Column, first: Column) -> Column:
-    return F.when(own, OWN).otherwise(0) + F.when(listed, LISTED).otherwise(0) + F.when(first, FIRST).otherwise(0)
-
-
 def has(mark: int) -> Column:
     return F.col("marks").bitwiseAND(F.lit(mark)) != 0
 
@@ -26,10 +22,10 @@ def has(mark: int) -> Column:
 def holdings(cells: DataFrame, entities: DataFrame, sent: Callable[[DataFrame, str], DataFrame], lines: int = LINES) -> DataFrame:
     """(entity_id, rows, items, cells) of each entity with cells, also of those that entities does not have, written.
 
-    cells (entity_id, item_id, source_id, marks, records, dated): what a record says, once for each of its items and sources; records and
-    dated are summed, dated is how many rows of the source map the record has. rows are the entity's rows of entities (role_id, event_date,
-    measure), items its own items once each in order, null last. Cells reach their entity in one shuffle. Those of entities with very many
-    are first summed by all tasks, so that a list is no longer than the items and sources of its entity; sent writes and counts a table.
+    cells (entity_id, item_id, source_id, marks, records, dated): what a record says, once for each of its items and sources, which are best
+    numbers, as they are narrow; dated is how many rows of the source map the record has. rows are the entity's rows of entities (role_id,
+    event_date, measure), items its own items once each in order, null last. Cells reach their entity in one shuffle. Those of entities with
+    very many are first summed by all tasks, so that a list is no longer than the items and sources of its entity. sent writes and counts a table.
     """
     key, values = ["entity_id", "item_id", "source_id", "marks"], ["records", "dated"]
     cells = cells.where("entity_id is not null")
@@ -39,7 +35,7 @@ def holdings(cells: DataFrame, entities: DataFrame, sent: Callable[[DataFrame, s
     busy = cells.select("entity_id", bucket).join(F.broadcast(full), "_bucket").groupBy("entity_id").agg(F.count("*").alias("n"), F.max("_most").alias("_most")).where("n > _most")
     busy = sent(busy.select("entity_id"), "busy_entities")
     summed = cells.join(busy, "entity_id", "left_semi").groupBy(*key).agg(*[F.sum(v).alias(v) for v in values])
-    dealt = cells.join(busy, "entity_id", "left_anti").select(*key, *values).unionByName(summed).repartition("entity_id")
+    dealt = cells.join(busy, "entity_id", "left_anti").select(*key, *values).unionByName(summed).repartition(shuffle_tasks(cells.sparkSession), "entity_id")
     listed = dealt.groupBy("entity_id").agg(F.collect_list(F.struct(*key[1:], *values)).alias("cells"))
     rows = entities.where("entity_id is not null").groupBy("entity_id").agg(F.collect_list(F.struct("role_id", "event_date", "measure")).alias("rows"))
     items = F.array_sort(F.array_distinct(F.transform(F.filter("cells", lambda c: c["marks"].bitwiseAND(F.lit(OWN)) != 0), lambda c: c["item_id"])))

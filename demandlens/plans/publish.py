@@ -64,21 +64,22 @@ def a35(t: Star) -> DataFrame:
     held = holdings.holdings(t.cells, entities, t.sent)
     month, windows = F.trunc("event_date", "MM").alias("month"), metrics.windows_of(AS_OF, WINDOWS).alias("windows")
     sizes = written(entities.groupBy("role_id", month).agg(F.count("*").alias("n")), "sizes")
-    cube = written(holdings.pairs(held).groupBy("role_id", month, windows, "item_id").agg(F.count("*").alias("n")), "cube")
+    numbered = written(holdings.pairs(held).groupBy("role_id", month, windows, "item_id").agg(F.count("*").alias("n")), "cube")
+    cube = t.named(numbered, "item_id")
     total, by_scope = holdings.by_scope(sizes), holdings.by_scope
     found = holdings.pairs(held).withColumn("scope", F.explode(F.array(F.lit("global"), F.col("role_id")))).where("scope is not null").select("scope", "item_id", "measure")
-    counts = by_scope(cube, "item_id").withColumnRenamed("n", "entity_count").join(total, "scope").withColumn("coverage", metrics.share(F.col("entity_count"), F.col("n")))
-    items = metrics.with_percentiles(counts, found, ["scope", "item_id"], "measure", {"median": 0.5}, t.sent)
-    sources = judged(t, written(holdings.evidence(held), "source_evidence")).where("eligible").select("source_id")
-    records = written(holdings.records(held), "records").join(F.broadcast(sources), "source_id", "left_semi")  # as many as have a role that counts
+    counts = by_scope(numbered, "item_id").withColumnRenamed("n", "entity_count").join(total, "scope").withColumn("coverage", metrics.share(F.col("entity_count"), F.col("n")))
+    items = t.named(metrics.with_percentiles(counts, found, ["scope", "item_id"], "measure", {"median": 0.5}, t.sent), "item_id")
+    sources = judged(t, written(t.named(holdings.evidence(held), "source_id"), "source_evidence")).where("eligible").select("source_id")
+    records = written(t.named(holdings.records(held), "source_id", "item_id"), "records").join(F.broadcast(sources), "source_id", "left_semi")  # as many as have a role that counts
     first, listed = records.where(holdings.has(holdings.FIRST)), records.where(holdings.has(holdings.LISTED))
     balanced = metrics.mean_of_sources(by_scope(first, "source_id").withColumnRenamed("n", "sample_size"), by_scope(listed, "source_id", "item_id").withColumnRenamed("n", "record_count"), t.items)
     placed = cube.select("role_id", F.explode("windows").alias("window"), "item_id", "n").withColumn("each", F.explode(F.array(F.lit(True), F.lit(False)))).groupBy("window", F.when(F.col("each"), F.col("role_id")).otherwise("all").alias("role"), "item_id").agg(F.sum("n").alias("n"))
     months, monthly = by_scope(sizes.where("month is not null"), "month").withColumnRenamed("n", "sample_size"), by_scope(cube.where("month is not null"), "item_id", "month").withColumnRenamed("n", "entity_count")
     courses = trend.courses(trend.dense_series(months, monthly, t.items, ("scope",)), total.withColumnRenamed("n", "all_entities"), t.items, by=("scope",))
     none = t.items_of_none.select(F.array().cast("array<string>").alias("roles"), "item_id", F.lit(1).cast("long").alias("n"))
-    support = by_scope(written(holdings.supports(held).unionByName(none), "support"), "item_id")
-    edges = graph.scored(by_scope(written(holdings.co_counts(held), "co_counts"), "item_a", "item_b"), support, total, least_jaccard=LEAST).where("kept")
+    support = by_scope(written(t.named(holdings.supports(held), "item_id").unionByName(none), "support"), "item_id")
+    edges = graph.scored(by_scope(written(t.named(holdings.co_counts(held), "item_a", "item_b"), "co_counts"), "item_a", "item_b"), support, total, least_jaccard=LEAST).where("kept")
     scope, item = F.col("scope"), F.col("item_id")
     parts = [
         long(items, "item", scope, item, ITEM_VALUES), long(balanced, "balanced", scope, item, BALANCED_VALUES), long(ranked_scopes(placed, t.items), "ranking", F.concat_ws("|", "window", "role"), item, RANK_VALUES),

@@ -49,6 +49,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """How many tasks a shuffle goes to; as a number given to repartition, tasks are not put together again until they are too large for memory."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, so that no later job computes it again."""
     path = fresh_path(df.sparkSession, name)
